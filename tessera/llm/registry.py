@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import exact_dedup, mixing, packing
+from tessera.llm import exact_dedup, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
