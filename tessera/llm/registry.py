@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import exact_dedup, mixing, packing, quality, simhash
+from tessera.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
