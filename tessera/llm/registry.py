@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
+from tessera.llm import exact_dedup, html_text, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_media": media.op7_media,
+    "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
 }
