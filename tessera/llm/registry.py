@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import exact_dedup, html_text, media, mixing, packing, quality, simhash, substrings, toxicity
+from tessera.llm import exact_dedup, html_text, licenses, media, mixing, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_licenses": licenses.op5_licenses,
     "op6_substrings": substrings.op6_substrings,
     "op7_media": media.op7_media,
     "op8_html_text": html_text.op8_html_text,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_licenses": licenses.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
