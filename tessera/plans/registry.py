@@ -1,4 +1,6 @@
 """Registered queries and the DuckDB SQL that must return the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import analytics, search
+
+QUERIES = {**search.QUERIES, **analytics.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **analytics.ORACLE_SQL}

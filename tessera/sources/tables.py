@@ -134,4 +134,4 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
     """events as a request log: (request_id, kind, ts, ms, params)."""
-    return _table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("kind"), "ts", F.col("value").alias("ms"), F.col("props").alias("params"), F.col("user_id"))
+    return _table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("ms"), F.col("props").alias("params"), F.col("user_id"))
