@@ -11,6 +11,7 @@ few sequences open, so sharding costs a small share (see the README).
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -27,43 +28,59 @@ from tessera.llm.common import table, written
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed by one task; at most about twice that.
 SHARD = 20_000
-#: Chunks of text whose ids a worker process keeps; at the limit it starts afresh. Bounds memory only.
-REMEMBERED = 300_000
+#: Chunks of text whose ids a worker process keeps; at the limit it starts afresh. Bounds memory only (about 0.2 GB).
+REMEMBERED = 800_000
 
 #: In texts of these characters alone, white space separates what the tokenizer splits and folds, so chunks between white space are
 #: encoded one by one and remembered. Any other text, and one with a special token's opening, goes through the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 _SPECIAL = "<|"
+#: How the tokenizer file says that a chunk is split, and the same for the characters above in Python's syntax.
+SPLIT_OF_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class Encoder:
-    """Token ids of texts, as packed little-endian unsigned 32-bit integers."""
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte: itself if it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Token ids of texts, as packed little-endian unsigned 32-bit integers. The dict holds those of chunks."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._chunks: dict[str, bytes] = {}
+        self._merge = self._tokenizer.model.tokenize
+        self._letters = _byte_letters()
+        steps = (json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self._known_split = [s.get("pattern", {}).get("Regex") for s in steps] == [SPLIT_OF_FILE, None]
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if self._known_split:
+            words = (w if w.isascii() else "".join(map(self._letters.__getitem__, w.encode())) for w in _SPLIT.findall(chunk))
+            ids = [t.id for w in words for t in self._merge(w)]
+            self[chunk] = packed_ids = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            self[chunk] = packed_ids = self._whole(chunk)
+        return packed_ids
+
     def encode(self, text: str) -> bytes:
         if _SPECIAL in text or not _PLAIN.fullmatch(text):
-            return self._ids(text)
-        known, out = self._chunks, []
-        for chunk in text.lower().split():
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[chunk] = self._ids(chunk)
-            out.append(ids)
-        return b"".join(out)
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _encoders: dict[str, Encoder] = {}
