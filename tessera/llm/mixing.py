@@ -94,7 +94,7 @@ def mix(docs: DataFrame, spark: SparkSession, size: Column, weights=WEIGHTS, sha
     inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("all").over(inner)).join(o, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = written(placed.select("doc_id", "source", "size", "n_rows", "all", "source_size", "target", (F.col("upto") + F.col("offset")).alias("served")), spark, "mix-served")
-    finish = [(F.col("served") + F.col("source_size") * p) / F.col("target") for p in range(passes)]
+    finish = [F.coalesce(F.try_divide(F.col("served") + F.col("source_size") * p, F.col("target")), F.lit(0.0)) for p in range(passes)]
     servings = placed.filter("size > 0").select(F.col("all").alias("size"), F.explode(F.array(*finish)).alias("finish"))
     budget = targets.agg(F.sum("target")).first()[0]
     cut = _cut(servings, budget) if budget else 0.0
@@ -145,6 +145,6 @@ servings AS (
 queue AS (SELECT finish, sum(every) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS spent FROM servings),
 cut AS (SELECT max(finish) AS finish FROM queue WHERE spent <= (SELECT sum(target) FROM targets))
 SELECT doc_id, size, source_size, target,
-       CAST(size * ((served::DOUBLE / target <= cut.finish)::INT + ((served + source_size)::DOUBLE / target <= cut.finish)::INT) AS BIGINT) AS taken
+       coalesce(CAST(size * ((served::DOUBLE / target <= cut.finish)::INT + ((served + source_size)::DOUBLE / target <= cut.finish)::INT) AS BIGINT), 0) AS taken
 FROM (SELECT *, unnest(range(n_rows)) AS nth FROM served), cut
 """
