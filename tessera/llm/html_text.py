@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Share of the best branch's score that a branch needs.
-SHARE = 0.25
+#: Share of the best branch's score that a branch needs, and weight of each neighbour in smoothing.
+SHARE, SMOOTH = 0.25, 0.1
 
 # Fixed values of HTML: raw-text elements, void elements, inline elements, what a start tag closes.
 RAW = ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "math", "object")
@@ -89,8 +89,8 @@ def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
         at = m.end()
         name = (m[3] or "").lower()
         if m[1]:
-            block += m[1].lower() not in INLINE
-        elif m[2]:
+            continue  # what isn't shown doesn't part blocks either
+        if m[2]:
             block += name not in INLINE
             if any(s[0] == name for s in stack):
                 close((name,), frozenset())
@@ -120,13 +120,13 @@ def _content_paths(nodes: list[list], tags: dict[str, int]) -> set[str]:
         p[0] += len(text.strip())
         p[1] += len(_PUNCTUATION.findall(text))
     article = any(p[4] and not p[3] for p in paths.values())
-    order = list(paths)
+    order = [x for x in paths if not paths[x][3]]
     ratios = [(paths[x][0] / max(1, tags.get(x, 1)), paths[x][1] / max(1, tags.get(x, 1))) for x in order]
     scores: dict[str, float] = {}
     for i, x in enumerate(order):
-        near = ratios[max(0, i - 1) : i + 2]
-        text, marks = (sum(r[k] for r in near) / len(near) / 2 + ratios[i][k] / 2 for k in (0, 1))
-        prior = 0.0 if paths[x][3] or (article and not paths[x][4]) else 1.0
+        near = ratios[max(0, i - 1) : i] + ratios[i + 1 : i + 2]
+        text, marks = ((1 - SMOOTH * len(near)) * ratios[i][k] + SMOOTH * sum(r[k] for r in near) for k in (0, 1))
+        prior = 0.0 if article and not paths[x][4] else 1.0
         scores[x] = prior * text * (1 + marks)
     branches: dict[str, float] = {}
     for x, s in scores.items():
