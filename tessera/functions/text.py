@@ -62,7 +62,7 @@ def wildcard_regex(word: str) -> str:
 
 
 def split_trim(text: Column, by: str = ",") -> Column:
-    return F.filter(F.transform(F.split(text, by), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def camel_words(text: Column) -> Column:

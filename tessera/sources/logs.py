@@ -45,9 +45,9 @@ def read_request_log(spark: SparkSession, paths: str | Sequence[str]) -> tuple[D
     bad = F.col("_bad").isNotNull() if "_bad" in raw.columns else F.lit(False)
     names = [c for c in COMMON if c in raw.columns] + sorted(c for c in raw.columns if c not in COMMON and c != "_bad")
     flat = {f.name: F.col(f.name) if f.dataType.simpleString() == "string" else F.to_json(f.name) for f in raw.schema}
-    # the reader must see another column beside the corrupt one
-    both = raw.select(bad.alias("bad"), *[F.coalesce(flat[c], F.lit("")).alias(c) for c in names])
-    return both.filter(~F.col("bad")).select(*names), both.agg(F.count_if("bad").alias("bad_lines"))
+    wide = raw.filter(~bad).select(*[F.coalesce(flat[c], F.lit("")).alias(c) for c in names])
+    lines = _lines(spark, paths).filter(F.trim("line") != "")
+    return wide, lines.agg(F.count_if(F.try_parse_json("line").isNull()).alias("bad_lines"))
 
 
 def read_merges(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

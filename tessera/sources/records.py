@@ -38,12 +38,15 @@ class FieldSpec:
 
 def _values(json: Column, path: str) -> Column:
     """All values at a path of a JSON text, as strings; arrays on the way are gone through."""
-    steps, at = path.split("."), F.array(json)
-    for step in steps:
-        one = lambda x, s=step: F.get_json_object(x, f"$.{s}")
-        flat = lambda v: F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
-        at = F.flatten(F.transform(F.filter(F.transform(at, one), lambda v: v.isNotNull()), flat))
-    return at
+
+    def flat(v: Column) -> Column:
+        return F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
+
+    def down(at: Column, step: str) -> Column:
+        found = F.transform(at, lambda x: F.get_json_object(x, f"$.{step}"))
+        return F.flatten(F.transform(F.filter(found, lambda v: v.isNotNull()), flat))
+
+    return reduce(down, path.split("."), F.array(json))
 
 
 def extract_fields(docs: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
