@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,10 @@ the same content the same name without asking each other, and equal strings get
 ends: each symbol carries the range of words that decided it, and wherever these words stand, this symbol comes out.
 
 Every window of WINDOW words picks one symbol that it decides alone (of the highest round that has any, the one of
-lowest hash), so equal windows pick equal symbols at equal places. Spark counts the symbols; a window whose symbol
-occurs once is unique. The others are verified: their two 64-bit window hashes are counted over all texts, and only
-what occurs twice is removed. A word by itself is a symbol of round 0, so no window goes without one.
+lowest hash), so equal windows pick equal symbols at equal places. Spark counts the picks; a window whose symbol was
+picked in one place only is unique. The others are verified: their 64-bit hashes, each with a second one beside it,
+are counted over all texts, and only what occurs twice is removed. A word by itself is a symbol of round 0, so no
+window goes without one.
 
 Equal texts are merged first: of a text that occurs twice, all windows do; one copy stands for it in the search.
 """
@@ -16,6 +17,7 @@ Equal texts are merged first: of a text that occurs twice, all windows do; one c
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, written
 
 WINDOW, ROUNDS = 35, 7
-#: Bytes of text worked on at a time within a task.
-CHUNK = 2_000_000
+#: Bytes of text worked on, and windows compared, at a time within a task.
+CHUNK, WINDOWS_AT_ONCE = 2_000_000, 2_000_000
 
 U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -148,7 +150,7 @@ def _paired(sym, doc, lo, hi, number: int):
     return out[keep], doc[keep], out_lo[keep], out_hi[keep]
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """(symbol, text, first window, windows): the symbol that these consecutive windows of the text pick. first: each text's first word."""
     n_windows = np.maximum(np.diff(first) - window + 1, 0)
     text = np.repeat(np.arange(len(n_windows)), n_windows)
@@ -209,35 +211,57 @@ def _kept_sha(words: list[bytes], gone: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()
 
 
-_ANCHORS = pa.list_(pa.struct([("sym", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]))
+_PICK = [("sym", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
+PICKS = "array<struct<sym: bigint, lo: int, n: int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's number of words, hash of the whole, and picks."""
     for batch in batches:
-        for row, end, data, offsets in _buffers(batch.column(3)):
+        for row, end, data, offsets in _buffers(batch.column(2)):
             starts, ends, first = split_words(data, offsets)
             sym, text, lo, n = anchors(word_hashes(data, starts, ends), first)
             cut = np.searchsorted(text, np.arange(end - row + 1)).astype(np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(sym.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], fields=list(_ANCHORS.value_type))
-            raw = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            shas = [_kept_sha(r.split()) for r in raw]
+            values = [sym.view(np.int64), *(x.astype(np.int32) for x in (lo, n))]
+            flat = pa.StructArray.from_arrays([pa.array(v) for v in values], fields=[pa.field(*f) for f in _PICK])
+            shas = [_kept_sha(data[a:b].tobytes().split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).slice(row, end - row) for i in range(3)), pa.array(np.diff(first)), pa.array(shas), pa.ListArray.from_arrays(pa.array(cut), flat)],
-                ["doc_id", "t1", "t2", "n_words", "whole_sha256", "anchors"],
+                [*(batch.column(i).slice(row, end - row) for i in range(2)), pa.array(np.diff(first)), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(cut), flat)],
+                ["t1", "t2", "n_words", "whole_sha256", "picks"],
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, u, pos, sure) of suspect windows; sure: the same window was met twice among WINDOWS_AT_ONCE of this task."""
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        w1, w2, u, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((w2, w1))
+        w1, w2, u, pos = w1[order], w2[order], u[order], pos[order]
+        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+        sure = np.zeros(len(w1), bool)
+        sure[1:] |= same
+        sure[:-1] |= same
+        arrays = [w1.view(np.int64), w2.view(np.int64), u, pos.astype(np.int32), sure]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w1", "w2", "u", "pos", "sure"])
+
     for batch in batches:
-        spans = batch.column(1).to_pylist()
+        u = batch.column(0).to_numpy(zero_copy_only=False)
+        spans = batch.column(1)
         for row, _, data, offsets in _buffers(batch.column(2)):
             starts, ends, first = split_words(data, offsets)
             hashes = word_hashes(data, starts, ends)
             for i in range(len(offsets) - 1):
-                pos = np.unique(np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans[row + i]]))
-                one, two = window_hashes(hashes[first[i] : first[i + 1]], pos)
-                u = np.full(len(pos), batch.column(0)[row + i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(u), pa.array(pos.astype(np.int32))], ["w1", "w2", "u", "pos"])
+                lo, n = (spans[row + i].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n"))
+                pos = np.sort(np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n))
+                if len(pos):
+                    held.append((*window_hashes(hashes[first[i] : first[i + 1]], pos), np.full(len(pos), u[row + i]), pos))
+            if sum(len(x[3]) for x in held) >= WINDOWS_AT_ONCE:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,29 +287,38 @@ def repeated_removed(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id
     raw = F.coalesce(F.col(text_col), F.lit(""))
     t2 = F.shiftleft(F.octet_length(raw).cast("long"), 32).bitwiseOR(F.hash(raw).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("t1"), t2.alias("t2"), raw.cast("binary").alias("text"))
-    schema = "doc_id long, t1 long, t2 long, n_words long, whole_sha256 string, anchors array<struct<sym: bigint, lo: int, n: int>>"
-    base = written(rows.mapInArrow(_scan, schema), spark, "scan")
-    texts = base.groupBy("t1", "t2").agg(F.first("anchors").alias("anchors"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
-    texts = written(texts.withColumn("u", F.monotonically_increasing_id()), spark, "texts")
-    picks = texts.select("u", F.explode("anchors").alias("a")).select("u", "a.sym", "a.lo", "a.n")
-    shared = picks.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym")
-    spans = picks.join(shared, "sym", "left_semi").groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    scanned = rows.select("t1", "t2", "text").mapInArrow(_scan, f"t1 long, t2 long, n_words long, whole_sha256 string, picks {PICKS}")
+    one = [F.first(c).alias(c) for c in ("n_words", "whole_sha256", "picks")]
+    texts = scanned.groupBy("t1", "t2").agg(*one, F.count(F.lit(1)).alias("copies")).withColumn("u", F.monotonically_increasing_id())
+    texts = written(texts, spark, "texts")
+
+    picks = texts.select("u", F.explode("picks").alias("p")).select("u", "p.sym", "p.lo", "p.n")
+    twice = picks.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym")
+    shared = picks.join(twice, "sym", "left_semi").groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    wanted = texts.select("u", "t1", "t2").join(shared, "u")
     one_each = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    wanted = texts.select("u", "t1", "t2", "copies").join(spans, "u")
-    candidates = written(one_each.join(wanted, ["t1", "t2"]).select("u", "copies", "spans", "text"), spark, "candidates")
-    windows = candidates.select("u", "spans", "text").mapInArrow(_windows, "w1 long, w2 long, u long, pos int")
-    windows = written(windows, spark, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("u").agg(F.collect_list("pos").alias("pos"))
-    cut = found.join(candidates.filter("copies = 1").select("u", "text"), "u").select("u", "pos", "text").mapInArrow(_remove, "u long, n_removed long, kept_sha256 string")
-    per_text = written(texts.drop("anchors").join(cut, "u", "left").filter("copies > 1 or n_removed > 0").drop("u"), spark, "removed")
-    joined = base.select("doc_id", "t1", "t2", "n_words", "whole_sha256").join(per_text.drop("n_words"), ["t1", "t2"], "left")
-    everything = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_words") >= WINDOW)
-    return joined.select(
-        "doc_id", "n_words",
+    # Bucketed by what the texts were shuffled by: the last step joins them again without moving them.
+    name = f"suspects_{uuid.uuid4().hex}"
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found_texts = one_each.join(wanted, ["t1", "t2"]).select("t1", "t2", "u", "spans", "text")
+    found_texts.write.option("compression", "zstd").bucketBy(n_buckets, "t1", "t2").saveAsTable(name)
+    suspects = spark.table(name)
+
+    windows = suspects.select("u", "spans", "text").mapInArrow(_windows, "w1 long, w2 long, u long, pos int, sure boolean")
+    repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
+    met = windows.filter("sure").select("u", "pos").union(windows.filter("not sure").join(repeated, ["w1", "w2"], "left_semi").select("u", "pos"))
+    found = met.groupBy("u").agg(F.collect_list("pos").alias("pos")).join(texts.filter("copies = 1").select("u", "t1", "t2"), "u")
+    cut = suspects.select("t1", "t2", "text").join(found.select("t1", "t2", "u", "pos"), ["t1", "t2"])
+    removed = written(cut.select("u", "pos", "text").mapInArrow(_remove, "u long, n_removed long, kept_sha256 string"), spark, "removed")
+    spark.sql(f"DROP TABLE {name}")
+
+    everything = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
+    per_text = texts.drop("picks").join(removed, "u", "left").select(
+        "t1", "t2", "n_words",
         F.when(everything, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(everything, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
     )
+    return rows.select("doc_id", "t1", "t2").join(written(per_text, spark, "per-text"), ["t1", "t2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
