@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +53,47 @@ def similar_dates(fields: DataFrame, start_field: str, end_field: str, seed: str
     return spans.filter(F.col("uri") != seed).crossJoin(F.broadcast(one)).filter(inside).select("uri")  # one: one row
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def _best_of(ids: list[str], q: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, names = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), object)
+        own = np.array(ids, object)[:, None]
+        for batch in batches:
+            uris = np.array(batch.column(0).to_pylist(), object)
+            v = batch.column(1)
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(uris), -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            cos = np.where(own == uris[None, :], -np.inf, q @ x.T)
+            best, names = np.hstack([best, cos]), np.hstack([names, np.broadcast_to(uris, cos.shape)])
+            # cosines beyond the k-th go; equal ones stay until all are ranked together
+            if best.shape[1] > k:
+                least = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
+                width = int((best >= least).sum(axis=1).max())
+                order = np.argsort(-best, axis=1, kind="stable")[:, :width]
+                best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+        rows, cols = np.nonzero(best > -np.inf)
+        arrays = [pa.array([ids[i] for i in rows], pa.string()), pa.array(names[rows, cols].tolist(), pa.string()), pa.array(best[rows, cols])]
+        yield pa.RecordBatch.from_arrays(arrays, ["query", "uri", "cosine"])
+
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """(query, uri, cosine, rank) of each query's k nearest vectors by exact cosine, itself left out.
 
-    Queries are a stated, bounded set, compared with all rows as they stream by; per query and task only the best are ranked.
+    Queries go to the tasks in blocks of about `block`, whatever their number; each task multiplies its vectors with a
+    block and hands on the best k of every query only. Null vectors are left out. Ties go by uri.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col("uri").alias("query"), F.col("main").alias("q")).withColumn("qn", norm(F.col("q")))
-    v = vectors.select("uri", "main").withColumn("n", norm(F.col("main")))
-    dot = F.aggregate(F.zip_with("q", "main", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda a, x: a + x)
-    pairs = v.crossJoin(F.broadcast(q)).filter("uri <> query").select("query", "uri", (dot / (F.col("qn") * F.col("n"))).alias("cosine"))
+    q = queries.filter("main is not null")
+    n_blocks = max(1, -(-q.count() // block))
+    v = vectors.filter("main is not null").select("uri", "main")
+    found = []
+    for b in range(n_blocks):
+        rows = q.filter(F.pmod(F.xxhash64("uri"), F.lit(n_blocks)) == b).select("uri", "main").collect()  # about `block` rows
+        if rows:
+            x = np.array([r.main for r in rows], np.float64)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            found.append(v.mapInArrow(_best_of([r.uri for r in rows], x, k), "query string, uri string, cosine double"))
+    if not found:
+        return v.sparkSession.createDataFrame([], "query string, uri string, cosine double, rank int")
+    pairs = reduce(DataFrame.union, found)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "uri"))).filter(F.col("rank") <= k)

@@ -55,3 +55,21 @@ def test_completion(spark):
     assert [tuple(r) for r in complete_names(f, "placePrimaryName", "hav").collect()] == [("p2", "Havana"), ("p1", "New Haven | Nouveau")]
     assert [r.uri for r in complete_names(f, "placePrimaryName", "hav", "usedAt").collect()] == ["p1"]
     assert [r.uri for r in complete_names(f, "placePrimaryName", "haven", alternatives=True).collect()] == ["p3"]
+
+
+def test_nearest_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[10] = x[11]
+    v = spark.createDataFrame([(f"v{i:03}", r.tolist()) for i, r in enumerate(x)] + [("none", None)], "uri string, main array<float>").repartition(5)
+    q = v.filter("uri like 'v%0'")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 300, 10):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:5]
+        want |= {(f"v{i:03}", f"v{j:03}", k + 1) for k, j in enumerate(order)}
+    for block in (7, 2048):
+        assert {(r.query, r.uri, r["rank"]) for r in S.nearest_vectors(v, q, 5, block).collect()} == want
+    assert S.nearest_vectors(v, q.limit(0), 5).count() == 0 and S.nearest_vectors(v.limit(0), q, 5).count() == 0
