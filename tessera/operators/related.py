@@ -29,12 +29,10 @@ def _ends(triples: DataFrame, path: Path, start: DataFrame) -> DataFrame:
     A last hop from subject to object counts its triples with duplicates; one against the arrow counts distinct records.
     """
     key, first, first_forward, second, second_forward = path
-    one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid"))
-    if not second_forward:
-        one = one.distinct()
+    one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid")).distinct()
     two = one.join(_hop(triples, second, second_forward), F.col("mid") == F.col("a")).select("start", F.col("b").alias("uri"))
-    n = F.count(F.lit(1)) if second_forward else F.lit(1).cast("long")
-    return two.filter("start <> uri").groupBy("start", "uri").agg((F.count(F.lit(1)) if second_forward else F.max(n)).alias("n")).select("start", "uri", F.lit(key).alias("key"), "n")
+    n = F.count(F.lit(1)) if second_forward else F.max(F.lit(1).cast("long"))
+    return two.filter("start <> uri").groupBy("start", "uri").agg(n.alias("n")).select("start", "uri", F.lit(key).alias("key"), "n")
 
 
 def related(triples: DataFrame, paths: Sequence[Path], start: DataFrame, cap: int | None = None) -> DataFrame:
