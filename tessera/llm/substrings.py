@@ -293,7 +293,8 @@ def repeated_removed(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id
     texts = written(texts, spark, "texts")
 
     picks = texts.select("u", F.explode("picks").alias("p")).select("u", "p.sym", "p.lo", "p.n")
-    twice = picks.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym")
+    # Written, so that the join below shuffles both sides for itself and Spark can split the picks of a very common symbol.
+    twice = written(picks.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym"), spark, "shared-symbols")
     shared = picks.join(twice, "sym", "left_semi").groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     wanted = texts.select("u", "t1", "t2").join(shared, "u")
     one_each = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"))
