@@ -115,3 +115,39 @@ def visible(docs: DataFrame, slices: list[str], user: str | None = None) -> Data
     mine = docs.filter(F.arrays_overlap("collections", F.array(*[F.lit(s) for s in slices])))
     own = F.col("username").isNull() | F.col("username").eqNullSafe(F.lit(user))
     return mine.withColumn("seen_as", F.when(own, "record").otherwise("name"))
+
+
+#: Sub-trees of a record by name: the event or property, and what of it.
+GETTERS = {
+    "about": ("about", ""), "active_at": ("carried_out", "took_place_at"), "birth_place": ("born", "took_place_at"), "birth_time": ("born", "timespan"), "carried_out_by": ("carried_out_by", ""),
+    "carries": ("carries", ""), "classified_as": ("classified_as", ""), "created_at": ("created_by", "took_place_at"), "created_by": ("created_by", "carried_out_by"), "creation_time": ("created_by", "timespan"),
+    "death_place": ("died", "took_place_at"), "death_time": ("died", "timespan"), "encountered_at": ("encountered_by", "took_place_at"), "encountered_by": ("encountered_by", "carried_out_by"),
+    "equivalent": ("equivalent", ""), "influenced_by": ("created_by", "influenced_by"), "language": ("language", ""), "made_of": ("made_of", ""), "member_of": ("member_of", ""), "part_of": ("part_of", ""),
+    "produced_at": ("produced_by", "took_place_at"), "produced_by": ("produced_by", "carried_out_by"), "production_time": ("produced_by", "timespan"), "published_by": ("used_for", "carried_out_by"),
+    "represents": ("represents", ""), "shows": ("shows", ""), "technique": ("produced_by", "technique"), "timespan": ("timespan", ""), "took_place_at": ("took_place_at", ""),
+}
+
+
+def sub_tree(json: Column, name: str) -> Column:
+    """JSON text of the named sub-tree; where an event has none of its own, that of its parts; null if neither has it."""
+    event, what = GETTERS[name]
+    own = F.get_json_object(json, f"$.json.{event}" + (f".{what}" if what else ""))
+    if not what:
+        return own
+    return F.coalesce(own, F.get_json_object(json, f"$.json.{event}.part[*].{what}"))
+
+
+def classified_with(json: Column, kind: str) -> Column:
+    """Ids among a record's classifications that are themselves classified as `kind` (its id or an equivalent's): nationalities, occupations, genders."""
+    schema = "array<struct<id: string, classified_as: array<struct<id: string, equivalent: array<struct<id: string>>>>>>"
+    empty = F.array()
+    of_kind = lambda c: (c["id"] == kind) | F.exists(F.coalesce(c["equivalent"], empty), lambda e: e["id"] == kind)
+    all_ = F.from_json(F.get_json_object(json, "$.json.classified_as"), schema)
+    return F.coalesce(F.filter(all_, lambda x: F.exists(F.coalesce(x["classified_as"], empty), of_kind))["id"], empty.cast("array<string>"))
+
+
+def keep_properties(json: Column, names: list[str]) -> Column:
+    """JSON text with the named top-level properties only, in the given order; absent ones are left out."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.get_json_object(json, f"$.{n}").alias("v")) for n in names]), lambda p: p["v"].isNotNull())
+    quoted = lambda v: F.when(v.rlike(r'^\s*([\[{]|-?[0-9.]+([eE][+-]?[0-9]+)?\s*$|(true|false|null)\s*$)'), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), quoted(p["v"]))), ","), F.lit("}"))

@@ -95,3 +95,15 @@ def test_delete_validate_visible(spark):
     assert set(got) == {"bad", "null", "long"} and len(got["bad"]) == 5 and len(got["null"]) == 2 and len(got["long"]) == 1
     v = spark.createDataFrame([("a", ["s"], "ann"), ("b", ["s"], None), ("c", ["t"], None)], "uri string, collections array<string>, username string")
     assert {r.uri: r.seen_as for r in D.visible(v, ["s"], "bob").collect()} == {"a": "name", "b": "record"}
+
+
+def test_sub_trees(spark):
+    doc = {"json": {"id": "x", "produced_by": {"part": [{"carried_out_by": [{"id": "a"}]}, {"carried_out_by": [{"id": "b"}]}], "took_place_at": [{"id": "p"}]}, "classified_as": [{"id": "fr", "classified_as": [{"id": "n1", "equivalent": [{"id": "nationality"}]}]}, {"id": "z"}]}}
+    row = spark.createDataFrame([(json.dumps(doc),)], "json string").select(
+        D.sub_tree(F.col("json"), "produced_by").alias("by"), D.sub_tree(F.col("json"), "produced_at").alias("at"), D.sub_tree(F.col("json"), "birth_place").alias("born"),
+        D.classified_with(F.col("json"), "nationality").alias("nat"), D.classified_with(F.col("json"), "gender").alias("gen"),
+    ).first()
+    assert [x["id"] for part in json.loads(row.by) for x in (part if isinstance(part, list) else [part])] == ["a", "b"]
+    assert json.loads(row.at)[0]["id"] == "p" and row.born is None and row.nat == ["fr"] and row.gen == []
+    kept = spark.createDataFrame([('{"b": "x\\"y", "a": 1, "c": [1, 2], "d": true}',)], "j string").select(D.keep_properties(F.col("j"), ["c", "b", "zz", "a"])).first()[0]
+    assert json.loads(kept) == {"c": [1, 2], "b": 'x"y', "a": 1} and list(json.loads(kept)) == ["c", "b", "a"]
