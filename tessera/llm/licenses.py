@@ -3,8 +3,9 @@
 A file whose whole text is close to a template is a licence file and speaks for its directory; a line close to one is a
 header and speaks for its file. A file without either takes the licence of the nearest ancestor directory that has one.
 
-Only DataFrame functions. Tokens are counted for few lines: each template has marking terms that hold more than
-1 - THRESHOLD^2 of its squared weights, so text without any of these can't reach THRESHOLD and is left out beforehand.
+Stop words are no terms. Only DataFrame functions are used. Tokens are counted for few texts: a cosine is at most the root of the squared weights of the
+template's terms that occur at all, so a text whose distinct terms hold less than THRESHOLD^2 of every template is left
+out beforehand; and with a file that is left out go all its lines.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import STOP_WORDS
 from tessera.llm.common import table, written
 
-THRESHOLD = 0.6
+THRESHOLD = 0.65
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 #: What licences say in headers and at the start of licence files.
@@ -46,28 +48,36 @@ TEMPLATES = (
 )
 
 
-def _weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float, list[str]]:
-    """(template, licence, term, normalised weight) rows, idf by term, idf of any other term, marking terms."""
-    counts = [Counter(re.findall(TOKEN, text.lower())) for _, text in TEMPLATES]
+def _weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(template, licence, term, normalised weight) rows, idf by term, idf of any other term."""
+    counts = [Counter(t for t in re.findall(TOKEN, text.lower()) if t not in STOP_WORDS) for _, text in TEMPLATES]
     df = Counter(t for c in counts for t in c)
     n = len(TEMPLATES)
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
-    rows, marking = [], set()
+    rows = []
     for i, c in enumerate(counts):
         w = {t: k * idf[t] for t, k in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         rows += [(i, TEMPLATES[i][0], t, x / norm) for t, x in w.items()]
-        held = 0.0
-        for t in sorted(w, key=lambda t: (-w[t], t)):
-            if held > 1 - THRESHOLD**2 + 1e-9:
-                break
-            marking.add(t)
-            held += (w[t] / norm) ** 2
-    return rows, idf, math.log(1 + n) + 1, sorted(marking)
+    return rows, idf, math.log(1 + n) + 1
 
 
-WEIGHTS, IDF, OTHER_IDF, MARKING = _weights()
-_MARKED = r"(?:^|[^a-z0-9])(?:" + "|".join(re.escape(t) for t in MARKING) + r")(?:[^a-z0-9]|$)"
+WEIGHTS, IDF, OTHER_IDF = _weights()
+
+
+def can_reach(lowered: str) -> Column:
+    """Whether the distinct terms of a text allow a cosine of THRESHOLD with any template."""
+    known = F.array_intersect(F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0)), F.array(*[F.lit(t) for t in IDF]))
+    squares: dict[int, list[tuple[str, float]]] = {}
+    for template, _, term, w in WEIGHTS:
+        squares.setdefault(template, []).append((term, w * w))
+
+    def held(found: Column) -> Column:
+        of_template = [F.aggregate(F.array(*[F.when(F.array_contains(found, t), x).otherwise(0.0) for t, x in terms]), F.lit(0.0), lambda a, x: a + x) for terms in squares.values()]
+        return F.greatest(*of_template) >= THRESHOLD**2 - 1e-6
+
+    # one-element array: the intersection is made once, not once a term
+    return F.exists(F.array(known), lambda found: (F.size(found) > 0) & held(found))
 
 
 def _weight_table(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +90,7 @@ def best_templates(units: DataFrame, spark: SparkSession) -> DataFrame:
     The template tables have a few hundred rows, fixed by TEMPLATES: that bounds their broadcasts. Ties go to the first template.
     """
     weights, idf = _weight_table(spark)
-    terms = units.select("unit", F.explode(F.regexp_extract_all("lowered", F.lit(TOKEN), F.lit(0))).alias("term"))
+    terms = units.select("unit", F.explode(F.regexp_extract_all("lowered", F.lit(TOKEN), F.lit(0))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
     tf = terms.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(OTHER_IDF)))
     norms = w.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -99,8 +109,8 @@ def scan_licenses(files: DataFrame, spark: SparkSession, path: Column, id_col: s
     """
     p = F.coalesce(path, F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), p.alias("path"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lowered"))
-    marked = written(rows.filter(F.col("lowered").rlike(_MARKED)).select("doc_id", "path", "lowered").distinct().withColumn("file", F.monotonically_increasing_id()), spark, "marked")
-    lines = marked.select("file", F.explode(F.array_distinct(F.split("lowered", "\n"))).alias("lowered")).filter(F.col("lowered").rlike(_MARKED))
+    marked = written(rows.filter(can_reach("lowered")).select("doc_id", "path", "lowered").distinct().withColumn("file", F.monotonically_increasing_id()), spark, "marked")
+    lines = marked.select("file", F.explode(F.array_distinct(F.split("lowered", "\n"))).alias("lowered")).filter(can_reach("lowered"))
     lines = written(lines.withColumn("unit", F.monotonically_increasing_id()), spark, "license-lines")
     by_line = best_templates(lines.select("unit", "lowered"), spark).join(lines.select("unit", "file"), "unit")
     headers = by_line.groupBy("file").agg(F.max(F.struct("similarity", F.lit(0).alias("whole"), "license")).alias("b"))
@@ -149,7 +159,8 @@ def _cosines(units: str) -> str:
 def _terms(units: str) -> str:
     return f"""
   SELECT unit, t.term, count(*) * coalesce(any_value(i.idf), {OTHER_IDF!r}::DOUBLE) AS x
-  FROM (SELECT unit, unnest(regexp_extract_all(lowered, '{TOKEN}')) AS term FROM {units}) t LEFT JOIN idf i USING (term) GROUP BY unit, t.term"""
+  FROM (SELECT unit, unnest(regexp_extract_all(lowered, '{TOKEN}')) AS term FROM {units}) t LEFT JOIN idf i USING (term)
+  WHERE term NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}) GROUP BY unit, t.term"""
 
 
 OP5_SQL = f"""

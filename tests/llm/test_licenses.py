@@ -9,7 +9,7 @@ from tessera.llm import licenses as L
 
 def cosine(text):
     """The closest template to a text, by the definition."""
-    c = Counter(re.findall(L.TOKEN, text.lower()))
+    c = Counter(t for t in re.findall(L.TOKEN, text.lower()) if t not in L.STOP_WORDS)
     w = {t: n * L.IDF.get(t, L.OTHER_IDF) for t, n in c.items()}
     norm = math.sqrt(sum(x * x for x in w.values()))
     best = (0.0, 0, None)
@@ -46,11 +46,7 @@ def test_origins_and_inheritance(spark):
     )
 
 
-def test_lines_match_the_definition_and_the_filter_loses_none(spark, small):
-    for r in small.select("text").collect():
-        for line in r.text.split("\n"):
-            if cosine(line):
-                assert re.search(L._MARKED, line.lower())
+def test_lines_match_the_definition(spark, small):
     got = {r.doc_id: (r.license, r.similarity) for r in L.scan_licenses(small, spark, F.lit("x")).filter("origin in ('header', 'file')").collect()}
     want = {}
     for r in small.select("doc_id", "text").collect():
@@ -60,10 +56,11 @@ def test_lines_match_the_definition_and_the_filter_loses_none(spark, small):
     assert got == want and want
 
 
-def test_marking_terms_are_enough():
-    for i, (_, text) in enumerate(L.TEMPLATES):
-        rest = sum(x * x for k, _, t, x in L.WEIGHTS if k == i and t not in L.MARKING)
-        assert math.sqrt(rest) < L.THRESHOLD, text
+def test_the_filter_loses_none(spark, small):
+    texts = [line for r in small.select("text").collect() for line in [r.text, *r.text.split("\n")]] + [t for _, t in L.TEMPLATES] + [f"{t} and a few other words" for _, t in L.TEMPLATES]
+    df = spark.createDataFrame([(t, t.lower()) for t in texts], "text string, lowered string").withColumn("can", L.can_reach("lowered"))
+    rows = df.collect()
+    assert all(r.can for r in rows if cosine(r.text)) and sum(r.can for r in rows) < 0.2 * len(rows)
 
 
 def test_any_table(spark, messy, nothing):
