@@ -361,7 +361,7 @@ ORACLE_SQL = {
     "keyword_explain": f"WITH f AS (SELECT p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {ITEM_SQL} = (SELECT min({ITEM_SQL}) FROM lineitem)) SELECT k AS keyword, false AS own, (SELECT count(DISTINCT p_name) FROM f WHERE list_contains(string_split(p_name, ' '), k)) AS linked, (SELECT count(*) FROM f WHERE list_contains(string_split(p_name, ' '), k)) > 0 AS found FROM (VALUES ('small'), ('red'), ('blue'), ('ring'), ('widget')) t(k)",
     "reach_n_hops": "WITH s AS (SELECT o_orderkey, o_custkey, c_nationkey, n_regionkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 100 = 0) SELECT 'order/' || o_orderkey AS start, 'customer/' || o_custkey AS uri, 1 AS hops, true AS visible FROM s UNION ALL SELECT 'order/' || o_orderkey, 'nation/' || c_nationkey, 2, true FROM s UNION ALL SELECT 'order/' || o_orderkey, 'region/' || n_regionkey, 3, false FROM s",
     "term_support": "SELECT 'work.createdBy' AS term, (SELECT count(*) FROM orders) AS n_triples, 0 AS n_values, true AS supported UNION ALL SELECT 'item.classification', (SELECT count(*) FROM lineitem), 0, true UNION ALL SELECT 'work.classification', 0, (SELECT count(*) FROM orders), true UNION ALL SELECT 'set.memberOf', 0, 0, false",
-    "two_patterns": f"SELECT {ITEM_SQL} AS subject, 'part/' || l_partkey AS one, 'supplier/' || l_suppkey AS two FROM lineitem",
+    "two_patterns": f"SELECT a.uri AS subject, 'part/' || a.p AS one, 'supplier/' || b.s AS two FROM (SELECT {ITEM_SQL} AS uri, l_partkey AS p FROM lineitem) a JOIN (SELECT {ITEM_SQL} AS uri, l_suppkey AS s FROM lineitem) b USING (uri)",
     "field_use": "SELECT * FROM (VALUES ('setPartOfId', 'left'), ('workStatusId', 'right')) t(field, side)",
     "req_by_type": "SELECT event_type AS kind, count(*) AS requests, sum(user_id)::BIGINT AS bytes FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL",
     "duration_histogram": f"WITH e AS (SELECT event_type AS kind, {_BUCKET_CASE} AS place FROM (SELECT event_type, value * 100 AS ms FROM events)), c AS (SELECT kind, place, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT kind, count(*) AS subtotal FROM e GROUP BY kind) SELECT s.kind, b.place, b.bucket, coalesce(c.n, 0) AS n, subtotal, round(subtotal / 86400.0::DOUBLE, 6) AS per_second FROM s CROSS JOIN (VALUES {_BUCKET_ROWS}) b(place, bucket) LEFT JOIN c ON c.kind = s.kind AND c.place = b.place",

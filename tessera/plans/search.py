@@ -230,7 +230,7 @@ ORACLE_SQL = {
     "text_with_linked": f"SELECT DISTINCT 'part/' || p_partkey AS uri, 2.0::DOUBLE AS score FROM part WHERE p_name = 'small ring' UNION ALL SELECT DISTINCT {ITEM_SQL}, 1.0::DOUBLE FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name = 'small ring')",
     "stop_word_only_dropped": f"SELECT w AS word, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents) WHERE w IN ({_STOP_SQL}) GROUP BY w",
     "page_with_record": "SELECT uri, rn AS place, ceil(rn / 20.0)::BIGINT AS page FROM (SELECT 'order/' || o_orderkey AS uri, row_number() OVER (ORDER BY o_orderdate, 'order/' || o_orderkey) AS rn FROM orders) WHERE uri = 'order/77'",
-    "scope_stats": "WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS place, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS agent, (SELECT count(*) FROM part) AS concept, (SELECT count(*) FROM orders) AS work, (SELECT count(*) FROM lineitem) AS item, (SELECT count(*) FROM events) AS event) SELECT 'place' AS scope, place AS n FROM n UNION ALL SELECT 'agent', agent FROM n UNION ALL SELECT 'concept', concept FROM n UNION ALL SELECT 'work', work FROM n UNION ALL SELECT 'item', item FROM n UNION ALL SELECT 'event', event FROM n UNION ALL SELECT 'reference', place + agent + concept + event FROM n",
+    "scope_stats": "WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS place, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS agent, (SELECT count(*) FROM part) AS concept, (SELECT count(*) FROM orders) AS work, (SELECT count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem) AS item, (SELECT count(*) FROM events) AS event) SELECT 'place' AS scope, place AS n FROM n UNION ALL SELECT 'agent', agent FROM n UNION ALL SELECT 'concept', concept FROM n UNION ALL SELECT 'work', work FROM n UNION ALL SELECT 'item', item FROM n UNION ALL SELECT 'event', event FROM n UNION ALL SELECT 'reference', place + agent + concept + event FROM n",
     "scope_counts": "WITH n AS (SELECT (SELECT count(*) FROM region WHERE r_name LIKE '%1') + (SELECT count(*) FROM nation WHERE n_name LIKE '%1') AS place, (SELECT count(*) FROM customer WHERE c_name LIKE '%1') + (SELECT count(*) FROM supplier WHERE s_name LIKE '%1') AS agent) SELECT 'place' AS scope, place AS n FROM n UNION ALL SELECT 'agent', agent FROM n UNION ALL SELECT 'reference', place + agent FROM n UNION ALL SELECT unnest(['concept', 'work', 'item', 'event']), 0",
     "will_match": "SELECT * FROM (SELECT 'urgent' AS name, (count(*) > 0)::INT AS matches FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL (SELECT 'never', (count(*) > 0)::INT FROM orders WHERE o_orderpriority = '9-NEVER')",
     "page_total": f"SELECT count(*) AS total, true AS has_prev, count(*) > 40 AS has_next FROM ({_WORKS_SQL % 'EUROPE'})",

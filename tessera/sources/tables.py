@@ -34,7 +34,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str, *tables: str) -> DataFrame:
-    """(uri, data_type, name) of the records that the tables stand for."""
+    """(uri, data_type, name) of the records that the tables stand for; rows of lineitem that share all keys are one record."""
     parts = {
         "region": ("Place", lambda: uri("region", "r_regionkey"), "r_name"),
         "nation": ("Place", lambda: uri("nation", "n_nationkey"), "n_name"),
@@ -50,7 +50,7 @@ def docs(spark: SparkSession, sf: str, *tables: str) -> DataFrame:
         _table(spark, sf, t).select(parts[t][1]().alias("uri"), F.lit(parts[t][0]).alias("data_type"), (F.col(parts[t][2]) if parts[t][2] else F.lit(None).cast("string")).alias("name"))
         for t in chosen
     ]
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.unionByName, [f.distinct() if t == "lineitem" else f for t, f in zip(chosen, frames, strict=True)])
 
 
 _TRIPLES: dict[str, list[tuple[str, Callable, Callable]]] = {
