@@ -1,12 +1,12 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints link if at most 3 of their 64 bits differ. Balls of half that radius, one bit, around both meet if at
-most 2 bits differ, so one of three differing bits is taken out first: the 64 bits are cut into 4 blocks, and for each
-block the other 48 bits, with every variant that has one of them flipped, are emitted as keys (49 a block). Fingerprints
-of one key differ in at most 2 of the 48 bits. Among these
+most 2 bits differ, so one of three differing bits is taken out first: the 64 bits are cut into 3 blocks, and for each
+block the other bits, with every variant that has one of them flipped, are emitted as keys (131 in all). Fingerprints
+of one key differ in at most 2 of the bits outside the block. Among these
 
 - those that agree in the block, or differ in one bit of it, link; each group of them is tied to its smallest member;
-- those with the same 48 bits link also if the block differs in 2 or 3 bits: these are looked up, flip by flip.
+- those with the same bits outside link also if the block differs in 2 or 3 bits: these are looked up, flip by flip.
 
 Any 3 differing bits lie either in one block (second rule) or leave at most 2 outside the block that holds just one of
 them, or at most 2 in all (first rule), so no link is lost; and nobody lists the pairs of a group. Every link is verified by counting
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, written
 from tessera.llm.components import components
 
-RADIUS, BLOCK, SEED = 3, 16, 42
+RADIUS, SEED = 3, 42
+#: First bit and size of each block; KEY_BITS: most bits outside one.
+BLOCKS, KEY_BITS, MOST = ((0, 22), (22, 21), (43, 21)), 43, 22
 #: Words of a shingle.
 SHINGLE = 3
 
@@ -54,33 +56,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _without(values: np.ndarray, block: int) -> np.ndarray:
-    """The 48 bits outside the block, closed up."""
-    low, at = np.uint64(BLOCK * block), np.uint64(BLOCK * (block + 1))
-    high = values >> at if at < 64 else np.zeros_like(values)
-    return (values & np.uint64((1 << int(low)) - 1)) | (high << low)
+    """The bits outside the block, closed up."""
+    low, size = BLOCKS[block]
+    high = values >> np.uint64(low + size) if low + size < 64 else np.zeros_like(values)
+    return (values & np.uint64((1 << low) - 1)) | (high << np.uint64(low))
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 64 - BLOCK
-    flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(n, dtype=np.uint64)])
     for batch in batches:
         for part in range(0, batch.num_rows, 2000):
             fp = batch.column(0).to_numpy(zero_copy_only=False)[part : part + 2000].view(np.uint64)
-            for block in range(64 // BLOCK):
-                keys = (_without(fp, block)[:, None] ^ flips) | np.uint64(block << n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, n + 1).view(np.int64))], ["key", "fp"])
+            for block, (_, size) in enumerate(BLOCKS):
+                flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64 - size, dtype=np.uint64)])
+                keys = (_without(fp, block)[:, None] ^ flips) | np.uint64(block << KEY_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], ["key", "fp"])
 
 
-_ONE = [np.uint64(1 << i) for i in range(BLOCK)]
-_MORE = [np.uint64(sum(1 << i for i in c)) for size in range(2, RADIUS + 1) for c in combinations(range(BLOCK), size)]
+_ONE = [np.uint64(1 << i) for i in range(MOST)]
+_MORE = [np.uint64(sum(1 << i for i in c)) for size in range(2, RADIUS + 1) for c in combinations(range(MOST), size)]
 
 
 def _linked_in(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints of the same key; both arrays are sorted by key."""
-    block = key >> np.uint64(64 - BLOCK)
-    inside = (fp >> (block * np.uint64(BLOCK))) & np.uint64((1 << BLOCK) - 1)
+    block = key >> np.uint64(KEY_BITS)
+    low, size = (np.array(x, np.uint64)[block] for x in zip(*BLOCKS, strict=True))
+    inside = (fp >> low) & ((np.uint64(1) << size) - np.uint64(1))
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.uint64)
-    place = (group << np.uint64(BLOCK)) | inside
+    place = (group << np.uint64(MOST)) | inside
     order = np.lexsort((fp, place))
     place, fp, key, block = place[order], fp[order], key[order], block[order]
     first = np.concatenate([[True], place[1:] != place[:-1]])
@@ -98,11 +100,11 @@ def _linked_in(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     look(place[heads], fp[heads], _ONE)
     exact = np.zeros(len(fp), bool)
-    for b in range(64 // BLOCK):
-        exact |= (block == b) & (_without(fp, b) == (key & np.uint64((1 << (64 - BLOCK)) - 1)))
+    for b in range(len(BLOCKS)):
+        exact |= (block == b) & (_without(fp, b) == (key & np.uint64((1 << KEY_BITS) - 1)))
     centre = np.flatnonzero(exact)
     if len(centre):
-        g = place[centre] >> np.uint64(BLOCK)
+        g = place[centre] >> np.uint64(MOST)
         centre = centre[np.isin(g, g[1:][g[1:] == g[:-1]])]
     if len(centre) > 1:
         look(place[centre], fp[centre], _MORE)

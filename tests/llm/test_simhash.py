@@ -50,9 +50,9 @@ def test_links_give_the_components_of_all_pairs():
                 x ^= 1 << int(i)
             fps.add(x)
         for _ in range(8):  # differences within one block
-            k, x = int(rng.integers(0, 4)), int(b)
-            for i in rng.integers(0, 16, 3):
-                x ^= 1 << (16 * k + int(i))
+            (low, size), x = S.BLOCKS[int(rng.integers(0, len(S.BLOCKS)))], int(b)
+            for i in rng.integers(0, size, 3):
+                x ^= 1 << (low + int(i))
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
     emitted = list(S._emit([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])]))
