@@ -30,7 +30,7 @@ from tessera.llm.quality import remainder
 #: Bounds of the labelled sample and of the chosen words.
 TRAIN_ROWS, MAX_TERMS = 20_000, 4096
 #: A word is chosen if this many sampled texts have it, and its chi-square with the label reaches this.
-MIN_TEXTS, MIN_CHI2 = 4, 45.0
+MIN_TEXTS, MIN_CHI2 = 4, 25.0
 BLOCK, K, POWER, EVIDENCE = 64, 15, 2, 3
 
 _WORDS = re.compile(r"[^\W\d_]+")
