@@ -129,6 +129,7 @@ def scan_licenses(files: DataFrame, spark: SparkSession, path: Column, id_col: s
     parts = F.split("parent", "/")
     above = held.select("parent", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
     nearest = above.join(dirs, "dir").groupBy("parent").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "d")).alias("near"))
+    nearest = written(nearest, spark, "nearest")  # else the join below couldn't split a directory with very many files
     out = with_own.withColumn("parent", parent).join(nearest.withColumnRenamed("parent", "q"), F.col("b").isNull() & (F.col("parent") == F.col("q")), "left")
     origin = F.when(F.col("b.whole") == 1, "file").when(F.col("b").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select(
