@@ -3,7 +3,7 @@
 A file whose whole text is close to a template is a licence file and speaks for its directory; a line close to one is a
 header and speaks for its file. A file without either takes the licence of the nearest ancestor directory that has one.
 
-Stop words are no terms. Only DataFrame functions are used. Tokens are counted for few texts: a cosine is at most the root of the squared weights of the
+Only DataFrame functions are used. Tokens are counted for few texts: a cosine is at most the root of the squared weights of the
 template's terms that occur at all, so a text whose distinct terms hold less than THRESHOLD^2 of every template is left
 out beforehand; and with a file that is left out go all its lines.
 """
@@ -17,10 +17,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import STOP_WORDS
 from tessera.llm.common import table, written
 
-THRESHOLD = 0.65
+THRESHOLD = 0.6
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 #: What licences say in headers and at the start of licence files.
@@ -50,7 +49,7 @@ TEMPLATES = (
 
 def _weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, normalised weight) rows, idf by term, idf of any other term."""
-    counts = [Counter(t for t in re.findall(TOKEN, text.lower()) if t not in STOP_WORDS) for _, text in TEMPLATES]
+    counts = [Counter(re.findall(TOKEN, text.lower())) for _, text in TEMPLATES]
     df = Counter(t for c in counts for t in c)
     n = len(TEMPLATES)
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
@@ -90,7 +89,7 @@ def best_templates(units: DataFrame, spark: SparkSession) -> DataFrame:
     The template tables have a few hundred rows, fixed by TEMPLATES: that bounds their broadcasts. Ties go to the first template.
     """
     weights, idf = _weight_table(spark)
-    terms = units.select("unit", F.explode(F.regexp_extract_all("lowered", F.lit(TOKEN), F.lit(0))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+    terms = units.select("unit", F.explode(F.regexp_extract_all("lowered", F.lit(TOKEN), F.lit(0))).alias("term"))
     tf = terms.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(OTHER_IDF)))
     norms = w.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -160,8 +159,7 @@ def _cosines(units: str) -> str:
 def _terms(units: str) -> str:
     return f"""
   SELECT unit, t.term, count(*) * coalesce(any_value(i.idf), {OTHER_IDF!r}::DOUBLE) AS x
-  FROM (SELECT unit, unnest(regexp_extract_all(lowered, '{TOKEN}')) AS term FROM {units}) t LEFT JOIN idf i USING (term)
-  WHERE term NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}) GROUP BY unit, t.term"""
+  FROM (SELECT unit, unnest(regexp_extract_all(lowered, '{TOKEN}')) AS term FROM {units}) t LEFT JOIN idf i USING (term) GROUP BY unit, t.term"""
 
 
 OP5_SQL = f"""

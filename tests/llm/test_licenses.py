@@ -9,7 +9,7 @@ from tessera.llm import licenses as L
 
 def cosine(text):
     """The closest template to a text, by the definition."""
-    c = Counter(t for t in re.findall(L.TOKEN, text.lower()) if t not in L.STOP_WORDS)
+    c = Counter(re.findall(L.TOKEN, text.lower()))
     w = {t: n * L.IDF.get(t, L.OTHER_IDF) for t, n in c.items()}
     norm = math.sqrt(sum(x * x for x in w.values()))
     best = (0.0, 0, None)
@@ -63,6 +63,13 @@ def test_the_filter_loses_none(spark, small):
     assert all(r.can for r in rows if cosine(r.text)) and sum(r.can for r in rows) < 0.2 * len(rows)
 
 
+def test_common_header_is_found_and_all_words_are_terms(spark):
+    files = spark.createDataFrame([(1, "Licensed under the MIT License.\nimport os"), (2, "import os")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in L.scan_licenses(files, spark, F.lit("a.py")).collect()}
+    assert got == {1: ("MIT", "header"), 2: (None, "none")}
+    assert L.THRESHOLD == 0.6 and {"without", "of", "the"} <= set(L.IDF)
+
+
 def test_any_table(spark, messy, nothing):
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     assert L.scan_licenses(messy, spark, path).count() == messy.count()
