@@ -70,6 +70,42 @@ def test_common_header_is_found_and_all_words_are_terms(spark):
     assert L.THRESHOLD == 0.6 and {"without", "of", "the"} <= set(L.IDF)
 
 
+def _installed(name):
+    with open(f"/usr/share/common-licenses/{name}") as f:
+        return f.read()
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2019 Some Body and contributors
+
+""" + dict(L.FILE_TEMPLATES)["MIT"].split("Copyright (c)")[1]
+
+
+def test_complete_licence_files_speak_for_their_directories(spark):
+    texts = {"MIT": MIT, "BSD-3-Clause": _installed("BSD"), "Apache-2.0": _installed("Apache-2.0")}
+    texts |= {f"{n}.0": _installed(n) for n in ("GPL-2", "GPL-3", "LGPL-3")} | {n: _installed(n) for n in ("LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    texts |= {n: dict(L.FILE_TEMPLATES)[n] + "\nCopyright 2020 Some Body" for n in ("AGPL-3.0", "BSD-2-Clause")}
+    rows = [(i, f"{n}/{f}", t) for n, text in texts.items() for i, f, t in ((1, "LICENSE", text), (2, "src/deep/a.c", "int main;"))]
+    rows += [(1, f"{n}/LICENSE", _installed(n)) for n in ("Artistic", "GFDL-1.3")]  # other licences, known by none of the templates
+    got = {(r.path, r.license, r.origin, r.inherited_from) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), spark, F.col("path")).collect()}
+    want = {(f"{n}/LICENSE", n, "file", None) for n in texts} | {(f"{n}/src/deep/a.c", n, "inherited", n) for n in texts}
+    assert {g for g in got if g[2] in ("file", "inherited")} == want
+
+
+def test_every_spdx_id_is_its_own(spark):
+    ids = {"MIT": "MIT", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-or-later": "LGPL-2.1", "AGPL-3.0-only": "AGPL-3.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0", "ISC": None}
+    files = spark.createDataFrame([(i, f"// SPDX-License-Identifier: {x}\nint a;") for i, x in enumerate(ids)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in L.scan_licenses(files, spark, F.lit("a.c")).collect()}
+    assert [got[i] for i in range(len(ids))] == list(ids.values())
+
+
+def test_few_texts_are_compared_with_whole_licences(spark, small):
+    licences = spark.createDataFrame([(x,) for _, x in L.FILE_TEMPLATES], "text string")
+    assert licences.filter(L.can_be_file(F.lower("text"))).count() == len(L.FILE_TEMPLATES)
+    assert small.filter(L.can_be_file(F.lower("text"))).count() < 0.05 * small.count()
+
+
 def test_any_table(spark, messy, nothing):
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     assert L.scan_licenses(messy, spark, path).count() == messy.count()
