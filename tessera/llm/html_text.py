@@ -30,9 +30,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BRANCHES = frozenset("html body main article section div td blockquote".split())
 NOT_CONTENT = frozenset("head nav header footer aside form button select dialog menu title script style".split())
-#: Words that classes, ids and roles of such parts are made of.
+#: Words that whole classes, ids and roles of such parts are made of: cookie-notice, but not has-sidebar.
 NOT_CONTENT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|header|masthead|footer|side-?bar|comments?|disqus|replies|respond|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|widget|contentinfo|complementary|search|form)(?:$|[\s_-])",
+    r"(?:(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|header|masthead|footer|side-?bar|comments?|disqus|replies|respond|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|widget|contentinfo|complementary|search|form)(?=$|[_-]))+",
     re.I,
 )
 CONTENT = frozenset(("article", "main"))
@@ -45,33 +45,39 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*
 _PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
 
-def _role(name: str, attributes: str) -> tuple[str, bool]:
-    """The path step of a start tag, and whether its content can't be main text."""
-    step, off = name, name in NOT_CONTENT
+#: Why a text can't be content: words say so, words of a part around an article say so, or the element or a style does.
+WORDS, AROUND, SURE = 1, 2, 3
+
+
+def _role(name: str, attributes: str) -> tuple[str, int]:
+    """The path step of a start tag, and why its content can't be main text (0: it can)."""
+    step, off = name, SURE if name in NOT_CONTENT else 0
     if attributes.strip():
         for kind, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             value, kind = (a or b or c).lower(), kind.lower()
             if hidden or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value)):
-                off = True
+                off = SURE
             elif kind in ("class", "id", "role"):
                 step += "." + ".".join(value.split())
-                off |= name not in ("html", "body") and bool(NOT_CONTENT_WORDS.search(value))
+                if name not in ("html", "body") and name not in CONTENT and any(map(NOT_CONTENT_WORDS.fullmatch, value.split())):
+                    off = max(off, WORDS)
     return step, off
 
 
 def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
     """[block number, path, branch, off, inside an article, text] of each text node in page order; tags by path.
 
-    A p ends where the next block begins, as in a browser; end tags that nothing opened are ignored.
+    A p ends where the next block begins, as in a browser; end tags that nothing opened are ignored. Words of the parts
+    around an article count only if another article has none around it, and no words count if everything would be off.
     """
     nodes: list[list] = []
     tags: dict[str, int] = {}
-    stack: list[tuple[str, str, str, bool, bool]] = []  # name, path, branch, off, inside
+    stack: list[tuple[str, str, str, int, bool]] = []  # name, path, branch, off, inside
     block = at = 0
 
     def add(text: str) -> None:
         if text.strip():
-            _, path, branch, off, inside = stack[-1] if stack else ("", "", "", False, False)
+            _, path, branch, off, inside = stack[-1] if stack else ("", "", "", 0, False)
             nodes.append([block, path, branch, off, inside, html.unescape(text)])
         elif text and nodes and nodes[-1][0] == block:
             nodes[-1][5] += " "
@@ -104,12 +110,22 @@ def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
                 if name in CLOSES_ITSELF:
                     close(CLOSES_ITSELF[name], frozenset(("ul", "ol", "dl", "table", "select")))
             step, off = _role(name, m[4] or "")
-            _, path, branch, above_off, inside = stack[-1] if stack else ("", "", "", False, False)
+            _, path, branch, above_off, inside = stack[-1] if stack else ("", "", "", 0, False)
+            if name in CONTENT and above_off == WORDS:
+                above_off = AROUND
+            off = SURE if SURE in (above_off, off) else off or above_off
             path = f"{path}/{step}"
+            if off == AROUND:
+                path += "!"  # not the path of an article that stands free
             tags[path] = tags.get(path, 0) + 1
             if name not in VOID and not (m[4] or "").endswith("/"):
-                stack.append((name, path, path if name in BRANCHES else branch, above_off or off, inside or name in CONTENT))
+                stack.append((name, path, path if name in BRANCHES else branch, off, inside or name in CONTENT))
     add(page[at:])
+    counted = {WORDS, AROUND, SURE} if any(n[4] and not n[3] for n in nodes) else {WORDS, SURE}
+    if all(n[3] in counted for n in nodes):
+        counted = {SURE}
+    for n in nodes:
+        n[3] = n[3] in counted
     return nodes, tags
 
 

@@ -21,6 +21,16 @@ def test_page_without_article_element():
     assert main_text(page).endswith("\nShort.") and "Side" not in main_text(page) and "x" not in main_text(page).split("\n")[0][:1]
 
 
+def test_wrapper_classes_leave_articles_alone():
+    body = "<p>A sentence of the article, with commas. And another.</p>"
+    for c in ("page has-sidebar", "no-sidebar hfeed", "content-with-sidebar", "main-content header-fixed", "post no-comments", "nav-open", "sidebar", "widget"):
+        assert main_text(f"<div class='{c}'><article>{body}</article></div>") == "A sentence of the article, with commas. And another.", c
+    for c in ("post category-social-policy", "entry tag-search", "social"):
+        assert main_text(f"<article class='{c}'>{body}<div class='share social'>Share this.</div></article>") == "A sentence of the article, with commas. And another.", c
+    assert main_text("<div class='sidebar'><p>All there is, a sentence.</p></div>") == "All there is, a sentence."
+    assert main_text(f"<article>{body}</article><section class='comments'><article><p>A reader, with a comment.</p></article></section>") == "A sentence of the article, with commas. And another."
+
+
 def test_odd_input():
     for t in (None, "", "   ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>" * 3000, "&bogus; &#xFFFFFFFF;"):
         assert isinstance(main_text(t), str)
