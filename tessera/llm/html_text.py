@@ -38,7 +38,7 @@ NOT_CONTENT_WORDS = re.compile(
 CONTENT = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)(?=\s|$)", re.I)
@@ -148,7 +148,9 @@ def _content_paths(nodes: list[list], tags: dict[str, int]) -> set[str]:
     for x, s in scores.items():
         branches[paths[x][2]] = max(branches.get(paths[x][2], 0.0), s)
     least = SHARE * max(branches.values(), default=0.0)
-    return {x for x in order if scores[x] > 0 and (paths[x][4] or branches[paths[x][2]] >= least)}
+    # all that the best branch holds belongs to it, however short
+    held = max(branches, key=branches.get, default="") + "/"
+    return {x for x in order if scores[x] > 0 and (paths[x][4] or branches[paths[x][2]] >= least or (held != "/" and x.startswith(held)))}
 
 
 def main_text(page: str | None) -> str:

@@ -31,6 +31,14 @@ def test_wrapper_classes_leave_articles_alone():
     assert main_text(f"<article>{body}</article><section class='comments'><article><p>A reader, with a comment.</p></article></section>") == "A sentence of the article, with commas. And another."
 
 
+def test_best_branch_keeps_its_short_parts_and_closed_svg_hides_nothing():
+    long = "<p>" + "A long sentence, with commas, and more. " * 13 + "</p>"
+    quote = "<blockquote><p>One short sentence, quoted.</p></blockquote><table><tr><td>A cell</td></tr></table>"
+    got = main_text(f"<div id=content>{long}{quote}{long}</div><div>tiny</div>").split("\n")
+    assert got[1:3] == ["One short sentence, quoted.", "A cell"] and len(got) == 4
+    assert main_text('<p>One</p><svg class="i"/><p>Two</p><svg><text>no</text></svg><p>Three</p>') == "One\nTwo\nThree"
+
+
 def test_odd_input():
     for t in (None, "", "   ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>" * 3000, "&bogus; &#xFFFFFFFF;"):
         assert isinstance(main_text(t), str)
