@@ -1,23 +1,26 @@
 """Removing long word runs that occur elsewhere, found by recompression.
 
 Recompression replaces, round by round, what lies inside runs of one symbol and then all pairs of a left and a right
-symbol (the sides are drawn by hash) by new symbols. A symbol is named by a hash of what it replaces, so all tasks give
-the same content the same name without asking each other, and equal strings get the same symbols but for a few at their
-ends: each symbol carries the range of words that decided it, and wherever these words stand, this symbol comes out.
+symbol (the sides are drawn by hash) by new symbols. Equal content gets equal names everywhere, so equal strings get
+the same symbols but for a few at their ends: each symbol carries the range of words that decided it, and wherever
+these words stand, this symbol comes out. A window of WINDOW words owns the symbols that were decided inside it, and
+equal windows own equal symbols at equal places.
 
-Every window of WINDOW words picks one symbol that it decides alone (of the highest round that has any, the one of
-lowest hash), so equal windows pick equal symbols at equal places. Spark counts the picks; a window whose symbol was
-picked in one place only is unique. The others are verified: their 64-bit hashes, each with a second one beside it,
-are counted over all texts, and only what occurs twice is removed. A word by itself is a symbol of round 0, so no
-window goes without one.
+The first rounds make symbols of a few words, which are common, so tasks name them alone. From then on every round is
+one of Spark: a table of names counts every symbol over all texts; a name that occurs once tells that no window which
+owns it is repeated. Such windows are closed, symbols that no open window owns are cut out, and the next round goes on
+with what is left, so that each round moves less. Names are hashes of what they stand for (words by BLAKE2); should
+two contents ever share a name, windows stay open that could be closed, and nothing is lost.
 
-Equal texts are merged first: of a text that occurs twice, all windows do; one copy stands for it in the search.
+Windows that are still open are verified by their words: they count as equal if the 128-bit BLAKE2 digests of their
+words are.
+
+Equal texts (by SHA-256) are merged first: of a text that occurs twice, all windows do; one copy stands for it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +30,27 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
-WINDOW, ROUNDS = 35, 7
-#: Bytes of text worked on, and windows compared, at a time within a task.
-CHUNK, WINDOWS_AT_ONCE = 2_000_000, 2_000_000
+#: Words of a window; rounds that tasks name alone; rounds that Spark names and counts.
+WINDOW, TASK_ROUNDS, SPARK_ROUNDS = 35, 6, 3
+#: Bytes of text worked on, and windows digested, at a time within a task; bounds memory only.
+CHUNK, WINDOWS_AT_ONCE = 2_000_000, 500_000
+#: Words whose names a worker keeps, and the longest of them; at the limit it starts afresh.
+REMEMBERED, LONGEST = 500_000, 64
 
 U = np.uint64
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_FAR = 1 << 40
+_FAR = 1 << 30
+
+
+class _Names(dict):
+    """64-bit names of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = name
+        return name
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,54 +60,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    out = np.empty(n + 1, U)
-    out[0], filled, step = 1, 1, base
-    while filled <= n:
-        k = min(filled, n + 1 - filled)
-        out[filled : filled + k] = out[:k] * U(step)
-        filled += k
-        step = step * step % (1 << 64)
-    return out
-
-
-class Rolling:
-    """Polynomial hashes of ranges of a sequence, by prefix sums modulo 2 ** 64."""
-
-    def __init__(self, base: int) -> None:
-        self._base, self._inverse = base, pow(base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, U)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        if len(values) >= len(self._up):
-            n = 2 * len(values) + 16
-            self._up, self._down = _powers(self._base, n), _powers(self._inverse, n)
-        return np.concatenate([np.zeros(1, U), np.cumsum(values * self._down[: len(values)], dtype=U)])
-
-    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self._up[start]
-
-
-_OF_BYTES = Rolling(0x9E3779B97F4A7C15)
-_OF_WORDS = (Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F))
-
-
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that stand in data at offsets: byte ranges of all words, and each text's first word (with a last entry)."""
-    ink = ~_BLANK[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate([[False], ink[:-1]]) & ~edge[:-1]
-    after = np.concatenate([ink[1:], [False]]) & ~edge[1:]
-    starts, ends = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _mixed(_OF_BYTES.ranges(_OF_BYTES.prefix(data.astype(U) + U(1)), starts, ends) + (ends - starts).astype(U))
-
-
 def _shift(a: np.ndarray, by: int, fill) -> np.ndarray:
     out = np.full_like(a, fill)
     if by > 0:
@@ -101,21 +69,21 @@ def _shift(a: np.ndarray, by: int, fill) -> np.ndarray:
     return out
 
 
-def _squeezed_runs(sym, doc, lo, hi):
+def _squeezed_runs(sym, part, lo, hi):
     """Runs of four or more: all but their first and last symbol become one. lo, hi: the words that decided each symbol."""
     new = np.ones(len(sym), bool)
-    new[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (sym[1:] != sym[:-1]) | (part[1:] != part[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(sym)))
     long = n >= 4
     if not long.any():
-        return sym, doc, lo, hi
+        return sym, part, lo, hi
     at, n = first[long], n[long]
     sym, lo, hi = sym.copy(), lo.copy(), hi.copy()
     end = at + n
     inside = at + 1
-    alone_before = (at == 0) | (doc[np.maximum(at - 1, 0)] != doc[at])
-    alone_after = (end == len(sym)) | (doc[np.minimum(end, len(sym) - 1)] != doc[at])
+    alone_before = (at == 0) | (part[np.maximum(at - 1, 0)] != part[at])
+    alone_after = (end == len(sym)) | (part[np.minimum(end, len(sym) - 1)] != part[at])
     before, after = np.where(alone_before, -_FAR, lo[np.maximum(at - 1, 0)]), np.where(alone_after, _FAR, hi[np.minimum(end, len(sym) - 1)])
     sym[inside] = _mixed(sym[at] * U(3) + (n - 2).astype(U))
     lo[inside], hi[inside] = before, after
@@ -123,14 +91,14 @@ def _squeezed_runs(sym, doc, lo, hi):
     np.add.at(drop, at + 2, 1)
     np.add.at(drop, end - 1, -1)
     keep = np.cumsum(drop[:-1]) == 0
-    return sym[keep], doc[keep], lo[keep], hi[keep]
+    return sym[keep], part[keep], lo[keep], hi[keep]
 
 
-def _paired(sym, doc, lo, hi, number: int):
+def _paired(sym, part, lo, hi, number: int):
     """Left symbols followed by right ones become one; others remember the neighbour that made them stay single."""
     right = (_mixed(sym + U(number)) >> U(63)).astype(bool)
     follows = np.zeros(len(sym), bool)
-    follows[:-1] = doc[1:] == doc[:-1]
+    follows[:-1] = part[1:] == part[:-1]
     pair = np.zeros(len(sym), bool)
     pair[:-1] = ~right[:-1] & right[1:] & follows[:-1]
     second = _shift(pair, 1, False)
@@ -147,63 +115,22 @@ def _paired(sym, doc, lo, hi, number: int):
     out_lo[back], out_hi[back] = np.where(sure, np.minimum(lo, p_lo), -_FAR)[back], np.where(sure, np.maximum(hi, p_hi), _FAR)[back]
     out = np.where(pair, _mixed(_mixed(sym) + n_sym * U(0x2545F4914F6CDD1D)), sym)
     keep = ~second
-    return out[keep], doc[keep], out_lo[keep], out_hi[keep]
-
-
-def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(symbol, text, first window, windows): the symbol that these consecutive windows of the text pick. first: each text's first word."""
-    n_windows = np.maximum(np.diff(first) - window + 1, 0)
-    text = np.repeat(np.arange(len(n_windows)), n_windows)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + first[:-1][text]
-    picked, mark = np.zeros(len(text), U), np.full(len(text), -1, np.int64)
-    sym, doc = hashes, np.repeat(np.arange(len(n_windows)), np.diff(first))
-    lo, hi = np.arange(len(sym)), np.arange(len(sym)) + 1
-    levels = [(sym, lo, hi)]
-    for number in range(rounds):
-        sym, doc, lo, hi = _paired(*_squeezed_runs(sym, doc, lo, hi), number)
-        levels.append((sym, lo, hi))
-    open_ = np.arange(len(text))
-    for level in range(rounds, -1, -1):
-        if not len(open_):
-            break
-        sym, lo, hi = levels[level]
-        good = (hi - lo <= window) & (lo >= 0)
-        sym, lo, hi = sym[good], lo[good], hi[good]
-        if not len(sym):
-            continue
-        at = start[open_]
-        a, b = np.searchsorted(lo, at), np.searchsorted(hi, at + window, side="right")
-        order = _mixed(sym + U(level))
-        some = b > a
-        a, n, where = a[some], (b - a)[some], open_[some]
-        best = a.copy()
-        for k in range(1, int(n.max(initial=0))):
-            more = np.flatnonzero(n > k)
-            better = more[order[a[more] + k] < order[best[more]]]
-            best[better] = a[better] + k
-        picked[where], mark[where] = order[best], best * (rounds + 1) + level
-        open_ = open_[~some]
-    turn = np.ones(len(text), bool)
-    turn[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(turn)
-    return picked[at], text[at], start[at] - first[:-1][text[at]], np.diff(np.append(at, len(text)))
-
-
-def window_hashes(hashes: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the windows that begin at start."""
-    one, two = (_mixed(r.ranges(r.prefix(_mixed(hashes + U(i))), start, start + window)) for i, r in enumerate(_OF_WORDS))
-    return one, two
-
-
-def _buffers(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a binary column as (first row, end row, bytes, offsets from 0), of about CHUNK bytes; nulls are empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return out[keep], part[keep], out_lo[keep], out_hi[keep]
+
+
+def _round(sym, part, lo, hi, number: int):
+    return _paired(*_squeezed_runs(sym, part, lo, hi), number)
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Slices of about CHUNK bytes."""
     row = 0
-    while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+    while row < len(texts):
+        end, size = row + 1, len(texts[row])
+        while end < len(texts) and size + len(texts[end]) <= CHUNK:
+            size += len(texts[end])
+            end += 1
+        yield row, end
         row = end
 
 
@@ -211,57 +138,138 @@ def _kept_sha(words: list[bytes], gone: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()
 
 
-_PICK = [("sym", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
-PICKS = "array<struct<sym: bigint, lo: int, n: int>>"
+#: Symbols of a text that open windows own: name, deciding words, and whether the symbol follows the one before it.
+SYMBOLS = "sym array<bigint>, lo array<int>, hi array<int>, joined array<boolean>"
+#: Windows that are open, as runs of consecutive ones.
+OPEN = "open array<struct<lo: int, n: int>>"
+_RUN = pa.struct([("lo", pa.int32()), ("n", pa.int32())])
+
+
+def _lists(row: np.ndarray, n_rows: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)), values)
+
+
+def _symbol_lists(row, n_rows: int, sym, lo, hi, joined) -> list[pa.Array]:
+    values = (sym.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), joined)
+    return [_lists(row, n_rows, pa.array(v)) for v in values]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's number of words, hash of the whole, and picks."""
+    """Each text's number of words, hash of the whole, and the symbols that its windows own after TASK_ROUNDS."""
+    names = _Names()
     for batch in batches:
-        for row, end, data, offsets in _buffers(batch.column(2)):
-            starts, ends, first = split_words(data, offsets)
-            sym, text, lo, n = anchors(word_hashes(data, starts, ends), first)
-            cut = np.searchsorted(text, np.arange(end - row + 1)).astype(np.int32)
-            values = [sym.view(np.int64), *(x.astype(np.int32) for x in (lo, n))]
-            flat = pa.StructArray.from_arrays([pa.array(v) for v in values], fields=[pa.field(*f) for f in _PICK])
-            shas = [_kept_sha(data[a:b].tobytes().split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).slice(row, end - row) for i in range(2)), pa.array(np.diff(first)), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(cut), flat)],
-                ["t1", "t2", "n_words", "whole_sha256", "picks"],
+        texts = batch.column(1).to_pylist()
+        for row, end in _chunks(texts):
+            split = [t.split() for t in texts[row:end]]
+            n = np.array([len(w) for w in split])
+            first = np.concatenate([[0], np.cumsum(n)])
+            sym = np.fromiter((x for w in split for x in map(names.__getitem__, w)), U, int(first[-1]))
+            at = np.repeat(np.arange(len(n)), n)
+            lo = np.arange(len(sym)) - first[at]
+            part, hi = at, lo + 1
+            for number in range(TASK_ROUNDS):
+                sym, part, lo, hi = _round(sym, part, lo, hi, number)
+            own = np.flatnonzero((lo >= 0) & (hi - lo <= WINDOW) & (n[part] >= WINDOW))
+            joined = np.zeros(len(own), bool)
+            joined[1:] = (np.diff(own) == 1) & (part[own][1:] == part[own][:-1])
+            shas = pa.array([_kept_sha(w) for w in split], pa.string())
+            lists = _symbol_lists(part[own], end - row, sym[own], lo[own], hi[own], joined)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n), shas, *lists], ["key", "n_words", "whole_sha256", "sym", "lo", "hi", "joined"])
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each value, and the values, of a column of lists."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), n), column.flatten()
+
+
+def _named(number: int):
+    """Closes the windows that own a symbol which isn't in `known`, then makes round `number` of what open windows own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            row, sym = _flat(c["sym"])
+            sym = sym.to_numpy(zero_copy_only=False).view(U)
+            lo, hi = (c[k].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
+            joined = c["joined"].flatten().to_numpy(zero_copy_only=False)
+            k_row, known = _flat(c["known"])
+            known = known.to_numpy(zero_copy_only=False).view(U)
+            salt = _mixed(np.arange(batch.num_rows).astype(U))  # a name is known to its own text only
+            repeated = np.isin(_mixed(sym) ^ salt[row], _mixed(known) ^ salt[k_row])
+
+            n = c["n_words"].to_numpy(zero_copy_only=False) - WINDOW + 1
+            base = np.concatenate([[0], np.cumsum(n)])
+            o_row, runs = _flat(c["open"])
+            o_lo, o_n = (runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            change = np.zeros(base[-1] + 1, np.int64)
+            np.add.at(change, base[o_row] + o_lo, 1)
+            np.add.at(change, base[o_row] + o_lo + o_n, -1)
+            open_ = np.cumsum(change[:-1]) > 0
+            from_, upto = base[row] + np.maximum(hi - WINDOW, 0), base[row] + np.minimum(lo, n[row] - 1) + 1
+            change[:] = 0
+            np.add.at(change, from_[~repeated], 1)
+            np.add.at(change, upto[~repeated], -1)
+            open_ &= np.cumsum(change[:-1]) == 0
+
+            before = np.concatenate([[0], np.cumsum(open_)])
+            own = np.flatnonzero(before[upto] > before[from_])
+            chain = np.ones(len(own), bool)
+            chain[1:] = ~joined[own][1:] | (np.diff(own) > 1)
+            part = np.cumsum(chain) - 1
+            of_part = row[own][chain]
+            sym, part, lo, hi = _round(sym[own], part, lo[own], hi[own], number)
+            row = of_part[part] if len(part) else part
+            good = np.flatnonzero((lo >= 0) & (hi - lo <= WINDOW))
+            owned = before[base[row[good]] + np.minimum(lo[good], n[row[good]] - 1) + 1] > before[base[row[good]] + np.maximum(hi[good] - WINDOW, 0)]
+            own = good[owned]
+            joined = np.zeros(len(own), bool)
+            joined[1:] = (np.diff(own) == 1) & (part[own][1:] == part[own][:-1])
+
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], open_.view(np.int8), [0]])))
+            # runs of open windows don't go on into the next text
+            inner = base[1:-1][open_[base[1:-1] - 1] & open_[np.minimum(base[1:-1], len(open_) - 1)]] if len(base) > 2 else base[:0]
+            edge = np.sort(np.concatenate([edge, inner, inner]))
+            starts, ends = edge[::2], edge[1::2]
+            r_row = np.searchsorted(base, starts, side="right") - 1
+            opened = pa.StructArray.from_arrays([pa.array((starts - base[r_row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], fields=list(_RUN))
+            out = pa.RecordBatch.from_arrays(
+                [c["u"], c["n_words"], *_symbol_lists(row[own], batch.num_rows, sym[own], lo[own], hi[own], joined), _lists(r_row, batch.num_rows, opened)],
+                ["u", "n_words", "sym", "lo", "hi", "joined", "open"],
             )
+            yield out.filter(pa.array(before[base[1:]] > before[base[:-1]]))
+
+    return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, u, pos, sure) of suspect windows; sure: the same window was met twice among WINDOWS_AT_ONCE of this task."""
-    held: list[tuple] = []
+def open_windows(texts: DataFrame, spark: SparkSession) -> DataFrame:
+    """(u, open): windows of each text all whose symbols, in every round, occur twice or more. texts: (u, n_words, SYMBOLS)."""
+    every = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n_words") - WINDOW + 1).cast("int").alias("n")))
+    state = texts.filter(F.col("n_words") >= WINDOW).select("u", "n_words", "sym", "lo", "hi", "joined", every.alias("open"))
+    for number in range(TASK_ROUNDS, TASK_ROUNDS + SPARK_ROUNDS):
+        symbols = state.select("u", F.explode("sym").alias("sym"))
+        # Written, so that the join shuffles both sides for itself and Spark can split the texts of a very common symbol.
+        names = written(symbols.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym"), spark, "names")
+        known = symbols.join(names, "sym", "left_semi").groupBy("u").agg(F.collect_set("sym").alias("known"))
+        state = state.join(known, "u", "left").withColumn("known", F.coalesce("known", F.array().cast("array<bigint>")))
+        state = written(state.mapInArrow(_named(number), f"u long, n_words long, {SYMBOLS}, {OPEN}"), spark, "round")
+    return state.select("u", "open")
 
-    def flush() -> pa.RecordBatch:
-        w1, w2, u, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((w2, w1))
-        w1, w2, u, pos = w1[order], w2[order], u[order], pos[order]
-        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-        sure = np.zeros(len(w1), bool)
-        sure[1:] |= same
-        sure[:-1] |= same
-        arrays = [w1.view(np.int64), w2.view(np.int64), u, pos.astype(np.int32), sure]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w1", "w2", "u", "pos", "sure"])
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w1, w2, u, pos): digests of the words of open windows."""
     for batch in batches:
-        u = batch.column(0).to_numpy(zero_copy_only=False)
-        spans = batch.column(1)
-        for row, _, data, offsets in _buffers(batch.column(2)):
-            starts, ends, first = split_words(data, offsets)
-            hashes = word_hashes(data, starts, ends)
-            for i in range(len(offsets) - 1):
-                lo, n = (spans[row + i].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n"))
-                pos = np.sort(np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n))
-                if len(pos):
-                    held.append((*window_hashes(hashes[first[i] : first[i + 1]], pos), np.full(len(pos), u[row + i]), pos))
-            if sum(len(x[3]) for x in held) >= WINDOWS_AT_ONCE:
-                yield flush()
-    if held:
-        yield flush()
+        for u, runs, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = raw.split()
+            joined = memoryview(b" ".join(words))
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            pos = np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in runs])
+            for k in range(0, len(pos), WINDOWS_AT_ONCE):
+                p = pos[k : k + WINDOWS_AT_ONCE]
+                found = b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(starts[p].tolist(), ends[p + WINDOW - 1].tolist(), strict=True))
+                w = np.frombuffer(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(np.full(len(p), u)), pa.array(p.astype(np.int32))], ["w1", "w2", "u", "pos"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,44 +290,33 @@ def repeated_removed(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs: what stays when all words of repeated windows go.
 
     Null and empty texts have no words. Rows are told apart by content, so repeated rows and null ids get what their text
-    gets. An empty table gives an empty result.
+    gets; ids may be of any type. An empty table gives an empty result. Other columns of docs are not read.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    t2 = F.shiftleft(F.octet_length(raw).cast("long"), 32).bitwiseOR(F.hash(raw).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("t1"), t2.alias("t2"), raw.cast("binary").alias("text"))
-    scanned = rows.select("t1", "t2", "text").mapInArrow(_scan, f"t1 long, t2 long, n_words long, whole_sha256 string, picks {PICKS}")
-    one = [F.first(c).alias(c) for c in ("n_words", "whole_sha256", "picks")]
-    texts = scanned.groupBy("t1", "t2").agg(*one, F.count(F.lit(1)).alias("copies")).withColumn("u", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("key"), raw.cast("binary").alias("text"))
+    scanned = rows.select("key", "text").mapInArrow(_scan, f"key binary, n_words long, whole_sha256 string, {SYMBOLS}")
+    one = [F.first(c).alias(c) for c in ("n_words", "whole_sha256", "sym", "lo", "hi", "joined")]
+    texts = scanned.groupBy("key").agg(*one, F.count(F.lit(1)).alias("copies")).withColumn("u", F.monotonically_increasing_id())
     texts = written(texts, spark, "texts")
 
-    picks = texts.select("u", F.explode("picks").alias("p")).select("u", "p.sym", "p.lo", "p.n")
-    # Written, so that the join below shuffles both sides for itself and Spark can split the picks of a very common symbol.
-    twice = written(picks.groupBy("sym").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sym"), spark, "shared-symbols")
-    shared = picks.join(twice, "sym", "left_semi").groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    wanted = texts.select("u", "t1", "t2").join(shared, "u")
-    one_each = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    # Bucketed by what the texts were shuffled by: the last step joins them again without moving them.
-    name = f"suspects_{uuid.uuid4().hex}"
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found_texts = one_each.join(wanted, ["t1", "t2"]).select("t1", "t2", "u", "spans", "text")
-    found_texts.write.option("compression", "zstd").bucketBy(n_buckets, "t1", "t2").saveAsTable(name)
-    suspects = spark.table(name)
-
-    windows = suspects.select("u", "spans", "text").mapInArrow(_windows, "w1 long, w2 long, u long, pos int, sure boolean")
-    repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-    met = windows.filter("sure").select("u", "pos").union(windows.filter("not sure").join(repeated, ["w1", "w2"], "left_semi").select("u", "pos"))
-    found = met.groupBy("u").agg(F.collect_list("pos").alias("pos")).join(texts.filter("copies = 1").select("u", "t1", "t2"), "u")
-    cut = suspects.select("t1", "t2", "text").join(found.select("t1", "t2", "u", "pos"), ["t1", "t2"])
-    removed = written(cut.select("u", "pos", "text").mapInArrow(_remove, "u long, n_removed long, kept_sha256 string"), spark, "removed")
-    spark.sql(f"DROP TABLE {name}")
+    suspects = written(open_windows(texts, spark).join(texts.select("u", "key", "copies"), "u"), spark, "suspects")
+    with_text = rows.select("key", "text").join(suspects, "key").select("key", "copies", "u", "open", "text")
+    once = with_text.filter("copies = 1").select("u", "open", "text")
+    more = with_text.filter("copies > 1").groupBy("key", "u").agg(F.first("open").alias("open"), F.first("text").alias("text")).select("u", "open", "text")
+    windows = written(once.unionByName(more).mapInArrow(_digests, "w1 long, w2 long, u long, pos int"), spark, "windows")
+    repeated = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"), spark, "repeated-windows")
+    met = windows.join(repeated, ["w1", "w2"], "left_semi").groupBy("u").agg(F.collect_list("pos").alias("pos"))
+    found = written(met.join(suspects.filter("copies = 1").select("u", "key"), "u"), spark, "found")
+    cut = rows.select("key", "text").join(found, "key").select("u", "pos", "text")
+    removed = written(cut.mapInArrow(_remove, "u long, n_removed long, kept_sha256 string"), spark, "removed")
 
     everything = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
-    per_text = texts.drop("picks").join(removed, "u", "left").select(
-        "t1", "t2", "n_words",
+    per_text = texts.select("u", "key", "copies", "n_words", "whole_sha256").join(removed, "u", "left").select(
+        "key", "n_words",
         F.when(everything, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(everything, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
     )
-    return rows.select("doc_id", "t1", "t2").join(written(per_text, spark, "per-text"), ["t1", "t2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return rows.select("doc_id", "key").join(written(per_text, spark, "per-text"), "key").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

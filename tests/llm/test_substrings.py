@@ -51,3 +51,19 @@ def test_runs_small_alphabets_and_shifted_passages(spark):
 
 def test_empty_table(spark, nothing):
     assert repeated_removed(nothing, spark).count() == 0
+
+
+def test_words_that_only_differ_for_weak_hashes(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {other} end")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeated_removed(docs, spark).collect()}
+    assert got == {1: 0, 2: 35, 3: 35}
+
+
+def test_ids_of_any_type_and_periodic_texts(spark):
+    texts = ["x y " * 60, "x y z " * 40, "q " + "x y " * 30, " ".join(["p"] * 40 + ["q"] * 40), " ".join(["p"] * 36 + ["q"] * 5), "the same text " * 30, "the same text " * 30]
+    docs = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    check(spark, docs)
