@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, written
 
 #: Words of a window; rounds that tasks name alone; rounds that Spark names and counts.
-WINDOW, TASK_ROUNDS, SPARK_ROUNDS = 35, 6, 3
+WINDOW, TASK_ROUNDS, SPARK_ROUNDS = 35, 5, 2
 #: Bytes of text worked on, and windows digested, at a time within a task; bounds memory only.
 CHUNK, WINDOWS_AT_ONCE = 2_000_000, 500_000
 #: Words whose names a worker keeps, and the longest of them; at the limit it starts afresh.
