@@ -42,6 +42,11 @@ def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores appended until df has no such column in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -1,37 +1,42 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
-1. A bounded sample of labelled rows is split in two halves by hash. On the first half, words that go with label 1 are
-   chosen by their chi-square; on the second, the examples are indexed and votes calibrated, so that a word that went
-   with the label only by chance meets examples that contradict it.
-2. Every document becomes a sparse vector (1 + ln tf) * idf over the chosen words; idf counts all documents.
-3. The index lists, for each word, the examples that have it, in blocks of BLOCK examples, with the highest weight a
-   block has for the word. A query adds these up for an upper bound of each block, scores blocks from the highest bound
-   down, and stops when no bound reaches its K-th best cosine: the result is that of comparing with all examples.
-4. Neighbours vote with the square of their cosine, against a prior vote of weight 1 that stands for documents with no
-   chosen word. An isotonic fit over left-one-out votes of the examples turns votes into probabilities.
+1. A bounded sample of labelled rows are the examples; all their words are terms, whatever they say about the label.
+2. Every document becomes a sparse vector (1 + ln tf) * idf * relevance over all its words; idf counts all documents.
+   The relevance of a word is the power of its log odds with the label among the examples, shrunken towards 0 as if it
+   had been seen SHRINK times more at the overall rate, and never below a floor: rare words of single examples weigh
+   little, and there is no list of chosen words. Plain tf * idf finds half of the toxic documents only, as the many
+   words that say nothing hide the few that do.
+3. The index lists, for each word, the blocks of BLOCK examples that have it, with the highest weight that the block
+   holds for the word. A query adds these up to an upper bound of each block, scores blocks from the highest bound down,
+   and stops when no bound reaches its K-th best cosine: the result is that of comparing with all examples.
+4. Neighbours vote with a power of their cosine, beside a small vote for the overall rate. Votes become probabilities by
+   an isotonic fit over votes that the examples get from the folds they aren't in; relevance is learned without the
+   fold, too.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import kind_of, table, written
 from tessera.llm.quality import remainder
 
-#: Bounds of the labelled sample and of the chosen words.
-TRAIN_ROWS, MAX_TERMS = 20_000, 4096
-#: A word is chosen if this many sampled texts have it, and its chi-square with the label reaches this.
-MIN_TEXTS, MIN_CHI2 = 4, 25.0
-BLOCK, K, POWER, EVIDENCE = 64, 15, 2, 3
+#: Bound of the labelled sample.
+TRAIN_ROWS = 20_000
+#: Chosen by folds of learnable rows: shrinkage, power and floor of relevance; neighbours, power and prior of votes.
+SHRINK, SHARPNESS, FLOOR = 20.0, 3, 0.02
+K, POWER, PRIOR = 15, 2, 0.1
+BLOCK, FOLDS, EVIDENCE = 64, 4, 3
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -40,105 +45,153 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [(w, label) for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(words(text))]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([x for _, x in out], pa.int32())], ["word", "label"])
+def _term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the distinct words of a text, and how often each occurs."""
+    counts = Counter(words(text))
+    names = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
+    return names, np.fromiter(counts.values(), np.int32, len(counts))
+
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
 
-def chosen_words(labelled: DataFrame, min_texts: int = MIN_TEXTS, min_chi2: float = MIN_CHI2, max_terms: int = MAX_TERMS) -> list[str]:
-    """labelled: (label int, text). Words that go with label 1, the strongest first."""
-    n, pos = (x or 0 for x in labelled.agg(F.count(F.lit(1)), F.sum("label")).first())
-    if not 0 < pos < n:
-        return []
-    per = labelled.select("label", "text").mapInArrow(_word_rows, "word string, label int").groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("label").cast("double").alias("a"))
-    above = F.col("a") * n - F.col("c") * pos
-    chi2 = above * above * n / F.greatest(F.lit(1.0), F.col("c") * (n - F.col("c")) * float(pos * (n - pos)))
-    return [r[0] for r in per.filter((F.col("c") >= min_texts) & (above > 0) & (chi2 >= min_chi2)).orderBy(chi2.desc(), "word").select("word").limit(max_terms).collect()]
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [_term_counts(t) for t in batch.column(2).to_pylist()]
+        arrays = [batch.column(0), batch.column(1), _lists([n for n, _ in counts], pa.int64()), _lists([k for _, k in counts], pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "label", "names", "tfs"])
 
 
-def _vectors(terms: list[str]):
-    place = {w: i for i, w in enumerate(terms)}
+def _vectors(vocabulary: np.ndarray):
+    """terms: places of the text's words in the vocabulary; other: squared length of what its other words add, before idf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [sorted(Counter(filter(None.__ne__, map(place.get, words(t)))).items()) for t in batch.column(1).to_pylist()]
-            ids, tfs = ([[x[i] for x in c] for c in counts] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "terms", "tfs"])
+            terms, tfs, other = [], [], np.zeros(batch.num_rows)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                names, tf = _term_counts(text)
+                at = np.minimum(np.searchsorted(vocabulary, names), max(0, len(vocabulary) - 1))
+                known = vocabulary[at] == names if len(vocabulary) else np.zeros(len(names), bool)
+                order = np.argsort(at[known])
+                terms.append(at[known][order])
+                tfs.append(tf[known][order])
+                other[i] = ((1 + np.log(tf[~known])) ** 2).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(terms, pa.int32()), _lists(tfs, pa.int32()), pa.array(other)], ["doc_id", "terms", "tfs", "other"])
 
     return run
 
 
 @dataclass
-class Index:
-    """Examples in blocks of BLOCK; postings of one (term, block) are at start[term, block] : start[term, block + 1]."""
+class Examples:
+    """Labelled rows as sparse rows: those of example i are at start[i] : start[i + 1] of term and tf."""
 
-    idf: np.ndarray
-    ids: np.ndarray
+    ids: list
     labels: np.ndarray
     start: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray
-    prior: float
+    term: np.ndarray
+    tf: np.ndarray
+
+    def only(self, rows: np.ndarray) -> Examples:
+        n = np.diff(self.start)[rows]
+        at = _ranges(self.start[:-1][rows], n)
+        return Examples([self.ids[i] for i in rows.tolist()], self.labels[rows], np.concatenate([[0], np.cumsum(n)]), self.term[at], self.tf[at])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), first[1], ..."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def relevance(examples: Examples, n_terms: int) -> tuple[np.ndarray, float]:
+    """Each term's relevance, and the rate of label 1."""
+    label_of = np.repeat(examples.labels, np.diff(examples.start))
+    seen, toxic = np.bincount(examples.term, minlength=n_terms), np.bincount(examples.term, label_of, n_terms)
+    rate = (examples.labels.sum() + 0.5) / (len(examples.labels) + 1)
+    odds = np.log((toxic + SHRINK * rate) / (seen + SHRINK) / rate)
+    return np.maximum(FLOOR, np.abs(odds)) ** SHARPNESS, rate
 
-    def weights(self, terms: np.ndarray, tfs: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tfs)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, tfs: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples that share a term, ties by place; `without`: an id to leave out."""
-        q = self.weights(terms, tfs)
-        bounds = q @ self.block_max[terms]
+@dataclass
+class Index:
+    """Entries of a term are at first[term] : first[term + 1]; each is a block that has the term, the highest weight there,
+    and the place of its postings (up to the next entry's)."""
+
+    factor: np.ndarray
+    other_factor: float
+    ids: list
+    labels: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    place: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+    rate: float
+
+    def nearest(self, terms: np.ndarray, tfs: np.ndarray, other: float = 0.0, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest examples that share a term, ties by place."""
+        n_blocks = -(-len(self.labels) // BLOCK)
+        q = (1 + np.log(tfs)) * self.factor[terms]
+        q = q / np.sqrt((q * q).sum() + other * self.other_factor**2)
+        n = self.first[terms + 1] - self.first[terms]
+        entry, q = _ranges(self.first[terms], n), np.repeat(q, n)
+        block = self.block[entry]
+        bounds = np.bincount(block, q * self.block_max[entry], n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        cos, at = np.empty(0), np.empty(0, np.int64)
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(cos) == k and bounds[b] < cos[-1] - 1e-12):
+        cos, at, done, step = np.empty(0), np.empty(0, np.int64), 0, 2
+        while done < n_blocks:
+            part = order[done : done + step]
+            part = part[bounds[part] > (0 if len(cos) < k else cos[-1] - 1e-12)]
+            if not len(part):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), q.tolist(), strict=True):
-                lo, hi = self.start[t, b], self.start[t, b + 1]
-                if lo < hi:
-                    score[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            if without is not None:
-                hit = hit[self.ids[hit + b * BLOCK] != without]
-            cos, at = np.concatenate([cos, score[hit]]), np.concatenate([at, hit + b * BLOCK])
+            chosen = np.zeros(n_blocks, bool)
+            chosen[part] = True
+            here = chosen[block]
+            e = entry[here]
+            m = self.place[e + 1] - self.place[e]
+            p = _ranges(self.place[e], m)
+            score = np.bincount(self.example[p], np.repeat(q[here], m) * self.weight[p], len(self.labels))
+            hit = np.flatnonzero(score)
+            cos, at = np.concatenate([cos, score[hit]]), np.concatenate([at, hit])
             best = np.lexsort((at, -cos))[:k]
             cos, at = cos[best], at[best]
+            done, step = done + step, 2 * step
         return cos, at
 
     def vote(self, cos: np.ndarray, at: np.ndarray) -> float:
         w = cos**POWER
-        return float(((w * self.labels[at]).sum() + self.prior) / (w.sum() + 1.0))
-
-
-def build_index(examples: list[tuple], idf: np.ndarray) -> Index:
-    """examples: (id, label, terms, tfs), at most TRAIN_ROWS. Similar ones stand together, so that bounds of blocks are sharp."""
-    none = [x for x in examples if not len(x[2])]
-    some = [x for x in examples if len(x[2])]
-    prior = (sum(x[1] for x in none) + 0.5) / (len(none) + 1)
-    empty = Index(idf, np.empty(0, np.int64), np.empty(0), np.zeros((len(idf), 1), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(idf), 0)), prior)
-    rows = []
-    for doc_id, label, terms, tfs in some:
-        terms = np.asarray(terms, np.int64)
-        w = empty.weights(terms, np.asarray(tfs, float))
-        rows.append((int(terms[w.argmax()]), len(terms), doc_id, label, terms, w))
-    rows.sort(key=lambda r: r[:4])
-    n_blocks = -(-len(rows) // BLOCK)
-    if not rows:
-        return empty
-    term = np.concatenate([r[4] for r in rows])
-    weight = np.concatenate([r[5] for r in rows])
-    example = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
-    order = np.lexsort((example, term))
-    term, weight, example = term[order], weight[order], example[order]
-    cell = term * n_blocks + example // BLOCK
-    ends = np.searchsorted(cell, np.arange(len(idf) * n_blocks + 1))
-    start = np.concatenate([ends[:-1].reshape(len(idf), n_blocks), ends[n_blocks::n_blocks][:, None]], axis=1)
-    block_max = np.zeros(len(idf) * n_blocks)
-    np.maximum.at(block_max, cell, weight)
-    return Index(idf, np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float), start, example, weight, block_max.reshape(len(idf), n_blocks), prior)
+        return float(((w * self.labels[at]).sum() + PRIOR * self.rate) / (w.sum() + PRIOR))
+
+
+def build_index(examples: Examples, idf: np.ndarray, other_idf: float) -> Index:
+    """Similar examples stand together, so that bounds of blocks are sharp."""
+    relevant, rate = relevance(examples, len(idf))
+    factor = idf * relevant
+    n = np.diff(examples.start)
+    row = np.repeat(np.arange(len(n)), n)
+    weight = (1 + np.log(examples.tf)) * factor[examples.term]
+    weight /= np.sqrt(np.bincount(row, weight * weight, len(n)))[row]
+    # examples in the order of their weightiest term
+    by_weight = np.lexsort((-weight, row))
+    has = n > 0
+    lead = np.full(len(n), -1)
+    lead[has] = examples.term[by_weight[examples.start[:-1][has]]]
+    turn = np.lexsort((np.arange(len(n)), n, lead))
+    place_of = np.empty(len(n), np.int64)
+    place_of[turn] = np.arange(len(n))
+    example = place_of[row]
+    order = np.lexsort((example, examples.term))
+    term, example, weight = examples.term[order].astype(np.int64), example[order], weight[order]
+    n_blocks = max(1, -(-len(n) // BLOCK))
+    cell, place = np.unique(term * n_blocks + example // BLOCK, return_index=True)
+    block_max = np.maximum.reduceat(weight, place) if len(place) else np.empty(0)
+    first = np.searchsorted(cell, np.arange(len(idf) + 1) * n_blocks)
+    return Index(
+        factor, other_idf * FLOOR**SHARPNESS, [examples.ids[i] for i in turn.tolist()], examples.labels[turn], first, (cell % n_blocks).astype(np.int32), block_max,
+        np.append(place, len(term)), example.astype(np.int32), weight, rate,
+    )
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,52 +210,85 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, np.maximum.accumulate(np.array([(p[0] + 0.05) / (p[1] + 0.1) for p in pools]))
 
 
-def _score_rows(index: Index, fit: tuple[np.ndarray, np.ndarray] | None, leave_out: bool):
+def _score_rows(index: Index, fit: tuple[np.ndarray, np.ndarray] | None, id_kind: pa.DataType):
+    kind = pa.list_(pa.struct([("id", id_kind), ("cosine", pa.float64()), ("label", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            start = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            terms, tfs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
             out, evidence = np.empty(batch.num_rows), []
-            for i, (doc_id, terms, tfs) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            for i, other in enumerate(batch.column(3).to_pylist()):
+                a, b = start[i], start[i + 1]
                 near: list[dict] = []
-                vote = index.prior
-                if terms:
-                    cos, at = index.nearest(np.array(terms), np.array(tfs, float), K, doc_id if leave_out else None)
+                vote = index.rate
+                if b > a and len(index.labels):
+                    cos, at = index.nearest(terms[a:b], tfs[a:b], other)
                     vote = index.vote(cos, at)
-                    near = [{"id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for c, a in zip(cos[:EVIDENCE], at[:EVIDENCE], strict=True)]
+                    near = [{"id": index.ids[x], "cosine": float(c), "label": int(index.labels[x])} for c, x in zip(cos[:EVIDENCE], at[:EVIDENCE], strict=True)]
                 out[i] = vote
                 evidence.append(near)
             if fit is not None and len(fit[0]):
                 out = 0.99 * np.interp(out, *fit) + 0.01 * out  # keeps the order of votes inside a pool
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.clip(out, 0, 1)), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(out, 0, 1)), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
     return run
 
 
-SCORED = "doc_id long, score double, evidence array<struct<id: bigint, cosine: double, label: int>>"
+def _fold_votes(vocabulary: np.ndarray, index: Index):
+    """Votes that examples get from an index they aren't in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = np.concatenate([[0], np.cumsum(batch.column(0).value_lengths().to_numpy())])
+            terms, tfs = np.searchsorted(vocabulary, batch.column(0).flatten().to_numpy()), batch.column(1).flatten().to_numpy()
+            votes = [index.vote(*index.nearest(terms[a:b], tfs[a:b])) if b > a and len(index.labels) else index.rate for a, b in zip(start[:-1], start[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(2).cast(pa.float64())], ["vote", "label"])
+
+    return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, learn: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, score, evidence) for each row of docs: evidence holds the nearest examples with their cosines and labels.
 
-    Null and empty texts, and texts without a chosen word, get the rate of label 1 among such examples. Without labels
-    of both kinds all scores are that constant. Only ids and texts of docs are read.
+    Null and empty texts, and texts that share no word with an example, get the calibrated overall rate. Without labels
+    all scores are one constant; with labels of one kind all examples vote alike. Repeated rows are each scored. Of
+    several texts with one id the first in order is the example, and of several labels the higher counts; examples at
+    one cosine are taken in the order of the index. Only ids and texts of docs are read; ids may be of any type that
+    labels can be joined by. The driver holds the words of at most train_rows examples, counted.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labels.filter(learn & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    sample = written(sample.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), spark, "sample")
-    first = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = kind_of(rows, "doc_id")
+    sample = labels.filter(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    sample = written(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), spark, "sample")
     # the sample has at most train_rows pairs of numbers: that is the bound of this broadcast
-    terms = chosen_words(rows.join(F.broadcast(sample.filter(first)), "doc_id").select("label", "text"))
-    vectors = written(rows.mapInArrow(_vectors(terms), "doc_id long, terms array<int>, tfs array<int>"), spark, "vectors")
+    texts = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    named = written(texts.mapInArrow(_named, f"doc_id {kind}, label int, names array<bigint>, tfs array<int>"), spark, "examples")
+    got = named.orderBy("doc_id").toArrow().combine_chunks()
+    names, tfs = (got.column(c).combine_chunks() for c in ("names", "tfs"))
+    vocabulary, term = np.unique(names.flatten().to_numpy(), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(names.value_lengths().to_numpy())]) if len(got) else np.zeros(1, np.int64)
+    examples = Examples(got.column("doc_id").to_pylist(), got.column("label").to_numpy().astype(float), start, term, tfs.flatten().to_numpy())
+
+    shape = f"doc_id {kind}, terms array<int>, tfs array<int>, other double"
+    vectors = written(rows.mapInArrow(_vectors(vocabulary), shape), spark, "vectors")
     n = vectors.count()
-    df = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # at most MAX_TERMS rows
-    idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    examples = vectors.join(F.broadcast(sample.filter(~first)), "doc_id").dropDuplicates(["doc_id"])
-    index = build_index([(r.doc_id, r.label, r.terms, r.tfs) for r in examples.select("doc_id", "label", "terms", "tfs").collect()], idf)
-    left_out = examples.select("doc_id", "terms", "tfs").mapInArrow(_score_rows(index, None, True), SCORED).join(F.broadcast(sample), "doc_id").select("score", "label").toPandas()
-    fit = isotonic(left_out["score"].to_numpy(float), left_out["label"].to_numpy(float))
-    return vectors.mapInArrow(_score_rows(index, fit, False), SCORED)
+    counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()  # at most a row a word of the examples
+    df = np.zeros(len(vocabulary))
+    df[counted.column("t").to_numpy()] = counted.column("df").to_numpy()
+    idf, other_idf = np.log((1 + n) / (1 + df)) + 1, float(np.log(1 + n)) + 1
+
+    scored = f"doc_id {kind}, score double, evidence array<struct<id: {kind}, cosine: double, label: int>>"
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
+    in_fold = named.orderBy("doc_id").select(fold.alias("fold")).toArrow().column("fold").to_numpy()
+
+    def votes(f: int) -> DataFrame:
+        index = build_index(examples.only(np.flatnonzero(in_fold != f)), idf, other_idf)
+        return named.filter(fold == f).select("names", "tfs", "label").mapInArrow(_fold_votes(vocabulary, index), "vote double, label double")
+
+    voted = reduce(DataFrame.union, [votes(f) for f in range(FOLDS)]).toArrow()
+    fit = isotonic(voted.column("vote").to_numpy(), voted.column("label").to_numpy())
+    return vectors.mapInArrow(_score_rows(build_index(examples, idf, other_idf), fit, got.schema.field("doc_id").type), scored)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
