@@ -8,7 +8,8 @@
    words that say nothing hide the few that do.
 3. The index lists, for each word, the blocks of BLOCK examples that have it, with the highest weight that the block
    holds for the word. A query adds these up to an upper bound of each block, scores blocks from the highest bound down,
-   and stops when no bound reaches its K-th best cosine: the result is that of comparing with all examples.
+   and stops when no bound reaches its K-th best cosine. Words that weigh next to nothing in the query only score the
+   candidates; what they could add at most is part of every bound. The result is that of comparing with all examples.
 4. Neighbours vote with a power of their cosine, beside a small vote for the overall rate. Votes become probabilities by
    an isotonic fit over votes that the examples get from the folds they aren't in; relevance is learned without the
    fold, too.
@@ -37,6 +38,8 @@ TRAIN_ROWS = 20_000
 SHRINK, SHARPNESS, FLOOR = 20.0, 3, 0.02
 K, POWER, PRIOR = 15, 2, 0.1
 BLOCK, FOLDS, EVIDENCE = 64, 4, 3
+#: Length of the light part of a query that takes no part in the search for candidates; decides speed only.
+SLACK = 0.03
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -116,7 +119,7 @@ def relevance(examples: Examples, n_terms: int) -> tuple[np.ndarray, float]:
 @dataclass
 class Index:
     """Entries of a term are at first[term] : first[term + 1]; each is a block that has the term, the highest weight there,
-    and the place of its postings (up to the next entry's)."""
+    and the place of its postings (up to the next entry's). Rows of examples are at row[i] : row[i + 1]."""
 
     factor: np.ndarray
     other_factor: float
@@ -129,36 +132,69 @@ class Index:
     example: np.ndarray
     weight: np.ndarray
     rate: float
+    row: np.ndarray
+    row_term: np.ndarray
+    row_weight: np.ndarray
+
+    def __post_init__(self) -> None:
+        self._scratch = np.zeros(len(self.factor))
 
     def nearest(self, terms: np.ndarray, tfs: np.ndarray, other: float = 0.0, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples that share a term, ties by place."""
-        n_blocks = -(-len(self.labels) // BLOCK)
+        """Cosines and places of the k nearest examples that share a term, ties by place.
+
+        Weighty terms find the candidates: the others, whose weights have the length `slack`, add at most that to any
+        cosine. Candidates are then scored with all terms. Where the weighty terms tell too little, all terms search.
+        """
         q = (1 + np.log(tfs)) * self.factor[terms]
         q = q / np.sqrt((q * q).sum() + other * self.other_factor**2)
+        by_weight = np.argsort(-q, kind="stable")
+        rest = np.sqrt(np.maximum(0, (q * q).sum() - np.cumsum(q[by_weight] ** 2)))
+        weighty = int(np.argmax(rest <= SLACK)) + 1
+        for used, slack in ((by_weight[:weighty], rest[weighty - 1]), (by_weight, 0.0)):
+            score, at, kth = self._search(terms[used], q[used], slack, k)
+            if kth > slack:
+                break
+        near = score >= kth - slack - 1e-12
+        score, at = score[near], at[near]
+        if slack:
+            self._scratch[terms] = q
+            n = self.row[at + 1] - self.row[at]
+            e = _ranges(self.row[at], n)
+            cos = np.add.reduceat(self._scratch[self.row_term[e]] * self.row_weight[e], np.cumsum(n) - n)
+            self._scratch[terms] = 0
+        else:
+            cos = score
+        best = np.lexsort((at, -cos))[:k]
+        return cos[best], at[best]
+
+    def _search(self, terms: np.ndarray, q: np.ndarray, slack: float, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Scores by these terms and places of the examples in all blocks that can hold one of the k nearest; the k-th score."""
+        n_blocks = -(-len(self.labels) // BLOCK)
         n = self.first[terms + 1] - self.first[terms]
         entry, q = _ranges(self.first[terms], n), np.repeat(q, n)
         block = self.block[entry]
         bounds = np.bincount(block, q * self.block_max[entry], n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        cos, at, done, step = np.empty(0), np.empty(0, np.int64), 0, 2
+        score, at, kth, done, step = np.empty(0), np.empty(0, np.int64), 0.0, 0, 4
+        slot = np.full(n_blocks, -1)
         while done < n_blocks:
             part = order[done : done + step]
-            part = part[bounds[part] > (0 if len(cos) < k else cos[-1] - 1e-12)]
+            part = part[(bounds[part] > 0) & (bounds[part] + slack >= kth - 1e-12)]
             if not len(part):
                 break
-            chosen = np.zeros(n_blocks, bool)
-            chosen[part] = True
-            here = chosen[block]
+            slot[:] = -1
+            slot[part] = np.arange(len(part))
+            place = slot[block]
+            here = np.flatnonzero(place >= 0)
             e = entry[here]
             m = self.place[e + 1] - self.place[e]
             p = _ranges(self.place[e], m)
-            score = np.bincount(self.example[p], np.repeat(q[here], m) * self.weight[p], len(self.labels))
-            hit = np.flatnonzero(score)
-            cos, at = np.concatenate([cos, score[hit]]), np.concatenate([at, hit])
-            best = np.lexsort((at, -cos))[:k]
-            cos, at = cos[best], at[best]
+            found = np.bincount(np.repeat(place[here] * BLOCK, m) + self.example[p] % BLOCK, np.repeat(q[here], m) * self.weight[p])
+            hit = np.flatnonzero(found)
+            score, at = np.concatenate([score, found[hit]]), np.concatenate([at, part[hit // BLOCK] * BLOCK + hit % BLOCK])
+            kth = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
             done, step = done + step, 2 * step
-        return cos, at
+        return score, at, kth
 
     def vote(self, cos: np.ndarray, at: np.ndarray) -> float:
         w = cos**POWER
@@ -181,6 +217,8 @@ def build_index(examples: Examples, idf: np.ndarray, other_idf: float) -> Index:
     turn = np.lexsort((np.arange(len(n)), n, lead))
     place_of = np.empty(len(n), np.int64)
     place_of[turn] = np.arange(len(n))
+    r = _ranges(examples.start[:-1][turn], n[turn])
+    rows = (np.concatenate([[0], np.cumsum(n[turn])]), examples.term[r].astype(np.int32), weight[r])
     example = place_of[row]
     order = np.lexsort((example, examples.term))
     term, example, weight = examples.term[order].astype(np.int64), example[order], weight[order]
@@ -190,7 +228,7 @@ def build_index(examples: Examples, idf: np.ndarray, other_idf: float) -> Index:
     first = np.searchsorted(cell, np.arange(len(idf) + 1) * n_blocks)
     return Index(
         factor, other_idf * FLOOR**SHARPNESS, [examples.ids[i] for i in turn.tolist()], examples.labels[turn], first, (cell % n_blocks).astype(np.int32), block_max,
-        np.append(place, len(term)), example.astype(np.int32), weight, rate,
+        np.append(place, len(term)), example.astype(np.int32), weight, rate, *rows,
     )
 
 
