@@ -1,32 +1,38 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page becomes a list of text nodes, each with its root-to-leaf tag path. Per path the page's text length, punctuation
-and tags are added up; text a tag and punctuation a tag are its ratios. Ratios are smoothed over the paths before and
-after it in page order, fused into one score, and weighed by what the path says about its role: nothing inside menus,
-headers, footers, asides, notices, adverts, forms, comments or scripts can be content, and if the page has an article or
-main element, nothing outside can. Paths that reach a share of the best branch's score are content nodes; short
-paragraphs count with the branch they stand in, so that none of an article is lost.
+A page becomes a list of text nodes, each with its root-to-leaf tag path (element names, classes and ids). Per path the
+page's text length, punctuation and tags are added up; text a tag and punctuation a tag are its ratios. Ratios are
+lessened by what the words of the path's classes say about its role (PRIOR for each), smoothed over the paths before and
+after it in page order, and fused into one score; menus, headers, footers, asides, forms and scripts are no content
+whatever their ratios.
+
+Paths are judged by the unit they belong to: the outermost article or main element, elsewhere the nearest branch (div,
+section, td ...). A unit's score is that of its best path, and units that reach SHARE of the best unit's score are
+content. If the best unit is an article, units outside articles are not: what surrounds it may have long texts, too. A
+unit that is content keeps all its text, however short, but for parts that their own classes mark as something else.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import kind_of, table
 
-#: Share of the best branch's score that a branch needs, and weight of each neighbour in smoothing.
-SHARE, SMOOTH = 0.25, 0.1
+#: Share of the best unit's score that a unit needs, weight of each neighbour in smoothing, and factor of a telling class.
+SHARE, SMOOTH, PRIOR = 0.25, 0.1, 0.002
 
 # Fixed values of HTML: raw-text elements, void elements, inline elements, what a start tag closes.
-RAW = ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "math", "object")
+RAW = ("script", "style", "textarea", "noscript", "template", "svg", "iframe")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover".split())
 CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BRANCHES = frozenset("html body main article section div td blockquote".split())
 NOT_CONTENT = frozenset("head nav header footer aside form button select dialog menu title script style".split())
@@ -37,54 +43,70 @@ NOT_CONTENT_WORDS = re.compile(
 )
 CONTENT = frozenset(("article", "main"))
 
+#: Attributes; a quote that is never closed is a character like others. Nothing is tried twice, so time is linear.
+_INSIDE = r"(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<svg\b(?>[^>\"'/]+|\"[^\"]*\"|'[^']*'|/(?!>)|[\"'])*+/>|<(" + "|".join(RAW) + r")\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)(" + _INSIDE + r")(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)(?=\s|$)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
 
-#: Why a text can't be content: words say so, words of a part around an article say so, or the element or a style does.
-WORDS, AROUND, SURE = 1, 2, 3
-
-
-def _role(name: str, attributes: str) -> tuple[str, int]:
-    """The path step of a start tag, and why its content can't be main text (0: it can)."""
-    step, off = name, SURE if name in NOT_CONTENT else 0
+def _role(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The path step of a start tag, whether what it holds can't be content, and whether its classes say so."""
+    step, never, told = name, name in NOT_CONTENT, False
     if attributes.strip():
         for kind, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
             value, kind = (a or b or c).lower(), kind.lower()
             if hidden or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value)):
-                off = SURE
+                never = True
             elif kind in ("class", "id", "role"):
                 step += "." + ".".join(value.split())
-                if name not in ("html", "body") and name not in CONTENT and any(map(NOT_CONTENT_WORDS.fullmatch, value.split())):
-                    off = max(off, WORDS)
-    return step, off
+                told |= name not in ("html", "body") and name not in CONTENT and any(map(NOT_CONTENT_WORDS.fullmatch, value.split()))
+    return step, never, told
+
+
+@dataclass
+class Path:
+    """One tag path of a page, reached from its parent by a step, with what the page has on it."""
 
+    parent: int
+    unit: int
+    inside: bool
+    never: bool
+    told: int
+    tags: int = 0
+    chars: int = 0
+    marks: int = 0
 
-def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
-    """[block number, path, branch, off, inside an article, text] of each text node in page order; tags by path.
 
-    A p ends where the next block begins, as in a browser; end tags that nothing opened are ignored. Words of the parts
-    around an article count only if another article has none around it, and no words count if everything would be off.
+def text_nodes(page: str) -> tuple[list[list], list[Path]]:
+    """[block number, path, text] of each text node in page order; the paths.
+
+    A p ends where the next block begins, as in a browser; end tags that nothing opened are ignored. Paths are kept as
+    places in a list, so deep pages cost no more than others of their length.
     """
     nodes: list[list] = []
-    tags: dict[str, int] = {}
-    stack: list[tuple[str, str, str, int, bool]] = []  # name, path, branch, off, inside
+    paths = [Path(0, 0, False, False, 0)]
+    place: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int]] = []  # name, path
+    opened: Counter[str] = Counter()
     block = at = 0
 
     def add(text: str) -> None:
         if text.strip():
-            _, path, branch, off, inside = stack[-1] if stack else ("", "", "", 0, False)
-            nodes.append([block, path, branch, off, inside, html.unescape(text)])
+            nodes.append([block, stack[-1][1] if stack else 0, html.unescape(text)])
         elif text and nodes and nodes[-1][0] == block:
-            nodes[-1][5] += " "
+            nodes[-1][2] += " "
 
     def close(names: tuple[str, ...], within: frozenset[str]) -> None:
+        if not any(opened[x] for x in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
+                opened.subtract(x for x, _ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in within:
@@ -94,13 +116,10 @@ def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
         add(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
-        if m[1]:
-            continue  # what isn't shown doesn't part blocks either
         if m[2]:
             block += name not in INLINE
-            if any(s[0] == name for s in stack):
-                close((name,), frozenset())
-        elif name:
+            close((name,), frozenset())
+        elif name:  # what isn't shown doesn't part blocks
             if name == "br":
                 add(" ")
                 continue
@@ -109,56 +128,52 @@ def text_nodes(page: str) -> tuple[list[list], dict[str, int]]:
                 close(("p",), BRANCHES)
                 if name in CLOSES_ITSELF:
                     close(CLOSES_ITSELF[name], frozenset(("ul", "ol", "dl", "table", "select")))
-            step, off = _role(name, m[4] or "")
-            _, path, branch, above_off, inside = stack[-1] if stack else ("", "", "", 0, False)
-            if name in CONTENT and above_off == WORDS:
-                above_off = AROUND
-            off = SURE if SURE in (above_off, off) else off or above_off
-            path = f"{path}/{step}"
-            if off == AROUND:
-                path += "!"  # not the path of an article that stands free
-            tags[path] = tags.get(path, 0) + 1
+            step, never, told = _role(name, m[4] or "")
+            above = stack[-1][1] if stack else 0
+            here = place.setdefault((above, step), len(paths))
+            if here == len(paths):
+                up = paths[above]
+                own = not up.inside and (name in CONTENT or name in BRANCHES)
+                paths.append(Path(above, here if own else up.unit, up.inside or name in CONTENT, up.never or never, up.told + told))
+            paths[here].tags += 1
             if name not in VOID and not (m[4] or "").endswith("/"):
-                stack.append((name, path, path if name in BRANCHES else branch, off, inside or name in CONTENT))
+                stack.append((name, here))
+                opened[name] += 1
     add(page[at:])
-    counted = {WORDS, AROUND, SURE} if any(n[4] and not n[3] for n in nodes) else {WORDS, SURE}
-    if all(n[3] in counted for n in nodes):
-        counted = {SURE}
-    for n in nodes:
-        n[3] = n[3] in counted
-    return nodes, tags
-
-
-def _content_paths(nodes: list[list], tags: dict[str, int]) -> set[str]:
-    paths: dict[str, list] = {}  # in page order: chars, punctuation, branch, off, inside
-    for _, path, branch, off, inside, text in nodes:
-        p = paths.setdefault(path, [0, 0, branch, off, inside])
-        p[0] += len(text.strip())
-        p[1] += len(_PUNCTUATION.findall(text))
-    article = any(p[4] and not p[3] for p in paths.values())
-    order = [x for x in paths if not paths[x][3]]
-    ratios = [(paths[x][0] / max(1, tags.get(x, 1)), paths[x][1] / max(1, tags.get(x, 1))) for x in order]
-    scores: dict[str, float] = {}
-    for i, x in enumerate(order):
+    return nodes, paths
+
+
+def _content_paths(nodes: list[list], paths: list[Path]) -> set[int]:
+    order: dict[int, None] = {}  # in page order
+    for _, at, text in nodes:
+        if not paths[at].never:
+            order[at] = None
+            paths[at].chars += len(text.strip())
+            paths[at].marks += len(_PUNCTUATION.findall(text))
+    listed = list(order)
+    lessened = [PRIOR ** min(40, paths[x].told) / max(1, paths[x].tags) for x in listed]  # before smoothing: a sidebar lifts no neighbour
+    ratios = [(paths[x].chars * less, paths[x].marks * less) for x, less in zip(listed, lessened, strict=True)]
+    units: dict[int, float] = {}
+    for i, x in enumerate(listed):
         near = ratios[max(0, i - 1) : i] + ratios[i + 1 : i + 2]
         text, marks = ((1 - SMOOTH * len(near)) * ratios[i][k] + SMOOTH * sum(r[k] for r in near) for k in (0, 1))
-        prior = 0.0 if article and not paths[x][4] else 1.0
-        scores[x] = prior * text * (1 + marks)
-    branches: dict[str, float] = {}
-    for x, s in scores.items():
-        branches[paths[x][2]] = max(branches.get(paths[x][2], 0.0), s)
-    least = SHARE * max(branches.values(), default=0.0)
-    # all that the best branch holds belongs to it, however short
-    held = max(branches, key=branches.get, default="") + "/"
-    return {x for x in order if scores[x] > 0 and (paths[x][4] or branches[paths[x][2]] >= least or (held != "/" and x.startswith(held)))}
+        unit = paths[x].unit
+        units[unit] = max(units.get(unit, 0.0), text * (1 + marks))
+    best = max(units, key=units.get, default=0)
+    good = {u for u, score in units.items() if score >= SHARE * units[best] and paths[u].inside >= paths[best].inside}
+    held = [False] * len(paths)  # all that the best unit holds belongs to it
+    for x in range(1, len(paths)):  # parents come before their children
+        held[x] = x == best or held[paths[x].parent]
+    # classes inside a unit tell what of it is something else
+    return {x for x in listed if (paths[x].unit in good and paths[x].told <= paths[paths[x].unit].told) or (held[x] and paths[x].told <= paths[best].told)}
 
 
 def main_text(page: str | None) -> str:
     """Content blocks of the page, white space folded, joined by newlines; empty if there are none."""
-    nodes, tags = text_nodes(page or "")
-    content = _content_paths(nodes, tags)
+    nodes, paths = text_nodes(page or "")
+    content = _content_paths(nodes, paths)
     blocks: dict[int, list[str]] = {}
-    for block, path, _, _, _, text in nodes:
+    for block, path, text in nodes:
         if path in content:
             blocks.setdefault(block, []).append(text)
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in blocks.values()) if t)
@@ -171,9 +186,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of each row; null html gives an empty text. Only the three columns are read."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """(page_id, url, text, n_chars) of each row; null and empty html give an empty text.
+
+    Repeated rows each get a row; an empty table gives an empty result. Of units with equal scores the first in page
+    order is the best. Only the three columns are read; ids may be of any type.
+    """
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return rows.mapInArrow(_extract, f"page_id {kind_of(rows, 'page_id')}, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

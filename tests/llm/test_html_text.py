@@ -39,6 +39,30 @@ def test_best_branch_keeps_its_short_parts_and_closed_svg_hides_nothing():
     assert main_text('<p>One</p><svg class="i"/><p>Two</p><svg><text>no</text></svg><p>Three</p>') == "One\nTwo\nThree"
 
 
+def test_ratios_decide_between_articles_and_other_parts():
+    story = "<p>" + "A long sentence of the story, with commas, and more. " * 6 + "</p>"
+    page = f"<div id=content><h1>Title</h1>{story * 5}</div><article class=card><p>A teaser.</p></article>"
+    got = main_text(page)
+    assert got.startswith("Title\nA long sentence") and got.count("\n") == 5 and "teaser" not in got
+    inside = main_text(f"<article>{story}<div class='related-work'><p>Others did this, too.</p></div>{story}</article>")
+    assert "Others did this, too." in inside
+    two = main_text(f"<main><article>{story}</article></main><div class=teaser><article><p>Short.</p></article></div>")
+    assert "Short" not in two
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, they say.</p><object><p>A fallback.</p></object></article>") == "Let x=2 be, they say.\nA fallback."
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    deep = "<div>" * 20_000 + "<p>Deep down, a text.</p>" + "</div>" * 20_000
+    lists = "<ul><li>" * 20_000 + "x"
+    for page, want in ((deep, "Deep down, a text."), (lists, "x"), ('<a title="x>' * 40_001 + "y", None), ("<a " * 100_000, None), ("<!" * 100_000, None), ("<svg a='" * 30_000, None)):
+        began = time.perf_counter()
+        got = main_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+        assert want is None or got == want
+
+
 def test_odd_input():
     for t in (None, "", "   ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>" * 3000, "&bogus; &#xFFFFFFFF;"):
         assert isinstance(main_text(t), str)
