@@ -62,6 +62,7 @@ def test_columns(spark):
     rows = [(i, bytearray(d), k if i % 2 else "text/plain", "x") for i, (k, d) in enumerate(SAMPLES.items())] + [(98, None, "image/png", "y"), (99, bytearray(b""), None, "z")]
     df = spark.createDataFrame(rows, "id long, data binary, declared string, found string")
     got = {r.id: r for r in M.sniff_media(df, "data", "declared").collect()}
+    assert {r.found for r in got.values()} == {"x", "y", "z"}
     for i, kind in enumerate(SAMPLES):
         assert got[i].media_type == kind and got[i].corrected == (i % 2 == 0) and got[i].embedded[0]["length"] == len(SAMPLES[kind])
     assert got[98].media_type is None and got[99].embedded == [] and not got[98].corrected
@@ -79,3 +80,37 @@ def test_round_trip(spark, messy, nothing):
         got.append(payload[: r.n_bytes])
     assert sorted(got) == want
     assert M.stored_texts(nothing).count() == 0
+
+
+def test_pdf_ends_after_its_last_update():
+    first = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    one = first + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n" + str(len(first)).encode() + b"\n%%EOF\n"
+    body = one + b"2 0 obj\n<<>>\nendobj\n"
+    two = body + b"xref\n2 1\ntrailer\n<<>>\nstartxref\n" + str(len(body)).encode() + b"\n%%EOF"
+    assert M.sniff(b"ab" + two + b"\nstartxref\n999999\n%%EOF " + two) == [(2, len(two), "application/pdf"), (2 + len(two) + 24, len(two), "application/pdf")]
+
+
+def test_many_signatures_take_linear_time():
+    import time
+
+    for data in (b"%PDF-1 " * 60_000, b"PK\3\4 " * 60_000, b"%PDF-1 startxref 5 %%EOF" * 20_000):
+        began = time.perf_counter()
+        assert M.sniff(data) == []
+        assert time.perf_counter() - began < 5
+
+
+def test_op7_against_a_plain_version(spark, messy):
+    import hashlib
+
+    def plain(doc_id, text):
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        mean = sum(payload) // len(payload)
+        crossings = sum((a > mean) != (b > mean) for a, b in zip(payload, payload[1:]))
+        feature = f"audio/wav;8bit;1ch;8000Hz;n={len(payload)};mean={mean};min={min(payload)};max={max(payload)};crossings={crossings}"
+        return (doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature)
+
+    assert sorted(map(tuple, M.read_back(M.stored_texts(messy)).collect()), key=repr) == sorted((plain(r.doc_id, r.text) for r in messy.select("doc_id", "text").collect()), key=repr)
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(map(tuple, M.op7_media(spark, "/root/testdata/sf0.001").collect())) == sorted(plain(r.doc_id, r.text) for r in small)
