@@ -3,8 +3,8 @@
 Each source is a queue that is served again and again in one shuffled order (by MD5 of the id). The virtual finish time
 of a serving is the source's cumulative tokens, this one included, divided by the source's target weight. Servings are
 taken in the order of finish time over all sources until the next would exceed the budget: the largest finish time is
-found at which all servings up to it fit. Nothing is ever sorted in one place: prefix sums go by hash buckets within a
-source, and the cut is found from histograms of finish times that are refined twice.
+found at which all servings up to it fit. Prefix sums go by hash buckets within a source; the queue is range-sorted over
+all tasks and cut in the range in which the budget runs out.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tessera.llm.common import free_name, n_words, table, written
 
 #: Buckets of the shuffled order of a source, by the first hexadecimal digits of the hash.
 DIGITS = 3
-#: Buckets of one unit of finish time, in the first and the second histogram.
-FINE = 4096
+#: Servings in one range of the global order, about.
+RANGE = 500_000
 #: Fixed by the contract: weights by place of the source, share of all tokens that is mixed, servings of a document.
 WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 
@@ -45,34 +45,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     return per.select("source", "source_size", F.when(F.col("open_level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("open_level") * F.col("weight"))).alias("target"))
 
 
-def _cut(servings: DataFrame, budget: float) -> float:
+def _cut(servings: DataFrame, budget: float, spark: SparkSession) -> float:
     """The largest finish time up to which all servings together fit into budget; below any if none fits.
 
-    Only the bucket in which the budget runs out is looked at more closely, so the driver gets one row a level.
+    Servings are sorted by finish time over all sources in ranges of about RANGE rows, equal times in one range. The
+    sums of the ranges tell in which one the budget runs out; only that one is added up serving by serving.
     """
-    spent, lower, step = 0.0, None, 1.0
-    for _ in range(2):
-        step *= FINE
-        bucket = F.floor(F.col("finish") * step)
-        # Whatever lies far above the unit level shares one bucket: each level has a bounded number of them.
-        bucket = F.least(bucket, F.lit((lower + 1) * FINE if lower is not None else 4 * FINE))
-        sums = servings.withColumn("bucket", bucket).groupBy("bucket").agg(F.sum("size").alias("size"))
-        if lower is not None:
-            sums = sums.filter(F.col("bucket") >= lower * FINE)
-        run = sums.withColumn("upto", F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(spent))
-        over = run.filter(F.col("upto") > budget).orderBy("bucket").select("bucket", (F.col("upto") - F.col("size")).alias("before")).first()
-        if over is None:
-            return float("inf")
-        lower, spent = over["bucket"], float(over["before"])
-        if lower >= 4 * FINE and step == FINE:
-            break
-    inside = servings.filter(F.floor(F.col("finish") * step) >= lower)
-    if step > FINE:
-        inside = inside.filter(F.floor(F.col("finish") * step) <= lower)
-    by_time = inside.groupBy("finish").agg(F.sum("size").alias("size"))
-    run = by_time.withColumn("upto", F.sum("size").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(spent))
+    n = max(1, -(-servings.count() // RANGE))
+    ranges = servings.repartitionByRange(n, "finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, spark, "mix-sorted")
+    sums = ranges.groupBy("range").agg(F.sum("size").alias("size"))
+    upto = sums.select("range", "size", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    over = upto.filter(F.col("upto") > budget).orderBy("range").select("range", (F.col("upto") - F.col("size")).alias("before")).first()
+    if over is None:
+        return math.inf
+    inside = ranges.filter(F.col("range") == over["range"])
+    by_time = inside.groupBy("range", "finish").agg(F.sum("size").alias("size"))
+    in_order = Window.partitionBy("range").orderBy("finish").rowsBetween(Window.unboundedPreceding, 0)
+    run = by_time.select("finish", (F.sum("size").over(in_order) + F.lit(over["before"])).alias("upto"))
     last = run.filter(F.col("upto") <= budget).agg(F.max("finish")).first()[0]
-    return last if last is not None else math.nextafter(lower / step, -math.inf)
+    return last if last is not None else math.nextafter(inside.agg(F.min("finish")).first()[0], -math.inf)
 
 
 def mix(docs: DataFrame, spark: SparkSession, size: Column, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -97,19 +89,23 @@ def mix(docs: DataFrame, spark: SparkSession, size: Column, weights=WEIGHTS, sha
     finish = [F.coalesce(F.try_divide(F.col("served") + F.col("source_size") * p, F.col("target")), F.lit(0.0)) for p in range(passes)]
     servings = placed.filter("size > 0").select(F.col("all").alias("size"), F.explode(F.array(*finish)).alias("finish"))
     budget = targets.agg(F.sum("target")).first()[0]
-    cut = _cut(servings, budget) if budget else 0.0
+    cut = _cut(servings, budget, spark) if budget else 0.0
     times = sum((F.when(f <= F.lit(cut), 1).otherwise(0) for f in finish), F.lit(0))
     return placed.select("doc_id", "source", "size", "n_rows", "source_size", "target", times.cast("int").alias("times"))
 
 
 def mixed_copies(docs: DataFrame, spark: SparkSession, size: Column, id_col: str = "doc_id", source_col: str = "source", **kind) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with docs' own columns."""
-    times = mix(docs, spark, size, id_col=id_col, source_col=source_col, **kind).filter("times > 0")
-    t = times.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("times").alias("_times"))
-    n = free_name(docs, "n_tokens_")
-    sized = docs.withColumn(n, size.cast("long"))
-    both = sized.join(t, sized[id_col].eqNullSafe(t["_i"]) & sized[source_col].eqNullSafe(t["_s"]) & (sized[n] == t["_n"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[sized[c] for c in docs.columns])
+    """docs' rows, each as often as the mix takes it, with docs' own columns.
+
+    Repeated rows are each taken as often; null ids, null sources and rows of size 0 are treated as mix does. An empty
+    table gives an empty result.
+    """
+    i, s, n, m, times, copy = (free_name(docs, f"mix_{x}") for x in ("id", "source", "size", "of", "times", "copy"))
+    t = mix(docs, spark, size, id_col=id_col, source_col=source_col, **kind).filter("times > 0")
+    t = t.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("times").alias(times))
+    sized = docs.withColumn(m, size.cast("long"))
+    both = sized.join(t, F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.col(m) == F.col(n)))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
