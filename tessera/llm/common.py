@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -47,6 +49,12 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def tagged(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
+    """df written once with a number for each row, and that column's name: repeated rows can be told apart, and stay so."""
+    tag = free_name(df, "row_tag")
+    return written(df.withColumn(tag, F.monotonically_increasing_id()), spark, "tagged"), tag
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores appended until df has no such column in any letter case."""
     taken = {c.lower() for c in df.columns}

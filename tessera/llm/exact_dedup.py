@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, free_name, table, written
+from tessera.llm.common import SPACE, table, tagged, written
 
 #: Runs merged at a time.
 FAN_IN = 16
@@ -27,12 +27,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None) -> DataFrame:
     """One row per input row: id, a tag that tells repeated rows apart, code points, digest, and the run."""
     norm = normalised(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("id"),
-        F.monotonically_increasing_id().alias("tag"),
+        (F.monotonically_increasing_id() if tag is None else tag).alias("tag"),
         F.spark_partition_id().alias("run"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         F.sha2(norm, 256).alias("digest"),
@@ -74,19 +74,13 @@ def exact_groups(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", t
 def exact_dedup(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops, with docs' own columns.
 
-    The winners are found by id and digest, so rows of other texts that share an id are judged for themselves; of
-    wholly repeated rows one stays.
+    Of equal texts the row with the most code points stays, then the one with the smallest id (null last), then the first
+    in docs' order. Rows of other texts that share an id are judged for themselves; of wholly repeated rows one stays.
     """
-    groups = exact_groups(docs, spark, id_col, text_col)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = free_name(docs, "text_sha")
-    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_keep"]) & (rows[sha] == kept["_sha"]), "left_semi")
-    if groups.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
-        # an id with several rows of one text: the longest original, once
-        longest = rows.groupBy(id_col, sha).agg(F.max_by(F.struct(*docs.columns), F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("row"))
-        return longest.select("row.*")
-    return rows.select(*docs.columns)
+    rows, tag = tagged(docs, spark)
+    digests = written(_digests(rows, id_col, text_col, F.col(tag)), spark, "digests")
+    kept = merge_runs(digests, spark).select(F.col("best.tag").alias(tag))
+    return rows.join(kept, tag, "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

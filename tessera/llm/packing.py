@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import kind_of, table, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed by one task; at most about twice that.
@@ -39,8 +39,8 @@ _SPECIAL = "<|"
 SPLIT_OF_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 
-PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "row long, doc_id {}, piece int, start long, length long, ids_crc32 long"
+PLACED = "doc_id {}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -106,7 +106,7 @@ def _pieces_of(path: str, capacity: int, end_id: int):
                     part = ids[at : at + 4 * capacity]
                     out.append((row, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -115,8 +115,8 @@ def _pieces_of(path: str, capacity: int, end_id: int):
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32) of each document's ids and end_id, cut every capacity ids; row tells repeated rows apart."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces_of(tokenizer_path, capacity, end_id), PIECES)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_pieces_of(tokenizer_path, capacity, end_id), PIECES.format(kind_of(rows, "doc_id")))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +159,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     """pieces with sequence_id and offset: gapless from 0 in each sequence. An empty table gives an empty result."""
     n_shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(n_shards)))
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), PLACED)
+    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), PLACED.format(kind_of(pieces, "doc_id")))
 
 
 def packed(docs: DataFrame, spark: SparkSession, tokenizer_path: str | None = None, **kind) -> DataFrame:
-    """Places of all pieces of docs. Null texts are empty and give a piece of one id; rows with one id are packed each for itself."""
+    """Places of all pieces of docs. Null texts are empty and give a piece of one id; rows with one id are packed each for itself. Only ids and texts are read, whatever else docs has."""
     if tokenizer_path is None:
         import public_tokenizers
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import free_name, kind_of, table, written
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -71,8 +71,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_feature_rows, "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_feature_rows, f"doc_id {kind_of(rows, 'doc_id')}, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
 @dataclass
@@ -170,10 +170,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 def train(rows: DataFrame, labels: DataFrame, learn: F.Column, train_rows: int = TRAIN_ROWS, label: str = "quality") -> Additive:
     """rows: a feature table; labels: (doc_id, label). learn: which of labels may be learned from.
 
-    The sample is the train_rows label rows of lowest hash; labels that are null, or whose document is missing, don't count.
+    The sample is the train_rows ids of lowest hash; labels that are null, or whose document is missing, don't count. Of
+    several labels of an id the higher counts, of several rows the one with the smallest features.
     """
-    chosen = labels.filter(learn & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
-    got = chosen.join(rows, "doc_id").select("doc_id", "label", *FEATURES).toPandas().sort_values(["doc_id", "label", *FEATURES])
+    chosen = labels.filter(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    one = chosen.join(rows, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(*FEATURES)).alias("f"))
+    got = one.select("doc_id", "label", "f.*").toPandas().sort_values("doc_id")
     return fit(got[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES)), got["label"].to_numpy(np.float64))
 
 
@@ -191,10 +193,15 @@ def remainder(doc_id, of: int) -> F.Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of docs; null and empty texts are scored like any other. Only ids and texts of docs are read."""
+    """(doc_id, score) for each row of docs; null and empty texts are scored like any other.
+
+    Repeated rows are each scored, equal texts alike; an empty table gives an empty result, and without labels of both
+    kinds all scores are one constant. Only ids and texts of docs are read; ids may be of any type that labels can be
+    joined by.
+    """
     rows = written(feature_table(docs, id_col, text_col), spark, "features")
-    model = train(rows.dropDuplicates(["doc_id"]), labels, learn, train_rows)
-    return rows.mapInArrow(_scores(model), "doc_id long, score double")
+    model = train(rows, labels, learn, train_rows)
+    return rows.mapInArrow(_scores(model), f"doc_id {kind_of(rows, 'doc_id')}, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +212,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score below threshold. Rows with one id and different texts stay if one of them is good."""
-    good = quality_scores(docs, labels, spark, remainder("doc_id", 4) != 2).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_good"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi")
+    good = free_name(docs, "good_id")
+    ids = quality_scores(docs, labels, spark, remainder("doc_id", 4) != 2).filter(F.col("score") >= threshold).select(F.col("doc_id").alias(good))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(good)), "left_semi")

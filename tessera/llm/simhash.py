@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import kind_of, table, tagged, written
 from tessera.llm.components import components
 
 RADIUS, SEED = 3, 42
@@ -47,12 +47,14 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.fromiter((fingerprint(t) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
+    """(fp, doc_id) and, if asked for, the tag of each row."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *([F.col(tag).alias("tag")] if tag else []))
+    return rows.mapInArrow(_fingerprints, f"fp long, doc_id {kind_of(rows, 'doc_id')}" + (", tag long" if tag else ""))
 
 
 def _without(values: np.ndarray, block: int) -> np.ndarray:
@@ -117,9 +119,11 @@ def _linked_in(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a key's rows may span batches, so those of the last key wait for the next batch."""
     empty = np.empty(0, np.uint64)
-    key, fp = empty, empty
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key so far, joined once it is complete
 
-    def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def flush() -> pa.RecordBatch:
+        key, fp = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (empty, empty)
+        held.clear()
         shared = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
         shared[1:] |= same
@@ -130,13 +134,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
 
     for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if len(key):
-            end = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
-            yield flush(key[:end], fp[:end])
-            key, fp = key[end:], fp[end:]
-    yield flush(key, fp)
+        key, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
+        if last or not held or held[-1][0][-1] != key[0]:
+            held.append((key[:last], fp[:last]))
+            yield flush()
+        held.append((key[last:], fp[last:]))
+    yield flush()
 
 
 def near_links(distinct_fps: DataFrame) -> DataFrame:
@@ -146,26 +152,41 @@ def near_links(distinct_fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long").distinct()
 
 
+def component_labels(distinct_fps: DataFrame, spark: SparkSession) -> DataFrame:
+    """(fp, label): fingerprints that reach each other have one label."""
+    links = written(near_links(distinct_fps), spark, "links")
+    labels = components(links, spark)
+    return distinct_fps.join(labels, distinct_fps["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Null and blank texts have fingerprint 0 and link like any other. component_id is the smallest id reachable; rows
-    with a null id get that of their component too, null if it has no other. An empty table gives an empty result.
+    with a null id get that of their component too, null if it has no other. Repeated rows each get a row, all alike.
+    An empty table gives an empty result. Ids may be of any type that has an order; other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col), spark, "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), spark, "classes")
-    links = written(near_links(classes.select("fp")), spark, "links")
-    labels = components(links, spark)
-    labelled = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labelled = classes.join(component_labels(classes.select("fp"), spark).withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = written(labelled.join(smallest, "label").select(F.col("fp").alias("f"), "component_id"), spark, "component-ids")
+    ids = written(labelled.join(smallest, "label").select("f", "component_id"), spark, "component-ids")
     return fps.join(ids, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows without an id stay."""
-    keep = near_duplicates(docs, spark, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").union(docs.filter(docs[id_col].isNull()))
+    """docs with one row of each component, with docs' own columns.
+
+    The row with the smallest id stays (null last), of several with that id the first in docs' order; so of repeated
+    rows one stays.
+    """
+    rows, tag = tagged(docs, spark)
+    fps = written(fingerprints(rows, id_col, text_col, tag), spark, "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag"))
+    classes = written(fps.groupBy("fp").agg(least.alias("least")), spark, "classes")
+    labelled = classes.join(component_labels(classes.select("fp"), spark).withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"))
+    kept = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.tag").alias(tag))
+    return rows.join(kept, tag, "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 #: A text far longer than any other, and what operators call their own columns.
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
-CLASHING = ("score", "label", "fp", "key", "run", "size", "text_sha", "u", "t1", "t2", "copies", "terms", "bucket", "path", "license", "_keep", "_good", "found")
+CLASHING = ("score", "label", "fp", "key", "run", "size", "text_sha", "u", "t1", "t2", "copies", "terms", "bucket", "path", "license", "_keep", "_good", "found", "_times", "_copy", "_i", "_s", "_n", "tag", "row_tag", "good_id", "mix_id", "mix_times", "least", "open", "range")
 
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog. It was a fine day.", "en", "a"),

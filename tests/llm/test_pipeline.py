@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm.quality import op3_quality
 from tests.llm import test_mixing, test_packing
@@ -58,3 +60,16 @@ def test_run(spark):
         whole[r.doc_id] += r.length
     for i, n in whole.items():
         assert n % (len(test_packing.ids_of(docs[i])) + 1) == 0
+
+
+def test_messy_tables(spark, messy, nothing, tmp_path):
+    """Nulls, blanks, a very long text, repeated rows and clashing columns go through all stages; so does an empty table."""
+    for name, docs in (("messy", messy), ("nothing", nothing)):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{sf}/labels.parquet")
+        got = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, got, sf)
+            assert got.columns == docs.columns
+        assert bool(corpus_pipeline.run(spark, sf).count()) == bool(docs.count())

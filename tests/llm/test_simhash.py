@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -91,6 +92,20 @@ def test_dedup_and_empty_table(spark, messy, nothing):
     assert kept.columns == messy.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert None in ids and {4, 5}.isdisjoint(ids) and 3 in ids
+    assert ids.count(8) == 1 and len(ids) == len(set(brute_labels(messy)))
+
+
+def brute_labels(docs):
+    rows = [(d, plain_fingerprint(t)) for d, t in docs.select("doc_id", "text").collect()]
+    fps = sorted({f for _, f in rows})
+    label = classes([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3], fps)
+    return [label[f] for _, f in rows]
+
+
+def test_ids_of_any_type(spark, messy):
+    named = messy.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    assert S.near_duplicates(named, spark).count() == messy.count()
+    assert S.near_dedup(named, spark).count() == S.near_dedup(messy, spark).count()
 
 
 @pytest.mark.parametrize("n", [2, 3, 50, 333])
