@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import kind_of, table, written
 from tessera.llm.quality import remainder
 
-#: Bound of the labelled sample.
-TRAIN_ROWS = 20_000
+#: Bound of the labelled sample; its index has to fit into the driver and into every worker (about 90 MB of such texts).
+TRAIN_ROWS = 8_000
 #: Chosen by folds of learnable rows: shrinkage, power and floor of relevance; neighbours, power and prior of votes.
 SHRINK, SHARPNESS, FLOOR = 20.0, 3, 0.02
 K, POWER, PRIOR = 15, 2, 0.1
@@ -206,29 +205,33 @@ def build_index(examples: Examples, idf: np.ndarray, other_idf: float) -> Index:
     relevant, rate = relevance(examples, len(idf))
     factor = idf * relevant
     n = np.diff(examples.start)
-    row = np.repeat(np.arange(len(n)), n)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
     weight = (1 + np.log(examples.tf)) * factor[examples.term]
     weight /= np.sqrt(np.bincount(row, weight * weight, len(n)))[row]
     # examples in the order of their weightiest term
-    by_weight = np.lexsort((-weight, row))
-    has = n > 0
+    heaviest = np.zeros(len(n))
+    np.maximum.at(heaviest, row, weight)
+    top = np.flatnonzero(weight == heaviest[row])[::-1]  # of several the first
     lead = np.full(len(n), -1)
-    lead[has] = examples.term[by_weight[examples.start[:-1][has]]]
+    lead[row[top]] = examples.term[top]
     turn = np.lexsort((np.arange(len(n)), n, lead))
     place_of = np.empty(len(n), np.int64)
     place_of[turn] = np.arange(len(n))
     r = _ranges(examples.start[:-1][turn], n[turn])
     rows = (np.concatenate([[0], np.cumsum(n[turn])]), examples.term[r].astype(np.int32), weight[r])
     example = place_of[row]
-    order = np.lexsort((example, examples.term))
-    term, example, weight = examples.term[order].astype(np.int64), example[order], weight[order]
+    order = np.argsort(examples.term * np.int64(len(n)) + example)
+    example, weight = example[order].astype(np.int32), weight[order]
     n_blocks = max(1, -(-len(n) // BLOCK))
-    cell, place = np.unique(term * n_blocks + example // BLOCK, return_index=True)
+    cell = examples.term[order] * np.int64(n_blocks) + example // BLOCK
+    del order, row, top
+    place = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+    cell = cell[place]
     block_max = np.maximum.reduceat(weight, place) if len(place) else np.empty(0)
     first = np.searchsorted(cell, np.arange(len(idf) + 1) * n_blocks)
     return Index(
         factor, other_idf * FLOOR**SHARPNESS, [examples.ids[i] for i in turn.tolist()], examples.labels[turn], first, (cell % n_blocks).astype(np.int32), block_max,
-        np.append(place, len(term)), example.astype(np.int32), weight, rate, *rows,
+        np.append(place, len(weight)), example, weight, rate, *rows,
     )
 
 
@@ -305,6 +308,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, lea
     got = named.orderBy("doc_id").toArrow().combine_chunks()
     names, tfs = (got.column(c).combine_chunks() for c in ("names", "tfs"))
     vocabulary, term = np.unique(names.flatten().to_numpy(), return_inverse=True)
+    term = term.astype(np.int32)
     start = np.concatenate([[0], np.cumsum(names.value_lengths().to_numpy())]) if len(got) else np.zeros(1, np.int64)
     examples = Examples(got.column("doc_id").to_pylist(), got.column("label").to_numpy().astype(float), start, term, tfs.flatten().to_numpy())
 
@@ -324,7 +328,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, lea
         index = build_index(examples.only(np.flatnonzero(in_fold != f)), idf, other_idf)
         return named.filter(fold == f).select("names", "tfs", "label").mapInArrow(_fold_votes(vocabulary, index), "vote double, label double")
 
-    voted = reduce(DataFrame.union, [votes(f) for f in range(FOLDS)]).toArrow()
+    voted = pa.concat_tables([votes(f).toArrow() for f in range(FOLDS)])  # one after the other: the driver holds one index
     fit = isotonic(voted.column("vote").to_numpy(), voted.column("label").to_numpy())
     return vectors.mapInArrow(_score_rows(build_index(examples, idf, other_idf), fit, got.schema.field("doc_id").type), scored)
 
