@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import kind_of, table, written
 from tessera.llm.quality import remainder
 
-#: Bound of the labelled sample; its index has to fit into the driver and into every worker (about 90 MB of such texts).
-TRAIN_ROWS = 8_000
+#: Bound of the labelled sample; its index has to fit into the driver and into every worker (about 50 MB of such texts).
+TRAIN_ROWS = 5_000
 #: Chosen by folds of learnable rows: shrinkage, power and floor of relevance; neighbours, power and prior of votes.
 SHRINK, SHARPNESS, FLOOR = 20.0, 3, 0.02
 K, POWER, PRIOR = 15, 2, 0.1
@@ -135,8 +135,14 @@ class Index:
     row_term: np.ndarray
     row_weight: np.ndarray
 
-    def __post_init__(self) -> None:
-        self._scratch = np.zeros(len(self.factor))
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scratch"}
+
+    @property
+    def scratch(self) -> np.ndarray:
+        if "_scratch" not in self.__dict__:
+            self._scratch = np.zeros(len(self.factor))
+        return self._scratch
 
     def nearest(self, terms: np.ndarray, tfs: np.ndarray, other: float = 0.0, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples that share a term, ties by place.
@@ -156,11 +162,11 @@ class Index:
         near = score >= kth - slack - 1e-12
         score, at = score[near], at[near]
         if slack:
-            self._scratch[terms] = q
+            self.scratch[terms] = q
             n = self.row[at + 1] - self.row[at]
             e = _ranges(self.row[at], n)
-            cos = np.add.reduceat(self._scratch[self.row_term[e]] * self.row_weight[e], np.cumsum(n) - n)
-            self._scratch[terms] = 0
+            cos = np.add.reduceat(self.scratch[self.row_term[e]] * self.row_weight[e], np.cumsum(n) - n)
+            self.scratch[terms] = 0
         else:
             cos = score
         best = np.lexsort((at, -cos))[:k]
@@ -251,10 +257,11 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, np.maximum.accumulate(np.array([(p[0] + 0.05) / (p[1] + 0.1) for p in pools]))
 
 
-def _score_rows(index: Index, fit: tuple[np.ndarray, np.ndarray] | None, id_kind: pa.DataType):
+def _score_rows(shared, fit: tuple[np.ndarray, np.ndarray] | None, id_kind: pa.DataType):
     kind = pa.list_(pa.struct([("id", id_kind), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             start = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
             terms, tfs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
@@ -276,10 +283,11 @@ def _score_rows(index: Index, fit: tuple[np.ndarray, np.ndarray] | None, id_kind
     return run
 
 
-def _fold_votes(vocabulary: np.ndarray, index: Index):
+def _fold_votes(vocabulary: np.ndarray, shared):
     """Votes that examples get from an index they aren't in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             start = np.concatenate([[0], np.cumsum(batch.column(0).value_lengths().to_numpy())])
             terms, tfs = np.searchsorted(vocabulary, batch.column(0).flatten().to_numpy()), batch.column(1).flatten().to_numpy()
@@ -324,13 +332,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, lea
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))
     in_fold = named.orderBy("doc_id").select(fold.alias("fold")).toArrow().column("fold").to_numpy()
 
-    def votes(f: int) -> DataFrame:
-        index = build_index(examples.only(np.flatnonzero(in_fold != f)), idf, other_idf)
-        return named.filter(fold == f).select("names", "tfs", "label").mapInArrow(_fold_votes(vocabulary, index), "vote double, label double")
+    share = spark.sparkContext.broadcast  # an index is as large as train_rows texts
+
+    def votes(f: int) -> pa.Table:
+        index = share(build_index(examples.only(np.flatnonzero(in_fold != f)), idf, other_idf))
+        voted = named.filter(fold == f).select("names", "tfs", "label").mapInArrow(_fold_votes(vocabulary, index), "vote double, label double").toArrow()
+        index.destroy()
+        return voted
 
-    voted = pa.concat_tables([votes(f).toArrow() for f in range(FOLDS)])  # one after the other: the driver holds one index
+    voted = pa.concat_tables([votes(f) for f in range(FOLDS)])
     fit = isotonic(voted.column("vote").to_numpy(), voted.column("label").to_numpy())
-    return vectors.mapInArrow(_score_rows(build_index(examples, idf, other_idf), fit, got.schema.field("doc_id").type), scored)
+    return vectors.mapInArrow(_score_rows(share(build_index(examples, idf, other_idf)), fit, got.schema.field("doc_id").type), scored)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
