@@ -48,10 +48,21 @@ def ignorable(value: Column) -> Column:
 
 
 def normalize_wildcards(value: Column) -> Column:
-    """Runs of * and ? that hold a * become one *; null if a word with a wildcard has fewer than three other characters."""
+    """Runs of * and ? that hold a * become one *; null if a word has a wildcard, but none beside three other characters."""
     v = F.regexp_replace(value, r"[*?]*\*[*?]*", "*")
     words = F.filter(F.split(v, r"[\s-]+"), lambda w: w.rlike(r"[*?]"))
-    return F.when(F.forall(words, lambda w: F.length(F.regexp_replace(w, r"[*?]", "")) >= 3), v)
+    return F.when(F.forall(words, lambda w: w.rlike(r"[*?][^*?]{3}|[^*?]{3}[*?]")), v)
+
+
+def checked_wildcards(value: str) -> str:
+    """normalize_wildcards of one search value; what that makes null is an error."""
+    import re
+
+    value = re.sub(r"[*?]*\*[*?]*", "*", value)
+    for word in re.split(r"[\s-]+", value):
+        if re.search(r"[*?]", word) and not re.search(r"[*?][^*?]{3}|[^*?]{3}[*?]", word):
+            raise ValueError(f"a wildcard needs three other characters beside it: {word!r}")
+    return value
 
 
 def wildcard_regex(word: str) -> str:
@@ -102,6 +113,34 @@ def page_link(base: Column, kind: str, scope: Column, criteria: Column, page: Co
     return F.concat(base, F.lit(f"/{kind}/"), scope, F.lit("?q="), encoded(criteria), F.lit("&page="), page.cast("string"), F.lit("&pageLength="), length.cast("string"))
 
 
+def facet_link(base: Column, scope: Column, facet: Column, criteria: Column, page: Column) -> Column:
+    return F.concat(base, F.lit("/facets/"), scope, F.lit("/"), facet, F.lit("?q="), encoded(criteria), F.lit("&page="), page.cast("string"))
+
+
+def estimate_link(base: Column, scope: Column, criteria: Column) -> Column:
+    return F.concat(base, F.lit("/search-estimate/"), scope, F.lit("?q="), encoded(criteria))
+
+
+def list_link(base: Column, scope: Column, name: Column, uri: Column) -> Column:
+    """A related list: its name and the record it belongs to."""
+    return F.concat(base, F.lit("/related-list/"), scope, F.lit("?name="), encoded(name), F.lit("&uri="), encoded(uri))
+
+
+def array_merge(a: Column, b: Column) -> Column:
+    """Values of both, each once, those of a first."""
+    return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+
+
+def array_remove_all(a: Column, b: Column) -> Column:
+    """Values of a that b lacks."""
+    return F.array_except(a, b)
+
+
+def array_difference(a: Column, b: Column) -> Column:
+    """Values that only one of the two has."""
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
 def to_number(text: Column, name: str = "value") -> Column:
     """A double, or an error that names the value."""
     n = text.try_cast("double")

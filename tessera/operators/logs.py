@@ -105,10 +105,15 @@ def regex_counts(lines: DataFrame, pattern: str, column: str = "line", group: in
 
 def activity_ranges(log: DataFrame, by: str, gap_seconds: int = 60, least_seconds: int = 180) -> DataFrame:
     """(by, start, end, n): stretches without a gap longer than gap_seconds, of least_seconds or more."""
-    w = Window.partitionBy(by).orderBy("ts", "request_id")
-    gap = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
-    numbered = log.select(by, "ts", "request_id", gap.alias("gap")).withColumn("stretch", F.sum("gap").over(w))
-    out = numbered.groupBy(by, "stretch").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
+    def numbered(rows: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(begin, end)
+        gap = F.coalesce((F.unix_micros(begin) - F.unix_micros(F.lag(end).over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
+        return rows.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(w))
+
+    # stretches of each hour first, so that a busy kind is sorted by many tasks; then only these are joined
+    hours = log.select(by, F.floor(F.unix_seconds("ts") / 3600).alias("hour"), "ts")
+    parts = numbered(hours, [by, "hour"], "ts", "ts").groupBy(by, "hour", "stretch").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
+    out = numbered(parts.drop("hour", "stretch"), [by], "start", "end").groupBy(by, "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
     return out.filter(F.unix_micros("end") - F.unix_micros("start") >= least_seconds * 1_000_000).drop("stretch")
 
 
@@ -129,6 +134,18 @@ def queue_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def odd_related_lists(checks: DataFrame, slow_ms: int = 10_000) -> DataFrame:
+    """(name, checks, found, unknown, slow) of related-list checks: unknown ones report no duration, slow ones hit the cap."""
+    return checks.groupBy("name").agg(
+        F.count(F.lit(1)).alias("checks"), F.count_if("has").alias("found"), F.count_if(F.col("ms").isNull()).alias("unknown"), F.count_if(F.col("ms") >= slow_ms).alias("slow")
+    )
+
+
+def restarts(lines: DataFrame, column: str = "line", pattern: str = r"\bStarting\b") -> DataFrame:
+    """(node, restarts) of server logs (node, line)."""
+    return lines.groupBy("node").agg(F.count_if(F.col(column).rlike(pattern)).alias("restarts"))
+
+
 def severe(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.filter(~F.col(column).rlike(r"\b(Debug|Info):"))
 

@@ -7,6 +7,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -63,8 +64,15 @@ def hop_by_id(fields: DataFrame, id_fields: Sequence[str], uri: str, weight: flo
 
 
 def field_range(fields: DataFrame, field: str, op: str, value: float, weight: float = 1.0) -> DataFrame:
-    number = F.coalesce(F.col("v_float"), F.col("v_long").cast("double"))
-    return _scored(fields.filter((F.col("field") == field) & compare(number, op, F.lit(float(value)))), "uri", weight)
+    """Each column is compared by itself, so that the comparisons reach the scan and longs keep all their digits."""
+    exact, value = value, float(value)
+    whole = value.is_integer()
+    if whole or op in ("=", "!="):
+        on_long = compare(F.col("v_long"), op, F.lit(int(exact))) if whole else F.lit(op == "!=")
+    else:  # between two whole numbers
+        on_long = compare(F.col("v_long"), ">=" if op in (">", ">=") else "<", F.lit(math.ceil(value)))
+    on_float = compare(F.col("v_float"), op, F.lit(value))
+    return _scored(fields.filter((F.col("field") == field) & (on_float | (F.col("v_float").isNull() & on_long))), "uri", weight)
 
 
 def field_value(fields: DataFrame, names: Sequence[str], values: Sequence, weight: float = 1.0) -> DataFrame:
@@ -102,13 +110,13 @@ def date_range(fields: DataFrame, start_field: str, end_field: str, value: str,
 
 
 def property_value(docs: DataFrame, names: Sequence[str], values: Sequence, weight: float = 1.0, json: str = "json") -> DataFrame:
-    """Records whose JSON text has a property of one of the names, anywhere, with one of the values."""
+    """Records whose JSON text has a property of one of the names, anywhere, with one of the values or an array that holds one."""
     import json as j
     import re
 
     keys = "|".join(re.escape(n) for n in names)
     any_value = "|".join(re.escape(j.dumps(v, ensure_ascii=False)) for v in values)
-    return _scored(docs.filter(F.col(json).cast("string").rlike(rf'"(?:{keys})"\s*:\s*(?:{any_value})\s*[,}}\]]')), "uri", weight)
+    return _scored(docs.filter(F.col(json).cast("string").rlike(rf'"(?:{keys})"\s*+:\s*+(?:\[(?:\s*+(?:"(?:[^"\\]|\\.)*+"|[^\[\]{{}}",]++),)*\s*+)?(?:{any_value})\s*+[,}}\]]')), "uri", weight)
 
 
 def record_type(docs: DataFrame, names: Sequence[str], scopes: dict[str, list[str]], weight: float = 1.0) -> DataFrame:
@@ -146,6 +154,8 @@ def field_word(postings: DataFrame, names: Sequence[str], value: str, options: M
     import re
 
     p = postings.filter(F.col("field").isin(list(names)))
+    if options.wildcarded:
+        value = T.checked_wildcards(value)
     words = [w for w in re.split(r"[^\w*?]+" if options.wildcarded else r"\W+", value) if w]
     if not words:
         raise ValueError("nothing to search for")
@@ -253,7 +263,7 @@ def relevance(postings: DataFrame, names: Sequence[str], weighted: dict[str, flo
     w = spark.createDataFrame([(k, float(v)) for k, v in weighted.items()], "word string, weight double").withColumn("folded", T.fold(F.col("word")))
     tf = p.join(F.broadcast(w), "folded").groupBy("uri", "folded", "weight").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("folded").agg(F.count(F.lit(1)).alias("df"))
-    n = p.agg(F.count_distinct("uri").alias("n"))
+    n = p.filter("pos = 0").agg(F.count_distinct("uri").alias("n"))  # one token a field
     s = tf.join(df, "folded").crossJoin(F.broadcast(n))  # one row
     return s.groupBy("uri").agg(F.sum(F.col("weight") * (1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("score"))
 
@@ -262,16 +272,21 @@ def match_batch(criteria: DataFrame, fields: DataFrame) -> DataFrame:
     """Many searches in one job: (search_id, uri, score).
 
     criteria: (search_id, group_id, field, op, value, weight, negated). Leaves of a group are ORed, groups ANDed, negated
-    leaves exclude. op is "=" (text or number) or one of < <= > >= (number). The criteria are small next to the fields and
-    join on the field's name, so fields are read once.
+    leaves exclude. op is "=" (text or number) or one of < <= > >= (number). Equality leaves join on field and value;
+    range leaves that say the same are met with the fields once, whatever the number of searches that ask for them.
     """
+    leaf = ["field", "op", "value"]
     n = F.coalesce(F.col("v_float"), F.col("v_long").cast("double"))
-    v = F.col("value").try_cast("double")
-    hit = (
-        F.when(F.col("op") == "=", F.col("v_str").eqNullSafe(F.col("value")) | (n == v))
-        .when(F.col("op") == "<", n < v).when(F.col("op") == "<=", n <= v).when(F.col("op") == ">", n > v).when(F.col("op") == ">=", n >= v)
-    )
-    leaves = fields.join(criteria, "field").filter(hit).groupBy("search_id", "group_id", "uri", "negated").agg(F.max("weight").alias("weight"))
+    asked = criteria.select(*leaf).distinct().withColumn("v", F.col("value").try_cast("double"))
+    same, ranges = asked.filter("op = '='"), asked.filter("op <> '='").withColumnRenamed("field", "f")
+    text = fields.filter("v_str is not null").select("uri", "field", F.col("v_str").alias("value")).join(same, ["field", "value"]).select("uri", *leaf)
+    numbers = fields.select("uri", "field", n.alias("v")).filter("v is not null")
+    number = numbers.join(same, ["field", "v"]).select("uri", *leaf)
+    v = F.col("r.v")
+    within = F.when(F.col("op") == "<", F.col("n.v") < v).when(F.col("op") == "<=", F.col("n.v") <= v).when(F.col("op") == ">", F.col("n.v") > v).when(F.col("op") == ">=", F.col("n.v") >= v)
+    between = numbers.alias("n").join(ranges.alias("r"), (F.col("field") == F.col("f")) & within).select("uri", *leaf)
+    hits = text.union(number).union(between).distinct()
+    leaves = hits.join(criteria, leaf).groupBy("search_id", "group_id", "uri", "negated").agg(F.max("weight").alias("weight"))
     groups = criteria.filter("not negated").groupBy("search_id").agg(F.count_distinct("group_id").alias("groups"))
     met = leaves.filter("not negated").groupBy("search_id", "uri").agg(F.count_distinct("group_id").alias("met"), F.sum("weight").alias("score"))
     good = met.join(groups, "search_id").filter("met = groups").select("search_id", "uri", "score")

@@ -85,14 +85,18 @@ def violations(records: DataFrame) -> DataFrame:
     return records.select("uri", F.explode(broken).alias("rule"))
 
 
-def apply_changes(sets: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(sets: DataFrame, changes: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """A new snapshot of user-made sets (uri, username, members array<string>, history array<struct<user, at>>).
 
     changes: (uri or null, username, members, at), one a set. A null uri creates a set with a new one. Members lose
     repetitions and the set itself; the creator's name is kept; one entry is added to the history unless the last one has
-    the same user and second.
+    the same user and second. The new uri is a hash of the change, so a repeated task makes the same one. records, as
+    violations takes them, are the changed sets themselves: changes of those that break a rule are left out.
     """
-    c = changes.withColumn("uri", F.coalesce("uri", F.concat(F.lit("set/"), F.expr("uuid()"))))
+    made = F.concat(F.lit("set/"), F.substring(F.sha2(F.to_json(F.struct("username", "members", "at")), 256), 1, 32))
+    c = changes.withColumn("uri", F.coalesce("uri", made))
+    if records is not None:
+        c = c.join(violations(records), "uri", "left_anti")
     c = c.select(F.col("uri"), F.col("username").alias("by"), F.array_remove(F.array_distinct("members"), F.col("uri")).alias("new"), F.date_trunc("second", "at").alias("at"))
     entry = F.struct(F.col("by").alias("user"), F.col("at").alias("at"))
     both = sets.join(c, "uri", "full")
@@ -117,7 +121,7 @@ def visible(docs: DataFrame, slices: list[str], user: str | None = None) -> Data
     return mine.withColumn("seen_as", F.when(own, "record").otherwise("name"))
 
 
-#: Sub-trees of a record by name: the event or property, and what of it.
+#: Sub-trees of a record by name, as the event or property and what of it.
 GETTERS = {
     "about": ("about", ""), "active_at": ("carried_out", "took_place_at"), "birth_place": ("born", "took_place_at"), "birth_time": ("born", "timespan"), "carried_out_by": ("carried_out_by", ""),
     "carries": ("carries", ""), "classified_as": ("classified_as", ""), "created_at": ("created_by", "took_place_at"), "created_by": ("created_by", "carried_out_by"), "creation_time": ("created_by", "timespan"),
@@ -151,3 +155,21 @@ def keep_properties(json: Column, names: list[str]) -> Column:
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.get_json_object(json, f"$.{n}").alias("v")) for n in names]), lambda p: p["v"].isNotNull())
     quoted = lambda v: F.when(v.rlike(r'^\s*([\[{]|-?[0-9.]+([eE][+-]?[0-9]+)?\s*$|(true|false|null)\s*$)'), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), quoted(p["v"]))), ","), F.lit("}"))
+
+
+def sorted_keys(json: Column) -> Column:
+    """JSON text with the top-level properties in the order of their names; objects below keep theirs."""
+    return keep_sorted(json, F.array_sort(F.json_object_keys(json)))
+
+
+def keep_sorted(json: Column, names: Column) -> Column:
+    as_map = F.from_json(json, "map<string, string>")
+    quoted = F.transform(names, lambda n: F.concat(F.to_json(F.array(n)).substr(F.lit(2), F.length(F.to_json(F.array(n))) - 2), F.lit(":"), _as_json(F.try_element_at(as_map, n))))
+    return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
+
+
+def _as_json(v: Column) -> Column:
+    """A value of from_json's map as JSON again: text that reads as an object, array, number or literal stays, other text is quoted."""
+    bare = v.rlike(r'^\s*([\[{]|-?[0-9.]+([eE][+-]?[0-9]+)?\s*$|(true|false|null)\s*$)')
+    text = F.to_json(F.array(v))
+    return F.when(v.isNull(), "null").when(bare, v).otherwise(text.substr(F.lit(2), F.length(text) - 2))

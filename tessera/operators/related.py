@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import camel_words
 
 Path = tuple[str, str, bool, str, bool]
-CAP = 250_000
 
 
 def _hop(triples: DataFrame, predicate: str, forward: bool) -> DataFrame:
@@ -30,8 +29,9 @@ def _ends(triples: DataFrame, path: Path, start: DataFrame) -> DataFrame:
     """
     key, first, first_forward, second, second_forward = path
     one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid")).distinct()
-    two = one.join(_hop(triples, second, second_forward), F.col("mid") == F.col("a")).select("start", F.col("b").alias("uri"))
-    n = F.count(F.lit(1)) if second_forward else F.max(F.lit(1).cast("long"))
+    counted = _hop(triples, second, second_forward).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))  # before the hubs meet
+    two = one.join(counted, F.col("mid") == F.col("a")).select("start", F.col("b").alias("uri"), "c")
+    n = F.sum("c") if second_forward else F.max(F.lit(1).cast("long"))
     return two.filter("start <> uri").groupBy("start", "uri").agg(n.alias("n")).select("start", "uri", F.lit(key).alias("key"), "n")
 
 

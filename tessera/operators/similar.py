@@ -43,14 +43,29 @@ def similar(values: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "uri"))).filter(F.col("rank") <= k).select("seed", "uri", "score", "rank")
 
 
-def similar_dates(fields: DataFrame, start_field: str, end_field: str, seed: str) -> DataFrame:
-    """Records whose span contains the seed's widened window of years; a side that the seed lacks is skipped."""
+def similar_match(values: DataFrame, uri: str) -> DataFrame:
+    """A match (uri, score) of the records similar to one, to be combined with others; without values it is an error."""
+    if values.filter(F.col("uri") == uri).isEmpty():
+        raise ValueError(f"{uri} has no values to be similar in")
+    return similar(values, values.sparkSession.createDataFrame([(uri,)], "uri string"), 1 << 30).select("uri", "score")
+
+
+def similar_dates(fields: DataFrame, start_field: str, end_field: str, seeds: DataFrame) -> DataFrame:
+    """(seed, uri): records that begin before and end after each seed's widened window of years; a side that the seed lacks is skipped.
+
+    Spans and windows are met by their years, so each pair of them is looked at once, however many records share it.
+    """
     year = lambda c: F.year(F.timestamp_seconds(c))
     f = fields.filter(F.col("field").isin(start_field, end_field))
     spans = f.groupBy("uri").agg(F.min(F.when(F.col("field") == start_field, F.col("v_long"))).alias("s"), F.max(F.when(F.col("field") == end_field, F.col("v_long"))).alias("e"))
-    one = spans.filter(F.col("uri") == seed).select(similar_window(year(F.col("s")))[0].alias("lo"), similar_window(year(F.col("e")))[1].alias("hi"))
-    inside = (F.col("lo").isNull() | (year(F.col("s")) >= F.col("lo"))) & (F.col("hi").isNull() | (year(F.col("e")) <= F.col("hi")))
-    return spans.filter(F.col("uri") != seed).crossJoin(F.broadcast(one)).filter(inside).select("uri")  # one: one row
+    spans = spans.select("uri", year(F.col("s")).alias("s"), year(F.col("e")).alias("e"))
+    lo, hi = similar_window(F.col("s"))[0], similar_window(F.col("e"))[1]
+    windows = spans.join(seeds.select("uri").distinct(), "uri", "left_semi").select(F.col("uri").alias("seed"), lo.alias("lo"), hi.alias("hi"))
+    outside = (F.col("lo").isNull() | (F.col("s") < F.col("lo"))) & (F.col("hi").isNull() | (F.col("e") > F.col("hi")))
+    met = spans.select("s", "e").distinct().join(windows.select("lo", "hi").distinct(), outside)
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    of_window = windows.alias("w").join(met.alias("m"), same("w.lo", "m.lo") & same("w.hi", "m.hi")).select("seed", F.col("m.s").alias("ms"), F.col("m.e").alias("me"))
+    return of_window.join(spans, same("ms", "s") & same("me", "e")).filter("seed <> uri").select("seed", "uri")
 
 
 def _best_of(ids: list[str], q: np.ndarray, k: int):

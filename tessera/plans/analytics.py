@@ -113,8 +113,13 @@ def similar_weighted(spark, sf):
 
 
 def similar_dates(spark, sf):
-    f = S.fields(spark, sf, "workCreationStartDateLong", "workCreationEndDateLong")
-    return V.similar_dates(f, "workCreationStartDateLong", "workCreationEndDateLong", "order/1")
+    """Concepts with spans of 1 to 491 years, by their numbers and sizes; every hundredth is a seed."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    year = lambda y: F.unix_seconds(F.make_timestamp(y.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    begun = F.lit(1500) + F.pmod("p_partkey", F.lit(400))
+    f = [p.select(S.uri("part", "p_partkey").alias("uri"), F.lit(n).alias("field"), year(y).alias("v_long")) for n, y in (("conceptStartDateLong", begun), ("conceptEndDateLong", begun + F.col("p_size") * 10 - 9))]
+    seeds = S.docs(spark, sf, "part").filter(F.substring_index("uri", "/", -1).try_cast("long") % 100 == 0)
+    return V.similar_dates(f[0].union(f[1]), "conceptStartDateLong", "conceptEndDateLong", seeds)
 
 
 def vector_topk(spark, sf):
@@ -150,7 +155,7 @@ def release_diff(spark, sf):
     """Works by type and quarter before and after a date, as two releases."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("key"), "o_orderdate", "o_orderkey")
     count = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return A.count_difference(count(o.filter("o_orderdate < '1998-01-01'")), count(o.filter("o_orderdate >= '1998-01-01' and o_orderkey % 3 = 0")))
+    return A.count_difference(count(o.filter("o_orderdate < '1998-01-01'")), count(o.filter("o_orderdate >= '1998-01-01'")))
 
 
 def highly_related(spark, sf):
@@ -343,14 +348,14 @@ ORACLE_SQL = {
     "related_statistics": f"WITH {_paths_sql(repr('Person') + ', ' + repr('Group') + ', ' + repr('Place'), repr('LinguisticObject') + ', ' + repr('Place') + ', ' + repr('Person'), repr('Place') + ', ' + repr('Person') + ', ' + repr('Type'))} SELECT start_type, end_type, count(*) AS paths FROM p GROUP BY ALL",
     "similar_topwords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN (" + ", ".join(f"'{x}'" for x in V.STOP_WORDS) + ") GROUP BY ALL) SELECT 'document/' || doc_id AS uri, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5",
     "similar_weighted": "SELECT seed, uri, score, rank FROM (SELECT 'part/' || a.p_partkey AS seed, 'part/' || b.p_partkey AS uri, 1.0::DOUBLE + CASE WHEN a.p_name = b.p_name THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_name = b.p_name THEN 3 ELSE 1 END DESC, 'part/' || b.p_partkey) AS rank FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0) WHERE rank <= 5",
-    "similar_dates": "SELECT 'order/' || o.o_orderkey AS uri FROM orders o, (SELECT year(o_orderdate) AS y FROM orders WHERE o_orderkey = 1) s WHERE o.o_orderkey <> 1 AND year(o.o_orderdate) BETWEEN y - 10 AND y + 10",
+    "similar_dates": "WITH p AS (SELECT p_partkey AS k, 1500 + p_partkey % 400 AS s, 1500 + p_partkey % 400 + p_size * 10 - 9 AS e FROM part) SELECT 'part/' || a.k AS seed, 'part/' || b.k AS uri FROM p a JOIN p b ON b.s < a.s - CASE WHEN a.s > 1900 THEN 10 WHEN a.s > 1700 THEN 20 ELSE 35 END AND b.e > a.e + CASE WHEN a.e > 1900 THEN 10 WHEN a.e > 1700 THEN 20 ELSE 35 END WHERE a.k % 100 = 0 AND a.k <> b.k",
     "vector_topk": "SELECT query, uri, round(cosine, 6) AS cosine, rank FROM (SELECT 'vector/' || q.vec_id AS query, 'vector/' || v.vec_id AS uri, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, 'vector/' || v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5",
     "name_completion": "SELECT 'customer/' || c_custkey AS uri, c_name AS names FROM customer WHERE c_name LIKE 'Customer#00000001%' ORDER BY names LIMIT 10",
     "name_completion_context": "SELECT 'nation/' || n_nationkey AS uri, n_name AS names FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) ORDER BY names LIMIT 10",
     "dead_end_triples": f"SELECT 'carries_or_shows' AS predicate, 'order/' || l_orderkey AS object, count(DISTINCT {ITEM_SQL}) AS sources FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 7) GROUP BY ALL UNION ALL SELECT 'itemClassifiedAs', 'part/' || l_partkey, count(DISTINCT {ITEM_SQL}) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 7) GROUP BY ALL",
     "predicate_coverage": f"SELECT 'agentOfCreation' AS predicate, count(*) AS records FROM orders UNION ALL SELECT 'agentOfProduction', count(DISTINCT {ITEM_SQL}) FROM lineitem UNION ALL SELECT 'placeOfActivity', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'member_of', 0",
     "predicate_diff": "SELECT * FROM (VALUES ('member_of', 'left'), ('P89_falls_within', 'right'), ('placeOfActivity', 'right'), ('carries_or_shows', 'right'), ('itemClassifiedAs', 'right'), ('eventCarriedOutBy', 'right')) t(predicate, side)",
-    "release_diff": "SELECT o_orderpriority || '/' || o_orderstatus AS key, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderkey % 3 = 0) - count(*) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS change FROM orders GROUP BY ALL",
+    "release_diff": "SELECT o_orderpriority || '/' || o_orderstatus AS key, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') - count(*) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS change FROM orders GROUP BY ALL",
     "highly_related": "SELECT 'order/' || l_orderkey AS src_uri, count(*) AS links FROM lineitem GROUP BY ALL ORDER BY links DESC, src_uri LIMIT 15",
     "field_value_counts": "SELECT 'workTypeId' AS field, count(DISTINCT o_orderpriority) AS n_values FROM orders UNION ALL SELECT 'workStatusId', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'conceptPrimaryName', count(DISTINCT p_name) FROM part UNION ALL SELECT 'itemDimensionValue', count(DISTINCT l_quantity) FROM lineitem UNION ALL SELECT 'setPrimaryName', 0",
     "top_values": "WITH v AS (SELECT 'agentActivePlaceId' AS field, 'nation/' || k AS value, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY ALL UNION ALL SELECT 'workTypeId', o_orderpriority, count(*) FROM orders GROUP BY ALL) SELECT value, field, n, rank, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM v) LEFT JOIN nation ON value = 'nation/' || n_nationkey WHERE rank <= 4",

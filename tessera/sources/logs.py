@@ -19,18 +19,22 @@ def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("line"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("node"))
 
 
-def read_access_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def access_log(lines: DataFrame) -> DataFrame:
     """(node, ts, user, method, uri, status, bytes, kind)."""
     g = lambda i: F.regexp_extract("line", _ACCESS, i)
-    rows = _lines(spark, paths).filter(F.col("line").rlike(_ACCESS))
+    rows = lines.filter(F.col("line").rlike(_ACCESS))
     out = rows.select("node", F.try_to_timestamp(g(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), g(1).alias("user"), g(3).alias("method"), g(4).alias("uri"), g(5).cast("int").alias("status"), g(6).try_cast("long").alias("bytes"))
     return out.filter("ts is not null").withColumn("kind", request_type(F.col("uri")))
 
 
-def read_trace_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_access_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return access_log(_lines(spark, paths))
+
+
+def trace_log(lines: DataFrame) -> DataFrame:
     """(ts, request_id, context, filtered, total_ms, search_ms, estimate, returned, scope, criteria) of search traces."""
     g = lambda p: F.regexp_extract("line", p, 1)
-    rows = _lines(spark, paths).filter(F.col("line").rlike(r"requestId: .*searchCriteria: \["))
+    rows = lines.filter(F.col("line").rlike(r"requestId: .*searchCriteria: \["))
     n = lambda p: g(p).try_cast("long")
     return rows.select(
         F.try_to_timestamp(g(r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(?:\.\d+)?)")).alias("ts"), g(r"requestId: ([^;]*);").alias("request_id"), g(r"requestContext: ([^;]*);").alias("context"),
@@ -39,6 +43,10 @@ def read_trace_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
+def read_trace_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return trace_log(_lines(spark, paths))
+
+
 def read_request_log(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(wide table, one-row count of bad lines): JSON lines with varying keys; common columns first, missing values ''."""
     raw = spark.read.json(paths if isinstance(paths, str) else list(paths), mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", primitivesAsString=True)
@@ -50,11 +58,15 @@ def read_request_log(spark: SparkSession, paths: str | Sequence[str]) -> tuple[D
     return wide, lines.agg(F.count_if(F.try_parse_json("line").isNull()).alias("bad_lines"))
 
 
-def read_merges(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def merges(lines: DataFrame) -> DataFrame:
     """(node, ts, mb, seconds, rate) of merge events."""
     p = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\S*).*Merged (\d+) MB in (\d+) sec at (\d+) MB/sec"
     g = lambda i: F.regexp_extract("line", p, i)
-    return _lines(spark, paths).filter(F.col("line").rlike(p)).select("node", F.try_to_timestamp(g(1)).alias("ts"), g(2).cast("long").alias("mb"), g(3).cast("long").alias("seconds"), g(4).cast("long").alias("rate"))
+    return lines.filter(F.col("line").rlike(p)).select("node", F.try_to_timestamp(g(1)).alias("ts"), g(2).cast("long").alias("mb"), g(3).cast("long").alias("seconds"), g(4).cast("long").alias("rate"))
+
+
+def read_merges(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return merges(_lines(spark, paths))
 
 
 def read_metrics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -85,7 +85,10 @@ def test_words(frames):
     o = M.MatchOptions
     assert uris(M.field_word(p, ["name"], "elan")) == ["w1"] and uris(M.field_word(p, ["name"], "Elan", o(exact=True))) == []
     assert uris(M.field_word(p, ["name"], "vital of the night")) == ["w1"] and uris(M.field_word(p, ["name"], "night the")) == []
-    assert uris(M.field_word(p, ["name"], "ni*t")) == ["w1", "w2"] and uris(M.field_word(p, ["name"], "ta?e")) == ["w2"]
+    assert uris(M.field_word(p, ["name"], "nig*t")) == ["w1", "w2"] and uris(M.field_word(p, ["name"], "?ale")) == ["w2"]
+    for short in ("a*", "a*bc", "ni*t", "nig* a?"):  # a wildcard needs three other characters beside it
+        with pytest.raises(ValueError):
+            M.field_word(p, ["name"], short)
     assert uris(M.field_word(p, ["name"], "fox", o(stemmed=True))) == ["w3"]
     assert uris(M.field_word(p, ["name"], "a night s tale", o(complete=True))) == ["w2"] and uris(M.field_word(p, ["name"], "night", o(complete=True))) == []
     assert uris(M.keyword(p, ["name"], 'night "elan vital"')) == ["w1"]
@@ -153,3 +156,16 @@ def test_plans_have_no_python_and_no_cartesian_product(spark, sf_dir):
         assert "Python" not in plan and "Cartesian" not in plan
     scan = M.field_range(search.S.fields(spark, sf_dir, "itemDimensionValue"), "itemDimensionValue", ">=", 48)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in scan
+
+
+def test_property_values_in_arrays(spark):
+    rows = [("a", '{"k": [7, 8]}'), ("b", '{"x": {"k": ["u,v", "7", 9]}}'), ("c", '{"k": 77}'), ("d", '{"k": 7}'), ("e", '{"k": [[7]]}'), ("f", '{"t": "\\"k\\": 7"}'), ("g", None)]
+    docs = spark.createDataFrame(rows, "uri string, json string")
+    assert uris(M.property_value(docs, ["k"], [7])) == ["a", "d"]
+    assert uris(M.property_value(docs, ["k"], [9, "7"])) == ["b"]
+
+
+def test_longs_keep_their_digits(spark):
+    f = spark.createDataFrame([("a", "n", None, (1 << 53) + 1, None), ("b", "n", None, 4, None), ("c", "n", None, None, 4.5)], "uri string, field string, v_str string, v_long long, v_float double")
+    assert uris(M.field_range(f, "n", ">", 1 << 53)) == ["a"]
+    assert uris(M.field_range(f, "n", ">", 4.2)) == ["a", "c"] and uris(M.field_range(f, "n", "<=", 4.2)) == ["b"] and uris(M.field_range(f, "n", "=", 4.5)) == ["c"]
