@@ -361,9 +361,9 @@ ORACLE_SQL = {
     "set_triples": "WITH o AS (SELECT 'set/' || o_orderkey AS s, * FROM orders JOIN customer ON c_custkey = o_custkey) SELECT s AS subject, 'about_or_depicts_agent' AS predicate, 'customer/' || o_custkey AS object FROM o UNION ALL SELECT s, 'about_or_depicts_place', 'nation/' || c_nationkey FROM o UNION ALL SELECT s, 'setClassifiedAs', o_orderpriority FROM o UNION ALL SELECT 'order/' || o_orderkey, 'member_of', s FROM o UNION ALL SELECT s, 'agentOfCreation', 'customer/' || o_custkey FROM o",
     "vector_view": f"SELECT {_C} AS uri, 'Person' AS data_type, c_custkey::FLOAT::DOUBLE AS x, c_nationkey::FLOAT::DOUBLE AS y FROM customer",
     "slice_round_trip": "WITH n AS (SELECT unnest(['unit', 'n' || c_nationkey, 'all']) AS name, c_nationkey IN (3, 4) AS out FROM customer) SELECT 'left' AS \"when\", name, count(*) AS n FROM n WHERE NOT out GROUP BY name UNION ALL SELECT 'back', name, count(*) FROM n GROUP BY name",
-    "profile_name": f"SELECT {_C} AS id, 'Person' AS type, c_name AS name, NULL AS defined_by FROM customer",
+    "profile_name": f"SELECT {_C} AS id, 'Person' AS type, c_name AS name, NULL::VARCHAR AS defined_by FROM customer",
     "profile_location": f"SELECT {_C} AS id, 'Person' AS type, '' AS identifiers, 'nation/' || c_nationkey AS member_of FROM customer",
-    "profile_relationship": f"SELECT {_C} AS id, 'Person' AS type, c_name AS name, NULL AS produced_by, NULL AS supertypes, c_mktsegment AS classified_as, NULL AS image FROM customer",
+    "profile_relationship": f"SELECT {_C} AS id, 'Person' AS type, c_name AS name, NULL::VARCHAR AS produced_by, NULL::VARCHAR AS supertypes, c_mktsegment AS classified_as, NULL::VARCHAR AS image FROM customer",
     "profile_rights": f"SELECT {_C} AS id, 'Person' AS type, 'rights/open' AS subject_to FROM customer",
     "profile_results": f"SELECT {_C} AS uri, 'Person' AS type FROM customer",
     "primary_names_french": f"SELECT {_C} AS id, 'Client ' || c_custkey AS name FROM customer",
