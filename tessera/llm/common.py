@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +51,15 @@ def kind_of(df: DataFrame, column: str) -> str:
 
 
 def tagged(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
-    """df written once with a number for each row, and that column's name: repeated rows can be told apart, and stay so."""
+    """df with a column that tells its rows apart and stays so, and that column's name.
+
+    Rows of files are told by file and place in it; other rows are written once, with a number each.
+    """
     tag = free_name(df, "row_tag")
-    return written(df.withColumn(tag, F.monotonically_increasing_id()), spark, "tagged"), tag
+    try:
+        return df.withColumn(tag, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), tag
+    except AnalysisException:  # df doesn't come straight from files
+        return written(df.withColumn(tag, F.monotonically_increasing_id()), spark, "tagged"), tag
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

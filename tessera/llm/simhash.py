@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
     """(fp, doc_id) and, if asked for, the tag of each row."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *([F.col(tag).alias("tag")] if tag else []))
-    return rows.mapInArrow(_fingerprints, f"fp long, doc_id {kind_of(rows, 'doc_id')}" + (", tag long" if tag else ""))
+    return rows.mapInArrow(_fingerprints, f"fp long, doc_id {kind_of(rows, 'doc_id')}" + (f", tag {kind_of(rows, 'tag')}" if tag else ""))
 
 
 def _without(values: np.ndarray, block: int) -> np.ndarray:

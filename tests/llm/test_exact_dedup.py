@@ -56,3 +56,17 @@ def test_many_runs_need_several_rounds(spark):
     digests = e._digests(docs, "doc_id", "text")
     merged = {r.digest: (r.best.id, r.copies) for r in merge_runs(digests, spark, fan_in=2).collect()}
     assert merged == {w[4]: (w[1], w[2]) for w in want}
+
+
+def test_rows_of_files_are_told_apart_without_a_copy(spark, messy, tmp_path):
+    from tessera.llm.common import tagged
+    from tessera.llm.simhash import near_dedup
+
+    messy.repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows, tag = tagged(docs, spark)
+    assert rows.select(tag).distinct().count() == docs.count() and "file" in rows.schema[tag].dataType.names
+    for operator in (exact_dedup, near_dedup):
+        kept = operator(docs, spark)
+        assert kept.columns == docs.columns
+        assert kept.count() == operator(messy, spark).count()
