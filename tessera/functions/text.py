@@ -14,7 +14,7 @@ out over she the them these those under when where whereas wherever whenever whe
 without would yes yet you your yours
 """.split()
 
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD, WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
@@ -65,13 +65,6 @@ def checked_wildcards(value: str) -> str:
     return value
 
 
-def wildcard_regex(word: str) -> str:
-    """A regular expression for a word with * and ?."""
-    import re
-
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in word) + "$"
-
-
 def split_trim(text: Column, by: str = ",") -> Column:
     return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -136,12 +136,24 @@ def field_use(used: Sequence[str], fields: DataFrame) -> DataFrame:
     return difference(spark.createDataFrame([(f,) for f in used], "field string"), fields.select("field"), "field")
 
 
-def term_support(catalog: DataFrame, triples: DataFrame, fields: DataFrame) -> DataFrame:
-    """catalog (term, predicate, field) with the triples and field values that a term has, and whether it has any."""
+def term_support(catalog: DataFrame, triples: DataFrame, fields: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """catalog (term, predicate, field) with the triples and field values that a term has, and whether it has any.
+
+    With docs, terms that follow from the data are added: for each id field of a record type that occurs, "<type>.<field>",
+    and for each predicate that leads to records of a type, its inverse, "<type>.inverse.<predicate>".
+    """
     p = triples.groupBy("predicate").agg(F.count(F.lit(1)).alias("n_triples"))
     f = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n_values"))
     zero = F.lit(0).cast("long")
     out = catalog.join(p, "predicate", "left").join(f, "field", "left").select("term", F.coalesce("n_triples", zero).alias("n_triples"), F.coalesce("n_values", zero).alias("n_values"))
+    if docs is not None:
+        types = docs.select("uri", "data_type")
+        ids = fields.filter(F.col("field").endswith("Id")).groupBy("uri", "field").agg(F.count(F.lit(1)).alias("n"))
+        ids = ids.join(types, "uri").groupBy(F.concat_ws(".", "data_type", "field").alias("term")).agg(F.sum("n").alias("n_values")).select("term", zero.alias("n_triples"), "n_values")
+        # counted for each object first, so that a hub is one row of the join
+        ends = triples.groupBy(F.col("object").alias("uri"), "predicate").agg(F.count(F.lit(1)).alias("n"))
+        inverse = ends.join(types, "uri").groupBy(F.concat_ws(".", "data_type", F.lit("inverse"), "predicate").alias("term")).agg(F.sum("n").alias("n_triples")).select("term", "n_triples", zero.alias("n_values"))
+        out = out.union(ids).union(inverse)
     return out.withColumn("supported", (F.col("n_triples") > 0) | (F.col("n_values") > 0))
 
 

@@ -128,21 +128,50 @@ def record_type(docs: DataFrame, names: Sequence[str], scopes: dict[str, list[st
 
 @dataclass(frozen=True)
 class MatchOptions:
-    """exact compares raw tokens and wins over the rest; else tokens are folded, and stemmed if asked."""
+    """What must agree for a word to be found. exact compares raw tokens and wins over case, accents, stemmed and wildcarded.
+
+    case, accents: upper and lower case, or accented and plain letters, are different. punctuation, spacing: what stands
+    between the words of a value, before and after them, counts too; this needs postings with gaps.
+    """
 
     exact: bool = False
     stemmed: bool = False
     wildcarded: bool = True
     complete: bool = False
+    case: bool = False
+    accents: bool = False
+    punctuation: bool = False
+    spacing: bool = False
 
     @property
-    def column(self) -> str:
-        return "token" if self.exact else "stem" if self.stemmed else "folded"
-
-
-def build_postings(fields: DataFrame) -> DataFrame:
-    """(uri, field, pos, token, folded, stem): the words of text fields."""
-    words = fields.filter("v_str is not null").select("uri", "field", F.posexplode(T.tokens(F.col("v_str"))).alias("pos", "token"))
+    def wildcards(self) -> bool:
+        return self.wildcarded and not self.exact
+
+    def key(self, token: Column) -> Column:
+        """What is compared of a raw token."""
+        if self.exact:
+            return token
+        out = token if self.case else F.lower(token)
+        if not self.accents:
+            out = F.translate(out, T.ACCENTED + T.ACCENTED.upper(), T.PLAIN + T.PLAIN.upper()) if self.case else T.fold(out)
+        return T.stem(out) if self.stemmed else out
+
+    def column(self) -> Column:
+        """key of a posting's token, from the stored columns where they hold it."""
+        if self.exact or self.case or self.accents:
+            return self.key(F.col("token"))
+        return F.col("stem" if self.stemmed else "folded")
+
+
+def build_postings(fields: DataFrame, gaps: bool = False) -> DataFrame:
+    """(uri, field, pos, token, folded, stem): the words of text fields; with gaps, also what stands before and after each."""
+    texts = fields.filter("v_str is not null")
+    if gaps:
+        between = F.split("v_str", T.WORD)
+        words = texts.select("uri", "field", between.alias("between"), F.posexplode(T.tokens(F.col("v_str"))).alias("pos", "token"))
+        words = words.select("uri", "field", "pos", "token", F.get("between", F.col("pos")).alias("before"), F.get("between", F.col("pos") + 1).alias("after"))
+    else:
+        words = texts.select("uri", "field", F.posexplode(T.tokens(F.col("v_str"))).alias("pos", "token"))
     return words.withColumn("folded", T.fold(F.col("token"))).withColumn("stem", T.stem(F.col("folded")))
 
 
@@ -154,22 +183,27 @@ def field_word(postings: DataFrame, names: Sequence[str], value: str, options: M
     import re
 
     p = postings.filter(F.col("field").isin(list(names)))
-    if options.wildcarded:
+    if options.wildcards:
         value = T.checked_wildcards(value)
-    words = [w for w in re.split(r"[^\w*?]+" if options.wildcarded else r"\W+", value) if w]
+    word = r"[^\W_]" if not options.wildcards else r"(?:[^\W_]|[*?])"
+    words, between = re.findall(word + "+", value), re.split(word + "+", value.strip())
     if not words:
         raise ValueError("nothing to search for")
 
-    def is_word(column: Column, word: str) -> Column:
-        if options.wildcarded and re.search(r"[*?]", word):
-            return column.rlike(T.wildcard_regex(word if options.exact else word.lower()))
-        wanted = F.lit(word) if options.exact else T.fold(F.lit(word))
-        return column == (T.stem(wanted) if options.column == "stem" else wanted)
+    def is_word(i: int) -> Column:
+        wanted = options.key(F.lit(words[i]))
+        if options.wildcards and re.search(r"[*?]", words[i]):
+            plain = MatchOptions(case=options.case, accents=options.accents)  # a part of a word has no stem
+            pattern = F.concat(*[F.lit({"*": ".*", "?": "."}[x]) if x in "*?" else plain.key(F.lit(x)) for x in re.findall(r"[*?]|[^*?]+", words[i])])
+            found = F.rlike(plain.column(), F.concat(F.lit("^"), pattern, F.lit("$")))
+        else:
+            found = options.column() == wanted
+        return found & _gaps_agree(between, i, options) if options.punctuation or options.spacing else found
 
     if len(words) == 1 and not options.complete:
-        return _scored(p.filter(is_word(F.col(options.column), words[0])), "uri", weight)
+        return _scored(p.filter(is_word(0)), "uri", weight)
     # one pass: each occurrence of the i-th word votes for the place where the phrase would begin
-    hits = reduce(DataFrame.unionByName, [p.filter(is_word(F.col(options.column), w)).select("uri", "field", (F.col("pos") - i).alias("at"), F.lit(i).alias("i")) for i, w in enumerate(words)])
+    hits = reduce(DataFrame.unionByName, [p.filter(is_word(i)).select("uri", "field", (F.col("pos") - i).alias("at"), F.lit(i).alias("i")) for i in range(len(words))])
     found = hits.groupBy("uri", "field", "at").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(words))
     if options.complete:
         long = p.filter(F.col("pos") >= len(words)).select("uri", "field")
@@ -177,6 +211,24 @@ def field_word(postings: DataFrame, names: Sequence[str], value: str, options: M
     return _scored(found, "uri", weight)
 
 
+def _gaps_agree(between: list[str], i: int, options: MatchOptions) -> Column:
+    """Whether what stands before and after a posting is what the value has around its i-th word.
+
+    Between two words both must be equal; before the first and after the last the record may have more, unless the whole
+    field is compared.
+    """
+
+    def kept(gap: Column) -> Column:
+        if not options.punctuation:
+            return F.regexp_replace(gap, r"\S+", "")
+        return gap if options.spacing else F.regexp_replace(gap, r"\s+", "")
+
+    before, after = kept(F.col("before")), kept(F.col("after"))
+    first, last = kept(F.lit(between[i])), kept(F.lit(between[i + 1]))
+    ends = options.complete
+    return (before.endswith(first) if i == 0 and not ends else before == first) & (after.startswith(last) if i == len(between) - 2 and not ends else after == last)
+
+
 def keyword(postings: DataFrame, names: Sequence[str], value: str, options: MatchOptions = MatchOptions(), weight: float = 1.0) -> DataFrame | None:
     """An unquoted value of several words is the AND of its words and phrases; ignorable ones are left out; None if nothing is left."""
     import re
@@ -189,7 +241,7 @@ def keyword(postings: DataFrame, names: Sequence[str], value: str, options: Matc
 def text_match(postings: DataFrame, triples: DataFrame, any_field: str, any_predicate: str, value: str, name_field: str = "referenceName", weight: float = 1.0) -> DataFrame:
     """Records with the text in their own any-text field, or linked by any_predicate to a record with the text in its name."""
     own, linked = keyword(postings, [any_field], value, weight=weight), keyword(postings, [name_field], value)
-    if own is None:
+    if own is None or linked is None:
         raise ValueError("nothing to search for")
     return or_(own, hop_forward(triples, [any_predicate], linked, weight=weight))
 
@@ -209,10 +261,17 @@ def related_filter(triples: DataFrame, paths: dict[str, list[tuple[str, bool]]],
 # -- composition --------------------------------------------------------------------------------------------------
 
 
-def and_(*matches: DataFrame) -> DataFrame:
-    """Records in all matches; scores add up."""
-    if not matches:
-        raise ValueError("AND of nothing")
+def _left(operator: str, matches: Sequence[DataFrame | None]) -> list[DataFrame]:
+    """The operands that are not None; None stands for a term that is left out, such as a stop word."""
+    left = [m for m in matches if m is not None]
+    if not left:
+        raise ValueError(f"{operator} of nothing")
+    return left
+
+
+def and_(*operands: DataFrame | None) -> DataFrame:
+    """Records in all matches; scores add up. A term that is left out (None) is true."""
+    matches = _left("AND", operands)
     if len(matches) == 1:
         return matches[0]
     out = matches[0].withColumnRenamed("score", "s0")
@@ -221,10 +280,9 @@ def and_(*matches: DataFrame) -> DataFrame:
     return out.select("uri", reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(matches))]).alias("score"))
 
 
-def or_(*matches: DataFrame) -> DataFrame:
-    """Records in any match; scores add up. One operand is returned as it is."""
-    if not matches:
-        raise ValueError("OR of nothing")
+def or_(*operands: DataFrame | None) -> DataFrame:
+    """Records in any match; scores add up. One operand is returned as it is. A term that is left out (None) is false."""
+    matches = _left("OR", operands)
     if len(matches) == 1:
         return matches[0]
     return reduce(DataFrame.unionByName, matches).groupBy("uri").agg(F.sum("score").alias("score"))
@@ -238,8 +296,11 @@ def not_(universe: DataFrame, *matches: DataFrame) -> DataFrame:
     return _scored(out, "uri", 1.0)
 
 
-def boost(match: DataFrame, booster: DataFrame) -> DataFrame:
-    """match; records that are in booster too score higher."""
+def boost(match: DataFrame | None, booster: DataFrame | None) -> DataFrame:
+    """match; records that are in booster too score higher. A booster that is left out (None) raises no score."""
+    (match,) = _left("BOOST", [match])
+    if booster is None:
+        return match
     b = booster.select("uri", F.col("score").alias("more"))
     return match.join(b, "uri", "left").select("uri", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
@@ -268,24 +329,36 @@ def relevance(postings: DataFrame, names: Sequence[str], weighted: dict[str, flo
     return s.groupBy("uri").agg(F.sum(F.col("weight") * (1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("score"))
 
 
-def match_batch(criteria: DataFrame, fields: DataFrame) -> DataFrame:
+def match_batch(criteria: DataFrame, fields: DataFrame, postings: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
     """Many searches in one job: (search_id, uri, score).
 
     criteria: (search_id, group_id, field, op, value, weight, negated). Leaves of a group are ORed, groups ANDed, negated
-    leaves exclude. op is "=" (text or number) or one of < <= > >= (number). Equality leaves join on field and value;
-    range leaves that say the same are met with the fields once, whatever the number of searches that ask for them.
+    leaves exclude. op is "=" (text or number), one of < <= > >= (number, or a date as text, completed as date_range does),
+    "word" (a word of the field, needs postings) or "linked" (field is a predicate, value the record it leads to, needs
+    triples). All but ranges join on field and value; range leaves that say the same are met with the fields once,
+    whatever the number of searches that ask for them.
     """
     leaf = ["field", "op", "value"]
     n = F.coalesce(F.col("v_float"), F.col("v_long").cast("double"))
-    asked = criteria.select(*leaf).distinct().withColumn("v", F.col("value").try_cast("double"))
-    same, ranges = asked.filter("op = '='"), asked.filter("op <> '='").withColumnRenamed("field", "f")
+    asked = criteria.select(*leaf).distinct()
+    number = F.col("value").try_cast("double")
+    day = F.when(F.col("op").isin("<", "<="), to_seconds(complete_date(F.col("value")))).otherwise(to_seconds(complete_date(F.col("value"), end=True)))
+    same = asked.filter("op = '='").withColumn("v", number)
+    ranges = asked.filter(F.col("op").isin("<", "<=", ">", ">=")).withColumn("v", F.coalesce(number, day.cast("double"))).withColumnRenamed("field", "f")
     text = fields.filter("v_str is not null").select("uri", "field", F.col("v_str").alias("value")).join(same, ["field", "value"]).select("uri", *leaf)
     numbers = fields.select("uri", "field", n.alias("v")).filter("v is not null")
-    number = numbers.join(same, ["field", "v"]).select("uri", *leaf)
+    equal = numbers.join(same, ["field", "v"]).select("uri", *leaf)
     v = F.col("r.v")
     within = F.when(F.col("op") == "<", F.col("n.v") < v).when(F.col("op") == "<=", F.col("n.v") <= v).when(F.col("op") == ">", F.col("n.v") > v).when(F.col("op") == ">=", F.col("n.v") >= v)
     between = numbers.alias("n").join(ranges.alias("r"), (F.col("field") == F.col("f")) & within).select("uri", *leaf)
-    hits = text.union(number).union(between).distinct()
+    found = [text, equal, between]
+    if postings is not None:
+        words = asked.filter("op = 'word'").withColumn("folded", T.fold(F.col("value")))
+        found.append(postings.select("uri", "field", "folded").join(words, ["field", "folded"]).select("uri", *leaf))
+    if triples is not None:
+        linked = triples.select(F.col("subject").alias("uri"), F.col("predicate").alias("field"), F.col("object").alias("value"))
+        found.append(linked.join(asked.filter("op = 'linked'"), ["field", "value"]).select("uri", *leaf))
+    hits = reduce(DataFrame.union, found).distinct()
     leaves = hits.join(criteria, leaf).groupBy("search_id", "group_id", "uri", "negated").agg(F.max("weight").alias("weight"))
     groups = criteria.filter("not negated").groupBy("search_id").agg(F.count_distinct("group_id").alias("groups"))
     met = leaves.filter("not negated").groupBy("search_id", "uri").agg(F.count_distinct("group_id").alias("met"), F.sum("weight").alias("score"))

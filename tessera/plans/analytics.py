@@ -224,6 +224,13 @@ def term_support(spark, sf):
     return A.term_support(catalog, S.triples(spark, sf), S.fields(spark, sf, "workTypeId"))
 
 
+def term_support_by_type(spark, sf):
+    """Besides one declared term, the id terms of each type and the inverse hops that the data have."""
+    catalog = spark.createDataFrame([("work.createdBy", "agentOfCreation", None)], "term string, predicate string, field string")
+    fields = S.fields(spark, sf, "workTypeId", "agentActivePlaceId", "conceptPrimaryName")
+    return A.term_support(catalog, S.triples(spark, sf, "agentOfCreation", "placeOfActivity"), fields, S.docs(spark, sf, "nation", "customer", "supplier", "orders", "part"))
+
+
 def two_patterns(spark, sf):
     t = S.triples(spark, sf, "itemClassifiedAs", "agentOfProduction")
     return A.two_patterns(t, "itemClassifiedAs", "agentOfProduction")
@@ -305,7 +312,7 @@ QUERIES = {
         facet_value, facet_union, facet_date, facet_all, facet_candidates, facet_candidates_two_level, facet_narrow, related_list, related_all_pairs, related_cap, related_any, schema_edges,
         related_paths, related_statistics, similar_topwords, similar_weighted, similar_dates, vector_topk, name_completion, name_completion_context, dead_end_triples, predicate_coverage,
         predicate_diff, release_diff, highly_related, field_value_counts, top_values, record_types_per_predicate, record_types_along_paths, sample_by_collection, false_positives,
-        estimate_vs_actual, keyword_explain, reach_n_hops, term_support, two_patterns, field_use, req_by_type, duration_histogram, whole_second_hist, wide_durations, failed_requests,
+        estimate_vs_actual, keyword_explain, reach_n_hops, term_support, term_support_by_type, two_patterns, field_use, req_by_type, duration_histogram, whole_second_hist, wide_durations, failed_requests,
         activity_ranges, trimmed_to_ranges, queue_summary, regex_counts, mined_searches, apply_changes, validate_records,
     )
 }
@@ -366,6 +373,7 @@ ORACLE_SQL = {
     "keyword_explain": f"WITH f AS (SELECT p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {ITEM_SQL} = (SELECT min({ITEM_SQL}) FROM lineitem)) SELECT k AS keyword, false AS own, (SELECT count(DISTINCT p_name) FROM f WHERE list_contains(string_split(p_name, ' '), k)) AS linked, (SELECT count(*) FROM f WHERE list_contains(string_split(p_name, ' '), k)) > 0 AS found FROM (VALUES ('small'), ('red'), ('blue'), ('ring'), ('widget')) t(k)",
     "reach_n_hops": "WITH s AS (SELECT o_orderkey, o_custkey, c_nationkey, n_regionkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 100 = 0) SELECT 'order/' || o_orderkey AS start, 'customer/' || o_custkey AS uri, 1 AS hops, true AS visible FROM s UNION ALL SELECT 'order/' || o_orderkey, 'nation/' || c_nationkey, 2, true FROM s UNION ALL SELECT 'order/' || o_orderkey, 'region/' || n_regionkey, 3, false FROM s",
     "term_support": "SELECT 'work.createdBy' AS term, (SELECT count(*) FROM orders) AS n_triples, 0 AS n_values, true AS supported UNION ALL SELECT 'item.classification', (SELECT count(*) FROM lineitem), 0, true UNION ALL SELECT 'work.classification', 0, (SELECT count(*) FROM orders), true UNION ALL SELECT 'set.memberOf', 0, 0, false",
+    "term_support_by_type": "WITH c AS (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS made, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s) SELECT 'work.createdBy' AS term, o AS n_triples, 0 AS n_values, true AS supported FROM c UNION ALL SELECT 'LinguisticObject.workTypeId', 0, o, true FROM c UNION ALL SELECT 'Person.agentActivePlaceId', 0, c, true FROM c UNION ALL SELECT 'Group.agentActivePlaceId', 0, s, true FROM c UNION ALL SELECT 'Person.inverse.agentOfCreation', made, 0, true FROM c UNION ALL SELECT 'Place.inverse.placeOfActivity', c + s, 0, true FROM c",
     "two_patterns": f"SELECT a.uri AS subject, 'part/' || a.p AS one, 'supplier/' || b.s AS two FROM (SELECT {ITEM_SQL} AS uri, l_partkey AS p FROM lineitem) a JOIN (SELECT {ITEM_SQL} AS uri, l_suppkey AS s FROM lineitem) b USING (uri)",
     "field_use": "SELECT * FROM (VALUES ('setPartOfId', 'left'), ('workStatusId', 'right')) t(field, side)",
     "req_by_type": "SELECT event_type AS kind, count(*) AS requests, sum(user_id)::BIGINT AS bytes FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL",

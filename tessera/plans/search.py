@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,17 @@ def complete_match(spark, sf):
     return M.field_word(_postings(spark, sf, "conceptPrimaryName"), ["conceptPrimaryName"], "Red Widget", M.MatchOptions(complete=True))
 
 
+def match_options(spark, sf):
+    """Documents with a licence's name, by what must agree besides the letters."""
+    p = M.build_postings(S.fields(spark, sf, "workAnyText"), gaps=True)
+    asked = {
+        "any": M.MatchOptions(), "case": M.MatchOptions(case=True), "punctuation": M.MatchOptions(punctuation=True), "spacing": M.MatchOptions(spacing=True),
+        "all": M.MatchOptions(case=True, accents=True, punctuation=True, spacing=True),
+    }
+    found = [M.field_word(p, ["workAnyText"], "MIT License.", o).select(F.lit(name).alias("options"), "uri") for name, o in asked.items()]
+    return reduce(DataFrame.union, found)
+
+
 def text_with_linked(spark, sf):
     """Items with the words in the name of what they are classified as, or concepts with it in their own name."""
     p = _postings(spark, sf, "conceptPrimaryName")
@@ -173,6 +186,20 @@ def sort_relevance(spark, sf):
     return r.select("uri", F.round("score", 6).alias("score"))
 
 
+def batch_words_links_dates(spark, sf):
+    """For each order priority works since a month and not by one agent; for each of three words documents that lack another."""
+    leaf = lambda group, field, op, value, weight=1.0, negated=False: [F.lit(group).alias("group_id"), F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"), F.lit(weight).alias("weight"), F.lit(negated).alias("negated")]
+    works = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority").distinct().withColumn("search_id", F.concat(F.lit("p:"), "o_orderpriority"))
+    words = spark.createDataFrame([("w:license", "License"), ("w:under", "under"), ("w:worthless", "worthless")], "search_id string, word string")
+    criteria = [
+        works.select("search_id", *leaf(0, "workTypeId", "=", F.col("o_orderpriority"))), works.select("search_id", *leaf(1, "workCreationStartDateLong", ">", F.lit("2001-03"), 0.5)),
+        works.select("search_id", *leaf(2, "agentOfCreation", "linked", F.lit("customer/7"), negated=True)),
+        words.select("search_id", *leaf(0, "workAnyText", "word", F.col("word"))), words.select("search_id", *leaf(1, "workAnyText", "word", F.lit("MIT"), negated=True)),
+    ]
+    fields = S.fields(spark, sf, "workTypeId", "workCreationStartDateLong")
+    return M.match_batch(reduce(DataFrame.union, criteria), fields, _postings(spark, sf, "workAnyText"), S.triples(spark, sf, "agentOfCreation"))
+
+
 def batch_match(spark, sf):
     """Searches derived from the data: for every part type and order priority, items or works beyond a value."""
     priorities = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority").distinct()
@@ -203,11 +230,22 @@ QUERIES = {
     f.__name__: f
     for f in (
         hop_two_level_page, hop_inverse_agents, hop_forward_items, id_shortcut_equals_hop, bool_and_or_not_boost, multi_scope_or, date_contains, date_overlap_neq, date_before,
-        dimension_range, record_type_filter, property_value, word_match, phrase_match, wildcard_match, complete_match, text_with_linked, stop_word_only_dropped, page_with_record,
-        scope_stats, scope_counts, will_match, page_total, sort_by_linked_name, sort_multi, sort_relevance, batch_match, date_functions, text_functions,
+        dimension_range, record_type_filter, property_value, word_match, phrase_match, wildcard_match, complete_match, match_options, text_with_linked, stop_word_only_dropped, page_with_record,
+        scope_stats, scope_counts, will_match, page_total, sort_by_linked_name, sort_multi, sort_relevance, batch_match, batch_words_links_dates, date_functions, text_functions,
     )
 }
 
+_NO = r"[^\p{L}\p{N}]"
+_MARK = r"[^\p{L}\p{N}\s]"
+#: Texts with the licence's name, by option: what stands before, between and after its words.
+_OPTIONS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS options, 'document/' || doc_id AS uri FROM documents WHERE regexp_matches({text}, '(^|{_NO}){words}')"
+    for name, text, words in (
+        ("any", "lower(text)", rf"mit{_NO}+license({_NO}|$)"), ("case", "text", rf"MIT{_NO}+License({_NO}|$)"), ("punctuation", "lower(text)", r"mit\s+license\s*\."),
+        ("spacing", "lower(text)", rf"mit{_MARK}*\s{_MARK}*license({_NO}|$)"), ("all", "text", r"MIT License\."),
+    )
+)
+
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS w FROM documents"
 
 ORACLE_SQL = {
@@ -238,6 +276,8 @@ ORACLE_SQL = {
     "sort_multi": "SELECT uri, data_type, key FROM (SELECT 'region/' || r_regionkey AS uri, 'Place' AS data_type, r_name AS key FROM region UNION ALL SELECT 'nation/' || n_nationkey, 'Place', n_name FROM nation UNION ALL SELECT 'supplier/' || s_suppkey, 'Group', s_name FROM supplier UNION ALL SELECT 'part/' || p_partkey, 'Type', NULL FROM part) ORDER BY key DESC NULLS LAST, uri LIMIT 40",
     "sort_relevance": f"WITH t AS ({_TOKENS}), tf AS (SELECT doc_id, w, count(*) AS tf FROM t WHERE w IN ('license', 'under', 'worthless') GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT 'document/' || doc_id AS uri, round(sum(CASE w WHEN 'license' THEN 1.0::DOUBLE WHEN 'under' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END * (1 + ln(tf)) * ln(1 + n::DOUBLE / df)), 6) AS score FROM tf JOIN df USING (w), n GROUP BY doc_id",
     "batch_match": "SELECT 'p:' || o_orderpriority AS search_id, 'order/' || o_orderkey AS uri, 1.5::DOUBLE AS score FROM orders WHERE epoch(o_orderdate) >= 983404800 AND o_orderstatus <> 'P'",
+    "batch_words_links_dates": f"SELECT 'p:' || o_orderpriority AS search_id, 'order/' || o_orderkey AS uri, 1.5::DOUBLE AS score FROM orders WHERE o_orderdate >= TIMESTAMP '2001-04-01' AND o_custkey <> 7 UNION ALL SELECT DISTINCT 'w:' || w, 'document/' || doc_id, 1.0::DOUBLE FROM ({_TOKENS}) WHERE w IN ('license', 'under', 'worthless') AND doc_id NOT IN (SELECT doc_id FROM ({_TOKENS}) WHERE w = 'mit')",
+    "match_options": _OPTIONS_SQL,
     "date_functions": "SELECT month, epoch(strptime(month || '-01', '%Y-%m-%d'))::BIGINT AS first, epoch(last)::BIGINT AS last, strftime(last, '%Y-%m-%dT%H:%M:%S') AS last_text, y - CASE WHEN y > 1900 THEN 10 WHEN y > 1700 THEN 20 ELSE 35 END AS lo, y + CASE WHEN y > 1900 THEN 10 WHEN y > 1700 THEN 20 ELSE 35 END AS hi FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate)::INT AS y, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 SECOND AS last FROM orders)",
     "text_functions": "SELECT DISTINCT p_type, p_name, upper(p_name[1]) || p_name[2:] AS upper_first, replace(p_name, ' ', '%20') AS encoded, replace(p_name, ' ', '|') AS words, lower(p_name) || ' ete' AS folded, p_name[1:3] || '*' AS wild, 'related to agent' AS camel FROM part",
 }

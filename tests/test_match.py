@@ -95,6 +95,36 @@ def test_words(frames):
     assert M.keyword(p, ["name"], "the") is None and M.keyword(p, ["name"], "!?") is None
 
 
+def test_options_one_by_one(spark):
+    rows = [("a", "The C++ Night's tale"), ("b", "the c nights Tale"), ("c", "THE NIGHT S  TALE, élan"), ("d", "night's-tale of ELAN"), ("e", None), ("f", "")]
+    p = M.build_postings(spark.createDataFrame([(u, "n", v) for u, v in rows], "uri string, field string, v_str string"), gaps=True)
+    find = lambda value, **o: uris(M.field_word(p, ["n"], value, M.MatchOptions(**o)))
+    assert find("night's tale") == ["a", "c", "d"] and find("Night's tale", case=True) == ["a"]
+    assert find("night's tale", punctuation=True) == ["a"] and find("night s tale", spacing=True) == [] and find("night's tale", spacing=True) == ["a"]
+    assert find("night s  tale", spacing=True, punctuation=True) == ["c"]
+    assert find("elan") == ["c", "d"] and find("elan", accents=True) == ["d"] and find("élan", accents=True) == ["c"] and find("elan", case=True) == ["c"]
+    assert find("C++") == ["a", "b"] and find("C++", punctuation=True) == ["a"] and find("tale,", punctuation=True) == ["c"]
+    assert find("the c++ night's tale", complete=True, punctuation=True) == ["a"] and find("c++ night's tale", complete=True, punctuation=True) == []
+    assert find("NIG?T", case=True) == ["c"] and find("nig?t") == ["a", "c", "d"] and find("nights", stemmed=True) == ["a", "b", "c", "d"]
+    assert find("tale_of") == ["d"] and find("Tale", exact=True) == ["b"]
+
+
+def test_terms_that_are_left_out(frames):
+    docs, t, _, p = frames
+    gone, x = M.keyword(p, ["name"], "the"), M.by_uri(docs, ["w1"])
+    assert gone is None and M.and_(gone, x) is x and M.or_(x, gone) is x and M.boost(x, gone) is x
+    for f in (lambda: M.and_(gone), lambda: M.or_(gone, None), lambda: M.boost(gone, x), lambda: M.text_match(p, t, "name", "by", "the", "name")):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_batch_of_words_links_and_dates(frames, spark):
+    _, t, fields, p = frames
+    rows = [("s1", 0, "name", "word", "Night", 1.0, False), ("s1", 1, "by", "linked", "a2", 2.0, False), ("s2", 0, "start", ">=", "1970-01-05", 1.0, False), ("s2", 1, "name", "word", "foxes", 1.0, True), ("s3", 0, "end", ">", "1970-01-07", 1.0, False), ("s3", 0, "start", "<=", "1970-01-01", 1.0, False), ("s4", 0, "end", ">", "no date", 1.0, False)]
+    got = M.match_batch(spark.createDataFrame(rows, "search_id string, group_id int, field string, op string, value string, weight double, negated boolean"), fields, p, t)
+    assert sorted((r.search_id, r.uri, r.score) for r in got.collect()) == [("s1", "w2", 3.0), ("s2", "w2", 1.0), ("s3", "w1", 1.0)]
+
+
 def test_batch_equals_single_searches(frames, spark):
     docs, _, fields, _ = frames
     rows = [("s1", 0, "by_id", "=", "a1", 1.0, False), ("s1", 1, "size", ">", "3", 2.0, False), ("s2", 0, "size", ">=", "0", 1.0, False), ("s2", 1, "by_id", "=", "a1", 1.0, True), ("s3", 0, "size", "=", "2.5", 1.0, False), ("s3", 0, "size", "=", "7", 1.0, False)]
