@@ -167,9 +167,10 @@ def build_postings(fields: DataFrame, gaps: bool = False) -> DataFrame:
     """(uri, field, pos, token, folded, stem): the words of text fields; with gaps, also what stands before and after each."""
     texts = fields.filter("v_str is not null")
     if gaps:
-        between = F.split("v_str", T.WORD)
-        words = texts.select("uri", "field", between.alias("between"), F.posexplode(T.tokens(F.col("v_str"))).alias("pos", "token"))
-        words = words.select("uri", "field", "pos", "token", F.get("between", F.col("pos")).alias("before"), F.get("between", F.col("pos") + 1).alias("after"))
+        parts = texts.select("uri", "field", T.tokens(F.col("v_str")).alias("token"), F.split("v_str", T.WORD).alias("between"))
+        # zipped before they are exploded, so that no row carries all gaps of its text
+        parts = parts.select("uri", "field", "token", F.slice("between", 1, F.size("token")).alias("before"), F.slice("between", 2, F.size("token")).alias("after"))
+        words = parts.select("uri", "field", F.posexplode(F.arrays_zip("token", "before", "after")).alias("pos", "word")).select("uri", "field", "pos", "word.*")
     else:
         words = texts.select("uri", "field", F.posexplode(T.tokens(F.col("v_str"))).alias("pos", "token"))
     return words.withColumn("folded", T.fold(F.col("token"))).withColumn("stem", T.stem(F.col("folded")))

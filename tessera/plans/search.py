@@ -119,13 +119,13 @@ def complete_match(spark, sf):
 
 
 def match_options(spark, sf):
-    """Documents with a licence's name, by what must agree besides the letters."""
+    """Documents with two words next to each other, by what must agree besides the letters."""
     p = M.build_postings(S.fields(spark, sf, "workAnyText"), gaps=True)
     asked = {
         "any": M.MatchOptions(), "case": M.MatchOptions(case=True), "punctuation": M.MatchOptions(punctuation=True), "spacing": M.MatchOptions(spacing=True),
         "all": M.MatchOptions(case=True, accents=True, punctuation=True, spacing=True),
     }
-    found = [M.field_word(p, ["workAnyText"], "MIT License.", o).select(F.lit(name).alias("options"), "uri") for name, o in asked.items()]
+    found = [M.field_word(p, ["workAnyText"], "in. The", o).select(F.lit(name).alias("options"), "uri") for name, o in asked.items()]
     return reduce(DataFrame.union, found)
 
 
@@ -237,12 +237,12 @@ QUERIES = {
 
 _NO = r"[^\p{L}\p{N}]"
 _MARK = r"[^\p{L}\p{N}\s]"
-#: Texts with the licence's name, by option: what stands before, between and after its words.
+#: Texts with the two words, by option: what stands between them.
 _OPTIONS_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS options, 'document/' || doc_id AS uri FROM documents WHERE regexp_matches({text}, '(^|{_NO}){words}')"
+    f"SELECT '{name}' AS options, 'document/' || doc_id AS uri FROM documents WHERE regexp_matches({text}, '(^|{_NO}){words}({_NO}|$)')"
     for name, text, words in (
-        ("any", "lower(text)", rf"mit{_NO}+license({_NO}|$)"), ("case", "text", rf"MIT{_NO}+License({_NO}|$)"), ("punctuation", "lower(text)", r"mit\s+license\s*\."),
-        ("spacing", "lower(text)", rf"mit{_MARK}*\s{_MARK}*license({_NO}|$)"), ("all", "text", r"MIT License\."),
+        ("any", "lower(text)", f"in{_NO}+the"), ("case", "text", f"in{_NO}+The"), ("punctuation", "lower(text)", r"in\s*\.\s*the"),
+        ("spacing", "lower(text)", f"in{_MARK}* {_MARK}*the"), ("all", "text", r"in\. The"),
     )
 )
 
