@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.page import top_k
+from tessera.operators.page import random_key, top_k
 
 
 def dead_ends(triples: DataFrame, visible: DataFrame, predicates: Sequence[str] | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def sample_by_collection(docs: DataFrame, combinations: dict[str, Sequence[str]]
         rows.append(docs.filter(has).select(F.lit(name).alias("name"), "uri"))
     every = reduce(DataFrame.union, rows)
     totals = every.groupBy("name").agg(F.count(F.lit(1)).alias("total"))
-    return top_k(every, ["name"], [F.xxhash64(F.lit(seed), "uri"), F.col("uri")], k).drop("rank").join(totals, "name")
+    return top_k(every, ["name"], [random_key(seed), F.col("uri")], k).drop("rank").join(totals, "name")
 
 
 def false_positives(candidates: DataFrame, exact: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def order_by_hop(match: DataFrame, triples: DataFrame, predicate: str, names: Da
 
 def random_key(seed: int = 0) -> Column:
     """A repeatable random order."""
-    return F.xxhash64(F.lit(seed), F.col("uri"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("uri")))
 
 
 def _order(keys: Sequence[tuple[str, bool]]) -> list[Column]:

@@ -368,6 +368,7 @@ ORACLE_SQL = {
     "top_values": "WITH v AS (SELECT 'agentActivePlaceId' AS field, 'nation/' || k AS value, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY ALL UNION ALL SELECT 'workTypeId', o_orderpriority, count(*) FROM orders GROUP BY ALL) SELECT value, field, n, rank, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM v) LEFT JOIN nation ON value = 'nation/' || n_nationkey WHERE rank <= 4",
     "record_types_per_predicate": "SELECT * FROM (VALUES ('placeOfActivity', 'Group,Person'), ('agentOfCreation', 'LinguisticObject'), ('P89_falls_within', 'Place')) t(predicate, data_types)",
     "record_types_along_paths": "SELECT 'agentOfCreation' AS first, 'placeOfActivity' AS second, 'LinguisticObject-agentOfCreation-placeOfActivity-Place' AS key, 'LinguisticObject' AS first_types, 'Group,Person' AS second_types",
+    "sample_by_collection": "WITH d AS (SELECT 'document/' || doc_id AS uri, lang, source FROM documents), m AS (SELECT 'english' AS name, uri FROM d WHERE 'en' IN (lang, source) UNION ALL SELECT 'english of src0', uri FROM d WHERE 'en' IN (lang, source) AND 'src0' IN (lang, source) UNION ALL SELECT 'french of src1', uri FROM d WHERE 'fr' IN (lang, source) AND 'src1' IN (lang, source)) SELECT name, uri, total FROM (SELECT *, count(*) OVER (PARTITION BY name) AS total, row_number() OVER (PARTITION BY name ORDER BY md5('0:' || uri), uri) AS rn FROM m) WHERE rn <= 5",
     "false_positives": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS w FROM documents), d AS (SELECT doc_id, bool_or(w = 'License') AS exact FROM t WHERE strip_accents(lower(w)) = 'license' GROUP BY doc_id) SELECT count(*) AS candidates, count(*) FILTER (NOT exact) AS rejected FROM d",
     "estimate_vs_actual": "SELECT o_orderstatus AS search_id, count(*) AS estimate, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS actual FROM orders GROUP BY ALL HAVING count(*) <> count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem))",
     "keyword_explain": f"WITH f AS (SELECT p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {ITEM_SQL} = (SELECT min({ITEM_SQL}) FROM lineitem)) SELECT k AS keyword, false AS own, (SELECT count(DISTINCT p_name) FROM f WHERE list_contains(string_split(p_name, ' '), k)) AS linked, (SELECT count(*) FROM f WHERE list_contains(string_split(p_name, ' '), k)) > 0 AS found FROM (VALUES ('small'), ('red'), ('blue'), ('ring'), ('widget')) t(k)",

@@ -25,7 +25,7 @@ from tessera.sources import records as SR
 from tessera.sources import tables as S
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; in tests, where none is named, in a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
@@ -63,7 +63,7 @@ def agents(spark: SparkSession, sf: str) -> DataFrame:
 
 def record_load(spark, sf):
     """Records written as JSON lines, those of indebted customers cut short, and loaded again: loaded and corrupt lines."""
-    path = _scratch(spark, "lines")
+    path = scratch(spark, "lines")
     debt = F.get_json_object("json", "$.json.balance").cast("double") < 0
     agents(spark, sf).select(F.when(debt, F.substring("json", 1, 40)).otherwise(F.col("json")).alias("value")).write.option("compression", "gzip").text(path)
     docs, corrupt = SR.read_records(spark, path)
@@ -101,7 +101,7 @@ def vector_view(spark, sf):
 def slice_round_trip(spark, sf):
     """Exported, dropped and put back: what each slice of a nation has afterwards."""
     d = SR.assign_slices(agents(spark, sf))
-    path = _scratch(spark, "slice")
+    path = scratch(spark, "slice")
     SR.export_slice(d, ["n3", "n4"], path)
     left = SR.drop_slice(d, ["n3", "n4"])
     back = SR.import_slice(left, path)
@@ -211,7 +211,7 @@ def search_traces(spark, sf):
 def request_log_table(spark, sf):
     """events as JSON lines, one in each kind of user broken, read as a table: filled cells of the columns, and broken lines."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    path = _scratch(spark, "requests")
+    path = scratch(spark, "requests")
     row = _json(url=_url(F.col("event_type")), elapsedTime=F.floor("value"), user=F.when(F.col("event_type") != "view", F.col("user_id")), zone=F.col("event_type"))
     e.select(F.when(F.col("event_type") == "error", F.substring(row, 1, 12)).otherwise(row).alias("value")).write.text(path)
     wide, bad = SL.read_request_log(spark, path)
@@ -221,7 +221,7 @@ def request_log_table(spark, sf):
 
 def report_round_trip(spark, sf):
     """A report by kind written as TSV and read again."""
-    path = _scratch(spark, "report")
+    path = scratch(spark, "report")
     SL.write_report(spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), path)
     return spark.read.csv(path, sep="\t", header=True, schema="event_type string, n long")
 
@@ -280,9 +280,9 @@ def estimates(spark, sf):
 
 
 def random_order(spark, sf):
-    """All places in a repeatable random order, as a set: the order itself is a hash that SQL lacks."""
+    """All places in a repeatable random order, with the key they are sorted by."""
     m = M.record_type(S.docs(spark, sf, "region", "nation"), ["place"], S.SCOPE_TYPES).withColumn("key", P.random_key(7))
-    return P.search_page(m, S.docs(spark, sf, "region", "nation"), [("key", True)], length=100).select("uri", "data_type")
+    return P.search_page(m, S.docs(spark, sf, "region", "nation"), [("key", True)], length=100)
 
 
 def related_as_filter(spark, sf):
@@ -385,7 +385,7 @@ ORACLE_SQL = {
     "meter_slice": "WITH e AS (SELECT event_id, ts, ts + to_seconds(floor(value)::BIGINT) AS e FROM events) SELECT count(*) AS n, min(event_id) AS least FROM e WHERE ts > (SELECT min(ts) FROM e) AND e < (SELECT max(ts) FROM e)",
     "documents_by_id": "SELECT 'customer/' || c_custkey AS uri, 2.0::DOUBLE AS score FROM customer WHERE c_custkey = 3 UNION ALL SELECT 'part/' || p_partkey, 2.0::DOUBLE FROM part WHERE p_partkey = 5",
     "estimates": "SELECT 'exact' AS name, count(*) AS estimate FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'verified', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' UNION ALL SELECT 'tagged', count(*) FROM customer WHERE c_nationkey = 3",
-    "random_order": "SELECT 'region/' || r_regionkey AS uri, 'Place' AS data_type FROM region UNION ALL SELECT 'nation/' || n_nationkey, 'Place' FROM nation",
+    "random_order": "SELECT uri, 'Place' AS data_type, md5('7:' || uri) AS key FROM (SELECT 'region/' || r_regionkey AS uri FROM region UNION ALL SELECT 'nation/' || n_nationkey FROM nation)",
     "related_as_filter": "SELECT 'order/' || o_orderkey AS uri, 1.0::DOUBLE AS score FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3",
     "related_because": "SELECT 'customer/' || o_custkey AS uri FROM orders WHERE o_orderkey = 77",
     "similar_as_filter": "SELECT 'part/' || p.p_partkey AS uri, CASE WHEN p.p_name = s.p_name THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + 1.5::DOUBLE AS score FROM part p, (SELECT * FROM part WHERE p_partkey = 1) s WHERE p.p_partkey <> 1 AND p.p_type = s.p_type AND regexp_matches(lower(p.p_name), '(^| )ring( |$)')",
