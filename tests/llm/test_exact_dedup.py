@@ -58,6 +58,28 @@ def test_many_runs_need_several_rounds(spark):
     assert merged == {w[4]: (w[1], w[2]) for w in want}
 
 
+def test_keys_that_span_batches_are_counted_once():
+    import pyarrow as pa
+
+    from tessera.llm.exact_dedup import _first_of_each
+
+    digests = ["a", "a", "b", "b", "b", "b", "c", "d", "d"]
+    rows = [{"digest": d, "check": 1, "n_bytes": 1, "run": 0, "slice": 0, "id": i, "tag": {"file": 1, "row": i}, "copies": i + 1} for i, d in enumerate(digests)]
+    for size in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)]
+        out = [r for b in _first_of_each(iter([batches[0][:0], *batches])) for r in b.to_pylist()]
+        assert [(r["digest"], r["id"], r["tag"]["row"], r["copies"]) for r in out] == [("a", 0, 0, 3), ("b", 2, 2, 18), ("c", 6, 6, 7), ("d", 7, 7, 17)]
+
+
+def test_a_digest_is_once_in_each_merged_run(spark):
+    from tessera.llm import exact_dedup as e
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 700)) as text").repartition(20)
+    merged = e.merge_runs(e._digests(docs, "doc_id", "text"), spark, fan_in=4)
+    assert merged.count() == merged.select("digest").distinct().count()
+    assert merged.agg({"copies": "sum"}).first()[0] == 3000 and merged.filter("copies >= 1000").count() == 1
+
+
 def test_rows_of_files_are_told_apart_without_a_copy(spark, messy, tmp_path):
     from tessera.llm.common import tagged
     from tessera.llm.simhash import near_dedup
