@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import exact_dedup, html_text, licenses, media, mixing, packing, quality, simhash, substrings, toxicity
+from tessera.llm import exact_dedup, html_text, licenses, media, mixing, negatives, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
