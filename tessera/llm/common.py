@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Java character class of the white space that the contracts name: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
@@ -45,6 +48,11 @@ def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_schema(kinds: str) -> pa.Schema:
+    """A schema string as Arrow's schema."""
+    return to_arrow_schema(StructType.fromDDL(kinds))
+
+
 def kind_of(df: DataFrame, column: str) -> str:
     """The type of a column, as a schema string has it."""
     return df.schema[column].dataType.simpleString()

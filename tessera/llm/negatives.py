@@ -23,10 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tessera.llm.common import kind_of, table, written
+from tessera.llm.common import arrow_schema, kind_of, table, written
 
 #: Rows of a block, anchors of a group, anchors whose partial scores are held at a time, dimensions of a slab.
 BLOCK, GROUP, HELD, SLAB = 4096, 4096, 64, 8
@@ -42,10 +40,6 @@ def usable(vector: Column, label: Column) -> Column:
     return label.isNotNull() & vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def _arrow(kinds: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(kinds))
-
-
 def _blocks(schema: pa.Schema):
     """One row for the partition: its rows in order of id (null last), as a matrix padded with zeros."""
 
@@ -213,7 +207,7 @@ def hard_negatives(
     rows = written(rows, spark, "vectors")
     n_blocks, n_anchors = max(1, -(-rows.count() // block)), rows.filter("anchor").count()
     block_kinds = f"block int, ids array<{id_kind}>, labels array<{label_kind}>, anchors array<boolean>, width int, x binary"
-    blocks = written(rows.repartition(n_blocks).mapInArrow(_blocks(_arrow(block_kinds)), block_kinds), spark, "blocks")
+    blocks = written(rows.repartition(n_blocks).mapInArrow(_blocks(arrow_schema(block_kinds)), block_kinds), spark, "blocks")
     n_groups = max(1, -(-n_anchors // group))
 
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +219,7 @@ def hard_negatives(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, anchor_types, strict=True)], schema=anchor_types)
 
     anchor_kinds = f"block int, place long, anchor_id {id_kind}, label {label_kind}, x binary"
-    anchor_types = _arrow(anchor_kinds)
+    anchor_types = arrow_schema(anchor_kinds)
     anchors = written(blocks.mapInArrow(anchors_of, anchor_kinds), spark, "anchors")
 
     met_kinds = f"block int, place long, window int, id {id_kind}, row long, score long"
@@ -235,7 +229,7 @@ def hard_negatives(
         dealt = asked.withColumn("part", F.pmod(F.xxhash64("block", "place"), F.lit(n_groups)))
         everywhere = dealt.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         each = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
-        run = _joined(k, *(shares or (None, None)), _arrow(met_kinds))
+        run = _joined(k, *(shares or (None, None)), arrow_schema(met_kinds))
         return each.withColumn("of", F.col("block")).groupBy("of", "part").cogroup(everywhere.groupBy("of", "part")).applyInArrow(lambda left, right: run(left, right), met_kinds)
 
     best = [F.desc("score"), F.asc_nulls_last("id"), "row"]
