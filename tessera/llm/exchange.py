@@ -51,7 +51,9 @@ def unpack(packed: bytes) -> list[np.ndarray]:
 
 def dealt(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(shard, its slice) for shard numbers in order."""
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, int)
+    if not len(shard):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     for low, high in zip(starts, [*starts[1:], len(shard)], strict=True):
         yield int(shard[low]), slice(int(low), int(high))
 

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import alignment, exact_dedup, html_text, licenses, media, mixing, negatives, packing, quality, simhash, substrings, toxicity
+from tessera.llm import alignment, exact_dedup, html_text, language_model, licenses, media, mixing, negatives, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_alignment": alignment.op11_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_lm_scoring": language_model.op13_lm_scoring,
 }
 
 ORACLE_SQL = {
