@@ -42,6 +42,17 @@ def written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, spark: SparkSession, name: str, column: str) -> DataFrame:
+    """df written once in the shared folder, in buckets of the column: joins and groups by the column read it without a shuffle.
+
+    An external table of spark.sql.shuffle.partitions buckets; the session's catalog keeps its name, the folder its files.
+    """
+    named = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{named}").option("compression", "zstd").format("parquet").saveAsTable(named)
+    return spark.table(named)
+
+
 def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Spark's own checkpoint in the shared folder; for small tables of iterations, freed when unreferenced."""
     shared_dir(spark)

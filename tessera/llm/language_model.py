@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, kind_of, table, written
+from tessera.llm.common import arrow_schema, bucketed, kind_of, table, written
 from tessera.llm.exchange import PACKETS, PACKETS_TYPES, answers, dealt, let_go, mixed_bits, pack, packet_batch, shards_for, total, unpack
 
 ORDER, SMOOTHING = 3, 100.0
@@ -139,16 +139,16 @@ class Level:
         mapped([self, self.prefixes, self.pointers, self.raised, self.successors])
 
     def find(self, prefix: np.ndarray, runs: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, rank among the prefix's successors), -1 for n-grams that aren't there. runs: successors asked of each prefix."""
+        """(each n-gram's place, -1 if it isn't there; each prefix's pointer, the place of its first). runs: successors asked of each prefix."""
         node = self.prefixes.find(prefix)
         known = np.flatnonzero(node >= 0)
         pointer, low, high = (np.zeros(len(node), np.int64) for _ in range(3))
         pointer[known], low[known], high[known] = self.pointers[node[known]], self.raised[node[known]], self.raised[node[known] + 1]
-        pointer, low, high = (np.repeat(v, runs) for v in (pointer, low, high))
+        low, high = (np.repeat(v, runs) for v in (low, high))
         place = np.full(len(successor), -1, np.int64)
         asked = np.flatnonzero(low + successor < high)
         place[asked] = self.successors.find(low[asked] + successor[asked])
-        return place, np.where(place >= 0, place - pointer, -1)
+        return place, pointer
 
 
 def probability(code: np.ndarray) -> np.ndarray:
@@ -175,8 +175,13 @@ def _vocabulary(n_shards: int):
     return run
 
 
+def _rising(places: np.ndarray) -> np.ndarray:
+    """Places with each 0 (not known) as the place before it, so that they rise; the codes tell which are known."""
+    return np.maximum.accumulate(places) if len(places) else places
+
+
 def _level(smoothing: float, last: bool):
-    """For each packet of n-grams: code + 1 (0 if it isn't known), and unless it is the last level, place + 1 and rank."""
+    """For each packet of n-grams: code + 1 (0 if it isn't known), and unless it is the last level, place + 1 and each prefix's pointer."""
 
     def run(shard: int, packets: list[list[np.ndarray]]) -> list[bytes]:
         prefix = np.concatenate([np.repeat(p, runs) for p, runs, *_ in packets])
@@ -190,9 +195,9 @@ def _level(smoothing: float, last: bool):
         trie = Level(prefix[first], successor[first], counts / (of_prefix[first] + smoothing))
         said = []
         for p, runs, _, s, _ in packets:
-            place, rank = trie.find(p, runs, s)
+            place, pointer = trie.find(p, runs, s)
             code = np.where(place >= 0, trie.codes[place].astype(np.int64) + 1, 0) if len(trie.codes) else np.zeros(len(s), np.int64)
-            said.append(pack(code) if last else pack(code, place + 1, np.maximum(rank, 0)))
+            said.append(pack(code) if last else pack(code, _rising(place + 1), pointer))
         return said
 
     return run
@@ -310,9 +315,11 @@ class Chunk:
         own = np.where(self.next[i] >= 0, np.append(value, 0.0)[self.next[i]], 0.0)
         p[i] = own + p[i] * self.smoothing / (of_context + self.smoothing)
         if not last:
-            place, rank = (np.concatenate([s[k] for s in said]) if said else np.empty(0, np.int64) for k in (1, 2))
+            place, pointer = (np.concatenate([s[k] for s in said]) if said else np.empty(0, np.int64) for k in (1, 2))
             self.count = np.where(code > 0, np.maximum(1, np.rint(value * (self.of_prefix + self.smoothing))), 0).astype(np.int64)
-            self.node = np.append(np.where(place > 0, (place - 1) * self.n_shards + self.shard, -1), -1)  # -1 stands last, for tokens that end no n-gram
+            self.node = np.append(np.where(code > 0, (place - 1) * self.n_shards + self.shard, -1), -1)  # -1 stands last, for tokens that end no n-gram
+            first = np.concatenate([[True], (self.shard[1:] != self.shard[:-1]) | (self.prefix[1:] != self.prefix[:-1])]) if len(self.prefix) else np.empty(0, bool)
+            rank = place - 1 - pointer[np.cumsum(first) - 1]
             self.relative = rank * self.splits + self.split
             self.at = self.next
 
@@ -345,7 +352,7 @@ def lm_scores(
     kind = kind_of(docs, id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     kinds = STATE.format(kind)
-    state = written(rows.mapInArrow(_chunks(chunk, arrow_schema(kinds)), kinds), spark, "chunks")
+    state = bucketed(rows.mapInArrow(_chunks(chunk, arrow_schema(kinds)), kinds), spark, "chunks", "chunk")
     train_tokens = total(state, "n_train")
     n_shards = shards_for(total(state, "n_tokens"), shard)
 
@@ -355,9 +362,7 @@ def lm_scores(
                 yield from packet_batch(row["chunk"], Chunk(row, n_shards, smoothing).ask_words()).to_batches()
 
     def kept(packets: DataFrame, answer, level: int) -> DataFrame:
-        said = written(answers(packets, answer).withColumn("level", F.lit(level)), spark, "answers")
-        let_go(spark)
-        return said
+        return written(answers(packets, answer).withColumn("level", F.lit(level)), spark, "answers")
 
     said = kept(state.mapInArrow(ask_words, PACKETS), _vocabulary(n_shards), 1)
     new = said.mapInArrow(_new_words, "n long")
@@ -374,8 +379,11 @@ def lm_scores(
         return ask
 
     for n in range(2, order + 1):
-        packets = state.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(asking(n), PACKETS)
-        said = said.union(kept(packets, _level(smoothing, n == order), n))
+        let_go(spark)  # of the level before
+        asked = state.groupBy("chunk").cogroup(said.groupBy("chunk"))
+        said = said.union(kept(asked.applyInArrow(asking(n), PACKETS), _level(smoothing, n == order), n))
+        del asked
+    let_go(spark)
 
     result = RESULT.format(kind)
     result_types = arrow_schema(result)

@@ -107,8 +107,8 @@ def test_level_finds_successors():
     level = L.Level(prefix, successor, np.full(len(pairs), 0.125))
     for p in {*prefix.tolist(), 7}:
         asked = np.arange(65)
-        place, rank = level.find(np.array([p]), np.array([65]), asked)
+        place, pointer = level.find(np.array([p]), np.array([65]), asked)
         own = [b for a, b in pairs if a == p]
         assert [b for b, x in zip(asked.tolist(), place, strict=True) if x >= 0] == own
-        assert rank[place >= 0].tolist() == list(range(len(own))) and all(pairs[x] == (p, b) for b, x in zip(asked, place, strict=True) if x >= 0)
+        assert (place[place >= 0] - pointer[0]).tolist() == list(range(len(own))) and all(pairs[x] == (p, b) for b, x in zip(asked, place, strict=True) if x >= 0)
     assert L.probability(level.codes) == pytest.approx(0.125, rel=3e-4)
