@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.page import random_key, top_k
+from tessera.sources.scratch import kept
 
 
 def dead_ends(triples: DataFrame, visible: DataFrame, predicates: Sequence[str] | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -116,18 +117,25 @@ def explain_keywords(postings: DataFrame, triples: DataFrame, uri: str, keywords
 
 
 def reachable(triples: DataFrame, predicate: str, start: DataFrame, hops: int, visible: DataFrame | None = None) -> DataFrame:
-    """(start, uri, hops, visible): what a chain of up to `hops` triples of the predicate reaches, with its shortest length."""
+    """(start, uri, hops, visible): what a chain of up to `hops` triples of the predicate reaches, with its shortest length.
+
+    Each level holds only what no level before it reached, and is written; the first empty one is the last. A start is
+    among its own results if a chain leads back to it.
+    """
     t = triples.filter(F.col("predicate") == predicate).select(F.col("subject").alias("uri"), F.col("object").alias("next"))
     level = start.select(F.col("uri").alias("start"), "uri").distinct()
-    levels = []
+    found = level.withColumn("hops", F.lit(0)).limit(0)
     for i in range(1, hops + 1):
-        level = level.join(t, "uri").select("start", F.col("next").alias("uri")).distinct()
-        levels.append(level.withColumn("hops", F.lit(i)))
-    out = reduce(DataFrame.union, levels).groupBy("start", "uri").agg(F.min("hops").alias("hops"))
+        further = level.join(t, "uri").select("start", F.col("next").alias("uri")).distinct()
+        further = further if i == 1 else further.join(found, ["start", "uri"], "left_anti")
+        level = kept(further, "reached")
+        if level.isEmpty():
+            break
+        found = found.union(level.withColumn("hops", F.lit(i)))
     if visible is None:
-        return out.withColumn("visible", F.lit(True))
+        return found.withColumn("visible", F.lit(True))
     v = visible.select("uri").distinct().withColumn("seen", F.lit(True))
-    return out.join(v, "uri", "left").select("start", "uri", "hops", F.coalesce("seen", F.lit(False)).alias("visible"))
+    return found.join(v, "uri", "left").select("start", "uri", "hops", F.coalesce("seen", F.lit(False)).alias("visible"))
 
 
 def field_use(used: Sequence[str], fields: DataFrame) -> DataFrame:

@@ -109,16 +109,6 @@ def date_range(fields: DataFrame, start_field: str, end_field: str, value: str,
     raise ValueError(f"unknown comparison {op!r}")
 
 
-def property_value(docs: DataFrame, names: Sequence[str], values: Sequence, weight: float = 1.0, json: str = "json") -> DataFrame:
-    """Records whose JSON text has a property of one of the names, anywhere, with one of the values or an array that holds one."""
-    import json as j
-    import re
-
-    keys = "|".join(re.escape(n) for n in names)
-    any_value = "|".join(re.escape(j.dumps(v, ensure_ascii=False)) for v in values)
-    return _scored(docs.filter(F.col(json).cast("string").rlike(rf'"(?:{keys})"\s*+:\s*+(?:\[(?:\s*+(?:"(?:[^"\\]|\\.)*+"|[^\[\]{{}}",]++),)*\s*+)?(?:{any_value})\s*+[,}}\]]')), "uri", weight)
-
-
 def record_type(docs: DataFrame, names: Sequence[str], scopes: dict[str, list[str]], weight: float = 1.0) -> DataFrame:
     """Records of the types; a scope's name stands for its types, and case doesn't matter."""
     known = {t.lower(): t for types in scopes.values() for t in types}
@@ -328,40 +318,3 @@ def relevance(postings: DataFrame, names: Sequence[str], weighted: dict[str, flo
     n = p.filter("pos = 0").agg(F.count_distinct("uri").alias("n"))  # one token a field
     s = tf.join(df, "folded").crossJoin(F.broadcast(n))  # one row
     return s.groupBy("uri").agg(F.sum(F.col("weight") * (1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("score"))
-
-
-def match_batch(criteria: DataFrame, fields: DataFrame, postings: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
-    """Many searches in one job: (search_id, uri, score).
-
-    criteria: (search_id, group_id, field, op, value, weight, negated). Leaves of a group are ORed, groups ANDed, negated
-    leaves exclude. op is "=" (text or number), one of < <= > >= (number, or a date as text, completed as date_range does),
-    "word" (a word of the field, needs postings) or "linked" (field is a predicate, value the record it leads to, needs
-    triples). All but ranges join on field and value; range leaves that say the same are met with the fields once,
-    whatever the number of searches that ask for them.
-    """
-    leaf = ["field", "op", "value"]
-    n = F.coalesce(F.col("v_float"), F.col("v_long").cast("double"))
-    asked = criteria.select(*leaf).distinct()
-    number = F.col("value").try_cast("double")
-    day = F.when(F.col("op").isin("<", "<="), to_seconds(complete_date(F.col("value")))).otherwise(to_seconds(complete_date(F.col("value"), end=True)))
-    same = asked.filter("op = '='").withColumn("v", number)
-    ranges = asked.filter(F.col("op").isin("<", "<=", ">", ">=")).withColumn("v", F.coalesce(number, day.cast("double"))).withColumnRenamed("field", "f")
-    text = fields.filter("v_str is not null").select("uri", "field", F.col("v_str").alias("value")).join(same, ["field", "value"]).select("uri", *leaf)
-    numbers = fields.select("uri", "field", n.alias("v")).filter("v is not null")
-    equal = numbers.join(same, ["field", "v"]).select("uri", *leaf)
-    v = F.col("r.v")
-    within = F.when(F.col("op") == "<", F.col("n.v") < v).when(F.col("op") == "<=", F.col("n.v") <= v).when(F.col("op") == ">", F.col("n.v") > v).when(F.col("op") == ">=", F.col("n.v") >= v)
-    between = numbers.alias("n").join(ranges.alias("r"), (F.col("field") == F.col("f")) & within).select("uri", *leaf)
-    found = [text, equal, between]
-    if postings is not None:
-        words = asked.filter("op = 'word'").withColumn("folded", T.fold(F.col("value")))
-        found.append(postings.select("uri", "field", "folded").join(words, ["field", "folded"]).select("uri", *leaf))
-    if triples is not None:
-        linked = triples.select(F.col("subject").alias("uri"), F.col("predicate").alias("field"), F.col("object").alias("value"))
-        found.append(linked.join(asked.filter("op = 'linked'"), ["field", "value"]).select("uri", *leaf))
-    hits = reduce(DataFrame.union, found).distinct()
-    leaves = hits.join(criteria, leaf).groupBy("search_id", "group_id", "uri", "negated").agg(F.max("weight").alias("weight"))
-    groups = criteria.filter("not negated").groupBy("search_id").agg(F.count_distinct("group_id").alias("groups"))
-    met = leaves.filter("not negated").groupBy("search_id", "uri").agg(F.count_distinct("group_id").alias("met"), F.sum("weight").alias("score"))
-    good = met.join(groups, "search_id").filter("met = groups").select("search_id", "uri", "score")
-    return good.join(leaves.filter("negated"), ["search_id", "uri"], "left_anti")

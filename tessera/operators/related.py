@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import camel_words
+from tessera.sources.scratch import kept
+
+#: Ends of a middle above which it counts as heavy.
+HEAVY = 1000
 
 Path = tuple[str, str, bool, str, bool]
 
@@ -22,28 +26,68 @@ def _hop(triples: DataFrame, predicate: str, forward: bool) -> DataFrame:
     return triples.filter(F.col("predicate") == predicate).select(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
+def _sides(triples: DataFrame, path: Path, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(start, mid), each once, and (mid, uri, c): the triples of the last hop."""
+    _, first, first_forward, second, second_forward = path
+    one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid")).distinct()
+    counted = _hop(triples, second, second_forward).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))  # before the hubs meet
+    return one, counted.select(F.col("a").alias("mid"), F.col("b").alias("uri"), "c")
+
+
+def _summed(rows: DataFrame, path: Path) -> DataFrame:
+    """A last hop from subject to object counts its triples with duplicates; one against the arrow counts distinct records."""
+    n = F.sum("c") if path[4] else F.max(F.lit(1).cast("long"))
+    return rows.groupBy("start", "uri").agg(n.alias("n"))
+
+
 def _ends(triples: DataFrame, path: Path, start: DataFrame) -> DataFrame:
     """(start, uri, key, n): how often the path leads from start to uri.
 
-    A last hop from subject to object counts its triples with duplicates; one against the arrow counts distinct records.
+    The ends of a middle with more than HEAVY of them are dealt into parts, and its starts meet each part, so that no task
+    holds a whole middle.
     """
-    key, first, first_forward, second, second_forward = path
-    one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid")).distinct()
-    counted = _hop(triples, second, second_forward).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))  # before the hubs meet
-    two = one.join(counted, F.col("mid") == F.col("a")).select("start", F.col("b").alias("uri"), "c")
-    n = F.sum("c") if second_forward else F.max(F.lit(1).cast("long"))
-    return two.filter("start <> uri").groupBy("start", "uri").agg(n.alias("n")).select("start", "uri", F.lit(key).alias("key"), "n")
+    one, two = _sides(triples, path, start)
+    parts = two.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("uri"), F.coalesce("parts", F.lit(1)))
+    dealt = two.join(parts, "mid", "left").select("mid", part.alias("part"), "uri", "c")
+    spread = one.join(parts, "mid", "left").select("start", "mid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    return _summed(spread.join(dealt, ["mid", "part"]).filter("start <> uri"), path).select("start", "uri", F.lit(path[0]).alias("key"), "n")
+
 
+def _first_ends(triples: DataFrame, path: Path, start: DataFrame, cap: int, heavy: int) -> DataFrame:
+    """The first `cap` rows of _ends of each start, by n, then uri, without listing what heavy middles lead to.
 
-def related(triples: DataFrame, paths: Sequence[Path], start: DataFrame, cap: int | None = None) -> DataFrame:
+    Starts with the same set of heavy middles reach the same ends through them equally often, so those counts are taken once
+    a set. An end that a start reaches by heavy middles alone has behind it only ends that come after it in the set's order:
+    it is among the set's first cap + 1 (the start itself may be one) or not among the start's first cap. These, and the ends
+    that light middles lead to, are the candidates; both kinds get their count by light and by heavy middles added up.
+    """
+    one, two = _sides(triples, path, start)
+    many = kept(two.groupBy("mid").agg(F.count(F.lit(1)).alias("ends")).filter(F.col("ends") > heavy).select("mid"), "heavy")
+    light = _summed(one.join(many, "mid", "left_anti").join(two, "mid").filter("start <> uri"), path)
+    sets = kept(one.join(many, "mid", "left_semi").groupBy("start").agg(F.sort_array(F.collect_set("mid")).alias("mids")), "heavy-sets")
+    members = sets.select("mids").distinct().select("mids", F.explode("mids").alias("mid"))
+    by_set = _summed(members.join(two, "mid").withColumnRenamed("mids", "start"), path).withColumnRenamed("start", "mids")
+    by_set = kept(by_set.withColumnRenamed("n", "by_heavy"), "heavy-ends")
+    place = F.row_number().over(Window.partitionBy("mids").orderBy(F.desc("by_heavy"), "uri"))
+    firsts = by_set.withColumn("place", place).filter(F.col("place") <= cap + 1)
+    through = sets.join(firsts, "mids").filter("start <> uri").select("start", "uri", "mids", "by_heavy")
+    reached = light.join(sets, "start", "left").join(by_set, ["mids", "uri"], "left").select("start", "uri", "n", "by_heavy")
+    both = through.join(light.select("start", "uri"), ["start", "uri"], "left_anti").select("start", "uri", F.lit(None).cast("long").alias("n"), "by_heavy").union(reached)
+    zero = F.lit(0).cast("long")
+    n = F.coalesce("n", zero) + F.coalesce("by_heavy", zero) if path[4] else F.lit(1).cast("long")
+    ranked = both.select("start", "uri", n.alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("n"), "uri")))
+    return ranked.filter(F.col("r") <= cap).select("start", "uri", F.lit(path[0]).alias("key"), "n")
+
+
+def related(triples: DataFrame, paths: Sequence[Path], start: DataFrame, cap: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """(start, uri, key, n, total) for all records in start (one column uri): relations of all of them in the same joins.
 
-    cap keeps that many records of each relation, those with the highest counts.
+    cap keeps that many records of each relation, those with the highest counts; middles with more than `heavy` ends are then
+    not listed start by start.
     """
     s = start.select(F.col("uri").alias("start")).distinct()
-    rows = reduce(DataFrame.unionByName, [_ends(triples, p, s) for p in paths])
-    if cap is not None:
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("start", "key").orderBy(F.desc("n"), "uri"))).filter(F.col("r") <= cap).drop("r")
+    rows = reduce(DataFrame.unionByName, [_ends(triples, p, s) if cap is None else _first_ends(triples, p, s, cap, heavy) for p in paths])
     return rows.withColumn("total", F.sum("n").over(Window.partitionBy("start", "uri")))
 
 

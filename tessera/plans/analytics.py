@@ -107,7 +107,7 @@ def similar_topwords(spark, sf):
 
 def similar_weighted(spark, sf):
     spec = {"name": (["conceptPrimaryName"], 2.0, False), "type": (["conceptTypeId"], 1.0, True)}
-    v = V.aspect_values(S.fields(spark, sf, "conceptPrimaryName", "conceptTypeId"), spec)
+    v = V.aspect_values(S.fields(spark, sf, "conceptPrimaryName", "conceptTypeId"), spec, S.docs(spark, sf, "part"))
     seeds = S.docs(spark, sf, "part").filter(F.substring_index("uri", "/", -1).try_cast("long") % 100 == 0)
     return V.similar(v, seeds, 5)
 
@@ -354,7 +354,7 @@ ORACLE_SQL = {
     "related_paths": f"WITH {_paths_sql(chr(39) + 'Person' + chr(39) + ', ' + chr(39) + 'Group' + chr(39), chr(39) + 'LinguisticObject' + chr(39) + ', ' + chr(39) + 'Place' + chr(39), chr(39) + 'Place' + chr(39) + ', ' + chr(39) + 'Person' + chr(39) + ', ' + chr(39) + 'Group' + chr(39))} SELECT start_type || '-' || first || '-' || second || '-' || end_type AS key, CASE first WHEN 'placeOfActivity' THEN 'place of activity' WHEN 'agentOfCreation' THEN 'agent of creation' ELSE 'falls_within' END AS label FROM p",
     "related_statistics": f"WITH {_paths_sql(repr('Person') + ', ' + repr('Group') + ', ' + repr('Place'), repr('LinguisticObject') + ', ' + repr('Place') + ', ' + repr('Person'), repr('Place') + ', ' + repr('Person') + ', ' + repr('Type'))} SELECT start_type, end_type, count(*) AS paths FROM p GROUP BY ALL",
     "similar_topwords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN (" + ", ".join(f"'{x}'" for x in V.STOP_WORDS) + ") GROUP BY ALL) SELECT 'document/' || doc_id AS uri, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5",
-    "similar_weighted": "SELECT seed, uri, score, rank FROM (SELECT 'part/' || a.p_partkey AS seed, 'part/' || b.p_partkey AS uri, 1.0::DOUBLE + CASE WHEN a.p_name = b.p_name THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_name = b.p_name THEN 3 ELSE 1 END DESC, 'part/' || b.p_partkey) AS rank FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0) WHERE rank <= 5",
+    "similar_weighted": "SELECT seed, uri, score, rank FROM (SELECT 'part/' || a.p_partkey AS seed, 'part/' || b.p_partkey AS uri, 2.0::DOUBLE + CASE WHEN a.p_name = b.p_name THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_name = b.p_name THEN 3 ELSE 1 END DESC, 'part/' || b.p_partkey) AS rank FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0) WHERE rank <= 5",
     "similar_dates": "WITH p AS (SELECT p_partkey AS k, 1500 + p_partkey % 400 AS s, 1500 + p_partkey % 400 + p_size * 10 - 9 AS e FROM part) SELECT 'part/' || a.k AS seed, 'part/' || b.k AS uri FROM p a JOIN p b ON b.s < a.s - CASE WHEN a.s > 1900 THEN 10 WHEN a.s > 1700 THEN 20 ELSE 35 END AND b.e > a.e + CASE WHEN a.e > 1900 THEN 10 WHEN a.e > 1700 THEN 20 ELSE 35 END WHERE a.k % 100 = 0 AND a.k <> b.k",
     "vector_topk": "SELECT query, uri, round(cosine, 6) AS cosine, rank FROM (SELECT 'vector/' || q.vec_id AS query, 'vector/' || v.vec_id AS uri, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, 'vector/' || v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5",
     "name_completion": "SELECT 'customer/' || c_custkey AS uri, c_name AS names FROM customer WHERE c_name LIKE 'Customer#00000001%' ORDER BY names LIMIT 10",

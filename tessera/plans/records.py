@@ -5,8 +5,6 @@ The driver tables are turned into JSON records and log lines by expressions, so
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +15,14 @@ from tessera.operators import logs as L
 from tessera.operators import match as M
 from tessera.operators import page as P
 from tessera.operators import records as D
+from tessera.operators import properties as J
 from tessera.operators import related as R
 from tessera.operators import similar as V
 from tessera.operators.complete import complete_names
 from tessera.sources import logs as SL
 from tessera.sources import records as SR
 from tessera.sources import tables as S
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in tests, where none is named, in a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tessera.sources.scratch import scratch
 
 
 def _json(**parts: Column) -> Column:
@@ -168,7 +158,7 @@ def new_sets(spark, sf):
     return out.select("uri", "username", F.array_join("members", "|").alias("members"), F.size("history").alias("n_history"))
 
 
-_URLS = {"click": "/ds/lux/search.mjs", "view": "/ds/lux/document/read.mjs", "purchase": "/ds/lux/facets.mjs", "signup": "/ds/lux/relatedList.mjs"}
+_URLS = {"click": "/ds/app/search.mjs", "view": "/ds/app/document/read.mjs", "purchase": "/ds/app/facets.mjs", "signup": "/ds/app/relatedList.mjs"}
 
 
 def _url(kind: Column) -> Column:
@@ -322,7 +312,7 @@ def completion_by_alternatives(spark, sf):
 def property_in_arrays(spark, sf):
     """Orders as JSON with the numbers of their lines in an array: those that have a line 3 or 7."""
     l = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("lines"))
-    return M.property_value(l.select(S.uri("order", "l_orderkey").alias("uri"), _json(json=F.struct(F.col("lines").alias("line"))).alias("json")), ["line"], [3, 7])
+    return J.property_value(J.property_index(l.select(S.uri("order", "l_orderkey").alias("uri"), _json(json=F.struct(F.col("lines").alias("line"))).alias("json"))), ["line"], [3, 7])
 
 
 def link_functions(spark, sf):
@@ -351,7 +341,7 @@ QUERIES = {
 
 _C = "'customer/' || c_custkey"
 _KIND = "CASE event_type WHEN 'click' THEN 'Search' WHEN 'view' THEN 'Document' WHEN 'purchase' THEN 'Facet' WHEN 'signup' THEN 'Related List' ELSE 'Other' END"
-_PATH = "CASE event_type WHEN 'click' THEN '/ds/lux/search.mjs' WHEN 'view' THEN '/ds/lux/document/read.mjs' WHEN 'purchase' THEN '/ds/lux/facets.mjs' WHEN 'signup' THEN '/ds/lux/relatedList.mjs' ELSE '/other' END || '?q=1'"
+_PATH = "CASE event_type WHEN 'click' THEN '/ds/app/search.mjs' WHEN 'view' THEN '/ds/app/document/read.mjs' WHEN 'purchase' THEN '/ds/app/facets.mjs' WHEN 'signup' THEN '/ds/app/relatedList.mjs' ELSE '/other' END || '?q=1'"
 
 ORACLE_SQL = {
     "record_load": "SELECT 'Person' AS data_type, count(*) AS n, 2 * count(*) AS n_sources FROM customer WHERE round(c_acctbal, 2) >= 0 UNION ALL SELECT 'corrupt', count(*), 0 FROM customer WHERE round(c_acctbal, 2) < 0",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.dates import complete_date, from_seconds, similar_window, to_seconds
+from tessera.operators import batch as B
 from tessera.operators import match as M
 from tessera.operators import page as P
+from tessera.operators import properties as J
+from tessera.operators import terms as D
 from tessera.sources import tables as S
 
 ITEM_SQL = "'item/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
@@ -95,7 +98,27 @@ def record_type_filter(spark, sf):
 
 def property_value(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(S.uri("event", "event_id").alias("uri"), F.col("props").alias("json"))
-    return M.property_value(e, ["k", "j"], [7, 70])
+    return J.property_value(J.property_index(e), ["k", "j"], [7, 70])
+
+
+def _nested(spark, sf):
+    """Items as records whose property k is an array of an object, a number (as a double) and an array, beside a text that looks like it."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")  # noqa: E741
+    n = F.col("l_linenumber").cast("string")
+    like = F.format_string('"k": %s', n)
+    json = F.format_string('{"k": [{"z": %s}, %s, [%s.0, true]], "j": %s, "deep": {"a": {"b": {"c": {"d": {"e": {"f": {"k": "%s"}}}}}}}, "none": null, "empty": []}', n, F.col("l_quantity").cast("string"), F.col("l_suppkey").cast("string"), F.to_json(F.struct(like.alias("x"))), F.col("l_returnflag"))
+    return l.select(S.uri("item", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uri"), F.lit("HumanMadeObject").alias("data_type"), json.alias("json")).distinct()
+
+
+def property_nested(spark, sf):
+    """Items with 7 or "R" under k: as a double, in an array in an array, or deep down; not in an object's z, nor in a text."""
+    return J.property_value(J.property_index(_nested(spark, sf)), ["k"], [7, "R"])
+
+
+def property_search(spark, sf):
+    """Items that have the properties none, empty and z, a z of 3, and both true and 5 under k."""
+    docs = _nested(spark, sf)
+    return J.property_search(docs, J.property_index(docs), ["HumanMadeObject"], ["none", "empty", "z"], {"z": 3, "k": [True, 5]})
 
 
 def _postings(spark, sf, *names):
@@ -197,7 +220,7 @@ def batch_words_links_dates(spark, sf):
         words.select("search_id", *leaf(0, "workAnyText", "word", F.col("word"))), words.select("search_id", *leaf(1, "workAnyText", "word", F.lit("MIT"), negated=True)),
     ]
     fields = S.fields(spark, sf, "workTypeId", "workCreationStartDateLong")
-    return M.match_batch(reduce(DataFrame.union, criteria), fields, _postings(spark, sf, "workAnyText"), S.triples(spark, sf, "agentOfCreation"))
+    return B.match_batch(reduce(DataFrame.union, criteria), fields, _postings(spark, sf, "workAnyText"), S.triples(spark, sf, "agentOfCreation"))
 
 
 def batch_match(spark, sf):
@@ -206,7 +229,37 @@ def batch_match(spark, sf):
     a = priorities.select(F.concat(F.lit("p:"), "o_orderpriority").alias("search_id"), F.lit(0).alias("group_id"), F.lit("workTypeId").alias("field"), F.lit("=").alias("op"), F.col("o_orderpriority").alias("value"), F.lit(1.0).alias("weight"), F.lit(False).alias("negated"))
     b = priorities.select(F.concat(F.lit("p:"), "o_orderpriority"), F.lit(1), F.lit("workCreationStartDateLong"), F.lit(">="), F.lit("983404800"), F.lit(0.5), F.lit(False))
     c = priorities.select(F.concat(F.lit("p:"), "o_orderpriority"), F.lit(2), F.lit("workStatusId"), F.lit("="), F.lit("P"), F.lit(1.0), F.lit(True))
-    return M.match_batch(a.union(b).union(c), S.fields(spark, sf, "workTypeId", "workCreationStartDateLong", "workStatusId"))
+    return B.match_batch(a.union(b).union(c), S.fields(spark, sf, "workTypeId", "workCreationStartDateLong", "workStatusId"))
+
+
+def batch_ranges(spark, sf):
+    """A search for each customer with orders: works from its first order's day on, for three days, that aren't its own."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    first = o.groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("day"))
+    days = F.concat("day", F.lit(";"), F.date_format(F.date_add(F.to_date("day"), 2), "yyyy-MM-dd"))
+    leaf = lambda group, field, op, value, negated=False: [F.lit(group).alias("group_id"), F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"), F.lit(1.0).alias("weight"), F.lit(negated).alias("negated")]
+    search = F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("search_id")
+    criteria = first.select(search, *leaf(0, "workCreationStartDateLong", "between", days)).union(first.select(search, *leaf(1, "agentOfCreation", "linked", S.uri("customer", "o_custkey"), True)))
+    return B.match_batch(criteria, S.fields(spark, sf, "workCreationStartDateLong"), None, S.triples(spark, sf, "agentOfCreation"))
+
+
+def batch_phrases_wildcards_hops(spark, sf):
+    """For each nation works of its agents over two hops; for each of three sources' words phrases and wildcards in documents and names."""
+    leaf = lambda group, field, op, value: [F.lit(group).alias("group_id"), F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"), F.lit(1.0).alias("weight"), F.lit(False).alias("negated")]
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("search_id"), *leaf(0, "agentOfCreation > placeOfActivity", "linked", S.uri("nation", "n_nationkey")))
+    names = spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct()
+    wild = names.select(F.concat(F.lit("w:"), "p_name").alias("search_id"), *leaf(0, "conceptPrimaryName", "wildcard", F.concat(F.substring("p_name", 1, 3), F.lit("*"))))
+    phrases = spark.createDataFrame([("p:mit", "under the MIT license")], "search_id string, phrase string")
+    phrases = phrases.select("search_id", *leaf(0, "workAnyText", "phrase", F.col("phrase")))
+    postings = M.build_postings(S.fields(spark, sf, "workAnyText", "conceptPrimaryName"))
+    return B.match_batch(nations.union(wild).union(phrases), S.fields(spark, sf, "workTypeId"), postings, S.triples(spark, sf, "agentOfCreation", "placeOfActivity"))
+
+
+def wildcard_resolved(spark, sf):
+    """The terms that the first three letters of each part name's words stand for, by the 3-gram index."""
+    terms = D.term_dictionary(_postings(spark, sf, "conceptPrimaryName"))
+    asked = terms.select("field", F.concat(F.substring("term", 1, 3), F.lit("*")).alias("pattern")).distinct()
+    return D.resolve(asked, D.gram_index(terms)).select("pattern", "term")
 
 
 def date_functions(spark, sf):
@@ -230,8 +283,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         hop_two_level_page, hop_inverse_agents, hop_forward_items, id_shortcut_equals_hop, bool_and_or_not_boost, multi_scope_or, date_contains, date_overlap_neq, date_before,
-        dimension_range, record_type_filter, property_value, word_match, phrase_match, wildcard_match, complete_match, match_options, text_with_linked, stop_word_only_dropped, page_with_record,
-        scope_stats, scope_counts, will_match, page_total, sort_by_linked_name, sort_multi, sort_relevance, batch_match, batch_words_links_dates, date_functions, text_functions,
+        dimension_range, record_type_filter, property_value, property_nested, property_search, word_match, phrase_match, wildcard_match, complete_match, match_options, text_with_linked, stop_word_only_dropped, page_with_record,
+        scope_stats, scope_counts, will_match, page_total, sort_by_linked_name, sort_multi, sort_relevance, batch_match, batch_words_links_dates, batch_ranges, batch_phrases_wildcards_hops, wildcard_resolved, date_functions, text_functions,
     )
 }
 
@@ -277,6 +330,11 @@ ORACLE_SQL = {
     "sort_relevance": f"WITH t AS ({_TOKENS}), tf AS (SELECT doc_id, w, count(*) AS tf FROM t WHERE w IN ('license', 'under', 'worthless') GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT 'document/' || doc_id AS uri, round(sum(CASE w WHEN 'license' THEN 1.0::DOUBLE WHEN 'under' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END * (1 + ln(tf)) * ln(1 + n::DOUBLE / df)), 6) AS score FROM tf JOIN df USING (w), n GROUP BY doc_id",
     "batch_match": "SELECT 'p:' || o_orderpriority AS search_id, 'order/' || o_orderkey AS uri, 1.5::DOUBLE AS score FROM orders WHERE epoch(o_orderdate) >= 983404800 AND o_orderstatus <> 'P'",
     "batch_words_links_dates": f"SELECT 'p:' || o_orderpriority AS search_id, 'order/' || o_orderkey AS uri, 1.5::DOUBLE AS score FROM orders WHERE o_orderdate >= TIMESTAMP '2001-04-01' AND o_custkey <> 7 UNION ALL SELECT DISTINCT 'w:' || w, 'document/' || doc_id, 1.0::DOUBLE FROM ({_TOKENS}) WHERE w IN ('license', 'under', 'worthless') AND doc_id NOT IN (SELECT doc_id FROM ({_TOKENS}) WHERE w = 'mit')",
+    "property_nested": f"SELECT DISTINCT {ITEM_SQL} AS uri, 1.0::DOUBLE AS score FROM lineitem WHERE l_quantity = 7 OR l_suppkey = 7 OR l_returnflag = 'R'",
+    "property_search": f"SELECT DISTINCT {ITEM_SQL} AS uri, 1.0::DOUBLE AS score FROM lineitem WHERE l_linenumber = 3 AND (l_quantity = 5 OR l_suppkey = 5)",
+    "batch_ranges": "WITH f AS (SELECT o_custkey AS c, date_trunc('day', min(o_orderdate)) AS d FROM orders GROUP BY o_custkey) SELECT 'c:' || c AS search_id, 'order/' || o_orderkey AS uri, 1.0::DOUBLE AS score FROM f JOIN orders ON o_orderdate >= d AND o_orderdate < d + INTERVAL 3 DAY WHERE o_custkey <> c",
+    "batch_phrases_wildcards_hops": "SELECT 'n:' || c_nationkey AS search_id, 'order/' || o_orderkey AS uri, 1.0::DOUBLE AS score FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'w:' || n.p_name, 'part/' || p.p_partkey, 1.0::DOUBLE FROM (SELECT DISTINCT p_name FROM part) n JOIN part p ON p.p_name LIKE n.p_name[1:3] || '%' OR p.p_name LIKE '% ' || n.p_name[1:3] || '%' UNION ALL SELECT 'p:mit', 'document/' || doc_id, 1.0::DOUBLE FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])under[^\\p{L}\\p{N}]+the[^\\p{L}\\p{N}]+mit[^\\p{L}\\p{N}]+license([^\\p{L}\\p{N}]|$)')",
+    "wildcard_resolved": "WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) SELECT DISTINCT a.term[1:3] || '*' AS pattern, b.term FROM t a JOIN t b ON starts_with(b.term, a.term[1:3])",
     "match_options": _OPTIONS_SQL,
     "date_functions": "SELECT month, epoch(strptime(month || '-01', '%Y-%m-%d'))::BIGINT AS first, epoch(last)::BIGINT AS last, strftime(last, '%Y-%m-%dT%H:%M:%S') AS last_text, y - CASE WHEN y > 1900 THEN 10 WHEN y > 1700 THEN 20 ELSE 35 END AS lo, y + CASE WHEN y > 1900 THEN 10 WHEN y > 1700 THEN 20 ELSE 35 END AS hi FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate)::INT AS y, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 SECOND AS last FROM orders)",
     "text_functions": "SELECT DISTINCT p_type, p_name, upper(p_name[1]) || p_name[2:] AS upper_first, replace(p_name, ' ', '%20') AS encoded, replace(p_name, ' ', '|') AS words, lower(p_name) || ' ete' AS folded, p_name[1:3] || '*' AS wild, 'related to agent' AS camel FROM part",

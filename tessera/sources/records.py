@@ -36,30 +36,51 @@ class FieldSpec:
     kind: str = "text"
 
 
-def _values(json: Column, path: str) -> Column:
-    """All values at a path of a JSON text, as strings; arrays on the way are gone through."""
+def _is(v: Column, kind: str) -> Column:
+    return F.schema_of_variant(v).startswith(kind)
 
-    def flat(v: Column) -> Column:
-        return F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
 
-    def down(at: Column, step: str) -> Column:
-        found = F.transform(at, lambda x: F.get_json_object(x, f"$.{step}"))
-        return F.flatten(F.transform(F.filter(found, lambda v: v.isNotNull()), flat))
+def _items(v: Column) -> Column:
+    """An array's items, or the value alone."""
+    return F.when(_is(v, "ARRAY"), v.try_cast("array<variant>")).otherwise(F.array(v))
 
-    return reduce(down, path.split("."), F.array(json))
+
+def _below(at: Column, step: str) -> Column:
+    """What the values at a node of the path trie hold under one more step; arrays are gone through."""
+    found = F.transform(at, lambda x: F.try_variant_get(x, f"$.{step}", "variant"))
+    return F.flatten(F.transform(F.filter(found, lambda v: v.isNotNull()), _items))
+
+
+def _text(v: Column) -> Column:
+    return F.when(_is(v, "OBJECT") | _is(v, "ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def extract_fields(docs: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
-    """(uri, field, v_str, v_long, v_float): typed values; those that can't be read are left out, not errors."""
-    frames = []
+    """(uri, field, v_str, v_long, v_float): typed values; those that can't be read are left out, not errors.
+
+    One pass, whatever the number of fields: each record is parsed once, the paths of all fields make a trie of which each
+    node is read from its parent's values once, and the fields' values are exploded together.
+    """
+    at = docs.select("uri", F.array(F.try_parse_json("json")).alias("p"))
+    node = {"": "p"}
+    paths = sorted({p for f in spec for p in f.paths})
+    for depth in range(1, 1 + max((p.count(".") + 1 for p in paths), default=0)):
+        new = {}
+        for p in paths:
+            steps = p.split(".")
+            if len(steps) >= depth:
+                new.setdefault(".".join(steps[:depth]), (".".join(steps[: depth - 1]), steps[depth - 1]))
+        named = {path: f"p{len(node) + i}" for i, path in enumerate(new)}
+        at = at.select("*", *[_below(F.col(node[parent]), step).alias(named[path]) for path, (parent, step) in new.items()])
+        node |= named
+    rows = []
     for f in spec:
-        value = F.explode(F.array_distinct(F.flatten(F.array(*[_values(F.col("json"), p) for p in f.paths])))).alias("v")
-        rows = docs.select("uri", value)
-        v_long = to_seconds(F.col("v")) if f.kind == "date" else F.lit(None).cast("long")
-        v_float = F.col("v").try_cast("double") if f.kind == "number" else F.lit(None).cast("double")
-        v_str = F.col("v") if f.kind in ("text", "id") else F.lit(None).cast("string")
-        frames.append(rows.select("uri", F.lit(f.name).alias("field"), v_str.alias("v_str"), v_long.alias("v_long"), v_float.alias("v_float")))
-    return reduce(DataFrame.unionByName, frames).filter("v_str is not null or v_long is not null or v_float is not null")
+        values = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*[F.col(node[p]) for p in f.paths])), _text), lambda x: x.isNotNull()))
+        rows.append(F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), values.alias("values")))
+    each = at.select("uri", F.explode(F.array(*rows)).alias("f")).select("uri", "f.field", "f.kind", F.explode("f.values").alias("v"))
+    kind = F.col("kind")
+    typed = each.select("uri", "field", F.when(kind.isin("text", "id"), F.col("v")).alias("v_str"), F.when(kind == "date", to_seconds(F.col("v"))).alias("v_long"), F.when(kind == "number", F.col("v").try_cast("double")).alias("v_float"))
+    return typed.filter("v_str is not null or v_long is not null or v_float is not null")
 
 
 def record_triples(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import batch as B
 from tessera.operators import facets as C
 from tessera.operators import match as M
 from tessera.operators import page as P
+from tessera.operators import properties as J
 
 DAY = 86400
 
@@ -121,14 +123,14 @@ def test_terms_that_are_left_out(frames):
 def test_batch_of_words_links_and_dates(frames, spark):
     _, t, fields, p = frames
     rows = [("s1", 0, "name", "word", "Night", 1.0, False), ("s1", 1, "by", "linked", "a2", 2.0, False), ("s2", 0, "start", ">=", "1970-01-05", 1.0, False), ("s2", 1, "name", "word", "foxes", 1.0, True), ("s3", 0, "end", ">", "1970-01-07", 1.0, False), ("s3", 0, "start", "<=", "1970-01-01", 1.0, False), ("s4", 0, "end", ">", "no date", 1.0, False)]
-    got = M.match_batch(spark.createDataFrame(rows, "search_id string, group_id int, field string, op string, value string, weight double, negated boolean"), fields, p, t)
+    got = B.match_batch(spark.createDataFrame(rows, "search_id string, group_id int, field string, op string, value string, weight double, negated boolean"), fields, p, t)
     assert sorted((r.search_id, r.uri, r.score) for r in got.collect()) == [("s1", "w2", 3.0), ("s2", "w2", 1.0), ("s3", "w1", 1.0)]
 
 
 def test_batch_equals_single_searches(frames, spark):
     docs, _, fields, _ = frames
     rows = [("s1", 0, "by_id", "=", "a1", 1.0, False), ("s1", 1, "size", ">", "3", 2.0, False), ("s2", 0, "size", ">=", "0", 1.0, False), ("s2", 1, "by_id", "=", "a1", 1.0, True), ("s3", 0, "size", "=", "2.5", 1.0, False), ("s3", 0, "size", "=", "7", 1.0, False)]
-    got = M.match_batch(spark.createDataFrame(rows, "search_id string, group_id int, field string, op string, value string, weight double, negated boolean"), fields)
+    got = B.match_batch(spark.createDataFrame(rows, "search_id string, group_id int, field string, op string, value string, weight double, negated boolean"), fields)
     assert sorted((r.search_id, r.uri, r.score) for r in got.collect()) == [("s1", "w2", 3.0), ("s3", "w1", 1.0), ("s3", "w2", 1.0)]
 
 
@@ -188,11 +190,30 @@ def test_plans_have_no_python_and_no_cartesian_product(spark, sf_dir):
     assert "l_extendedprice" not in scan
 
 
-def test_property_values_in_arrays(spark):
-    rows = [("a", '{"k": [7, 8]}'), ("b", '{"x": {"k": ["u,v", "7", 9]}}'), ("c", '{"k": 77}'), ("d", '{"k": 7}'), ("e", '{"k": [[7]]}'), ("f", '{"t": "\\"k\\": 7"}'), ("g", None)]
-    docs = spark.createDataFrame(rows, "uri string, json string")
-    assert uris(M.property_value(docs, ["k"], [7])) == ["a", "d"]
-    assert uris(M.property_value(docs, ["k"], [9, "7"])) == ["b"]
+DEEP = '{"a": ' * 20 + '{"k": "bottom"}' + "}" * 20
+RECORDS = [
+    ("a", '{"k": [7, 8]}'), ("b", '{"x": {"k": ["u,v", "7", 9]}}'), ("c", '{"k": 77}'), ("d", '{"k": 7}'), ("e", '{"k": [[7]]}'), ("f", '{"t": "\\"k\\": 7"}'), ("g", None), ("h", '{"k": [{"z": 1}, 7]}'),
+    ("i", '{"k": 7.0}'), ("j", '{"k": {"z": 7}}'), ("l", "no JSON"), ("m", DEEP), ("n", '{"k": null, "e": {}, "l": []}'), ("o", '[{"k": true}, {"k": "Été, 1999"}]'), ("p", "7"),
+]
+
+
+def test_property_index(spark):
+    docs = spark.createDataFrame(RECORDS, "uri string, json string").repartition(3)
+    index = J.property_index(docs).cache()
+    has = lambda *values, exact=True: uris(J.property_value(index, ["k"], values, exact=exact))
+    assert has(7) == ["a", "d", "e", "h", "i"] and has(9, "7") == ["b"] and has("bottom") == ["m"] and has(None) == ["n"] and has(True) == ["o"]
+    assert has("ete 1999") == [] and has("ete 1999", exact=False) == ["o"] and uris(J.property_value(index, ["z"], [1, 7])) == ["h", "j"]
+    assert {(r.property, r.kind) for r in index.filter("uri = 'n'").collect()} == {("k", "null"), ("e", "object"), ("l", "array")}
+    with pytest.raises(ValueError):
+        J.property_value(index, ["k"], [])
+
+
+def test_property_search(spark):
+    docs = spark.createDataFrame([(u, "A" if u < "i" else "B", j) for u, j in RECORDS], "uri string, data_type string, json string")
+    index = J.property_index(docs).cache()
+    find = lambda *args: uris(J.property_search(docs, index, *args))
+    assert find(["A"], ["k"], {"k": 7}) == ["a", "d", "e", "h"] and find([], ["k", "z"], {}) == ["h", "j"] and find([], [], {"k": [7, 8]}) == ["a"]
+    assert find(["B"], ["e", "l"], {"k": None}) == ["n"] and find(["C"]) == [] and len(find()) == len(RECORDS)
 
 
 def test_longs_keep_their_digits(spark):

@@ -49,6 +49,93 @@ def test_similar(spark):
     assert [(r.word, r.n) for r in S.top_words(words, ["t"]).orderBy("rank").collect()] == [("alpha", 2), ("beta", 1), ("delta", 1), ("gamma", 1), ("zeta", 1)]
 
 
+@pytest.mark.parametrize("mandatory", [False, True])
+def test_similar_agrees_with_all_pairs(spark, mandatory):
+    """With values that all records share, values of half of them, and rare ones; only rare values may open records."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        own = {("a", rng.choice("xyz"), 1.0, mandatory), ("b", f"b{rng.randrange(40)}", 3.0, False), ("c", f"c{rng.randrange(9)}", 0.5, mandatory), ("type", "T", 1.0, False)}
+        rows += [(f"r{i:03}", *v) for v in own if v[0] == "type" or rng.random() < 0.8]
+    values = spark.createDataFrame(rows, "uri string, aspect string, value string, weight double, mandatory boolean").repartition(4)
+    seeds = [f"r{i:03}" for i in range(0, 120, 7)]
+    of = {}
+    for u, a, v, w, m in rows:
+        of.setdefault(u, {})[a, v] = (w, m)
+    want = set()
+    for s in seeds:
+        needed = {a for (a, _), (_, m) in of[s].items() if m}
+        scored = []
+        for u in of:
+            both = of[s].keys() & of[u].keys()
+            if u != s and both and {a for a, v in both if of[s][a, v][1]} == needed:
+                scored.append((-sum(of[s][p][0] for p in both), u))
+        want |= {(s, u, -n, r) for r, (n, u) in enumerate(sorted(scored)[:5], 1)}
+    frame = spark.createDataFrame([(u,) for u in seeds], "uri string")
+    for rare in (0, 6, 50, 1000):
+        got = S.similar(values, frame, 5, rare)
+        assert {(r.seed, r.uri, r.score, r["rank"]) for r in got.collect()} == want, rare
+    split = {(r.aspect, r.value): r.common for r in S.split_by_frequency(values, values, 50).collect()}
+    assert split["type", "T"] and not split["b", rows[0][2] if rows[0][1] == "b" else "b1"]
+
+
+def test_values_of_all_records_open_none(spark):
+    """2,000 records share one value, and all are seeds: 4,000,000 pairs, of which each seed is compared with a few."""
+    rows = [(f"r{i:05}", "type", "T") for i in range(2000)] + [(f"r{i:05}", "name", f"n{i // 2}") for i in range(2000)]
+    values = spark.createDataFrame([(*r, 1.0, False) for r in rows], "uri string, aspect string, value string, weight double, mandatory boolean")
+    seeds = values.select("uri").distinct()
+    got = S.similar(values, seeds, 3, 100)
+    best = {(r.seed, r["rank"]): r.uri for r in got.collect()}
+    assert best["r00000", 1] == "r00001" and best["r00000", 2] == "r00002" and best["r01999", 1] == "r01998" and best["r01999", 2] == "r00000" and len(best) == 6000
+
+
+def test_reserved_aspect(spark):
+    f = spark.createDataFrame([("a", "n", "m"), ("b", "n", "m"), ("c", "n", "m")], "uri string, field string, v_str string")
+    docs = spark.createDataFrame([("a", "Person"), ("b", "Group"), ("c", "Person"), ("d", "Person")], "uri string, data_type string")
+    spec, seed = {"name": (["n"], 2.0, False)}, spark.createDataFrame([("a",)], "uri string")
+    assert [(r.uri, r.score) for r in S.similar(S.aspect_values(f, spec, docs), seed).orderBy("rank").collect()] == [("c", 3.0), ("b", 2.0), ("d", 1.0)]
+    assert [(r.uri, r.score) for r in S.similar(S.aspect_values(f, spec, docs, type_mandatory=True), seed).orderBy("rank").collect()] == [("c", 3.0), ("d", 1.0)]
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_capped_relations_agree_with_all_of_them(spark, forward):
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(11)
+    first = {(f"s{rng.randrange(25):02}", rng.choice(["hub1", "hub2", "hub3", *[f"m{i}" for i in range(12)]])) for _ in range(90)}
+    second = [(m, f"s{e:02}" if rng.random() < 0.5 else f"e{e:02}") for m in ("hub1", "hub2", "hub3") for e in range(30) for _ in range(rng.randrange(3))] + [(f"m{rng.randrange(12)}", f"e{rng.randrange(30):02}") for _ in range(60)]
+    t = [(s, "one", m) for s, m in first] + [(m, "two", e) if forward else (e, "two", m) for m, e in second]
+    frame = spark.createDataFrame(t, "subject string, predicate string, object string").repartition(3)
+    counts = defaultdict(Counter)
+    for s, m in first:
+        for m2, e in second if forward else set(second):
+            if m == m2 and e != s:
+                counts[s][e] += 1
+    for cap in (1, 3, 100):
+        want = set()
+        for s, c in counts.items():
+            ranked = sorted(((-n if forward else -1, e) for e, n in c.items()))[:cap]
+            want |= {(s, e, -n) for n, e in ranked}
+        for heavy in (0, 4, 15, 1000):
+            got = R.related(frame, [("k", "one", True, "two", forward)], spark.createDataFrame([(s,) for s in counts], "uri string"), cap, heavy)
+            assert {(r.start, r.uri, r.n) for r in got.collect()} == want, (cap, heavy)
+    every = R.related(frame, [("k", "one", True, "two", forward)], spark.createDataFrame([(s,) for s in counts], "uri string"))
+    assert {(r.start, r.uri, r.n) for r in every.collect()} == {(s, e, n if forward else 1) for s, c in counts.items() for e, n in c.items()}
+
+
+def test_a_middle_with_many_starts_and_ends(spark):
+    """10^5 starts and 10^5 ends meet in one middle: 10^10 pairs, of which none but the capped ones is made."""
+    n = 100_000
+    ids = spark.range(n).select(F.format_string("%06d", "id").alias("i"))
+    t = ids.select(F.concat(F.lit("s"), "i").alias("subject"), F.lit("one").alias("predicate"), F.lit("hub").alias("object"))
+    t = t.union(ids.select(F.lit("hub"), F.lit("two"), F.concat(F.lit("e"), "i"))).union(ids.filter("i < '000003'").select(F.lit("hub"), F.lit("two"), F.lit("e099999")))
+    got = R.related(t, [("k", "one", True, "two", True)], ids.select(F.concat(F.lit("s"), "i").alias("uri")), cap=3)
+    assert [tuple(r) for r in got.groupBy("uri", "n").count().orderBy(F.desc("n"), "uri").collect()] == [("e099999", 4, n), ("e000000", 1, n), ("e000001", 1, n)]
+
+
 def test_completion(spark):
     rows = [("p1", "placePrimaryName", "New Haven"), ("p1", "placePrimaryName", "Nouveau"), ("p2", "placePrimaryName", "Havana"), ("p3", "placePrimaryName", "Paris"), ("p3", "placeName", "Haven of light"), ("x", "usedAt", "p1")]
     f = spark.createDataFrame(rows, "uri string, field string, v_str string")
@@ -72,4 +159,11 @@ def test_nearest_vectors(spark):
         want |= {(f"v{i:03}", f"v{j:03}", k + 1) for k, j in enumerate(order)}
     for block in (7, 2048):
         assert {(r.query, r.uri, r["rank"]) for r in S.nearest_vectors(v, q, 5, block).collect()} == want
+    groups = np.repeat(rng.normal(size=(6, 8)) * 5, 50, axis=0) + rng.normal(size=(300, 8)) * 0.01  # tight groups: most pairs of blocks are skipped
+    g = spark.createDataFrame([(f"v{i:03}", r.tolist()) for i, r in enumerate(groups)], "uri string, main array<double>").repartition(5)
+    unit = groups / np.linalg.norm(groups, axis=1, keepdims=True)
+    got = {(r.query, r["rank"]): r.uri for r in S.nearest_vectors(g, g, 3, 20).collect()}
+    for i in range(300):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:3]
+        assert [got[f"v{i:03}", k] for k in (1, 2, 3)] == [f"v{j:03}" for j in order]
     assert S.nearest_vectors(v, q.limit(0), 5).count() == 0 and S.nearest_vectors(v.limit(0), q, 5).count() == 0
