@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, bucketed, kind_of, table, written
-from tessera.llm.exchange import PACKETS, PACKETS_TYPES, answers, dealt, let_go, mixed_bits, pack, packet_batch, shards_for, total, unpack
+from tessera.llm.common import arrow_schema, bucketed, kind_of, table
+from tessera.llm.exchange import PACKETS, answers, dealt, let_go, mixed_bits, pack, packet_batch, shards_for, total, unpack
 
 ORDER, SMOOTHING = 3, 100.0
 #: Tokens after which a chunk ends, and tokens for which a shard is made.
-CHUNK, SHARD = 2_000_000, 500_000
+CHUNK, SHARD = 1_500_000, 500_000
 #: Steps of the quantised probabilities a power of ten; 16 bits reach down to 10^-16.
 STEPS = 4000
 
@@ -184,20 +184,20 @@ def _level(smoothing: float, last: bool):
     """For each packet of n-grams: code + 1 (0 if it isn't known), and unless it is the last level, place + 1 and each prefix's pointer."""
 
     def run(shard: int, packets: list[list[np.ndarray]]) -> list[bytes]:
-        prefix = np.concatenate([np.repeat(p, runs) for p, runs, *_ in packets])
-        of_prefix = np.concatenate([np.repeat(c, runs) for _, runs, c, *_ in packets])
-        successor, n = (np.concatenate([p[i] for p in packets]) for i in (3, 4))
-        order = np.lexsort((successor, prefix))
-        order = order[n[order] > 0]
-        prefix, successor, n, of_prefix = prefix[order], successor[order], n[order], of_prefix[order]
-        first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (successor[1:] != successor[:-1])])) if len(order) else order
-        counts = np.add.reduceat(n, first) if len(order) else n
-        trie = Level(prefix[first], successor[first], counts / (of_prefix[first] + smoothing))
+        prefixes, runs, of_prefix, successor, n = (np.concatenate([p[i] for p in packets]) for i in range(5))
+        (prefix, follows), at = _unique(np.repeat(prefixes, runs), successor)
+        counts = np.bincount(at, n, len(prefix)).astype(np.int64)
+        total = np.empty(len(prefix), np.int64)
+        total[at] = np.repeat(of_prefix, runs)
+        known = counts > 0
+        trie = Level(prefix[known], follows[known], counts[known] / (total[known] + smoothing))
+        place, pointer = trie.find(prefixes, runs, successor)
+        code = np.where(place >= 0, trie.codes[place].astype(np.int64) + 1, 0) if len(trie.codes) else np.zeros(len(successor), np.int64)
         said = []
-        for p, runs, _, s, _ in packets:
-            place, pointer = trie.find(p, runs, s)
-            code = np.where(place >= 0, trie.codes[place].astype(np.int64) + 1, 0) if len(trie.codes) else np.zeros(len(s), np.int64)
-            said.append(pack(code) if last else pack(code, _rising(place + 1), pointer))
+        first = np.cumsum([0, *(len(p[3]) for p in packets)])
+        heads = np.cumsum([0, *(len(p[0]) for p in packets)])
+        for low, high, head, tail in zip(first[:-1], first[1:], heads[:-1], heads[1:], strict=True):
+            said.append(pack(code[low:high]) if last else pack(code[low:high], _rising(place[low:high] + 1), pointer[head:tail]))
         return said
 
     return run
@@ -206,6 +206,40 @@ def _level(smoothing: float, last: bool):
 # -- chunks -------------------------------------------------------------------------------------------------------
 
 
+def _ranked(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values at these places in order, and each one's rank."""
+    used = np.zeros(len(values), bool)
+    used[at] = True
+    places = np.flatnonzero(used)
+    order = np.argsort(values[places])
+    rank = np.empty(len(values), np.int64)
+    rank[places[order]] = np.arange(len(places))
+    return values[places[order]], rank[at]
+
+
+def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of whole numbers in order, and each row's place among them."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) <= 62:  # as one number each
+        key = columns[0]
+        for c, b in zip(columns[1:], bits[1:], strict=True):
+            key = key << b | c
+        unique, at = np.unique(key, return_inverse=True)
+        out = []
+        for b in bits[:0:-1]:
+            out.append(unique & ((1 << b) - 1))
+            unique = unique >> b
+        return [unique, *out[::-1]], at
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return [c[order[new]] for c in columns], at
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -282,20 +316,21 @@ class Chunk:
         i = np.flatnonzero(self.place >= n - 1)
         self.tail, self.context = i, self.at[i - 1]  # tokens with a context of n - 1 words, and that context
         j = i[(self.node[self.context] >= 0) & (self.node[self.at[i]] >= 0)]
-        unique, at = np.unique(self.at[j - 1] << 32 | self.at[j], return_inverse=True)
-        head, last = unique >> 32, unique & 0xFFFFFFFF
-        prefix, of_prefix, successor = self.node[head], self.count[head], self.relative[last]
-        self.splits = 1 + of_prefix // self.most
-        self.split = mixed_bits(successor) % self.splits
-        shard = (mixed_bits(prefix) + self.split) % self.n_shards
-        order = np.lexsort((successor, prefix, shard))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.prefix, self.of_prefix, self.successor, self.shard = prefix[order], of_prefix[order], successor[order], shard[order]
-        self.splits, self.split = self.splits[order], self.split[order]
+        head, last = self.at[j - 1], self.at[j]
+        # each prefix and each successor of this chunk once, so that one sort by (shard, prefix, successor) gives the packets
+        heads, of_head = _ranked(head, self.node)
+        successor = self.relative[last]
+        splits = (1 + self.count[head] // self.most)
+        split = np.where(splits > 1, mixed_bits(successor) % splits, 0)
+        shard = ((mixed_bits(heads) % self.n_shards)[of_head] + split) % self.n_shards
+        unique, at = _unique(shard, of_head, successor)
+        self.shard, of_head, self.successor = unique
+        self.prefix = heads[of_head]
+        self.of_prefix, self.splits, self.split = (np.empty(len(of_head), np.int64) for _ in range(3))
+        self.of_prefix[at], self.splits[at], self.split[at] = self.count[head], splits, split
         self.next = np.full(len(self.tokens), -1, np.int64)
-        self.next[j] = rank[at]
-        self.n = np.bincount(self.next[j][self.train[j]], minlength=len(order))
+        self.next[j] = at
+        self.n = np.bincount(at[self.train[j]], minlength=len(of_head))
 
     def ask(self) -> list[tuple[int, bytes]]:
         out = []
@@ -324,18 +359,17 @@ class Chunk:
             self.at = self.next
 
 
-def _said(rows: pa.Table, level: int) -> list[list[np.ndarray]]:
-    own = rows.filter(pa.array([x == level for x in rows["level"].to_pylist()], pa.bool_())).sort_by("shard")
-    return [unpack(p) for p in own["packet"].to_pylist()]
+def _said(row: dict, level: int) -> list[list[np.ndarray]]:
+    return [unpack(x["packet"]) for x in sorted(row[f"said_{level}"] or (), key=lambda x: x["shard"])]
 
 
-def _heard(c: Chunk, said: pa.Table, order: int, upto: int, vocabulary: int, train_tokens: int) -> np.ndarray:
+def _heard(c: Chunk, row: dict, order: int, upto: int, vocabulary: int, train_tokens: int) -> np.ndarray:
     """Tells the chunk the answers of orders up to `upto`; each token's probability by then."""
-    c.hear_words(_said(said, 1))
+    c.hear_words(_said(row, 1))
     p = (c.word_count + 1) / (train_tokens + vocabulary + 1)
     for n in range(2, upto + 1):
         c.keys(n)
-        c.hear(_said(said, n), p, n == order)
+        c.hear(_said(row, n), p, n == order)
     return p
 
 
@@ -361,18 +395,19 @@ def lm_scores(
             for row in batch.to_pylist():
                 yield from packet_batch(row["chunk"], Chunk(row, n_shards, smoothing).ask_words()).to_batches()
 
-    def kept(packets: DataFrame, answer, level: int) -> DataFrame:
-        return written(answers(packets, answer).withColumn("level", F.lit(level)), spark, "answers")
+    def gathered(packets: DataFrame, answer, level: int) -> DataFrame:
+        """A row for each chunk with its answers; there are as many as shards."""
+        return answers(packets, answer).groupBy("chunk").agg(F.collect_list(F.struct("shard", "packet")).alias(f"said_{level}"))
 
-    said = kept(state.mapInArrow(ask_words, PACKETS), _vocabulary(n_shards), 1)
-    new = said.mapInArrow(_new_words, "n long")
-    vocabulary = total(new, "n")
+    said = bucketed(gathered(state.mapInArrow(ask_words, PACKETS), _vocabulary(n_shards), 1), spark, "said", "chunk")
+    vocabulary = total(said.select("said_1").mapInArrow(_new_words, "n long"), "n")
+    known = state.join(said, "chunk")  # both in the same buckets
 
     def asking(n: int):
-        def ask(chunks: pa.Table, heard: pa.Table) -> pa.Table:
-            row = chunks.to_pylist()[0]
+        def ask(rows: pa.Table) -> pa.Table:
+            row = rows.to_pylist()[0]
             c = Chunk(row, n_shards, smoothing, shard)
-            _heard(c, heard, order, n - 1, vocabulary, train_tokens)
+            _heard(c, row, order, n - 1, vocabulary, train_tokens)
             c.keys(n)
             return packet_batch(row["chunk"], c.ask())
 
@@ -380,30 +415,29 @@ def lm_scores(
 
     for n in range(2, order + 1):
         let_go(spark)  # of the level before
-        asked = state.groupBy("chunk").cogroup(said.groupBy("chunk"))
-        said = said.union(kept(asked.applyInArrow(asking(n), PACKETS), _level(smoothing, n == order), n))
-        del asked
+        said = gathered(known.groupBy("chunk").applyInArrow(asking(n), PACKETS), _level(smoothing, n == order), n)
+        known = known.join(said if n == order else bucketed(said, spark, "said", "chunk"), "chunk", "left")
     let_go(spark)
-
     result = RESULT.format(kind)
     result_types = arrow_schema(result)
 
-    def score(chunks: pa.Table, heard: pa.Table) -> pa.Table:
-        c = Chunk(chunks.to_pylist()[0], n_shards, smoothing, shard)
-        p = _heard(c, heard, order, order, vocabulary, train_tokens)
+    def score(rows: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        c = Chunk(row, n_shards, smoothing, shard)
+        p = _heard(c, row, order, order, vocabulary, train_tokens)
         n_docs = len(c.ids)
         base = np.bincount(c.doc, np.log10((c.word_count + 1) / (train_tokens + vocabulary + 1)), n_docs)
         cells = [c.ids, c.held, c.lengths, np.bincount(c.doc[c.word_count > 0], minlength=n_docs), base, np.bincount(c.doc, np.log10(p), n_docs)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(cells, result_types, strict=True)], schema=result_types)
 
-    scored = state.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(score, result)
+    scored = known.groupBy("chunk").applyInArrow(score, result)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")
 
 
 def _new_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = PACKETS_TYPES.get_field_index("packet")
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(p)[2][0]) for p in batch.column(at).to_pylist()], pa.int64())], ["n"])
+        for said in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack(x["packet"])[2][0]) for x in said)], pa.int64())], ["n"])
 
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
