@@ -8,7 +8,9 @@ whatever their ratios.
 
 Paths are judged by the unit they belong to: the outermost article or main element, elsewhere the nearest branch (div,
 section, td ...). A unit's score is that of its best path, and units that reach SHARE of the best unit's score are
-content. If the best unit is an article, units outside articles are not: what surrounds it may have long texts, too. A
+content. If the best unit is an article, units outside articles are not: what surrounds it may have long texts, too. So an
+article gives way only to a unit that is better in several respects: no class, id or heading tells that it is something else
+(readers' comments, notices), its score is OUTDONE times as high, and it comes first or has the title. A
 unit that is content keeps all its text, however short, but for parts that their own classes mark as something else.
 """
 
@@ -41,7 +43,15 @@ NOT_CONTENT_WORDS = re.compile(
     r"(?:(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|header|masthead|footer|side-?bar|comments?|disqus|replies|respond|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|widget|contentinfo|complementary|search|form)(?=$|[_-]))+",
     re.I,
 )
+#: Parts of hyphenated names that tell of readers' words or of notices, unless a part says that they are only allowed or left out.
+TELLING_PARTS = frozenset("comment comments commentlist disqus reply replies respond notice notices disclaimer legal cookie cookies consent gdpr newsletter sponsor sponsored".split())
+MERELY = frozenset("no not has with without open opened closed allow allowed enabled disabled".split())
+#: Headings of readers' words.
+READERS = re.compile(r"(?:\(?\d+\)?\s+)?(?:(?:reader|user|visitor)s?['’]?s?\s+)?(?:comments?|replies|responses to)\b.{0,40}|(?:leave|post|write|add) an?\s+(?:reply|comment)\b.{0,20}|join the (?:conversation|discussion)\b.{0,20}", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
+#: How many times an article's score a unit outside must reach to be the content instead.
+OUTDONE = 4
 
 #: Attributes; a quote that is never closed is a character like others. Nothing is tried twice, so time is linear.
 _INSIDE = r"(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+"
@@ -54,6 +64,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*
 _PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
 
+def _tells(word: str, name: str) -> bool:
+    """Whether a class, id or role says that its element is no content. An article is only what its name begins with."""
+    parts = re.split(r"[-_]+", word)
+    if name in CONTENT:
+        return name == "article" and parts[0] in ("comment", "reply")
+    return bool(NOT_CONTENT_WORDS.fullmatch(word)) or not (TELLING_PARTS.isdisjoint(parts) or MERELY.intersection(parts))
+
+
 def _role(name: str, attributes: str) -> tuple[str, bool, bool]:
     """The path step of a start tag, whether what it holds can't be content, and whether its classes say so."""
     step, never, told = name, name in NOT_CONTENT, False
@@ -64,7 +82,7 @@ def _role(name: str, attributes: str) -> tuple[str, bool, bool]:
                 never = True
             elif kind in ("class", "id", "role"):
                 step += "." + ".".join(value.split())
-                told |= name not in ("html", "body") and name not in CONTENT and any(map(NOT_CONTENT_WORDS.fullmatch, value.split()))
+                told |= name not in ("html", "body") and any(_tells(word, name) for word in value.split())
     return step, never, told
 
 
@@ -72,6 +90,7 @@ def _role(name: str, attributes: str) -> tuple[str, bool, bool]:
 class Path:
     """One tag path of a page, reached from its parent by a step, with what the page has on it."""
 
+    name: str
     parent: int
     unit: int
     inside: bool
@@ -89,7 +108,7 @@ def text_nodes(page: str) -> tuple[list[list], list[Path]]:
     places in a list, so deep pages cost no more than others of their length.
     """
     nodes: list[list] = []
-    paths = [Path(0, 0, False, False, 0)]
+    paths = [Path("", 0, 0, False, False, 0)]
     place: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int]] = []  # name, path
     opened: Counter[str] = Counter()
@@ -134,7 +153,7 @@ def text_nodes(page: str) -> tuple[list[list], list[Path]]:
             if here == len(paths):
                 up = paths[above]
                 own = not up.inside and (name in CONTENT or name in BRANCHES)
-                paths.append(Path(above, here if own else up.unit, up.inside or name in CONTENT, up.never or never, up.told + told))
+                paths.append(Path(name, above, here if own else up.unit, up.inside or name in CONTENT, up.never or never, up.told + told))
             paths[here].tags += 1
             if name not in VOID and not (m[4] or "").endswith("/"):
                 stack.append((name, here))
@@ -143,7 +162,32 @@ def text_nodes(page: str) -> tuple[list[list], list[Path]]:
     return nodes, paths
 
 
+def _told_by_headings(nodes: list[list], paths: list[Path]) -> None:
+    """A div or section of its own path that has a heading of readers' words is told, with all that it holds."""
+    told = set()
+    for _, at, text in nodes:
+        above = paths[at].parent
+        if paths[at].name in HEADINGS and paths[above].name in ("div", "section", "aside") and paths[above].tags == 1 and READERS.fullmatch(" ".join(text.split())):
+            told.add(above)
+    more = [0] * len(paths)
+    for x in range(1, len(paths)) if told else ():  # parents come before their children
+        more[x] = more[paths[x].parent] + (x in told)
+        paths[x].told += more[x]
+
+
+def _outdone(article: int, other: int, units: dict[int, float], paths: list[Path], listed: list[int]) -> bool:
+    """Whether a unit outside articles is the content although there is an article: it isn't told to be something else, has
+    far better ratios, and stands before the article or has the page's title."""
+    if paths[article].told:
+        return True
+    of_other = [x for x in listed if paths[x].unit == other]
+    first = next(x for x in listed if paths[x].unit in (article, other))
+    title = any(paths[x].name == "h1" for x in of_other)
+    return not paths[other].told and units[other] >= OUTDONE * units[article] and (title or paths[first].unit == other)
+
+
 def _content_paths(nodes: list[list], paths: list[Path]) -> set[int]:
+    _told_by_headings(nodes, paths)
     order: dict[int, None] = {}  # in page order
     for _, at, text in nodes:
         if not paths[at].never:
@@ -160,6 +204,9 @@ def _content_paths(nodes: list[list], paths: list[Path]) -> set[int]:
         unit = paths[x].unit
         units[unit] = max(units.get(unit, 0.0), text * (1 + marks))
     best = max(units, key=units.get, default=0)
+    article = max((u for u in units if paths[u].inside), key=units.get, default=best)
+    if article != best and not paths[best].inside and not _outdone(article, best, units, paths, listed):
+        best = article
     good = {u for u, score in units.items() if score >= SHARE * units[best] and paths[u].inside >= paths[best].inside}
     held = [False] * len(paths)  # all that the best unit holds belongs to it
     for x in range(1, len(paths)):  # parents come before their children

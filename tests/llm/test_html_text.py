@@ -51,6 +51,25 @@ def test_ratios_decide_between_articles_and_other_parts():
     assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, they say.</p><object><p>A fallback.</p></object></article>") == "Let x=2 be, they say.\nA fallback."
 
 
+def test_comments_and_notices_are_no_content():
+    story = "<p>A short story, of one sentence.</p>"
+    said = "".join(f"<p>Reader {i} says this, at length, and says it again, with many words. Really, they do.</p>" for i in range(30))
+    for opening, closing in (
+        ("<div id='reader-comments'>", "</div>"), ("<div class='user-comments'>", "</div>"), ("<div class='wp-comments-area'>", "</div>"), ("<section><h2>Comments</h2>", "</section>"), ("<section id=comments>", "</section>"),
+        ("<section><h3>12 comments</h3>", "</section>"), ("<div class=thread><h3>Leave a reply</h3>", "</div>"), ("<ol class='comment-list'><li>", "</ol>"), ("<div class=box>", "</div>"), ("<div class=thread><article class=comment>", "</article></div>"),
+    ):
+        for page in (f"<article>{story}</article>{opening}{said}{closing}", f"<main><article>{story}</article></main>{opening}{said}{closing}"):
+            assert main_text(page) == "A short story, of one sentence.", page[:150]
+        if "box" not in opening:
+            assert main_text(f"<main>{story}{opening}{said}{closing}</main>") == "A short story, of one sentence.", opening
+            assert main_text(f"<div class=story>{story}</div>{opening}{said}{closing}") == "A short story, of one sentence.", opening
+    assert main_text(f"<div class=story>{story}</div><div class='legal-notice'>{said}</div>") == "A short story, of one sentence."
+    # articles about such things, and sections of them, stay
+    paper = f"<article><h1>Comments on a theorem</h1>{story}<section><h2>Discussion</h2>{story}</section></article>"
+    assert main_text(paper).count("\n") == 3
+    assert main_text(f"<div class='comments-enabled'>{story * 3}</div><div>x</div>").count("story") == 3
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
