@@ -72,13 +72,17 @@ def kind_of(df: DataFrame, column: str) -> str:
 def tagged(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
     """df with a column that tells its rows apart and stays so, and that column's name.
 
-    Rows of files are told by file and place in it; other rows are written once, with a number each.
+    Rows of files are told by file and place in it, if that tells them apart: a row that was exploded, joined or united with
+    itself stands for several. Such rows, and those that don't come from files, are written once, with a number each.
     """
     tag = free_name(df, "row_tag")
     try:
-        return df.withColumn(tag, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), tag
+        rows = df.withColumn(tag, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        if rows.groupBy(tag).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return rows, tag
     except AnalysisException:  # df doesn't come straight from files
-        return written(df.withColumn(tag, F.monotonically_increasing_id()), spark, "tagged"), tag
+        pass
+    return written(df.withColumn(tag, F.monotonically_increasing_id()), spark, "tagged"), tag
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

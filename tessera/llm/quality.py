@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, kind_of, table, written
+from tessera.llm.common import kind_of, table, tagged, written
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -67,12 +67,13 @@ def features(text: str | None) -> list[float]:
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, i]) for i in range(len(FEATURES)))], ["doc_id", *FEATURES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, i]) for i in range(len(FEATURES))), *batch.columns[2:]], ["doc_id", *FEATURES, *batch.schema.names[2:]])
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_feature_rows, f"doc_id {kind_of(rows, 'doc_id')}, " + ", ".join(f"{f} float" for f in FEATURES))
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
+    """(doc_id, features) and, if asked for, the tag of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(tag).alias("tag")] if tag else []))
+    return rows.mapInArrow(_feature_rows, f"doc_id {kind_of(rows, 'doc_id')}, " + ", ".join(f"{f} float" for f in FEATURES) + (f", tag {kind_of(rows, 'tag')}" if tag else ""))
 
 
 @dataclass
@@ -183,7 +184,7 @@ def _scores(model: Additive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[1 + len(FEATURES) :]], ["doc_id", "score", *batch.schema.names[1 + len(FEATURES) :]])
 
     return run
 
@@ -192,16 +193,16 @@ def remainder(doc_id, of: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of docs; null and empty texts are scored like any other.
+def quality_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, tag: str | None = None) -> DataFrame:
+    """(doc_id, score) for each row of docs, with its tag if that is asked for; null and empty texts are scored like any other.
 
     Repeated rows are each scored, equal texts alike; an empty table gives an empty result, and without labels of both
     kinds all scores are one constant. Only ids and texts of docs are read; ids may be of any type that labels can be
     joined by.
     """
-    rows = written(feature_table(docs, id_col, text_col), spark, "features")
+    rows = written(feature_table(docs, id_col, text_col, tag), spark, "features")
     model = train(rows, labels, learn, train_rows)
-    return rows.mapInArrow(_scores(model), f"doc_id {kind_of(rows, 'doc_id')}, score double")
+    return rows.mapInArrow(_scores(model), f"doc_id {kind_of(rows, 'doc_id')}, score double" + (f", tag {kind_of(rows, 'tag')}" if tag else ""))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +212,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score below threshold. Rows with one id and different texts stay if one of them is good."""
-    good = free_name(docs, "good_id")
-    ids = quality_scores(docs, labels, spark, remainder("doc_id", 4) != 2).filter(F.col("score") >= threshold).select(F.col("doc_id").alias(good))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(good)), "left_semi")
+    """docs without the rows that score below threshold, each row judged by its own text, with docs' own columns.
+
+    Rows that share an id, or have none, are judged one by one; equal texts score alike, a score of exactly threshold stays,
+    and so do all of a row's repeats. Null and empty texts are scored like any other. An empty table gives an empty result.
+    """
+    rows, tag = tagged(docs, spark)
+    good = quality_scores(rows, labels, spark, remainder("doc_id", 4) != 2, tag=tag).filter(F.col("score") >= threshold).select(F.col("tag").alias(tag))
+    return rows.join(good, tag, "left_semi").select(*docs.columns)

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tessera.llm.exact_dedup import exact_dedup, exact_groups, merge_runs
 
 
@@ -92,3 +94,19 @@ def test_rows_of_files_are_told_apart_without_a_copy(spark, messy, tmp_path):
         kept = operator(docs, spark)
         assert kept.columns == docs.columns
         assert kept.count() == operator(messy, spark).count()
+
+
+def test_rows_made_of_one_stored_row_are_rows_of_their_own(spark, tmp_path):
+    """Exploded, united and joined frames repeat the place in the file that they come from."""
+    from tessera.llm.common import tagged
+    from tessera.llm.simhash import near_dedup
+
+    spark.createDataFrame([(1, ["a b", "c d", "c  d"], 2)], "id long, texts array<string>, times int").write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    exploded = stored.select("id", F.explode("texts").alias("text"), "times").select(F.expr("xxhash64(text)").alias("doc_id"), "text", F.explode(F.sequence(F.lit(1), "times")).alias("i")).drop("i")
+    one = stored.select(F.col("id").alias("doc_id"), F.element_at("texts", 1).alias("text"))
+    frames = {"exploded": (exploded, 2), "united": (one.union(one), 1), "joined": (one.alias("x").join(one.alias("y"), "doc_id").select("doc_id", "x.text"), 1), "cross rows": (one.union(exploded), 2)}
+    for name, (docs, want) in frames.items():
+        assert tagged(docs, spark)[0].count() == docs.count(), name
+        assert exact_dedup(docs, spark).count() == want, name
+        assert near_dedup(docs.filter("text <> 'a b'") if name == "exploded" else docs.limit(100), spark).count() == (1 if name != "cross rows" else near_dedup(spark.createDataFrame(docs.collect(), docs.schema), spark).count()), name

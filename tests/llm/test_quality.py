@@ -61,3 +61,19 @@ def test_only_text_counts(spark, small, labels):
     other = small.withColumn("lang", F.lit("?")).withColumn("source", F.lit("?")).withColumn("n_chars", F.lit(0))
     a, b = ({tuple(r) for r in quality_scores(d, labels, spark, learn).collect()} for d in (small, other))
     assert a == b
+
+
+def test_rows_are_judged_one_by_one(spark, small, labels):
+    """Good and bad texts under one id, and under none: the bad ones go whatever else has their id."""
+    learn = remainder("doc_id", 4) != 2
+    score = {r.doc_id: r.score for r in quality_scores(small, labels, spark, learn).collect()}
+    good, bad = ([i for i, s in score.items() if (s >= 0.7) == side][:5] for side in (True, False))
+    assert good and bad
+    for shared in (good[0], None):
+        rows = small.filter(F.col("doc_id").isin(good + bad)).withColumn("doc_id", F.lit(shared).cast("long"))
+        mixed = small.filter(~F.col("doc_id").isin(good + bad)).union(rows)
+        kept = keep_good(mixed, labels, spark)
+        wanted = {r.text for r in small.filter(F.col("doc_id").isin(good)).collect()}
+        unwanted = {r.text for r in small.filter(F.col("doc_id").isin(bad)).collect()}
+        texts = {r.text for r in kept.collect()}
+        assert wanted <= texts and not (unwanted - {r.text for r in small.filter(F.col("doc_id").isin(*[i for i, s in score.items() if s >= 0.7])).collect()}) & texts
