@@ -33,7 +33,9 @@ from tessera.llm.exchange import PACKETS, answers, dealt, let_go, mixed_bits, pa
 
 ORDER, SMOOTHING = 3, 100.0
 #: Tokens after which a chunk ends, and tokens for which a shard is made.
-CHUNK, SHARD = 1_500_000, 500_000
+CHUNK, SHARD = 1_000_000, 500_000
+#: A node's number is its place in its shard, and above so many bits the shard.
+NODE_BITS = 40
 #: Steps of the quantised probabilities a power of ten; 16 bits reach down to 10^-16.
 STEPS = 4000
 
@@ -44,6 +46,13 @@ RESULT = "doc_id {}, held_out boolean, n_tokens long, n_known long, base_sum dou
 # -- the trie -----------------------------------------------------------------------------------------------------
 
 
+_1, _2, _3, _4, _8, _BYTE = (np.uint64(x) for x in (1, 2, 3, 4, 8, 255))
+#: The byte 01, 80, 55, 33 and 0F in each byte of a word.
+_EACH, _TOPS, _FIVES, _THREES, _FIFTEENS = (np.uint64(x * 0x0101010101010101) for x in (0x01, 0x80, 0x55, 0x33, 0x0F))
+#: Where a byte has its 1st, 2nd ... one.
+_PLACES = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
+
+
 class EliasFano:
     """A rising sequence of whole numbers: low bits packed, high bits as one 1 a number and one 0 a step."""
 
@@ -68,16 +77,15 @@ class EliasFano:
         before = self.before if ones else 64 * np.arange(len(self.before), dtype=np.int64) - self.before
         word = np.searchsorted(before, i, "right") - 1
         left = i - before[word]
-        x = self.words[word]
-        x = x if ones else ~x
-        at = np.zeros(len(i), np.int64)
-        for size in (32, 16, 8, 4, 2, 1):
-            n = np.bitwise_count(x & np.uint64((1 << size) - 1)).astype(np.int64)
-            past = n <= left
-            left -= np.where(past, n, 0)
-            at += np.where(past, size, 0)
-            x = np.where(past, x >> np.uint64(size), x)
-        return 64 * word + at
+        x = self.words[word] if ones else ~self.words[word]
+        left = left.astype(np.uint64)
+        # ones of each byte, then of each byte and those before it; the byte is the first with more than `left`
+        n = x - ((x >> _1) & _FIVES)
+        n = (n & _THREES) + ((n >> _2) & _THREES)
+        upto = ((n + (n >> _4)) & _FIFTEENS) * _EACH
+        byte = np.bitwise_count((((left * _EACH) | _TOPS) - upto) & _TOPS).astype(np.uint64) << _3
+        rank = left - (((upto << _8) >> byte) & _BYTE)
+        return 64 * word + byte.astype(np.int64) + _PLACES[((x >> byte) & _BYTE).astype(np.intp), rank.astype(np.intp)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         window = np.ndarray((len(self.lows) - 7,), "<u8", buffer=self.lows, strides=(1,))
@@ -162,15 +170,14 @@ def _vocabulary(n_shards: int):
     """For each packet of (words, training counts): each word's id + 1 (0 if it isn't known) and count, and new known words."""
 
     def run(shard: int, packets: list[list[np.ndarray]]) -> list[bytes]:
-        words = [w.astype(np.uint8).tobytes().split(b" ") for w, _ in packets]
-        counts: dict[bytes, int] = {}
-        for ws, (_, n) in zip(words, packets, strict=True):
-            for w, k in zip(ws, n.tolist(), strict=True):
-                counts[w] = counts.get(w, 0) + k
-        known = sorted((w for w, k in counts.items() if k), key=lambda w: (-counts[w], w))
-        ids = {w: rank * n_shards + shard + 1 for rank, w in enumerate(known)}
-        new = [len(known)] + [0] * len(packets)
-        return [pack(np.array([ids.get(w, 0) for w in ws]), np.array([counts[w] for w in ws]), np.array([v])) for ws, v in zip(words, new, strict=False)]
+        numbers = _Numbers()
+        at = [np.fromiter(map(numbers.__getitem__, w.astype(np.uint8).tobytes().split(b" ")), np.int64, len(n)) for w, n in packets]
+        counts = np.bincount(np.concatenate(at), np.concatenate([n for _, n in packets]), len(numbers)).astype(np.int64)
+        order = np.argsort(-counts, kind="stable")  # packets come in order of chunk, so ties always fall alike
+        known = int(np.count_nonzero(counts))
+        ids = np.zeros(len(counts), np.int64)
+        ids[order[:known]] = np.arange(known) * n_shards + shard + 1
+        return [pack(ids[i], counts[i], np.array([0 if k else known])) for k, i in enumerate(at)]
 
     return run
 
@@ -191,8 +198,10 @@ def _level(smoothing: float, last: bool):
         total[at] = np.repeat(of_prefix, runs)
         known = counts > 0
         trie = Level(prefix[known], follows[known], counts[known] / (total[known] + smoothing))
-        place, pointer = trie.find(prefixes, runs, successor)
-        code = np.where(place >= 0, trie.codes[place].astype(np.int64) + 1, 0) if len(trie.codes) else np.zeros(len(successor), np.int64)
+        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        place, pointer = trie.find(prefix[first], np.diff([*first, len(prefix)]), follows)  # each n-gram once, whoever asks
+        code = np.where(place >= 0, trie.codes[place].astype(np.int64) + 1, 0) if len(trie.codes) else np.zeros(len(place), np.int64)
+        code, place, pointer = code[at], place[at], pointer[np.searchsorted(prefix[first], prefixes)]
         said = []
         first = np.cumsum([0, *(len(p[3]) for p in packets)])
         heads = np.cumsum([0, *(len(p[0]) for p in packets)])
@@ -206,38 +215,41 @@ def _level(smoothing: float, last: bool):
 # -- chunks -------------------------------------------------------------------------------------------------------
 
 
-def _ranked(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values at these places in order, and each one's rank."""
+def _ranked(at: np.ndarray, values: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values at these places in order, what stands beside them, and the rank of each place's value."""
     used = np.zeros(len(values), bool)
     used[at] = True
     places = np.flatnonzero(used)
-    order = np.argsort(values[places])
+    if (np.diff(values[places]) < 0).any():
+        places = places[np.argsort(values[places])]
     rank = np.empty(len(values), np.int64)
-    rank[places[order]] = np.arange(len(places))
-    return values[places[order]], rank[at]
+    rank[places] = np.arange(len(places))
+    return values[places], beside[places], rank[at]
 
 
 def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of columns of whole numbers in order, and each row's place among them."""
-    bits = [int(c.max(initial=0)).bit_length() for c in columns]
-    if sum(bits) <= 62:  # as one number each
-        key = columns[0]
-        for c, b in zip(columns[1:], bits[1:], strict=True):
-            key = key << b | c
-        unique, at = np.unique(key, return_inverse=True)
-        out = []
-        for b in bits[:0:-1]:
-            out.append(unique & ((1 << b) - 1))
-            unique = unique >> b
-        return [unique, *out[::-1]], at
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
+    n = len(columns[0])
+    least = [int(c.min(initial=1 << 62)) if n else 0 for c in columns]
+    bits = [int(c.max() - low).bit_length() if n else 0 for c, low in zip(columns, least, strict=True)]
+    own = max(1, n).bit_length()
+    if sum(bits) + own <= 63:  # row and number as one number each, which sort several times as fast as places of rows
+        key = columns[0] - least[0]
+        for c, low, b in zip(columns[1:], least[1:], bits[1:], strict=True):
+            key = key << b | (c - low)
+        key = np.sort(key << own | np.arange(n))
+        order = key & ((1 << own) - 1)
+    else:
+        order = np.lexsort(columns[::-1])
+    new = np.zeros(n, bool)
     new[:1] = True
     for c in columns:
-        new[1:] |= c[order[1:]] != c[order[:-1]]
-    at = np.empty(len(order), np.int64)
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    at = np.empty(n, np.int64)
     at[order] = np.cumsum(new) - 1
-    return [c[order[new]] for c in columns], at
+    firsts = order[new]
+    return [c[firsts] for c in columns], at
 
 
 class _Numbers(dict):
@@ -300,7 +312,7 @@ class Chunk:
     def ask_words(self) -> list[tuple[int, bytes]]:
         order, shard = self._word_order()
         n = np.bincount(self.tokens[self.train], minlength=len(self.words))[order]
-        return [(s, pack(np.frombuffer(b" ".join(self.words[i] for i in order[at]), np.uint8), n[at])) for s, at in dealt(shard)]
+        return [(s, pack(np.frombuffer(b" ".join(map(self.words.__getitem__, order[at].tolist())), np.uint8), n[at])) for s, at in dealt(shard)]
 
     def hear_words(self, said: list[list[np.ndarray]]) -> None:
         order, _ = self._word_order()
@@ -317,17 +329,17 @@ class Chunk:
         self.tail, self.context = i, self.at[i - 1]  # tokens with a context of n - 1 words, and that context
         j = i[(self.node[self.context] >= 0) & (self.node[self.at[i]] >= 0)]
         head, last = self.at[j - 1], self.at[j]
-        # each prefix and each successor of this chunk once, so that one sort by (shard, prefix, successor) gives the packets
-        heads, of_head = _ranked(head, self.node)
+        # each prefix of this chunk once, so that one sort by (shard, prefix, successor) gives the packets
+        heads, of_heads, of_head = _ranked(head, self.node, self.count)
         successor = self.relative[last]
-        splits = (1 + self.count[head] // self.most)
-        split = np.where(splits > 1, mixed_bits(successor) % splits, 0)
-        shard = ((mixed_bits(heads) % self.n_shards)[of_head] + split) % self.n_shards
-        unique, at = _unique(shard, of_head, successor)
-        self.shard, of_head, self.successor = unique
-        self.prefix = heads[of_head]
-        self.of_prefix, self.splits, self.split = (np.empty(len(of_head), np.int64) for _ in range(3))
-        self.of_prefix[at], self.splits[at], self.split[at] = self.count[head], splits, split
+        shard = (mixed_bits(heads) % self.n_shards if n == 2 else heads >> NODE_BITS)[of_head]  # longer n-grams go where their prefix is
+        hot = np.flatnonzero(of_heads[of_head] >= self.most) if len(of_heads) and of_heads.max() >= self.most else np.empty(0, int)
+        if len(hot):
+            shard[hot] = (shard[hot] + mixed_bits(successor[hot]) % (1 + of_heads[of_head[hot]] // self.most)) % self.n_shards
+        (self.shard, of_head, self.successor), at = _unique(shard, of_head, successor)
+        self.prefix, self.of_prefix = heads[of_head], of_heads[of_head]
+        self.splits = 1 + self.of_prefix // self.most
+        self.split = np.where(self.splits > 1, mixed_bits(self.successor) % self.splits, 0)
         self.next = np.full(len(self.tokens), -1, np.int64)
         self.next[j] = at
         self.n = np.bincount(at[self.train[j]], minlength=len(of_head))
@@ -352,7 +364,7 @@ class Chunk:
         if not last:
             place, pointer = (np.concatenate([s[k] for s in said]) if said else np.empty(0, np.int64) for k in (1, 2))
             self.count = np.where(code > 0, np.maximum(1, np.rint(value * (self.of_prefix + self.smoothing))), 0).astype(np.int64)
-            self.node = np.append(np.where(code > 0, (place - 1) * self.n_shards + self.shard, -1), -1)  # -1 stands last, for tokens that end no n-gram
+            self.node = np.append(np.where(code > 0, self.shard << NODE_BITS | (place - 1), -1), -1)  # -1 stands last, for tokens that end no n-gram
             first = np.concatenate([[True], (self.shard[1:] != self.shard[:-1]) | (self.prefix[1:] != self.prefix[:-1])]) if len(self.prefix) else np.empty(0, bool)
             rank = place - 1 - pointer[np.cumsum(first) - 1]
             self.relative = rank * self.splits + self.split
