@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.page import random_key, top_k
@@ -176,3 +176,20 @@ def routes_agree(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.select("uri").distinct(), right.select("uri").distinct()
     both = a.withColumn("l", F.lit(1)).join(b.withColumn("r", F.lit(1)), "uri", "full").agg(F.count("l").alias("left"), F.count("r").alias("right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"))
     return both.withColumn("agree", (F.col("left") == F.col("shared")) & (F.col("right") == F.col("shared")))
+
+
+def field_sketches(fields: DataFrame, part: Column, lg_k: int = 12, items: int = 1000) -> DataFrame:
+    """(field, part, n, distinct, frequent): for each part of a release, sketches of a field's values, to be stored and merged.
+
+    distinct is a HyperLogLog sketch of 2^lg_k cells (standard error 1.04 / 2^(lg_k / 2)), frequent one of the `items` most
+    frequent values: no count is off by more than n / (0.75 * items), and none at all while a field has fewer values.
+    """
+    value = F.coalesce("v_str", F.col("v_long").cast("string"), F.col("v_float").cast("string"))
+    rows = fields.select("field", part.alias("part"), value.alias("value"))
+    return rows.groupBy("field", "part").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("value", F.lit(lg_k)).alias("distinct"), F.call_function("approx_top_k_accumulate", F.col("value"), F.lit(items)).alias("frequent"))
+
+
+def merged_sketches(sketches: DataFrame, k: int = 10) -> DataFrame:
+    """(field, n, distinct, top) over all parts: about how many values, and the k most frequent with about how many records."""
+    merged = sketches.groupBy("field").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"), F.call_function("approx_top_k_combine", F.col("frequent")).alias("frequent"))
+    return merged.select("field", "n", "distinct", F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(k)).alias("top"))

@@ -98,10 +98,18 @@ def related_page(rows: DataFrame, page: int = 1, length: int = 10) -> DataFrame:
 
 
 def has_related(triples: DataFrame, paths: Sequence[Path], start: DataFrame) -> DataFrame:
-    """One row a start record: whether it has any related record."""
+    """One row a start record: whether it has any related record.
+
+    No end is listed: a middle leads to another record than the start if the first or the last of its ends is another.
+    """
     s = start.select(F.col("uri").alias("start")).distinct()
-    found = reduce(DataFrame.unionByName, [_ends(triples, p, s) for p in paths]).select(F.col("start").alias("f")).distinct()
-    return s.join(found, F.col("start") == F.col("f"), "left").select("start", F.col("f").isNotNull().alias("related"))
+    found = []
+    for _, first, first_forward, second, second_forward in paths:
+        one = _hop(triples, first, first_forward).join(s, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid"))
+        ends = _hop(triples, second, second_forward).groupBy(F.col("a").alias("mid")).agg(F.min("b").alias("least"), F.max("b").alias("most"))
+        found.append(one.join(ends, "mid").filter("least <> start or most <> start").select(F.col("start").alias("f")))
+    any_ = reduce(DataFrame.union, found).distinct()
+    return s.join(any_, F.col("start") == F.col("f"), "left").select("start", F.col("f").isNotNull().alias("related"))
 
 
 def connecting(triples: DataFrame, path: Path, start: str, end: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tessera.operators import similar as V
 from tessera.operators.complete import complete_names
 from tessera.plans.search import ITEM_SQL
 from tessera.sources import tables as S
+from tessera.sources.scratch import kept
 
 
 def _late_works(spark, sf):
@@ -101,6 +102,21 @@ def related_statistics(spark, sf):
     return R.path_statistics(R.relation_paths(_edges(spark, sf), ["Person", "Group", "Place"], ["LinguisticObject", "Place", "Person"], ["Place", "Person", "Type"]))
 
 
+def release_sketches(spark, sf):
+    """Sketches of order fields, stored for works before and after 1998 and merged: whether they are as near the exact counts as they must be."""
+    f = S.fields(spark, sf, "workTypeId", "workStatusId", "workCreationStartDateLong")
+    early = S.fields(spark, sf, "workCreationStartDateLong").filter("v_long < 883612800").select("uri", F.lit("early").alias("half")).distinct()
+    halves = f.join(early, "uri", "left")
+    stored = kept(A.field_sketches(halves, F.coalesce("half", F.lit("late"))), "sketches")
+    merged = A.merged_sketches(stored, 3)
+    exact = f.groupBy("field").agg(F.count_distinct(F.coalesce("v_str", F.col("v_long").cast("string"))).alias("exact"))
+    top = F.transform("top", lambda x: F.struct(x["item"].alias("item"), x["count"].alias("count")))
+    counts = f.filter("v_str is not null").groupBy("field", F.col("v_str").alias("item")).agg(F.count(F.lit(1)).alias("real"))
+    near = merged.select("field", F.explode(top).alias("t")).select("field", "t.*").join(counts, ["field", "item"]).groupBy("field").agg(F.bool_and(F.col("count") == F.col("real")).alias("top_exact"))
+    within = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return merged.join(exact, "field").join(near, "field", "left").select("field", "n", "exact", within.alias("within_bound"), F.coalesce("top_exact", F.lit(True)).alias("top_exact"))
+
+
 def similar_topwords(spark, sf):
     return V.top_words(S.fields(spark, sf, "workAnyText"), ["workAnyText"])
 
@@ -310,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facet_value, facet_union, facet_date, facet_all, facet_candidates, facet_candidates_two_level, facet_narrow, related_list, related_all_pairs, related_cap, related_any, schema_edges,
-        related_paths, related_statistics, similar_topwords, similar_weighted, similar_dates, vector_topk, name_completion, name_completion_context, dead_end_triples, predicate_coverage,
+        related_paths, related_statistics, release_sketches, similar_topwords, similar_weighted, similar_dates, vector_topk, name_completion, name_completion_context, dead_end_triples, predicate_coverage,
         predicate_diff, release_diff, highly_related, field_value_counts, top_values, record_types_per_predicate, record_types_along_paths, sample_by_collection, false_positives,
         estimate_vs_actual, keyword_explain, reach_n_hops, term_support, term_support_by_type, two_patterns, field_use, req_by_type, duration_histogram, whole_second_hist, wide_durations, failed_requests,
         activity_ranges, trimmed_to_ranges, queue_summary, regex_counts, mined_searches, apply_changes, validate_records,
@@ -353,6 +369,7 @@ ORACLE_SQL = {
     "schema_edges": _EDGE_SQL,
     "related_paths": f"WITH {_paths_sql(chr(39) + 'Person' + chr(39) + ', ' + chr(39) + 'Group' + chr(39), chr(39) + 'LinguisticObject' + chr(39) + ', ' + chr(39) + 'Place' + chr(39), chr(39) + 'Place' + chr(39) + ', ' + chr(39) + 'Person' + chr(39) + ', ' + chr(39) + 'Group' + chr(39))} SELECT start_type || '-' || first || '-' || second || '-' || end_type AS key, CASE first WHEN 'placeOfActivity' THEN 'place of activity' WHEN 'agentOfCreation' THEN 'agent of creation' ELSE 'falls_within' END AS label FROM p",
     "related_statistics": f"WITH {_paths_sql(repr('Person') + ', ' + repr('Group') + ', ' + repr('Place'), repr('LinguisticObject') + ', ' + repr('Place') + ', ' + repr('Person'), repr('Place') + ', ' + repr('Person') + ', ' + repr('Type'))} SELECT start_type, end_type, count(*) AS paths FROM p GROUP BY ALL",
+    "release_sketches": "SELECT 'workTypeId' AS field, count(*) AS n, count(DISTINCT o_orderpriority) AS exact, true AS within_bound, true AS top_exact FROM orders UNION ALL SELECT 'workStatusId', count(*), count(DISTINCT o_orderstatus), true, true FROM orders UNION ALL SELECT 'workCreationStartDateLong', count(*), count(DISTINCT o_orderdate), true, true FROM orders",
     "similar_topwords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN (" + ", ".join(f"'{x}'" for x in V.STOP_WORDS) + ") GROUP BY ALL) SELECT 'document/' || doc_id AS uri, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5",
     "similar_weighted": "SELECT seed, uri, score, rank FROM (SELECT 'part/' || a.p_partkey AS seed, 'part/' || b.p_partkey AS uri, 2.0::DOUBLE + CASE WHEN a.p_name = b.p_name THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_name = b.p_name THEN 3 ELSE 1 END DESC, 'part/' || b.p_partkey) AS rank FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0) WHERE rank <= 5",
     "similar_dates": "WITH p AS (SELECT p_partkey AS k, 1500 + p_partkey % 400 AS s, 1500 + p_partkey % 400 + p_size * 10 - 9 AS e FROM part) SELECT 'part/' || a.k AS seed, 'part/' || b.k AS uri FROM p a JOIN p b ON b.s < a.s - CASE WHEN a.s > 1900 THEN 10 WHEN a.s > 1700 THEN 20 ELSE 35 END AND b.e > a.e + CASE WHEN a.e > 1900 THEN 10 WHEN a.e > 1700 THEN 20 ELSE 35 END WHERE a.k % 100 = 0 AND a.k <> b.k",

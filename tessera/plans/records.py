@@ -5,6 +5,7 @@ The driver tables are turned into JSON records and log lines by expressions, so
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from tessera.functions.dates import at_seconds
 from tessera.operators import logs as L
 from tessera.operators import match as M
 from tessera.operators import page as P
-from tessera.operators import records as D
 from tessera.operators import properties as J
+from tessera.operators import records as D
 from tessera.operators import related as R
 from tessera.operators import similar as V
 from tessera.operators.complete import complete_names
@@ -216,6 +217,64 @@ def report_round_trip(spark, sf):
     return spark.read.csv(path, sep="\t", header=True, schema="event_type string, n long")
 
 
+def report_as_json(spark, sf):
+    """A report by kind written as JSON lines and read again."""
+    path = scratch(spark, "report")
+    SL.write_report(spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), path, "json")
+    return spark.read.json(path, schema="event_type string, n long")
+
+
+def logs_of_nodes(spark, sf):
+    """Access logs written to a folder for each node and read back from all of them: requests by node and kind."""
+    path = scratch(spark, "access")
+    access_lines(spark, sf).select("node", F.col("line").alias("value")).write.partitionBy("node").text(path)
+    log = SL.read_access_log(spark, [f"{path}/node=node{i}" for i in range(3)], by_folder=True)
+    return L.requests_by(log, "node", "kind").select("node", "kind", "requests")
+
+
+def metric_series(spark, sf):
+    """events as metric files, one for each node and day, read back: values, their sum and the first by node."""
+    path = scratch(spark, "metrics")
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("name", F.concat(F.lit("node"), F.pmod("user_id", F.lit(3)).cast("string")))
+    entry = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"), F.floor("value").alias("value"))
+    days = e.groupBy("name", F.to_date("ts").alias("day")).agg(F.collect_list(entry).alias("entry"))
+    days.select(F.to_json(F.array(F.struct("name", F.struct("entry").alias("data")))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    m = SL.read_metrics(spark, path)
+    return m.groupBy("server").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+def total_without_count(spark, sf):
+    """The total of a search from its last page, which isn't full."""
+    m = M.record_type(S.docs(spark, sf, "nation"), ["place"], S.SCOPE_TYPES)
+    got = P.search_page(m, S.docs(spark, sf, "nation"), page=2, length=20).count()
+    return spark.createDataFrame([(P.total_from_page(2, 20, got),)], "total long")
+
+
+def other_scope(spark, sf):
+    """Where the scope asked for has no match, the first in order that has some."""
+    names = S.fields(spark, sf, "agentPrimaryName", "placePrimaryName")
+    m = names.filter(F.col("v_str").endswith("1")).select("uri").distinct()
+    counts = P.scope_counts(m, S.docs(spark, sf, "region", "nation", "customer", "supplier"), S.SCOPE_TYPES)
+    return P.first_nonempty_scope(counts, "event", S.SCOPE_ORDER)
+
+
+def all_getters(spark, sf):
+    """All sub-trees by name of records made of customers; those with even keys have what events hold in their parts only."""
+    events: dict[str, dict[str, str]] = {}
+    for name, (event, what) in D.GETTERS.items():
+        events.setdefault(event, {})[what] = name
+
+    def record(in_parts: bool) -> str:
+        sub = lambda whats: whats[""] if "" in whats else ({"part": [whats]} if in_parts else whats)
+        return json.dumps({"json": {e: sub(w) for e, w in events.items()}})
+
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    text = F.when(F.col("c_custkey") % 2 == 0, F.lit(record(True))).otherwise(F.lit(record(False)))
+    r = c.select(S.uri("customer", "c_custkey").alias("uri"), text.alias("json"))
+    got = F.explode(F.array(*[F.struct(F.lit(n).alias("getter"), F.regexp_replace(D.sub_tree(F.col("json"), n), r'[\[\]"]', "").alias("found")) for n in D.GETTERS])).alias("g")
+    return r.select("uri", got).select("uri", "g.*")
+
+
 def merge_rates(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" Info: Merged "), F.col("user_id").cast("string"), F.lit(" MB in "), (F.pmod("event_id", F.lit(9)) + 1).cast("string"), F.lit(" sec at "), F.floor("value").cast("string"), F.lit(" MB/sec"))
@@ -335,7 +394,7 @@ QUERIES = {
         record_load, slices, field_extraction, embedded_triples, set_triples, vector_view, slice_round_trip, profile_name, profile_location, profile_relationship, profile_rights, profile_results,
         primary_names_french, merged_profiles, record_paths, deleted_records, visible_records, new_sets, requests_by_node, facets_per_search, status_counts, search_traces, request_log_table,
         report_round_trip, merge_rates, profile_requests, related_list_checks, severe_lines, meter_slice, documents_by_id, estimates, random_order, related_as_filter, related_because,
-        similar_as_filter, completion_of_a_middle_word, completion_by_alternatives, property_in_arrays, link_functions,
+        report_as_json, logs_of_nodes, metric_series, total_without_count, other_scope, all_getters, similar_as_filter, completion_of_a_middle_word, completion_by_alternatives, property_in_arrays, link_functions,
     )
 }
 
@@ -343,7 +402,14 @@ _C = "'customer/' || c_custkey"
 _KIND = "CASE event_type WHEN 'click' THEN 'Search' WHEN 'view' THEN 'Document' WHEN 'purchase' THEN 'Facet' WHEN 'signup' THEN 'Related List' ELSE 'Other' END"
 _PATH = "CASE event_type WHEN 'click' THEN '/ds/app/search.mjs' WHEN 'view' THEN '/ds/app/document/read.mjs' WHEN 'purchase' THEN '/ds/app/facets.mjs' WHEN 'signup' THEN '/ds/app/relatedList.mjs' ELSE '/other' END || '?q=1'"
 
+_NAMES = ", ".join(f"('{n}')" for n in D.GETTERS)
 ORACLE_SQL = {
+    "report_as_json": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "logs_of_nodes": f"SELECT 'node=node' || user_id % 3 AS node, {_KIND} AS kind, count(*) AS requests FROM events GROUP BY ALL",
+    "metric_series": "SELECT 'node' || user_id % 3 AS server, count(*) AS n, sum(floor(value))::BIGINT AS total, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM events GROUP BY ALL",
+    "total_without_count": "SELECT count(*) AS total FROM nation",
+    "other_scope": "SELECT 'agent' AS scope, (SELECT count(*) FROM customer WHERE c_name LIKE '%1') + (SELECT count(*) FROM supplier WHERE s_name LIKE '%1') AS n",
+    "all_getters": f"SELECT 'customer/' || c_custkey AS uri, getter, getter AS found FROM customer, (VALUES {_NAMES}) g(getter)",
     "record_load": "SELECT 'Person' AS data_type, count(*) AS n, 2 * count(*) AS n_sources FROM customer WHERE round(c_acctbal, 2) >= 0 UNION ALL SELECT 'corrupt', count(*), 0 FROM customer WHERE round(c_acctbal, 2) < 0",
     "slices": "SELECT name, count(*) AS n FROM (SELECT unnest(['unit', 'n' || c_nationkey, 'all', 'unit-reader', 'n' || c_nationkey || '-reader']) AS name FROM customer) GROUP BY name",
     "field_extraction": f"SELECT {_C} AS uri, 'agentName' AS field, unnest([c_name, 'Client ' || c_custkey]) AS v_str, NULL::BIGINT AS v_long, NULL::DOUBLE AS v_float FROM customer UNION ALL SELECT {_C}, 'agentTypeId', unnest([c_mktsegment, 'nation/' || c_nationkey]), NULL, NULL FROM customer UNION ALL SELECT {_C}, 'agentBorn', NULL, epoch(make_timestamp(1900 + c_custkey % 90, 1, 1, 0, 0, 0))::BIGINT, NULL FROM customer UNION ALL SELECT {_C}, 'agentBalance', NULL, NULL, round(c_acctbal, 2) FROM customer",

@@ -14,9 +14,10 @@ _ACCESS = r'^\S+ - (\S+) \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (\d+|-)'
 COMMON = ("time", "url", "user", "elapsedTime", "requests", "runTime")
 
 
-def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(line, node): of files from several nodes or folders, with the file's name as node."""
-    return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("line"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("node"))
+def _lines(spark: SparkSession, paths: str | Sequence[str], by_folder: bool = False) -> DataFrame:
+    """(line, node): of files from several nodes, with the name of the file, or of the folder that holds it, as node."""
+    name = r"([^/]+)/[^/]+$" if by_folder else r"([^/]+)$"
+    return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("line"), F.regexp_extract(F.input_file_name(), name, 1).alias("node"))
 
 
 def access_log(lines: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def access_log(lines: DataFrame) -> DataFrame:
     return out.filter("ts is not null").withColumn("kind", request_type(F.col("uri")))
 
 
-def read_access_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return access_log(_lines(spark, paths))
+def read_access_log(spark: SparkSession, paths: str | Sequence[str], by_folder: bool = False) -> DataFrame:
+    return access_log(_lines(spark, paths, by_folder))
 
 
 def trace_log(lines: DataFrame) -> DataFrame:

@@ -167,3 +167,40 @@ def test_nearest_vectors(spark):
         order = sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:3]
         assert [got[f"v{i:03}", k] for k in (1, 2, 3)] == [f"v{j:03}" for j in order]
     assert S.nearest_vectors(v, q.limit(0), 5).count() == 0 and S.nearest_vectors(v.limit(0), q, 5).count() == 0
+
+
+def test_has_related_needs_another_record(spark):
+    t = spark.createDataFrame([("a", "one", "m"), ("b", "one", "n"), ("c", "one", "o"), ("m", "two", "a"), ("n", "two", "b"), ("n", "two", "z")], "subject string, predicate string, object string")
+    got = R.has_related(t, [("k", "one", True, "two", True)], spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "uri string"))
+    assert {r.start: r.related for r in got.collect()} == {"a": False, "b": True, "c": False, "d": False}
+
+
+def test_a_long_cycle_ends_when_nothing_is_new(spark):
+    """A cycle of 50 records with a chord: levels shrink to nothing long before 200 hops, and each record has its shortest way."""
+    n = 50
+    edges = [(f"r{i:02}", f"r{(i + 1) % n:02}") for i in range(n)] + [("r00", "r25")]
+    t = spark.createDataFrame([(a, "p", b) for a, b in edges], "subject string, predicate string, object string").cache()
+    got = {r.uri: r.hops for r in A.reachable(t, "p", spark.createDataFrame([("r00",)], "uri string"), 200).collect()}
+    assert got == {f"r{i:02}": (i if i < 25 else i - 24) for i in range(1, n)} | {"r00": 26}
+
+
+def test_name_index_gives_the_same_and_prunes(spark, tmp_path):
+    from tessera.operators.complete import name_index, write_name_index
+
+    names = [(f"p{i:03}", "placePrimaryName", f"{'abcdefghij'[i % 10]}ville New {'klmnopqrst'[i // 10 % 10]}haven {i}") for i in range(200)] + [("q", "placePrimaryName", "Café " + "long word " * 20 + "end"), ("x", "usedAt", "p001")]
+    f = spark.createDataFrame(names, "uri string, field string, v_str string")
+    write_name_index(name_index(f), str(tmp_path / "names"))
+    index = spark.read.parquet(str(tmp_path / "names"))
+    for prefix, context in (("khav", None), ("new k", None), ("bville", "usedAt"), ("haven", None), ("cafe", None), ("long word " * 8, None), ("nothing", None)):
+        want = [tuple(r) for r in complete_names(f, "placePrimaryName", prefix, context).collect()]
+        got = complete_names(f, "placePrimaryName", prefix, context, index=index)
+        assert [tuple(r) for r in got.collect()] == want, prefix
+    plan = got._jdf.queryExecution().toString()
+    assert "StringStartsWith(start,nothing)" in plan
+
+
+def test_sketches_of_parts_merge(spark):
+    f = spark.range(20_000).select(F.format_string("r%d", "id").alias("uri"), F.lit("f").alias("field"), F.format_string("v%d", F.col("id") % 5000).alias("v_str"), F.lit(None).cast("long").alias("v_long"), F.lit(None).cast("double").alias("v_float"))
+    f = f.union(f.limit(500).withColumn("v_str", F.lit("hot")))
+    merged = A.merged_sketches(A.field_sketches(f, (F.length("uri") % 2).cast("string")), 1).first()
+    assert merged.n == 20_500 and abs(merged.distinct - 5001) < 250 and merged.top[0]["item"] == "hot" and abs(merged.top[0]["count"] - 500) <= 28
