@@ -107,3 +107,20 @@ def test_sub_trees(spark):
     assert json.loads(row.at)[0]["id"] == "p" and row.born is None and row.nat == ["fr"] and row.gen == []
     kept = spark.createDataFrame([('{"b": "x\\"y", "a": 1, "c": [1, 2], "d": true}',)], "j string").select(D.keep_properties(F.col("j"), ["c", "b", "zz", "a"])).first()[0]
     assert json.loads(kept) == {"c": [1, 2], "b": 'x"y', "a": 1} and list(json.loads(kept)) == ["c", "b", "a"]
+
+
+def test_fields_are_read_in_one_pass(spark, tmp_path):
+    rows = [
+        ("a", '{"json": {"n": [{"c": "x"}, {"c": ["y", "x"]}], "d": {"n": 2.5, "t": "1999-01-01T00:00:00Z"}, "o": {"k": 1}}}'), ("b", '{"json": {"n": {"c": null}, "d": [{"n": "7"}, {"n": "seven"}]}}'), ("c", "no JSON"), ("d", None),
+    ]
+    spark.createDataFrame(rows, "uri string, json string").write.parquet(str(tmp_path / "r"))
+    docs = spark.read.parquet(str(tmp_path / "r"))
+    spec = [R.FieldSpec("name", ("json.n.c",)), R.FieldSpec("number", ("json.d.n", "json.o.k"), "number"), R.FieldSpec("day", ("json.d.t",), "date"), R.FieldSpec("object", ("json.o",))]
+    got = sorted(((r.uri, r.field, r.v_str, r.v_long, r.v_float) for r in R.extract_fields(docs, spec).collect()), key=repr)
+    assert got == sorted([
+        ("a", "name", "x", None, None), ("a", "name", "y", None, None), ("a", "number", None, None, 2.5), ("a", "number", None, None, 1.0), ("a", "day", None, 915148800, None), ("a", "object", '{"k":1}', None, None), ("b", "number", None, None, 7.0),
+    ], key=repr)
+    many = R.extract_fields(docs, [R.FieldSpec(f"f{i}", (f"json.n.c{i % 7}.d{i}", "json.o.k")) for i in range(50)])
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "Exchange" not in plan
+    assert many.count() == 50

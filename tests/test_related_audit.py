@@ -196,7 +196,7 @@ def test_name_index_gives_the_same_and_prunes(spark, tmp_path):
         got = complete_names(f, "placePrimaryName", prefix, context, index=index)
         assert [tuple(r) for r in got.collect()] == want, prefix
     plan = got._jdf.queryExecution().toString()
-    assert "StringStartsWith(start,nothing)" in plan
+    assert "StringStartsWith(start" in plan  # compared with the files' and row groups' statistics
 
 
 def test_sketches_of_parts_merge(spark):
