@@ -192,7 +192,10 @@ def _level(smoothing: float, last: bool):
 
     def run(shard: int, packets: list[list[np.ndarray]]) -> list[bytes]:
         prefixes, runs, of_prefix, successor, n = (np.concatenate([p[i] for p in packets]) for i in range(5))
-        (prefix, follows), at = _unique(np.repeat(prefixes, runs), successor)
+        distinct, which = np.unique(prefixes, return_inverse=True)
+        which = np.repeat(which, runs)
+        firsts, at = _unique(which, successor)
+        prefix, follows = distinct[which[firsts]], successor[firsts]
         counts = np.bincount(at, n, len(prefix)).astype(np.int64)
         total = np.empty(len(prefix), np.int64)
         total[at] = np.repeat(of_prefix, runs)
@@ -227,8 +230,8 @@ def _ranked(at: np.ndarray, values: np.ndarray, beside: np.ndarray) -> tuple[np.
     return values[places], beside[places], rank[at]
 
 
-def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of columns of whole numbers in order, and each row's place among them."""
+def _unique(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct one of columns of whole numbers, in order, and each row's place among these."""
     n = len(columns[0])
     least = [int(c.min(initial=1 << 62)) if n else 0 for c in columns]
     bits = [int(c.max() - low).bit_length() if n else 0 for c, low in zip(columns, least, strict=True)]
@@ -248,8 +251,7 @@ def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         new[1:] |= c[1:] != c[:-1]
     at = np.empty(n, np.int64)
     at[order] = np.cumsum(new) - 1
-    firsts = order[new]
-    return [c[firsts] for c in columns], at
+    return order[new], at
 
 
 class _Numbers(dict):
@@ -268,7 +270,12 @@ def _chunks(size: int, schema: pa.Schema):
         def chunk() -> pa.RecordBatch:
             lengths = np.array([len(d) for d in docs])
             train = int(lengths[~np.array(held, bool)].sum())
-            cells = [number, ids, held, pack(lengths, np.concatenate(docs)), b" ".join(numbers), n, train]
+            words = list(numbers)
+            hashes = np.array([zlib.crc32(w) for w in words])
+            order = np.argsort(hashes, kind="stable")  # by hash, so by shard, however many there will be; the end stays first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            cells = [number, ids, held, pack(lengths, rank[np.concatenate(docs)], hashes[order]), b" ".join(map(words.__getitem__, order.tolist())), n, train]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -294,8 +301,8 @@ class Chunk:
 
     def __init__(self, row: dict, n_shards: int, smoothing: float, shard: int = SHARD):
         self.n_shards, self.smoothing, self.most, self.ids, self.held = n_shards, smoothing, shard, row["doc_ids"], np.array(row["held"], bool)
-        self.lengths, self.tokens = unpack(row["tokens"])
-        self.words = row["words"].split(b" ")
+        self.lengths, self.tokens, hashes = unpack(row["tokens"])
+        self.word_shard = hashes * n_shards >> 32
         starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(starts)), self.lengths)
         self.place = np.arange(len(self.tokens)) - starts[self.doc]
@@ -304,22 +311,16 @@ class Chunk:
 
     # words
 
-    def _word_order(self) -> tuple[np.ndarray, np.ndarray]:
-        shard = np.array([zlib.crc32(w) for w in self.words]) % self.n_shards
-        order = np.argsort(shard, kind="stable")
-        return order, shard[order]
-
-    def ask_words(self) -> list[tuple[int, bytes]]:
-        order, shard = self._word_order()
-        n = np.bincount(self.tokens[self.train], minlength=len(self.words))[order]
-        return [(s, pack(np.frombuffer(b" ".join(map(self.words.__getitem__, order[at].tolist())), np.uint8), n[at])) for s, at in dealt(shard)]
+    def ask_words(self, words: list[bytes]) -> list[tuple[int, bytes]]:
+        n = np.bincount(self.tokens[self.train], minlength=len(words))
+        return [(s, pack(np.frombuffer(b" ".join(words[at]), np.uint8), n[at])) for s, at in dealt(self.word_shard)]
 
     def hear_words(self, said: list[list[np.ndarray]]) -> None:
-        order, _ = self._word_order()
-        self.node, self.count = np.empty(len(self.words), np.int64), np.empty(len(self.words), np.int64)
-        self.node[order], self.count[order] = np.concatenate([s[0] for s in said]) - 1, np.concatenate([s[1] for s in said])
+        self.node, self.count = np.concatenate([s[0] for s in said]) - 1, np.concatenate([s[1] for s in said])
         self.relative = self.node
-        self.word_count = self.count[self.tokens]
+        self.order = np.empty(len(self.node), np.int64)  # of the words' ids
+        self.order[np.argsort(self.node)] = np.arange(len(self.node))
+        self.word_count = self.count
 
     # n-grams of order n, once those of order n - 1 are known
 
@@ -329,20 +330,29 @@ class Chunk:
         self.tail, self.context = i, self.at[i - 1]  # tokens with a context of n - 1 words, and that context
         j = i[(self.node[self.context] >= 0) & (self.node[self.at[i]] >= 0)]
         head, last = self.at[j - 1], self.at[j]
-        # each prefix of this chunk once, so that one sort by (shard, prefix, successor) gives the packets
-        heads, of_heads, of_head = _ranked(head, self.node, self.count)
+        # prefixes in order of shard, those that occur very often once for each split, so that one sort gives the packets
+        heads, count, group = _ranked(head, self.node, self.count)
         successor = self.relative[last]
-        shard = (mixed_bits(heads) % self.n_shards if n == 2 else heads >> NODE_BITS)[of_head]  # longer n-grams go where their prefix is
-        hot = np.flatnonzero(of_heads[of_head] >= self.most) if len(of_heads) and of_heads.max() >= self.most else np.empty(0, int)
-        if len(hot):
-            shard[hot] = (shard[hot] + mixed_bits(successor[hot]) % (1 + of_heads[of_head[hot]] // self.most)) % self.n_shards
-        (self.shard, of_head, self.successor), at = _unique(shard, of_head, successor)
-        self.prefix, self.of_prefix = heads[of_head], of_heads[of_head]
+        shard = mixed_bits(heads) % self.n_shards if n == 2 else heads >> NODE_BITS  # longer n-grams go where their prefix is
+        if len(count) and count.max() >= self.most:
+            hot = np.flatnonzero(count[group] >= self.most)
+            split = mixed_bits(successor[hot]) % (1 + count[group[hot]] // self.most)
+            pairs, which = np.unique(group[hot] << 32 | split, return_inverse=True)
+            group[hot] = len(heads) + which
+            own, split = pairs >> 32, pairs & 0xFFFFFFFF
+            shard = np.concatenate([shard, (shard[own] + split) % self.n_shards])
+            heads, count = (np.concatenate([x, x[own]]) for x in (heads, count))
+        order = np.lexsort((heads, shard))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        firsts, at = _unique(rank[group], self.order[last])
+        group, self.successor = group[firsts], successor[firsts]
+        self.shard, self.prefix, self.of_prefix = shard[group], heads[group], count[group]
         self.splits = 1 + self.of_prefix // self.most
         self.split = np.where(self.splits > 1, mixed_bits(self.successor) % self.splits, 0)
         self.next = np.full(len(self.tokens), -1, np.int64)
         self.next[j] = at
-        self.n = np.bincount(at[self.train[j]], minlength=len(of_head))
+        self.n = np.bincount(at[self.train[j]], minlength=len(group))
 
     def ask(self) -> list[tuple[int, bytes]]:
         out = []
@@ -359,7 +369,7 @@ class Chunk:
         value = np.where(code > 0, probability(code - 1), 0.0)
         seen = np.flatnonzero(self.node[self.context] >= 0)
         i, of_context = self.tail[seen], self.count[self.context[seen]]
-        own = np.where(self.next[i] >= 0, np.append(value, 0.0)[self.next[i]], 0.0)
+        own = np.append(value, 0.0)[self.next[i]]  # 0 stands last, for n-grams that aren't known
         p[i] = own + p[i] * self.smoothing / (of_context + self.smoothing)
         if not last:
             place, pointer = (np.concatenate([s[k] for s in said]) if said else np.empty(0, np.int64) for k in (1, 2))
@@ -367,7 +377,7 @@ class Chunk:
             self.node = np.append(np.where(code > 0, self.shard << NODE_BITS | (place - 1), -1), -1)  # -1 stands last, for tokens that end no n-gram
             first = np.concatenate([[True], (self.shard[1:] != self.shard[:-1]) | (self.prefix[1:] != self.prefix[:-1])]) if len(self.prefix) else np.empty(0, bool)
             rank = place - 1 - pointer[np.cumsum(first) - 1]
-            self.relative = rank * self.splits + self.split
+            self.relative = self.order = rank * self.splits + self.split
             self.at = self.next
 
 
@@ -378,7 +388,7 @@ def _said(row: dict, level: int) -> list[list[np.ndarray]]:
 def _heard(c: Chunk, row: dict, order: int, upto: int, vocabulary: int, train_tokens: int) -> np.ndarray:
     """Tells the chunk the answers of orders up to `upto`; each token's probability by then."""
     c.hear_words(_said(row, 1))
-    p = (c.word_count + 1) / (train_tokens + vocabulary + 1)
+    p = ((c.word_count + 1) / (train_tokens + vocabulary + 1))[c.tokens]
     for n in range(2, upto + 1):
         c.keys(n)
         c.hear(_said(row, n), p, n == order)
@@ -405,7 +415,7 @@ def lm_scores(
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from packet_batch(row["chunk"], Chunk(row, n_shards, smoothing).ask_words()).to_batches()
+                yield from packet_batch(row["chunk"], Chunk(row, n_shards, smoothing).ask_words(row["words"].split(b" "))).to_batches()
 
     def gathered(packets: DataFrame, answer, level: int) -> DataFrame:
         """A row for each chunk with its answers; there are as many as shards."""
@@ -438,8 +448,8 @@ def lm_scores(
         c = Chunk(row, n_shards, smoothing, shard)
         p = _heard(c, row, order, order, vocabulary, train_tokens)
         n_docs = len(c.ids)
-        base = np.bincount(c.doc, np.log10((c.word_count + 1) / (train_tokens + vocabulary + 1)), n_docs)
-        cells = [c.ids, c.held, c.lengths, np.bincount(c.doc[c.word_count > 0], minlength=n_docs), base, np.bincount(c.doc, np.log10(p), n_docs)]
+        base = np.bincount(c.doc, np.log10((c.word_count + 1) / (train_tokens + vocabulary + 1))[c.tokens], n_docs)
+        cells = [c.ids, c.held, c.lengths, np.bincount(c.doc, (c.word_count > 0)[c.tokens], n_docs).astype(np.int64), base, np.bincount(c.doc, np.log10(p), n_docs)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(cells, result_types, strict=True)], schema=result_types)
 
     scored = known.groupBy("chunk").applyInArrow(score, result)
