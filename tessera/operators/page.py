@@ -53,8 +53,8 @@ def total_from_page(page: int, length: int, got: int) -> int | None:
     return (page - 1) * length + got if 0 < got < length or (page == 1 and got < length) else None
 
 
-def page_with(match: DataFrame, uri: str, keys: Sequence[tuple[str, bool]] = (("score", False),), length: int = 20, within: int = PAGE_WITH_WINDOW) -> DataFrame:
-    """(uri, place, page) of the record, if it is among the first `within` results.
+def page_with(match: DataFrame, uri: str, keys: Sequence[tuple[str, bool]] = (("score", False),), length: int = 20, within: int | None = PAGE_WITH_WINDOW) -> DataFrame:
+    """(uri, place, page) of the record, if it is among the first `within` results (None: among all of them).
 
     The place is one more than the number of results before it: a comparison with one row and a count, without sorting.
     """
@@ -66,7 +66,8 @@ def page_with(match: DataFrame, uri: str, keys: Sequence[tuple[str, bool]] = (("
         before |= same & F.coalesce(first, a.isNotNull() & b.isNull())
         same &= a.eqNullSafe(b)
     placed = match.crossJoin(F.broadcast(it)).groupBy(F.col("it.uri").alias("uri")).agg((F.count_if(before) + 1).alias("place"))  # it: at most one row
-    return placed.filter(F.col("place") <= within).select("uri", "place", F.ceil(F.col("place") / length).cast("long").alias("page"))
+    near = placed if within is None else placed.filter(F.col("place") <= within)
+    return near.select("uri", "place", F.ceil(F.col("place") / length).cast("long").alias("page"))
 
 
 def estimate(match: DataFrame, exact: bool = True) -> DataFrame:

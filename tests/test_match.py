@@ -220,3 +220,12 @@ def test_longs_keep_their_digits(spark):
     f = spark.createDataFrame([("a", "n", None, (1 << 53) + 1, None), ("b", "n", None, 4, None), ("c", "n", None, None, 4.5)], "uri string, field string, v_str string, v_long long, v_float double")
     assert uris(M.field_range(f, "n", ">", 1 << 53)) == ["a"]
     assert uris(M.field_range(f, "n", ">", 4.2)) == ["a", "c"] and uris(M.field_range(f, "n", "<=", 4.2)) == ["b"] and uris(M.field_range(f, "n", "=", 4.5)) == ["c"]
+
+
+def test_page_with_record_far_back(spark, tmp_path):
+    """The query's place of a record counts all results, not the first 100,000 only."""
+    from tessera.plans.search import page_with_record
+
+    o = spark.range(100_030).selectExpr("id as o_orderkey", "timestamp_seconds(if(id = 77, 900000000, 800000000)) as o_orderdate")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in page_with_record(spark, str(tmp_path)).collect()] == [("order/77", 100_030, 5002)]
