@@ -1,70 +1,87 @@
 """An index of JSON properties: what each record says under each property name, at any depth.
 
-Records are parsed once and walked level by level by `variant_explode`: a level's rows are scalars, which stay as they are,
-and objects and arrays, which give a row for each child in the next level. An array's items belong to the array's property,
-however deep arrays nest; an object's values belong to its own properties. Stored by property (`sources.records`'
-write_partitioned), a search reads the folders of the properties that it names.
+Spark's own parser decides which texts are JSON; each of these is then walked once, in its task, by a small helper that
+gives a row for each scalar, object and array. An array's items belong to the array's property, however deep arrays nest;
+an object's values belong to its own properties. Stored by property (`sources.records`' write_partitioned), a search reads
+the folders of the properties that it names; built for a search, the index is made of the properties that it names only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from json import JSONDecoder
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources.scratch import kept
 
-#: Levels that are walked before what is left is written and walked on.
-LEVELS = 6
 COLUMNS = ["uri", "property", "kind", "v_str", "v_num", "v_bool"]
-
-
-def _is(v: Column, kind: str) -> Column:
-    return F.schema_of_variant(v).startswith(kind)
-
-
-def _walked(rows: DataFrame, levels: int) -> DataFrame:
-    """(uri, property, v, open) after that many levels; open rows are objects and arrays that haven't been walked.
-
-    An object or array under a property also leaves a row that isn't open: the property is there, whatever it holds.
-    """
-    for _ in range(levels):
-        inner = rows.select("uri", "property", "v", "open", F.when(F.col("open"), F.col("v")).alias("walked"), _is(F.col("v"), "OBJECT").alias("object"))
-        child = inner.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("walked").outer())).withColumnRenamed("value", "child")
-        kept_rows = child.filter(~F.col("open") | F.col("pos").isNotNull())  # an empty object or array ends here
-        name = F.when(F.col("open") & F.col("object"), F.col("key")).otherwise(F.col("property"))
-        next_ = kept_rows.select("uri", name.alias("property"), F.when(F.col("open"), F.col("child")).otherwise(F.col("v")).alias("v"), F.col("open").alias("fresh"))
-        holds = F.col("fresh") & (_is(F.col("v"), "OBJECT") | _is(F.col("v"), "ARRAY"))
-        rows = next_.select("uri", "property", "v", F.explode(F.when(holds, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("open"))
-    return rows
-
-
-def property_index(docs: DataFrame, json: str = "json") -> DataFrame:
+SCHEMA = "uri string, property string, kind string, v_str string, v_num double, v_bool boolean"
+#: What Python makes of JSON; whole numbers are read as floats.
+KINDS = {dict: "object", list: "array", str: "text", bool: "boolean", type(None): "null", float: "number"}
+#: Rows of the index that are handed on at once.
+ROWS = 50_000
+
+
+def _walk(names: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = JSONDecoder(parse_int=float, strict=False).raw_decode
+        kinds = [("uri", pa.string()), ("property", pa.string()), ("kind", pa.string()), ("v_str", pa.string()), ("v_num", pa.float64()), ("v_bool", pa.bool_())]
+        schema = pa.schema(kinds)
+        # half of a character, which JSON can write and UTF-8 can't, becomes "?", as in Spark's parser
+        whole = lambda x: x if x.isascii() else x.encode("utf-8", "replace").decode()
+
+        def batch(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=schema)
+
+        for b in batches:
+            columns: list[list] = [[] for _ in kinds]
+            uris, properties, names_of_kinds, texts, numbers, booleans = columns
+            for uri, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                left = [(None, parse(text.lstrip(" \t\n\r"))[0])]
+                while left:
+                    name, v = left.pop()
+                    kind = KINDS[type(v)]
+                    if kind == "object":
+                        left += v.items()
+                    elif kind == "array":
+                        left += [(name, x) for x in v]
+                    if name is None or (names is not None and name not in names):
+                        continue
+                    uris.append(uri)
+                    properties.append(whole(name))
+                    names_of_kinds.append(kind)
+                    texts.append(whole(v) if kind == "text" else None)
+                    numbers.append(v + 0.0 if kind == "number" else None)  # no negative zero
+                    booleans.append(v if kind == "boolean" else None)
+                if len(uris) >= ROWS:
+                    yield batch(columns)
+                    for c in columns:
+                        c.clear()
+            if uris:
+                yield batch(columns)
+
+    return run
+
+
+def property_rows(docs: DataFrame, json: str = "json", names: Sequence[str] | None = None) -> DataFrame:
+    """property_index for a search made at once: rows of equal values may repeat, which makes no difference to a match."""
+    j = F.col(json).cast("string")
+    texts = docs.select("uri", j.alias("json")).filter(F.try_parse_json(F.col("json")).isNotNull())
+    return texts.mapInArrow(_walk(None if names is None else frozenset(names)), SCHEMA)
+
+
+def property_index(docs: DataFrame, json: str = "json", names: Sequence[str] | None = None) -> DataFrame:
     """(uri, property, kind, v_str, v_num, v_bool): a row for each distinct value of each property of each record.
 
     kind is text, number, boolean, null, object or array; the last three have no value. Text that is no JSON has no rows.
-    A date or time is text in JSON. Numbers are compared as doubles, so 7 and 7.0 are one value.
+    A date or time is text in JSON. Numbers are compared as doubles, so 7 and 7.0 are one value. names: the properties that
+    are asked for, all by default; every record is walked whole in any case.
     """
-    v = F.try_parse_json(F.col(json).cast("string"))
-    rows = docs.select("uri", F.lit(None).cast("string").alias("property"), v.alias("v"), F.lit(True).alias("open")).filter("v is not null")
-    parts = []
-    while True:
-        walked = _walked(rows, LEVELS)
-        done = walked.filter("not open and property is not null")
-        kind = (
-            F.when(_is(F.col("v"), "OBJECT"), "object").when(_is(F.col("v"), "ARRAY"), "array").when(_is(F.col("v"), "STRING"), "text").when(_is(F.col("v"), "BOOLEAN"), "boolean").when(_is(F.col("v"), "VOID"), "null").otherwise("number")
-        )
-        typed = done.select("uri", "property", kind.alias("kind"), "v")
-        cast = lambda k, t: F.when(F.col("kind") == k, F.try_variant_get("v", "$", t))
-        parts.append(typed.select("uri", "property", "kind", cast("text", "string").alias("v_str"), cast("number", "double").alias("v_num"), cast("boolean", "boolean").alias("v_bool")))
-        left = walked.filter("open").select("uri", "property", F.to_json("v").alias("j"))
-        if left.isEmpty():
-            return reduce(DataFrame.union, parts).distinct()
-        deeper = kept(left, "deeper")
-        rows = deeper.select("uri", "property", F.parse_json("j").alias("v"), F.lit(True).alias("open"))
+    return property_rows(docs, json, names).distinct()
 
 
 def holds_value(value, exact: bool = True) -> Column:
@@ -90,7 +107,7 @@ def property_value(index: DataFrame, names: Sequence[str], values: Sequence, wei
 def property_search(docs: DataFrame, index: DataFrame, types: Sequence[str] = (), present: Sequence[str] = (), values: Mapping[str, object] = {}, exact: bool = True) -> DataFrame:
     """A match of the records of one of the types that have all of the properties and all of the values (a list: each of them).
 
-    One pass over the named properties' rows: what is asked is numbered, and a record must meet every number.
+    One pass over the named properties' rows: what is asked has a bit, and a record must have all bits.
     """
     asked = [F.col("property") == n for n in dict.fromkeys(present)]
     for name, value in values.items():
@@ -98,8 +115,11 @@ def property_search(docs: DataFrame, index: DataFrame, types: Sequence[str] = ()
     of_type = docs.filter(F.col("data_type").isin(list(types))) if types else docs
     found = of_type.select("uri").distinct()
     if asked:
-        named = index.filter(F.col("property").isin([*present, *values]))
-        met = named.select("uri", F.explode(F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(asked)]), lambda x: x.isNotNull())).alias("i"))
-        all_met = met.groupBy("uri").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(asked))
+        # a bit for each thing that is asked, 62 a number
+        bits = [sum((F.when(c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(asked[k : k + 62])), F.lit(0).cast("long")) for k in range(0, len(asked), 62)]
+        all_bits = [(1 << len(asked[k : k + 62])) - 1 for k in range(0, len(asked), 62)]
+        named = index.filter(F.col("property").isin([*present, *values]) & reduce(lambda a, b: a | b, asked))
+        met = named.groupBy("uri").agg(*[F.bit_or(b).alias(f"b{i}") for i, b in enumerate(bits)])
+        all_met = met.filter(reduce(lambda a, b: a & b, [F.col(f"b{i}") == n for i, n in enumerate(all_bits)]))
         found = found.join(all_met, "uri", "left_semi")
     return found.withColumn("score", F.lit(1.0))

@@ -222,6 +222,24 @@ def test_longs_keep_their_digits(spark):
     assert uris(M.field_range(f, "n", ">", 4.2)) == ["a", "c"] and uris(M.field_range(f, "n", "<=", 4.2)) == ["b"] and uris(M.field_range(f, "n", "=", 4.5)) == ["c"]
 
 
+def test_property_index_odd_texts(spark):
+    """What Spark's parser takes is walked, however deep or odd; what it doesn't take has no rows."""
+    deep = "[" * 40 + "5" + "]" * 40
+    texts = {
+        "deep": '{"a": %s}' % deep, "twice": '{"a": 1, "a": 2}', "big": '{"a": 123456789012345678901234567890, "b": -0.0, "c": 1e3}', "blank": '  {"a": "\\ud800x"}', "text": '"a"',
+        "cut": '{"a": 1', "nan": '{"a": NaN}', "list": '[{"a": [true, null]}, {"a": {}}]', "none": None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "uri string, json string")
+    rows = {tuple(r) for r in J.property_index(docs).collect()}
+    number = lambda u, p, v: (u, p, "number", None, v, None)
+    assert {r for r in rows if r[0] == "deep"} == {("deep", "a", "array", None, None, None), number("deep", "a", 5.0)}
+    assert {r for r in rows if r[0] == "big"} == {number("big", "a", 123456789012345678901234567890.0), number("big", "b", 0.0), number("big", "c", 1000.0)}
+    assert {r for r in rows if r[0] == "blank"} == {("blank", "a", "text", "?x", None, None)}
+    assert {r[1:] for r in rows if r[0] == "list"} == {("a", "array", None, None, None), ("a", "boolean", None, None, True), ("a", "null", None, None, None), ("a", "object", None, None, None)}
+    assert {r[0] for r in rows} == {"deep", "big", "blank", "list"}
+    assert {r[1] for r in J.property_index(docs, names=["c"]).collect()} == {"c"}
+
+
 def test_page_with_record_far_back(spark, tmp_path):
     """The query's place of a record counts all results, not the first 100,000 only."""
     from tessera.plans.search import page_with_record
