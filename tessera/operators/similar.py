@@ -18,6 +18,8 @@ from tessera.sources.scratch import kept
 RESERVED = "recordType"
 #: Records that have a value, up to which the value opens them.
 RARE = 1000
+#: Rows of similar_dates' result that a task makes.
+PAIRS = 4_000_000
 
 
 def top_words(fields: DataFrame, names: Sequence[str], k: int = 5, least: int = 4) -> DataFrame:
@@ -69,13 +71,24 @@ def similar(values: DataFrame, seeds: DataFrame, k: int = 10, rare: int = RARE)
     pair = F.struct("aspect", "value")
     sets = values.join(split.filter("common").select("aspect", "value"), ["aspect", "value"], "left_semi").groupBy("uri").agg(F.sort_array(F.collect_set(pair)).alias("set"))
     place = F.row_number().over(Window.partitionBy("set").orderBy("uri"))
-    firsts = sets.withColumn("place", place).filter(F.col("place") <= k + 1).select("set", "uri", "place")  # the seed itself may be one
+    firsts = sets.withColumn("place", place).filter(F.col("place") <= k + 1).withColumn("set_values", F.col("set"))  # the seed itself may be one
     aspects = F.count_distinct(F.when(F.col("mandatory"), F.col("aspect")))
-    needed = own.groupBy("seed").agg(aspects.alias("needed"))
-    heads = firsts.filter("place = 1").select("set", F.col("uri").alias("least"), F.explode("set").alias("p")).select("set", "least", "p.aspect", "p.value")
-    of_set = heads.join(own.filter("common"), ["aspect", "value"]).groupBy("seed", "set", "least").agg(F.sum("weight").alias("most"), aspects.alias("met"))
-    best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("most"), "least"))
-    by_sets = of_set.join(needed, "seed").filter("met = needed").withColumn("n", best).filter(F.col("n") <= k + 1).join(firsts, "set").select("seed", "uri")
+    # seeds that agree in their common values and in what they need have the same best sets, which are looked for once
+    common = F.sort_array(F.collect_set(F.when(F.col("common"), F.struct("aspect", "value", "weight", "mandatory"))))
+    alike = own.groupBy("seed").agg(aspects.alias("needed"), common.alias("common_values")).withColumn("kind", F.sha2(F.to_json(F.struct("needed", "common_values")), 256))
+    alike = kept(alike, "alike")
+    needed = alike.select("seed", "needed")
+    kinds = alike.groupBy("kind").agg(F.first("needed").alias("needed"), F.first("common_values").alias("common_values"))
+    firsts = kept(firsts.withColumn("set", F.sha2(F.to_json("set"), 256)).select("set", "uri", "place", F.when(F.col("place") == 1, F.col("set_values")).alias("values")), "set-firsts")
+    heads = firsts.filter("place = 1").select("set", F.col("uri").alias("least"), F.explode("values").alias("p")).select("set", "least", "p.aspect", "p.value")
+    of_kind = kinds.select("kind", "needed", F.inline("common_values"))
+    of_set = heads.join(of_kind, ["aspect", "value"]).groupBy("kind", "needed", "set", "least").agg(F.sum("weight").alias("most"), aspects.alias("met"))
+    best = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("most"), "least"))
+    near = of_set.filter("met = needed").withColumn("n", best).filter(F.col("n") <= k + 1).select("kind", "set", "most")
+    # of a kind's records the first k + 1, by what sets are worth and uri, as a seed may be one of them
+    order = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("most"), "uri"))
+    of_kinds = near.join(firsts, "set").withColumn("n", order).filter(F.col("n") <= k + 1).select("kind", "uri")
+    by_sets = alike.select("seed", "kind").join(of_kinds, "kind").select("seed", "uri")
 
     candidates = found.union(by_sets).filter("seed <> uri").distinct()
     shared = candidates.join(values.select("uri", "aspect", "value"), "uri").join(own.select("seed", "aspect", "value", "weight", "mandatory"), ["seed", "aspect", "value"])
@@ -94,7 +107,8 @@ def similar_match(values: DataFrame, uri: str) -> DataFrame:
 def similar_dates(fields: DataFrame, start_field: str, end_field: str, seeds: DataFrame) -> DataFrame:
     """(seed, uri): records that begin before and end after each seed's widened window of years; a side that the seed lacks is skipped.
 
-    Spans and windows are met by their years, so each pair of them is looked at once, however many records share it.
+    Spans and windows are met by their years, so each pair of them is looked at once, however many records share it. The
+    result, which grows with seeds times records, is made in tasks of about PAIRS rows.
     """
     year = lambda c: F.year(F.timestamp_seconds(c))
     f = fields.filter(F.col("field").isin(start_field, end_field))
@@ -103,10 +117,20 @@ def similar_dates(fields: DataFrame, start_field: str, end_field: str, seeds: Da
     lo, hi = similar_window(F.col("s"))[0], similar_window(F.col("e"))[1]
     windows = spans.join(seeds.select("uri").distinct(), "uri", "left_semi").select(F.col("uri").alias("seed"), lo.alias("lo"), hi.alias("hi"))
     outside = (F.col("lo").isNull() | (F.col("s") < F.col("lo"))) & (F.col("hi").isNull() | (F.col("e") > F.col("hi")))
-    met = spans.select("s", "e").distinct().join(windows.select("lo", "hi").distinct(), outside)
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    of_window = windows.alias("w").join(met.alias("m"), same("w.lo", "m.lo") & same("w.hi", "m.hi")).select("seed", F.col("m.s").alias("ms"), F.col("m.e").alias("me"))
-    return of_window.join(spans, same("ms", "s") & same("me", "e")).filter("seed <> uri").select("seed", "uri")
+    n_spans = spans.groupBy("s", "e").agg(F.count(F.lit(1)).alias("spans"))
+    # written and read: both are as small as the years' pairs, whatever the number of records
+    by_window = kept(windows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("seeds")).withColumn("w", F.monotonically_increasing_id()), "windows")
+    met = kept(n_spans.join(by_window, outside).select("w", "s", "e", "spans", "seeds"), "met")
+    # a window's records are dealt into parts of about PAIRS pairs, and its seeds meet each part
+    parts = F.ceil(F.sum("spans") * F.first("seeds") / PAIRS).cast("int")
+    dealt = kept(met.groupBy("w").agg(parts.alias("parts")), "parts")
+    tasks = min(20_000, dealt.agg(F.sum("parts")).first()[0] or 1)
+    asked = windows.alias("x").join(by_window.alias("b"), same("x.lo", "b.lo") & same("x.hi", "b.hi")).select("w", "seed").join(dealt, "w")
+    asked = asked.select("w", "seed", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    of_window = spans.alias("r").join(met.join(dealt, "w").alias("m"), same("r.s", "m.s") & same("r.e", "m.e")).select("w", F.col("uri"), F.pmod(F.xxhash64("uri"), F.col("parts")).cast("int").alias("part"))
+    spread = lambda df: df.repartition(tasks, "w", "part")
+    return spread(of_window).join(spread(asked), ["w", "part"]).filter("seed <> uri").select("seed", "uri")
 
 
 #: Components whose signs deal vectors into blocks.

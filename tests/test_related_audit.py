@@ -204,3 +204,27 @@ def test_sketches_of_parts_merge(spark):
     f = f.union(f.limit(500).withColumn("v_str", F.lit("hot")))
     merged = A.merged_sketches(A.field_sketches(f, (F.length("uri") % 2).cast("string")), 1).first()
     assert merged.n == 20_500 and abs(merged.distinct - 5001) < 250 and merged.top[0]["item"] == "hot" and abs(merged.top[0]["count"] - 500) <= 28
+
+
+def test_similar_seeds_of_one_kind(spark):
+    """Seeds that agree in their common values share a look for sets, and still leave themselves out of their own lists."""
+    rows = [(f"r{i:02}", "type", f"t{i % 2}", 1.0, False) for i in range(20)] + [(f"r{i:02}", "name", f"n{i // 2}", 2.0, False) for i in range(20)]
+    values = spark.createDataFrame(rows, "uri string, aspect string, value string, weight double, mandatory boolean")
+    seeds = values.select("uri").distinct()
+    got = {(r.seed, r.rank): (r.uri, r.score) for r in S.similar(values, seeds, 3, rare=5).collect()}
+    for i in range(20):
+        other = [(f"r{j:02}", (1.0 if i % 2 == j % 2 else 0.0) + (2.0 if i // 2 == j // 2 else 0.0)) for j in range(20) if j != i]
+        want = sorted((o for o in other if o[1] > 0), key=lambda o: (-o[1], o[0]))[:3]
+        assert [got[f"r{i:02}", n + 1] for n in range(3)] == want
+
+
+def test_similar_dates_in_parts(spark, monkeypatch):
+    """The pairs of a window that many records meet are made in several tasks, each pair once."""
+    monkeypatch.setattr(S, "PAIRS", 10)
+    year = lambda y: (y - 1970) * 31_557_600
+    rows = [(f"r{i}", f, year(y)) for i in range(40) for f, y in (("s", 1500 if i % 2 else 1850), ("e", 2000 if i % 2 else 1900))]
+    fields = spark.createDataFrame(rows, "uri string, field string, v_long long")
+    seeds = spark.createDataFrame([(f"r{i}",) for i in range(0, 40, 10)], "uri string")
+    df = S.similar_dates(fields, "s", "e", seeds)
+    assert df.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, df.collect())) == sorted((f"r{i}", f"r{j}") for i in range(0, 40, 10) for j in range(1, 40, 2))
