@@ -15,9 +15,11 @@ from tessera.sources.scratch import kept
 def dead_ends(triples: DataFrame, visible: DataFrame, predicates: Sequence[str] | None = None, existing: DataFrame | None = None) -> DataFrame:
     """(predicate, object, sources): objects that are no visible record; with existing, only those that exist in the full set."""
     t = triples.filter(F.col("predicate").isin(list(predicates))) if predicates else triples
-    ends = t.groupBy("predicate", "object").agg(F.count_distinct("src_uri").alias("sources"))
-    out = ends.join(visible.select(F.col("uri").alias("object")), "object", "left_anti")
-    return out.join(existing.select(F.col("uri").alias("object")), "object", "left_semi") if existing is not None else out
+    # dealt once by object, which serves the joins and the counts; what is visible goes before sources are told apart
+    dead = t.select("predicate", "object", "src_uri").repartition("object").join(visible.select(F.col("uri").alias("object")), "object", "left_anti")
+    if existing is not None:
+        dead = dead.join(existing.select(F.col("uri").alias("object")), "object", "left_semi")
+    return dead.distinct().groupBy("predicate", "object").agg(F.count("src_uri").alias("sources"))
 
 
 def predicate_coverage(triples: DataFrame, configured: Sequence[str], only_empty: bool = False) -> DataFrame:
