@@ -194,7 +194,8 @@ def field_word(postings: DataFrame, names: Sequence[str], value: str, options: M
     if len(words) == 1 and not options.complete:
         return _scored(p.filter(is_word(0)), "uri", weight)
     # one pass: each occurrence of the i-th word votes for the place where the phrase would begin
-    hits = reduce(DataFrame.unionByName, [p.filter(is_word(i)).select("uri", "field", (F.col("pos") - i).alias("at"), F.lit(i).alias("i")) for i in range(len(words))])
+    met = F.array_compact(F.array(*[F.when(is_word(i), F.lit(i)) for i in range(len(words))]))
+    hits = p.select("uri", "field", "pos", F.explode(met).alias("i")).select("uri", "field", (F.col("pos") - F.col("i")).alias("at"), "i")
     found = hits.groupBy("uri", "field", "at").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(words))
     if options.complete:
         long = p.filter(F.col("pos") >= len(words)).select("uri", "field")
