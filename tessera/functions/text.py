@@ -18,12 +18,16 @@ NOT_WORD, WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents.
+
+    translate looks each character up; texts whose characters are all of one byte have nothing to look up.
+    """
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(text, NOT_WORD), "")
 
 
 def fold_all(text: Column) -> Column:

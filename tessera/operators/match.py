@@ -154,8 +154,11 @@ class MatchOptions:
 
 
 def build_postings(fields: DataFrame, gaps: bool = False) -> DataFrame:
-    """(uri, field, pos, token, folded, stem): the words of text fields; with gaps, also what stands before and after each."""
-    texts = fields.filter("v_str is not null")
+    """(uri, field, pos, token, folded, stem): the words of text fields; with gaps, also what stands before and after each.
+
+    Texts are dealt over all tasks first: a file may hold many of them in one row group, which one task reads.
+    """
+    texts = fields.filter("v_str is not null").repartition("uri")
     if gaps:
         parts = texts.select("uri", "field", T.tokens(F.col("v_str")).alias("token"), F.split("v_str", T.WORD).alias("between"))
         # zipped before they are exploded, so that no row carries all gaps of its text
