@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import camel_words
 from tessera.sources.scratch import kept
 
-#: Ends of a middle above which it counts as heavy.
-HEAVY = 1000
+#: Ends of a middle above which it counts as heavy; buckets that middles are counted by; starts that triples meet as they are.
+HEAVY, BUCKETS, FEW = 1000, 1 << 20, 20_000
 
 Path = tuple[str, str, bool, str, bool]
 
@@ -26,49 +26,93 @@ def _hop(triples: DataFrame, predicate: str, forward: bool) -> DataFrame:
     return triples.filter(F.col("predicate") == predicate).select(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def _sides(triples: DataFrame, path: Path, start: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(start, mid), each once, and (mid, uri, c): the triples of the last hop."""
+def _sides(triples: DataFrame, path: Path, starts: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """(start, mid) and (mid, uri): the triples of the two hops, of the asked starts only.
+
+    Where starts are many, those of the first hop that aren't asked are looked for instead, each once: mostly these are few
+    or none, so that the triples need not meet the starts.
+    """
     _, first, first_forward, second, second_forward = path
-    one = _hop(triples, first, first_forward).join(start, F.col("a") == F.col("start")).select("start", F.col("b").alias("mid")).distinct()
-    counted = _hop(triples, second, second_forward).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))  # before the hubs meet
-    return one, counted.select(F.col("a").alias("mid"), F.col("b").alias("uri"), "c")
+    one = _hop(triples, first, first_forward).toDF("start", "mid")
+    if few:
+        one = one.join(starts, "start", "left_semi")
+    else:
+        one = one.join(kept(one.select("start").distinct().join(starts, "start", "left_anti"), "strangers"), "start", "left_anti")
+    return one, _hop(triples, second, second_forward).toDF("mid", "uri")
 
 
-def _summed(rows: DataFrame, path: Path) -> DataFrame:
-    """A last hop from subject to object counts its triples with duplicates; one against the arrow counts distinct records."""
-    n = F.sum("c") if path[4] else F.max(F.lit(1).cast("long"))
-    return rows.groupBy("start", "uri").agg(n.alias("n"))
+def _hubs(one: DataFrame, two: DataFrame, heavy: int) -> DataFrame:
+    """(mid, starts, ends) of the middles with more than `heavy` triples of a hop.
+
+    Triples are counted by bucket first, which tasks add up before anything is exchanged; only those of buckets with more
+    than `heavy` are counted by middle.
+    """
+    bucket = F.pmod(F.xxhash64("mid"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    of = lambda last: F.col("last") == last
+    mids = one.select("mid", F.lit(False).alias("last")).union(two.select("mid", F.lit(True).alias("last"))).select("mid", "last", bucket)
+    full = kept(mids.groupBy("last", "bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > heavy).select("bucket").distinct(), "full-buckets")
+    counts = mids.join(full, "bucket", "left_semi").groupBy("mid").agg(F.count_if(~of(True)).alias("starts"), F.count_if(of(True)).alias("ends"))
+    return kept(counts.filter((F.col("starts") > heavy) | (F.col("ends") > heavy)), "hubs")
+
 
+def _counted(two: DataFrame) -> DataFrame:
+    return two.groupBy("mid", "uri").agg(F.count(F.lit(1)).alias("c"))
 
-def _ends(triples: DataFrame, path: Path, start: DataFrame) -> DataFrame:
-    """(start, uri, key, n): how often the path leads from start to uri.
 
-    The ends of a middle with more than HEAVY of them are dealt into parts, and its starts meet each part, so that no task
-    holds a whole middle.
+def _pairs(one: DataFrame, two: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(start, uri, c) for each middle between a start and another record; c counts the triples of the last hop.
+
+    Both hops are exchanged once, by middle, and made unique, counted and joined where they lie. Hubs are not among these:
+    their ends are dealt into parts, and their starts meet each part, so that no task holds a whole middle.
     """
-    one, two = _sides(triples, path, start)
-    parts = two.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("parts")).filter("parts > 1")
-    part = F.pmod(F.xxhash64("uri"), F.coalesce("parts", F.lit(1)))
-    dealt = two.join(parts, "mid", "left").select("mid", part.alias("part"), "uri", "c")
-    spread = one.join(parts, "mid", "left").select("start", "mid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
-    return _summed(spread.join(dealt, ["mid", "part"]).filter("start <> uri"), path).select("start", "uri", F.lit(path[0]).alias("key"), "n")
+    light = one.join(hubs, "mid", "left_anti").repartition("mid").distinct().join(_counted(two.join(hubs, "mid", "left_anti").repartition("mid")), "mid")
+    pairs = light.filter("start <> uri").select("start", "uri", "c")
+    if hubs.isEmpty():
+        return pairs
+    parts = hubs.select("mid", F.ceil(F.greatest(F.col("ends"), F.lit(1)) / HEAVY).cast("int").alias("parts"))
+    dealt = _counted(two.join(hubs, "mid", "left_semi")).join(parts, "mid").select("mid", F.pmod(F.xxhash64("uri"), F.col("parts")).alias("part"), "uri", "c")
+    spread = one.join(hubs, "mid", "left_semi").distinct().join(parts, "mid").select("start", "mid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    return pairs.union(spread.join(dealt, ["mid", "part"]).filter("start <> uri").select("start", "uri", "c"))
+
 
+def _n(path: Path, of: Column | None = None) -> Column:
+    """A last hop from subject to object counts its triples with duplicates; one against the arrow counts distinct records."""
+    only = lambda c: c if of is None else F.when(of, c)
+    return F.sum(only(F.col("c"))) if path[4] else F.max(only(F.lit(1).cast("long")))
+
+
+def _all_ends(triples: DataFrame, paths: Sequence[Path], starts: DataFrame, few: bool) -> DataFrame:
+    """(start, uri, key, n, total): how often each path leads from start to uri, the paths counted side by side in one exchange."""
+    found = []
+    for i, path in enumerate(paths):
+        one, two = _sides(triples, path, starts, few)
+        found.append(_pairs(one, two, _hubs(one, two, HEAVY)).withColumn("path", F.lit(i)))
+    counts = reduce(DataFrame.union, found).groupBy("start", "uri").agg(*[_n(p, F.col("path") == i).alias(f"n{i}") for i, p in enumerate(paths)])
+    each = F.array(*[F.struct(F.lit(p[0]).alias("key"), F.col(f"n{i}").alias("n")) for i, p in enumerate(paths)])
+    total = reduce(lambda a, b: a + b, [F.coalesce(f"n{i}", F.lit(0).cast("long")) for i in range(len(paths))])
+    return counts.select("start", "uri", total.alias("total"), F.inline(F.filter(each, lambda x: x["n"].isNotNull()))).select("start", "uri", "key", "n", "total")
 
-def _first_ends(triples: DataFrame, path: Path, start: DataFrame, cap: int, heavy: int) -> DataFrame:
-    """The first `cap` rows of _ends of each start, by n, then uri, without listing what heavy middles lead to.
+
+def _first_ends(triples: DataFrame, path: Path, starts: DataFrame, few: bool, cap: int, heavy: int) -> DataFrame:
+    """The first `cap` rows of _all_ends of each start, by n, then uri, without listing what middles with many ends lead to.
 
     Starts with the same set of heavy middles reach the same ends through them equally often, so those counts are taken once
     a set. An end that a start reaches by heavy middles alone has behind it only ends that come after it in the set's order:
     it is among the set's first cap + 1 (the start itself may be one) or not among the start's first cap. These, and the ends
     that light middles lead to, are the candidates; both kinds get their count by light and by heavy middles added up.
     """
-    one, two = _sides(triples, path, start)
-    many = kept(two.groupBy("mid").agg(F.count(F.lit(1)).alias("ends")).filter(F.col("ends") > heavy).select("mid"), "heavy")
-    light = _summed(one.join(many, "mid", "left_anti").join(two, "mid").filter("start <> uri"), path)
+    one, two = _sides(triples, path, starts, few)
+    hubs = _hubs(one, two, heavy)
+    many = kept(hubs.filter(F.col("ends") > heavy).select("mid"), "heavy")
+    summed = lambda rows: rows.groupBy("start", "uri").agg(_n(path).alias("n"))
+    if many.isEmpty():
+        return _ranked(summed(_pairs(one, two, hubs)), path, cap)
+    rest = lambda hop: hop.join(many, "mid", "left_anti")
+    light = summed(_pairs(rest(one), rest(two), rest(hubs)))
     sets = kept(one.join(many, "mid", "left_semi").groupBy("start").agg(F.sort_array(F.collect_set("mid")).alias("mids")), "heavy-sets")
     members = sets.select("mids").distinct().select("mids", F.explode("mids").alias("mid"))
-    by_set = _summed(members.join(two, "mid").withColumnRenamed("mids", "start"), path).withColumnRenamed("start", "mids")
-    by_set = kept(by_set.withColumnRenamed("n", "by_heavy"), "heavy-ends")
+    by_set = members.join(_counted(two.join(many, "mid", "left_semi")), "mid").groupBy("mids", "uri").agg(_n(path).alias("by_heavy"))
+    by_set = kept(by_set, "heavy-ends")
     place = F.row_number().over(Window.partitionBy("mids").orderBy(F.desc("by_heavy"), "uri"))
     firsts = by_set.withColumn("place", place).filter(F.col("place") <= cap + 1)
     through = sets.join(firsts, "mids").filter("start <> uri").select("start", "uri", "mids", "by_heavy")
@@ -76,7 +120,11 @@ def _first_ends(triples: DataFrame, path: Path, start: DataFrame, cap: int, heav
     both = through.join(light.select("start", "uri"), ["start", "uri"], "left_anti").select("start", "uri", F.lit(None).cast("long").alias("n"), "by_heavy").union(reached)
     zero = F.lit(0).cast("long")
     n = F.coalesce("n", zero) + F.coalesce("by_heavy", zero) if path[4] else F.lit(1).cast("long")
-    ranked = both.select("start", "uri", n.alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("n"), "uri")))
+    return _ranked(both.select("start", "uri", n.alias("n")), path, cap)
+
+
+def _ranked(counts: DataFrame, path: Path, cap: int) -> DataFrame:
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("n"), "uri")))
     return ranked.filter(F.col("r") <= cap).select("start", "uri", F.lit(path[0]).alias("key"), "n")
 
 
@@ -86,8 +134,11 @@ def related(triples: DataFrame, paths: Sequence[Path], start: DataFrame, cap: in
     cap keeps that many records of each relation, those with the highest counts; middles with more than `heavy` ends are then
     not listed start by start.
     """
-    s = start.select(F.col("uri").alias("start")).distinct()
-    rows = reduce(DataFrame.unionByName, [_ends(triples, p, s) if cap is None else _first_ends(triples, p, s, cap, heavy) for p in paths])
+    starts = kept(start.select(F.col("uri").alias("start")).distinct(), "starts")
+    few = starts.count() <= FEW
+    if cap is None:
+        return _all_ends(triples, paths, starts, few)
+    rows = reduce(DataFrame.unionByName, [_first_ends(triples, p, starts, few, cap, heavy) for p in paths])
     return rows.withColumn("total", F.sum("n").over(Window.partitionBy("start", "uri")))
 
 

@@ -126,6 +126,42 @@ def test_capped_relations_agree_with_all_of_them(spark, forward):
     assert {(r.start, r.uri, r.n) for r in every.collect()} == {(s, e, n if forward else 1) for s, c in counts.items() for e, n in c.items()}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_relations_of_some_starts_agree_with_all_pairs(spark, monkeypatch, few):
+    """Middles with many starts or many ends, starts that aren't asked, duplicates, and an end that two paths lead to."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(R, "HEAVY", 5)
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "BUCKETS", 4)
+    rng = random.Random(5)
+    mids = ["hub1", "hub2", *[f"m{i}" for i in range(15)]]
+    first = [(f"s{rng.randrange(20):02}", rng.choice(mids[: rng.choice([2, 17])])) for _ in range(120)]
+    second = [(rng.choice(mids[1 : rng.choice([2, 17])]), rng.choice([f"e{rng.randrange(20)}", f"s{rng.randrange(20):02}"])) for _ in range(150)]
+    t = [(m, "made", s) for s, m in first] + [(m, "class", e) for m, e in second] + [(e, "shows", m) for m, e in second]
+    frame = spark.createDataFrame(t, "subject string, predicate string, object string").repartition(3)
+    asked = {f"s{i:02}" for i in range(0, 20, 3)} | {"none"}
+    want = Counter()
+    for s, m in set(first):
+        for m2, e in second:
+            if m == m2 and s in asked and e != s:
+                want[s, e, "to"] += 1
+                want[s, e, "back"] = 1
+    paths = [("to", "made", False, "class", True), ("back", "made", False, "shows", False)]
+    got = R.related(frame, paths, spark.createDataFrame([(s,) for s in asked], "uri string")).collect()
+    assert {(r.start, r.uri, r.key): r.n for r in got} == dict(want) and len(got) == len(want)
+    assert all(r.total == want[r.start, r.uri, "to"] + 1 for r in got)
+
+
+def test_related_exchanges_each_hop_once(spark, triples, monkeypatch):
+    monkeypatch.setattr(R, "FEW", 0)
+    paths = [("p-c", "made", False, "class", True), ("w-i", "by", False, "shows", False)]
+    for cap, most in ((None, 5), (1, 9)):  # a hop each, and one by start and end; with a cap by path, and then by start
+        plan = R.related(triples, paths, spark.createDataFrame([("a1",)], "uri string"), cap)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, plan
+
+
 def test_a_middle_with_many_starts_and_ends(spark):
     """10^5 starts and 10^5 ends meet in one middle: 10^10 pairs, of which none but the capped ones is made."""
     n = 100_000
